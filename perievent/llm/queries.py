@@ -1,7 +1,7 @@
 """The registered queries of this subpackage and their SQL."""
 
-from perievent.llm import mixing, sharding, simhash, tokens
+from perievent.llm import langid, lm, mixing, quality, sharding, simhash, tokens
 
-MODULES = (mixing, simhash, tokens, sharding)
+MODULES = (mixing, simhash, quality, tokens, sharding, langid, lm)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
