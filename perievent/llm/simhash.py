@@ -134,59 +134,135 @@ def dense_trees(fps: np.ndarray, free: list[int], distance: int) -> list[tuple[i
 
 
 def links(fps: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS) -> DataFrame:
-    """Edges (a, b) between the distinct values of fps.fp (long) that join whatever is linked by `distance` or fewer
-    differing bits. Null fingerprints have no link; an empty table gives no rows."""
-    if distance * 4 > segments or 64 % segments or segments != 8:
+    """Edges (t, a, b) between the distinct values of fps.fp (long) under one t (int) that join whatever is linked by
+    `distance` or fewer differing bits. Null fingerprints have no link; an empty table gives no rows."""
+    if distance * 4 > segments or segments != 8:
         raise ValueError("eight segments, and a distance of at most two bits")
     width = 64 // segments
     equal = max(k for k in range(1, segments) if k * distance // segments == 0)
     bits = width * equal
     turned = F.posexplode(F.array(*[rotl(F.col("fp"), 64 - width * s).bitwiseAND(F.lit((1 << bits) - 1)) for s in range(segments)])).alias("start", "chain")
-    ring = base.stash(fps.filter("fp is not null").select("fp").distinct().select("fp", turned).select("fp", "start", "chain"))
-    sizes = ring.groupBy("start", "chain").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = ring.join(sizes, ["start", "chain"])
-    few = met.filter(F.col("n") <= TOGETHER).groupBy("start", "chain").agg(F.collect_list("fp").alias("fps")).select("start", "fps")
+    ring = base.stash(fps.filter("fp is not null").select("t", "fp").distinct().select("t", "fp", turned))
+    sizes = ring.groupBy("t", "start", "chain").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = ring.join(sizes, ["t", "start", "chain"])
+    few = met.filter(F.col("n") <= TOGETHER).groupBy("t", "start", "chain").agg(F.collect_list("fp").alias("fps")).select("t", "start", "fps")
     kept = segments - equal - distance
     choices = list(combinations(range(equal, segments), kept))
 
     def mask(start: int, choice: tuple[int, ...]) -> int:
-        m = 0
-        for s in (*range(equal), *choice):
-            m |= ((1 << width) - 1) << (width * ((start + s) % segments))
+        m = sum(((1 << width) - 1) << (width * ((start + s) % segments)) for s in (*range(equal), *choice))
         return m - (1 << 64) if m >= 1 << 63 else m
 
     # The hot keys, dealt again: (equal + kept) segments agree, `distance` segments are free.
     masks = F.array(*[F.array(*[F.lit(mask(s, c)) for c in choices]) for s in range(segments)])
-    hot = met.filter(F.col("n") > TOGETHER).select("fp", "start", F.posexplode(F.element_at(masks, F.col("start") + 1)).alias("choice", "mask"))
-    many = hot.groupBy("start", "choice", F.col("fp").bitwiseAND(F.col("mask")).alias("same")).agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
+    hot = met.filter(F.col("n") > TOGETHER).select("t", "fp", "start", F.posexplode(F.element_at(masks, F.col("start") + 1)).alias("choice", "mask"))
+    many = hot.groupBy("t", "start", "choice", F.col("fp").bitwiseAND(F.col("mask")).alias("same")).agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            edges = [e for s, x in zip(b.column(0).to_pylist(), b.column(1)) for e in trees(np.asarray(x.values), s, distance, segments)]
-            yield _edges(edges)
+            for t, s, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                yield _edges(t, trees(np.asarray(x.values), s, distance, segments))
 
     def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            edges = []
-            for s, c, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+            for t, s, c, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3)):
                 free = [width * ((s + k) % segments) + i for k in range(equal, segments) if k not in choices[c] for i in range(width)]
-                edges += dense_trees(np.asarray(x.values), free, distance)
-            yield _edges(edges)
+                yield _edges(t, dense_trees(np.asarray(x.values), free, distance))
 
-    found = few.mapInArrow(near, "a long, b long").unionByName(many.select("start", "choice", "fps").mapInArrow(dense, "a long, b long"))
-    return found.distinct()
+    shape = "t int, a long, b long"
+    return few.mapInArrow(near, shape).unionByName(many.select("t", "start", "choice", "fps").mapInArrow(dense, shape)).distinct()
 
 
-def _edges(edges: list[tuple[int, int]]) -> pa.RecordBatch:
+def _edges(t: int, edges: list[tuple[int, int]]) -> pa.RecordBatch:
     ends = np.array(edges, dtype=np.uint64).reshape(-1, 2).view(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(ends[:, 0])), pa.array(np.ascontiguousarray(ends[:, 1]))], names=["a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(ends), t, dtype=np.int32)), pa.array(np.ascontiguousarray(ends[:, 0])), pa.array(np.ascontiguousarray(ends[:, 1]))], names=["t", "a", "b"])
+
+
+#: Near-duplicate texts: fingerprints of each text, words of a shingle and similarity of the exact check.
+TABLES, SHINGLE, SIMILAR = 12, 5, 0.8
+#: Bits of all fingerprints together by which texts of that similarity differ, at most.
+APART = 108
+
+
+def remixed(h: np.ndarray, t: int) -> np.ndarray:
+    """Another hash for each table."""
+    x = (h ^ np.uint64((t + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def word_fingerprints(rows: DataFrame) -> DataFrame:
+    """node, doc_id, fps of rows (node, doc_id, text): TABLES fingerprints of a text's distinct words."""
+    base.small_batches(rows.sparkSession)
+    kind = dict(rows.dtypes)["doc_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h = xxhash.xxh3_64_intdigest
+        for b in batches:
+            lists = [[h(w) for w in set((t or b"").lower().split())] for t in b.column("text").cast(pa.binary()).to_pylist()]
+            sizes = np.array([len(x) for x in lists], dtype=np.int64)
+            hashes = np.fromiter((x for y in lists for x in y), dtype="<u8", count=int(sizes.sum()))
+            fps = np.stack([majority(remixed(hashes, t), sizes) for t in range(TABLES)], axis=1).view(np.int64)
+            offsets = pa.array(np.arange(len(lists) + 1, dtype=np.int32) * TABLES)
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("doc_id"), pa.ListArray.from_arrays(offsets, pa.array(fps.ravel()))], names=["node", "doc_id", "fps"])
+
+    return rows.select("node", "doc_id", "text").mapInArrow(run, f"node long, doc_id {kind}, fps array<long>")
+
+
+def shingle_sets(rows: DataFrame) -> DataFrame:
+    """node, shingles (array<int>: hashes of the distinct five-word shingles) of rows (node, text)."""
+    base.small_batches(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(np.array(shingle_hashes(t, SHINGLE), dtype=np.uint64).astype(np.uint32)).view(np.int32) for t in b.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.list_(pa.int32()))], names=["node", "shingles"])
+
+    return rows.select("node", "text").mapInArrow(run, "node long, shingles array<int>")
+
+
+def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, groups) of docs (doc_id, text): nodes (node, doc_id: the least) are distinct texts, by their 64-bit hash;
+    groups (node, root) hold those that share SIMILAR of their five-word shingles or more with another, directly or by
+    others. Candidates are met by fingerprints of words, in which an edit of one word counts once, not five times."""
+    keyed = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "doc_id", "text")
+    nodes = base.stash(word_fingerprints(keyed).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("fps").alias("fps")))
+    each = nodes.select("node", F.posexplode("fps").alias("t", "fp"))
+    first = base.stash(each.groupBy("t", "fp").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")))
+    same = each.join(first.filter("n > 1"), ["t", "fp"]).filter("node != first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    ends = first.select("t", "fp", "first")
+    met = links(first.select("t", "fp")).join(ends.select("t", F.col("fp").alias("a"), F.col("first").alias("x")), ["t", "a"]).join(ends.select("t", F.col("fp").alias("b"), F.col("first").alias("y")), ["t", "b"])
+    pairs = same.unionByName(met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))).distinct()
+    prints = nodes.select("node", "fps")
+    apart = F.aggregate(F.zip_with("fa", "fb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda p, q: p + q)
+    pairs = pairs.join(prints.select(F.col("node").alias("a"), F.col("fps").alias("fa")), "a").join(prints.select(F.col("node").alias("b"), F.col("fps").alias("fb")), "b")
+    pairs = base.stash(pairs.filter(apart <= APART).select("a", "b"))
+    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    chosen = nodes.join(asked, "node", "left_semi").select("node", "doc_id")
+    sets = base.stash(shingle_sets(keyed.join(chosen.withColumnRenamed("doc_id", "kept"), "node").filter(F.col("doc_id").eqNullSafe(F.col("kept")))).dropDuplicates(["node"]))
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    sure = both.withColumn("common", common).filter(F.col("common") >= SIMILAR * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
+    return nodes.select("node", "doc_id"), base.components(sure)
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text, ...) with one row of each group of near-duplicate or equal texts: that of the least doc_id
+    (one without an id only if none has one). Texts without a word are equal to each other only if they are equal as
+    they stand; a null text equals an empty one. Repeated rows are one group; no rows give no rows."""
+    nodes, groups = near_duplicates(docs)
+    rooted = nodes.join(groups, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
+    kept = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("k")).select(F.col("k.node").alias("_kept_node"), F.col("k.doc_id").alias("_kept_id"))
+    marked = docs.withColumn("_node", F.xxhash64(F.coalesce("text", F.lit(""))))
+    met = marked.join(kept, (F.col("_node") == F.col("_kept_node")) & F.col("doc_id").eqNullSafe(F.col("_kept_id")))
+    return met.dropDuplicates(["_node", "doc_id"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint, component_id of every document."""
     docs = base.stash(fingerprints(base.table(spark, sf_dir, "documents").select("doc_id", "text"), "text", 3))
     classes = docs.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    groups = base.components(links(docs))
+    groups = base.components(links(docs.select(F.lit(0).alias("t"), "fp")))
     member = base.stash(classes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
     smallest = member.groupBy("root").agg(F.min("first").alias("component_id"))
     return docs.join(member.join(smallest, "root").select("fp", "component_id"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
