@@ -1,7 +1,7 @@
 """The registered queries and their SQL."""
 
-from perievent.operators import joins, metrics, series
+from perievent.operators import joins, metrics, series, stats
 
-MODULES = (metrics, series, joins)
+MODULES = (metrics, series, joins, stats)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
