@@ -141,11 +141,13 @@ def links(fps: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS) ->
     width = 64 // segments
     equal = max(k for k in range(1, segments) if k * distance // segments == 0)
     bits = width * equal
-    turned = F.posexplode(F.array(*[rotl(F.col("fp"), 64 - width * s).bitwiseAND(F.lit((1 << bits) - 1)) for s in range(segments)])).alias("start", "chain")
-    ring = base.stash(fps.filter("fp is not null").select("t", "fp").distinct().select("t", "fp", turned))
-    sizes = ring.groupBy("t", "start", "chain").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = ring.join(sizes, ["t", "start", "chain"])
-    few = met.filter(F.col("n") <= TOGETHER).groupBy("t", "start", "chain").agg(F.collect_list("fp").alias("fps")).select("t", "start", "fps")
+    # One long holds the table, the chain's start and its bits: t, 8 bits, 24 bits.
+    chains = F.explode(F.array(*[F.shiftleft(F.col("t").cast("long"), 32) + F.lit(s << bits) + rotl(F.col("fp"), 64 - width * s).bitwiseAND(F.lit((1 << bits) - 1)) for s in range(segments)])).alias("chain")
+    ring = base.stash(fps.filter("fp is not null").select("t", "fp").distinct()).select("fp", chains)
+    met = ring.join(ring.groupBy("chain").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "chain")
+    start = F.shiftright("chain", bits).bitwiseAND(F.lit(255)).cast("int").alias("start")
+    t = F.shiftright("chain", 32).cast("int").alias("t")
+    few = met.filter(F.col("n") <= TOGETHER).groupBy("chain").agg(F.collect_list("fp").alias("fps")).select(t, start, "fps")
     kept = segments - equal - distance
     choices = list(combinations(range(equal, segments), kept))
 
@@ -155,7 +157,7 @@ def links(fps: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS) ->
 
     # The hot keys, dealt again: (equal + kept) segments agree, `distance` segments are free.
     masks = F.array(*[F.array(*[F.lit(mask(s, c)) for c in choices]) for s in range(segments)])
-    hot = met.filter(F.col("n") > TOGETHER).select("t", "fp", "start", F.posexplode(F.element_at(masks, F.col("start") + 1)).alias("choice", "mask"))
+    hot = met.filter(F.col("n") > TOGETHER).select(t, "fp", start).select("t", "fp", "start", F.posexplode(F.element_at(masks, F.col("start") + 1)).alias("choice", "mask"))
     many = hot.groupBy("t", "start", "choice", F.col("fp").bitwiseAND(F.col("mask")).alias("same")).agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,8 +250,8 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, ...) with one row of each group of near-duplicate or equal texts: that of the least doc_id
-    (one without an id only if none has one). Texts without a word are equal to each other only if they are equal as
-    they stand; a null text equals an empty one. Repeated rows are one group; no rows give no rows."""
+    (one without an id only if none has one). All texts without a word are one group, null ones among them. Repeated rows
+    are one group; no rows give no rows."""
     nodes, groups = near_duplicates(docs)
     rooted = nodes.join(groups, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     kept = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("k")).select(F.col("k.node").alias("_kept_node"), F.col("k.doc_id").alias("_kept_id"))
