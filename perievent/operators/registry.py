@@ -1,7 +1,7 @@
 """The registered queries and their SQL."""
 
-from perievent.operators import joins, maps, metrics, models, series, stats
+from perievent.operators import joins, maps, metrics, models, more, series, stats
 
-MODULES = (metrics, series, joins, stats, maps, models)
+MODULES = (metrics, series, joins, stats, maps, models, more)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
