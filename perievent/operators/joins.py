@@ -323,7 +323,7 @@ def i17(spark, sf):
     r = V.recordings(spark, sf).filter("datakey = 'AF' and cell <= 10").select("config", "trial", "cell", "quantity")
     q = r.groupBy("config").agg(F.percentile("quantity", F.lit(0.33)).alias("lo"), F.percentile("quantity", F.lit(0.67)).alias("hi"))
     s = r.join(q, "config").withColumn("side", F.when(F.col("quantity") <= F.col("lo"), "low").when(F.col("quantity") >= F.col("hi"), "high")).filter("side is not null")
-    k = s.withColumn("k", F.row_number().over(W.partitionBy("config", "side").orderBy(seeded_order(3, "trial", "cell"), "trial")))
+    k = s.withColumn("k", F.row_number().over(W.partitionBy("config", "side").orderBy(seeded_order(3, "trial", "cell"), "trial", "quantity")))
     n = s.groupBy("config", "side").agg(F.count(F.lit(1)).alias("n")).groupBy("config").agg(F.min("n").alias("least"))
     return k.join(n, "config").filter("k <= least").select("config", "side", "trial", "cell")
 
@@ -375,7 +375,7 @@ SQL = {
     "c21_mask_traces": f"WITH {V.GRID}, m AS (SELECT p_partkey % 20 AS cell, p_partkey % 64 AS x, (p_partkey // 8) % 64 AS y, max(p_size / 50) AS weight FROM part GROUP BY 1, 2, 3) SELECT cell, frame, round(sum(value * weight), 6) AS trace, round(avg(value), 6) AS mean FROM grid JOIN m USING (x, y) GROUP BY ALL",
     "c24_combined": "SELECT o_custkey, CASE WHEN count(DISTINCT o_orderpriority) = 1 THEN min(o_orderpriority) END AS priority, count(DISTINCT o_orderpriority) = 1 AS agree, round(sum(o_totalprice), 6) AS total FROM orders GROUP BY o_custkey",
     "c25_strongest": f"WITH {V.REC}, m AS (SELECT cell, datakey, avg(response) AS s FROM rec GROUP BY ALL) SELECT cell, datakey, round(s, 6) AS strength FROM m QUALIFY row_number() OVER (PARTITION BY cell ORDER BY s DESC, datakey) = 1",
-    "i17_split_tertiles": f"WITH {V.REC}, r AS (SELECT config, trial, cell, quantity FROM rec WHERE datakey = 'AF' AND cell <= 10), q AS (SELECT config, quantile_cont(quantity, 0.33) AS lo, quantile_cont(quantity, 0.67) AS hi FROM r GROUP BY config), s AS (SELECT r.*, CASE WHEN quantity <= lo THEN 'low' WHEN quantity >= hi THEN 'high' END AS side FROM r JOIN q USING (config)), k AS (SELECT *, row_number() OVER (PARTITION BY config, side ORDER BY md5('3|' || trial || '|' || cell), trial) AS k FROM s WHERE side IS NOT NULL), n AS (SELECT config, min(n) AS least FROM (SELECT config, side, count(*) AS n FROM k GROUP BY ALL) GROUP BY config) SELECT config, side, trial, cell FROM k JOIN n USING (config) WHERE k <= least",
+    "i17_split_tertiles": f"WITH {V.REC}, r AS (SELECT config, trial, cell, quantity FROM rec WHERE datakey = 'AF' AND cell <= 10), q AS (SELECT config, quantile_cont(quantity, 0.33) AS lo, quantile_cont(quantity, 0.67) AS hi FROM r GROUP BY config), s AS (SELECT r.*, CASE WHEN quantity <= lo THEN 'low' WHEN quantity >= hi THEN 'high' END AS side FROM r JOIN q USING (config)), k AS (SELECT *, row_number() OVER (PARTITION BY config, side ORDER BY md5('3|' || trial || '|' || cell), trial, quantity) AS k FROM s WHERE side IS NOT NULL), n AS (SELECT config, min(n) AS least FROM (SELECT config, side, count(*) AS n FROM k GROUP BY ALL) GROUP BY config) SELECT config, side, trial, cell FROM k JOIN n USING (config) WHERE k <= least",
     "i18_equal_counts": f"WITH {V.RESP}, k AS (SELECT config, trial, row_number() OVER (PARTITION BY config ORDER BY md5('7|' || trial), trial) AS k FROM resp WHERE cell = 0) SELECT config, trial FROM k WHERE k <= (SELECT min(n) FROM (SELECT count(*) AS n FROM k GROUP BY config))",
     "i20_folds": f"WITH {V.RESP} SELECT trial, config, (row_number() OVER (PARTITION BY config ORDER BY md5('5|' || trial), trial) - 1) % 5 AS fold FROM resp WHERE cell = 0",
     "j01_best_dataset": f"WITH {V.REC}, n AS (SELECT area, datakey, count(DISTINCT cell) AS n FROM rec GROUP BY ALL) SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY area ORDER BY n DESC, datakey) = 1",

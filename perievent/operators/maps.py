@@ -140,7 +140,7 @@ def h10(spark, sf):
     ref = g.groupBy("y", "x").agg(F.avg("value").alias("ref"))
     r = g.withColumn("file", F.col("x") % 8).join(ref, ["y", "x"]).groupBy("file").agg(F.corr("value", "ref").alias("r"))
     w = W.partitionBy(F.lit(1))
-    return _r(r.withColumn("bad", F.abs(F.col("r") - F.avg("r").over(w)) >= 1.5 * F.stddev_pop("r").over(w)))
+    return _r(r.withColumn("bad", F.round(F.abs(F.col("r") - F.avg("r").over(w)), 9) >= F.round(1.5 * F.stddev_pop("r").over(w), 9)))
 
 
 def h12(spark, sf):
@@ -378,7 +378,7 @@ SQL = {
     "h07_phase_locked": f"WITH {V.TRACE}, t AS (SELECT cell, trial, cos(4 * pi() * frame_ix / 20) AS c, value - avg(value) OVER (PARTITION BY cell, trial) AS z FROM tr), g AS (SELECT cell, trial, sum(z * c) AS xy, sum(c * c) AS xx, sum(z * z) AS yy FROM t GROUP BY ALL) SELECT cell, trial, round(xy / xx, 6) AS amplitude, round(xy * xy / xx / nullif(yy, 0), 6) AS explained FROM g",
     "h08_phase_maps": f"WITH {V.GRID}, p AS (SELECT y, x, value / 50 % (2 * pi()) - pi() AS p FROM grid), g AS (SELECT y, x, avg(sin(p)) AS s, avg(cos(p)) AS c FROM p GROUP BY y, x) SELECT y, x, round(sqrt(s * s + c * c), 6) AS strength, round(CASE WHEN sqrt(s * s + c * c) > 0.3 THEN cos(atan2(s, c)) END, 6) AS cos_mean FROM g",
     "h09_absolute_maps": f"WITH {V.GRID}, p AS (SELECT y, x, avg(value) FILTER (frame = 0) AS a, avg(value) FILTER (frame = 1) AS b, avg(value) FILTER (frame = 2) AS c FROM grid GROUP BY y, x) SELECT y, x, round((a - b) / 2, 6) AS azimuth, round((a + b) / 2, 6) AS delay, round(CASE WHEN abs((a + b) / 2 - c) <= 60000 THEN (a - b) / 2 END, 6) AS filtered FROM p",
-    "h10_frame_quality": f"WITH {V.GRID}, f AS (SELECT y, x, avg(value) AS ref FROM grid GROUP BY y, x), r AS (SELECT x % 8 AS file, corr(value, ref) AS r FROM grid JOIN f USING (y, x) GROUP BY 1) SELECT file, round(r, 6) AS r, abs(r - avg(r) OVER ()) >= 1.5 * stddev_pop(r) OVER () AS bad FROM r",
+    "h10_frame_quality": f"WITH {V.GRID}, f AS (SELECT y, x, avg(value) AS ref FROM grid GROUP BY y, x), r AS (SELECT x % 8 AS file, corr(value, ref) AS r FROM grid JOIN f USING (y, x) GROUP BY 1) SELECT file, round(r, 6) AS r, round(abs(r - avg(r) OVER ()), 9) >= round(1.5 * stddev_pop(r) OVER (), 9) AS bad FROM r",
     "h12_rings": f"WITH {_MASK}, {_HALO} SELECT cell, y, x FROM ring",
     "h13_ring_corrected": f"WITH {V.GRID}, {_MASK}, {_HALO}, a AS (SELECT cell, frame, sum(value * weight) / sum(weight) AS raw FROM grid JOIN m USING (y, x) GROUP BY ALL), b AS (SELECT cell, frame, avg(value) AS ring FROM grid JOIN ring USING (y, x) GROUP BY ALL) SELECT cell, frame, round(raw, 6) AS raw, round(b.ring, 6) AS ring, round(raw - 0.7 * b.ring, 6) AS corrected FROM a JOIN b USING (cell, frame)",
     "h14_mask_values": f"WITH {_MASK} SELECT y, x, round(avg(cell * weight), 6) AS value, max(cell) AS label, count(*) AS n FROM m GROUP BY y, x",

@@ -222,8 +222,8 @@ def f10(spark, sf):
 
 def f16(spark, sf):
     """Polygon areas by the shoelace formula over ordered vertices."""
-    o = V.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("x"), F.floor(F.col("l_tax") * 100 + 0.5).alias("y"))
-    w = W.partitionBy("l_orderkey").orderBy("l_linenumber")
+    o = V.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", F.col("l_quantity").alias("x"), F.floor(F.col("l_tax") * 100 + 0.5).alias("y"))
+    w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice")
     n = lambda c: F.coalesce(F.lead(c).over(w), F.first(c).over(w))
     o = o.withColumns({"x2": n("x"), "y2": n("y")})
     return _r(o.groupBy("l_orderkey").agg((F.abs(F.sum(F.col("x") * F.col("y2") - F.col("x2") * F.col("y"))) / 2).alias("area")))
@@ -271,7 +271,7 @@ def i07(spark, sf):
     fit = r.groupBy("area").agg(F.regr_slope("y", "x").alias("b"), F.regr_intercept("y", "x").alias("a"))
     s = r.join(fit, "area").withColumn("e", F.col("y") - F.col("a") - F.col("b") * F.col("x"))
     s = s.withColumn("sd", F.stddev_samp("e").over(W.partitionBy("area")))
-    return s.select("area", "cell", (F.abs("e") > 1.5 * F.col("sd")).alias("deviant"))
+    return s.select("area", "cell", (F.round(F.abs("e"), 6) > F.round(1.5 * F.col("sd"), 6)).alias("deviant"))
 
 
 def j04(spark, sf):
@@ -343,14 +343,14 @@ SQL = {
     "e35_reflected_mean": f"WITH {V.TRACE}, u AS (SELECT cell, trial, frame_ix, value FROM tr UNION ALL SELECT cell, trial, -frame_ix - 1, value FROM tr WHERE frame_ix < 2 UNION ALL SELECT cell, trial, 39 - frame_ix, value FROM tr WHERE frame_ix >= 18), s AS (SELECT cell, trial, frame_ix, avg(value) OVER (PARTITION BY cell, trial ORDER BY frame_ix ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS s FROM u) SELECT cell, trial, frame_ix, round(s, 6) AS smooth FROM s WHERE frame_ix >= 0 AND frame_ix < 20",
     "f06_spherical": "WITH c AS (SELECT c_custkey, c_acctbal / 100 AS x, c_custkey % 17 - 8 AS y, c_nationkey - 12 AS z FROM customer) SELECT c_custkey, round(atan2(y, x), 6) AS azimuth, round(atan2(z, sqrt(x * x + y * y)), 6) AS elevation, round(sqrt(x * x + y * y + z * z), 6) AS radius FROM c",
     "f10_centroids": f"WITH {_MASK}, c AS (SELECT cell, avg(x) AS cx, avg(y) AS cy FROM m GROUP BY cell) SELECT cell, round(500 - cx * 2.3, 6) AS ml, round(300 - cy * 1.9, 6) AS ap, row_number() OVER (ORDER BY cx, cy, cell) AS place FROM c",
-    "f16_polygon_area": "WITH o AS (SELECT l_orderkey, l_quantity AS x, floor(l_tax * 100 + 0.5) AS y, coalesce(lead(l_quantity) OVER w, first_value(l_quantity) OVER w) AS x2, coalesce(lead(floor(l_tax * 100 + 0.5)) OVER w, first_value(floor(l_tax * 100 + 0.5)) OVER w) AS y2 FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)) SELECT l_orderkey, round(abs(sum(x * y2 - x2 * y)) / 2, 6) AS area FROM o GROUP BY l_orderkey",
+    "f16_polygon_area": "WITH o AS (SELECT l_orderkey, l_quantity AS x, floor(l_tax * 100 + 0.5) AS y, coalesce(lead(l_quantity) OVER w, first_value(l_quantity) OVER w) AS x2, coalesce(lead(floor(l_tax * 100 + 0.5)) OVER w, first_value(floor(l_tax * 100 + 0.5)) OVER w) AS y2 FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice)) SELECT l_orderkey, round(abs(sum(x * y2 - x2 * y)) / 2, 6) AS area FROM o GROUP BY l_orderkey",
     "f31_grid_cells": f"WITH {V.STIM} SELECT config, CAST(CASE WHEN size < 0 THEN 0 WHEN size >= 51 THEN 7 ELSE floor(size / (51.0 / 6)) + 1 END AS BIGINT) AS row, CAST(CASE WHEN speed < 900 THEN 0 WHEN speed >= 2000 THEN 9 ELSE floor((speed - 900) / (1100.0 / 8)) + 1 END AS BIGINT) AS col FROM stim",
     "g15_baseline_null": f"WITH {V.TRACE}, b AS (SELECT cell, trial, avg(value) AS b FROM tr WHERE frame_ix < 8 GROUP BY ALL), k AS (SELECT cell, it, b, row_number() OVER (PARTITION BY cell, it ORDER BY md5('6|' || it || '|' || trial), trial) AS k FROM b, range(5) t(it)), g AS (SELECT cell, it, sum(CASE WHEN k = 1 THEN b ELSE -b END) AS d FROM k WHERE k <= 2 GROUP BY ALL HAVING count(*) = 2) SELECT cell, round(avg(d), 6) AS mean, round(avg(CAST(d > 0 AS INT)), 6) AS above FROM g GROUP BY cell",
     "h05_trial_correlation": f"WITH {V.TRACE}, r AS (SELECT x.cell, x.trial AS a, y.trial AS b, corr(x.value, y.value) AS r FROM tr x JOIN tr y ON x.cell = y.cell AND x.frame_ix = y.frame_ix AND x.trial < y.trial GROUP BY ALL) SELECT cell, round(avg(r), 6) AS r, count(*) AS n FROM r GROUP BY cell",
     "h26_scatter": f"WITH {V.REC}, r AS (SELECT area, cell, avg(quantity) AS x, avg(response) AS y FROM rec GROUP BY ALL), f AS (SELECT area, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM r GROUP BY area) SELECT area, cell, 'scatter' AS metric, round(abs(y - a - b * x), 6) AS value FROM r JOIN f USING (area) UNION ALL SELECT area, cell, 'predicted', round(a + b * x, 6) FROM r JOIN f USING (area)",
     "h32_curve_correlation": f"WITH {V.REC}, m AS (SELECT cell, config, avg(response) AS r, avg(quantity) AS q FROM rec GROUP BY ALL) SELECT cell, round(corr(r, q), 6) AS r FROM m GROUP BY cell",
     "i04_best_set": f"WITH {V.REC}, m AS (SELECT cell, datakey, config, avg(response) AS r FROM rec GROUP BY ALL) SELECT cell, datakey, config, round(r, 6) AS r FROM m QUALIFY row_number() OVER (PARTITION BY cell ORDER BY m.r DESC, datakey, config) = 1",
-    "i07_deviants": f"WITH {V.REC}, r AS (SELECT area, cell, avg(quantity) AS x, avg(response) AS y FROM rec GROUP BY ALL), f AS (SELECT area, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM r GROUP BY area), e AS (SELECT area, cell, y - a - b * x AS e FROM r JOIN f USING (area)) SELECT area, cell, abs(e) > 1.5 * stddev_samp(e) OVER (PARTITION BY area) AS deviant FROM e",
+    "i07_deviants": f"WITH {V.REC}, r AS (SELECT area, cell, avg(quantity) AS x, avg(response) AS y FROM rec GROUP BY ALL), f AS (SELECT area, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM r GROUP BY area), e AS (SELECT area, cell, y - a - b * x AS e FROM r JOIN f USING (area)) SELECT area, cell, round(abs(e), 6) > round(1.5 * stddev_samp(e) OVER (PARTITION BY area), 6) AS deviant FROM e",
     "j04_sorted_cells": f"WITH {V.RESP}, m AS (SELECT cell, config, avg(response) AS r FROM resp GROUP BY ALL), b AS (SELECT cell, max(r) AS m FROM m GROUP BY cell) SELECT cell, row_number() OVER (ORDER BY m DESC, cell) AS place FROM b",
     "n01_frame_counts": f"WITH {V.STIM} SELECT config, CAST(floor(size / 10 * 44.65 + 0.5) AS BIGINT) AS n_on, CAST(floor(speed / 500 / 2 * 44.65 + 0.5) AS BIGINT) AS n_post, size / 10 + 1 + speed / 500 / 2 <= size / 10 + speed / 500 AS fits FROM stim",
     "n07_response_sets": f"WITH {V.REC}, s AS (SELECT cell, string_agg(datakey, '+' ORDER BY datakey) AS experiments FROM (SELECT DISTINCT cell, datakey FROM rec WHERE response > 98000) GROUP BY cell) SELECT experiments, count(*) AS n_cells FROM s GROUP BY experiments",

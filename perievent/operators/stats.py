@@ -35,7 +35,7 @@ def roc_null(df: DataFrame, keys: tuple[str, ...], stim: str, base: str, iterati
     pool = df.select(*keys, "config", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col(stim).alias("v")), F.struct(F.lit(1).alias("side"), F.col(base).alias("v")))).alias("p"), "trial").select(*keys, "config", "trial", "p.side", "p.v")
     many = pool.withColumn("it", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
     w = W.partitionBy(*keys, "config", "it")
-    k = F.row_number().over(w.orderBy(seeded_order(seed, "it", "trial", "side"), "trial", "side"))
+    k = F.row_number().over(w.orderBy(seeded_order(seed, "it", "trial", "side"), "trial", "side", "v"))
     many = many.withColumns({"k": k, "n": F.count(F.lit(1)).over(w)}).withColumn("s", F.col("k") * 2 <= F.col("n"))
     g = many.groupBy(*keys, "config", "it").agg(F.collect_list(F.when(F.col("s"), F.col("v"))).alias("a"), F.collect_list(F.when(~F.col("s"), F.col("v"))).alias("b"))
     null = g.select(*keys, "it", auc(F.col("a"), F.col("b")).alias("auc")).groupBy(*keys, "it").agg(F.max("auc").alias("shuffled"))
@@ -210,7 +210,7 @@ QUERIES = {
 }
 SQL = {
     "g01_roc": f"WITH {_AUC.format(x=_CELLS.format(100), k='cell, config', src='(SELECT cell, config, response AS s, base AS b FROM c)')} SELECT cell, round(max(auc), 6) AS auc FROM u GROUP BY cell",
-    "g02_roc_null": f"WITH {_AUC.format(x=_CELLS.format(3), k='cell, config', src='(SELECT cell, config, response AS s, base AS b FROM c)')}, tr0 AS (SELECT cell, max(auc) AS auc FROM u GROUP BY cell), pool AS (SELECT cell, config, trial, 0 AS side, response AS v FROM c UNION ALL SELECT cell, config, trial, 1, base FROM c), sh AS (SELECT cell, config, it, v, row_number() OVER (PARTITION BY cell, config, it ORDER BY md5('11|' || it || '|' || trial || '|' || side), trial, side) * 2 <= count(*) OVER (PARTITION BY cell, config, it) AS s FROM pool, range(8) t(it)), "
+    "g02_roc_null": f"WITH {_AUC.format(x=_CELLS.format(3), k='cell, config', src='(SELECT cell, config, response AS s, base AS b FROM c)')}, tr0 AS (SELECT cell, max(auc) AS auc FROM u GROUP BY cell), pool AS (SELECT cell, config, trial, 0 AS side, response AS v FROM c UNION ALL SELECT cell, config, trial, 1, base FROM c), sh AS (SELECT cell, config, it, v, row_number() OVER (PARTITION BY cell, config, it ORDER BY md5('11|' || it || '|' || trial || '|' || side), trial, side, v) * 2 <= count(*) OVER (PARTITION BY cell, config, it) AS s FROM pool, range(8) t(it)), "
     + _AUC.format(x="s2 AS (SELECT cell, config, it, CASE WHEN s THEN v END AS s, CASE WHEN NOT s THEN v END AS b FROM sh)", k="cell, config, it", src="s2").replace(", r AS", ", r2 AS").replace("FROM r,", "FROM r2,").replace(", q AS", ", q2 AS").replace("FROM q WINDOW", "FROM q2 WINDOW").replace(", a AS", ", a2 AS").replace("FROM a GROUP", "FROM a2 GROUP").replace(", u AS", ", u2 AS")
     + ", n AS (SELECT cell, it, max(auc) AS shuffled FROM u2 GROUP BY ALL) SELECT cell, round(auc, 6) AS auc, round(avg(CAST(shuffled >= auc AS INT)), 6) AS p FROM n JOIN tr0 USING (cell) GROUP BY cell, auc",
     "g03_frames_beyond": f"WITH {V.TRACE}, p AS (SELECT cell, config, frame_ix, avg(value) AS mean FROM tr GROUP BY ALL), b AS (SELECT *, avg(mean) FILTER (frame_ix < 8) OVER (PARTITION BY cell, config) AS m, stddev_pop(mean) FILTER (frame_ix < 8) OVER (PARTITION BY cell, config) AS s FROM p) SELECT cell, config, count(*) FILTER (frame_ix >= 8 AND frame_ix < 14 AND (abs(mean) > abs(m) + 1.5 * s OR abs(mean) < abs(m) - 1.5 * s)) AS n_frames FROM b GROUP BY cell, config",
