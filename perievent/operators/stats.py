@@ -13,20 +13,31 @@ from perievent.operators.metrics import psth
 from perievent.plans import views as V
 
 
-def auc(stim: Column, base: Column, n: int = 50) -> Column:
-    """Area under the ROC curve of two arrays, at n criteria evenly spaced over stim's range (hits and false alarms are
-    the shares above a criterion; the area is taken by trapezoids over the criteria)."""
-    low, step = F.array_min(stim), (F.array_max(stim) - F.array_min(stim)) / (n - 1)
+def auc(stim: Column, base: Column, low: Column | None = None, high: Column | None = None, n: int = 50) -> Column:
+    """Area under the ROC curve of two arrays, at n criteria evenly spaced from low to high (stim's range by default):
+    hits and false alarms are the shares above a criterion, the area is taken by trapezoids over the criteria."""
+    low, high = F.array_min(stim) if low is None else low, F.array_max(stim) if high is None else high
+    step = (high - low) / (n - 1)
     above = lambda a, c: F.size(F.filter(a, lambda x: x > c)) / F.size(a)
     points = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.struct(above(stim, low + k * step).alias("h"), above(base, low + k * step).alias("f")))
     area = lambda p: F.aggregate(F.sequence(F.lit(1), F.lit(n - 1)), F.lit(0.0), lambda a, k: a + (F.get(p, k - 1).f - F.get(p, k).f) * (F.get(p, k).h + F.get(p, k - 1).h) / 2)
     return F.transform(F.array(points), area)[0]
 
 
-def roc(df: DataFrame, keys: tuple[str, ...], stim: str, base: str) -> DataFrame:
+def _best_auc(lists: DataFrame, keys: tuple[str, ...], whole: bool) -> DataFrame:
+    """lists (keys, config, s, b) -> the largest AUC of each key, criteria over the range of its configs' s (whole: and
+    b, which also counts responses that no baseline reaches)."""
+    w = W.partitionBy(*keys)
+    low, high = F.min(F.array_min("s")).over(w), F.max(F.array_max("s")).over(w)
+    if whole:
+        low, high = F.least(low, F.min(F.array_min("b")).over(w)), F.greatest(high, F.max(F.array_max("b")).over(w))
+    g = lists.withColumns({"low": low, "high": high})
+    return g.select(*keys, auc(F.col("s"), F.col("b"), F.col("low"), F.col("high")).alias("auc")).groupBy(*keys).agg(F.max("auc").alias("auc"))
+
+
+def roc(df: DataFrame, keys: tuple[str, ...], stim: str, base: str, whole: bool = False) -> DataFrame:
     """Each cell's largest AUC over configs. df has one row a trial; a config's trials must fit a task."""
-    g = df.groupBy(*keys, "config").agg(F.collect_list(stim).alias("s"), F.collect_list(base).alias("b"))
-    return g.select(*keys, auc(F.col("s"), F.col("b")).alias("auc")).groupBy(*keys).agg(F.max("auc").alias("auc"))
+    return _best_auc(df.groupBy(*keys, "config").agg(F.collect_list(stim).alias("s"), F.collect_list(base).alias("b")), keys, whole)
 
 
 def roc_null(df: DataFrame, keys: tuple[str, ...], stim: str, base: str, iterations: int, seed: int) -> DataFrame:
@@ -36,9 +47,9 @@ def roc_null(df: DataFrame, keys: tuple[str, ...], stim: str, base: str, iterati
     many = pool.withColumn("it", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
     w = W.partitionBy(*keys, "config", "it")
     k = F.row_number().over(w.orderBy(seeded_order(seed, "it", "trial", "side"), "trial", "side", "v"))
-    many = many.withColumns({"k": k, "n": F.count(F.lit(1)).over(w)}).withColumn("s", F.col("k") * 2 <= F.col("n"))
-    g = many.groupBy(*keys, "config", "it").agg(F.collect_list(F.when(F.col("s"), F.col("v"))).alias("a"), F.collect_list(F.when(~F.col("s"), F.col("v"))).alias("b"))
-    null = g.select(*keys, "it", auc(F.col("a"), F.col("b")).alias("auc")).groupBy(*keys, "it").agg(F.max("auc").alias("shuffled"))
+    many = many.withColumns({"k": k, "n": F.count(F.lit(1)).over(w)}).withColumn("first", F.col("k") * 2 <= F.col("n"))
+    g = many.groupBy(*keys, "config", "it").agg(F.collect_list(F.when(F.col("first"), F.col("v"))).alias("s"), F.collect_list(F.when(~F.col("first"), F.col("v"))).alias("b"))
+    null = _best_auc(g, (*keys, "it"), False).withColumnRenamed("auc", "shuffled")
     return null.join(roc(df, keys, stim, base), list(keys)).groupBy(*keys, "auc").agg(F.avg((F.col("shuffled") >= F.col("auc")).cast("double")).alias("p"))
 
 
@@ -202,16 +213,16 @@ def g20(spark, sf):
 
 
 _CELLS = f"{V.REC}, c AS (SELECT *, quantity * 1000 AS base FROM rec WHERE cell <= {{}})"
-_AUC = "{x}, r AS (SELECT {k}, min(s) AS lo, (max(s) - min(s)) / 49 AS step, list(s) FILTER (s IS NOT NULL) AS ss, list(b) FILTER (b IS NOT NULL) AS bb FROM {src} GROUP BY ALL), q AS (SELECT {k}, i, len(list_filter(ss, lambda z: z > lo + i * step)) / len(ss) AS h, len(list_filter(bb, lambda z: z > lo + i * step)) / len(bb) AS f FROM r, range(50) t(i)), a AS (SELECT *, lag(h) OVER w AS h0, lag(f) OVER w AS f0 FROM q WINDOW w AS (PARTITION BY {k} ORDER BY i)), u AS (SELECT {k}, sum((f0 - f) * (h + h0) / 2) AS auc FROM a GROUP BY {k})"
+_AUC = "{x}, r AS (SELECT {k}, min(min(s)) OVER (PARTITION BY {c}) AS lo, (max(max(s)) OVER (PARTITION BY {c}) - min(min(s)) OVER (PARTITION BY {c})) / 49 AS step, list(s) FILTER (s IS NOT NULL) AS ss, list(b) FILTER (b IS NOT NULL) AS bb FROM {src} GROUP BY {k}), q AS (SELECT {k}, i, len(list_filter(ss, lambda z: z > lo + i * step)) / len(ss) AS h, len(list_filter(bb, lambda z: z > lo + i * step)) / len(bb) AS f FROM r, range(50) t(i)), a AS (SELECT *, lag(h) OVER w AS h0, lag(f) OVER w AS f0 FROM q WINDOW w AS (PARTITION BY {k} ORDER BY i)), u AS (SELECT {k}, sum((f0 - f) * (h + h0) / 2) AS auc FROM a GROUP BY {k})"
 _RANK = "rank() OVER ({w}) + (count(*) OVER ({t}) - 1) / 2.0"
 _RK = _RANK.format(w="PARTITION BY cell ORDER BY response", t="PARTITION BY cell, response")
 QUERIES = {
     "g01_roc": g01, "g02_roc_null": g02, "g03_frames_beyond": g03, "g04_kruskal_wallis": g04, "g04_kruskal_wallis_p": g04p, "g05_dunn": g05, "g07_repeated_anova": g07, "g08_anova_effects": g08, "g10_mann_whitney": g10, "g11_paired": g11, "g12_corrections": g12, "g13_pearson": g13, "g18_compare_tests": g18, "g20_dprime": g20,
 }
 SQL = {
-    "g01_roc": f"WITH {_AUC.format(x=_CELLS.format(100), k='cell, config', src='(SELECT cell, config, response AS s, base AS b FROM c)')} SELECT cell, round(max(auc), 6) AS auc FROM u GROUP BY cell",
-    "g02_roc_null": f"WITH {_AUC.format(x=_CELLS.format(3), k='cell, config', src='(SELECT cell, config, response AS s, base AS b FROM c)')}, tr0 AS (SELECT cell, max(auc) AS auc FROM u GROUP BY cell), pool AS (SELECT cell, config, trial, 0 AS side, response AS v FROM c UNION ALL SELECT cell, config, trial, 1, base FROM c), sh AS (SELECT cell, config, it, v, row_number() OVER (PARTITION BY cell, config, it ORDER BY md5('11|' || it || '|' || trial || '|' || side), trial, side, v) * 2 <= count(*) OVER (PARTITION BY cell, config, it) AS s FROM pool, range(8) t(it)), "
-    + _AUC.format(x="s2 AS (SELECT cell, config, it, CASE WHEN s THEN v END AS s, CASE WHEN NOT s THEN v END AS b FROM sh)", k="cell, config, it", src="s2").replace(", r AS", ", r2 AS").replace("FROM r,", "FROM r2,").replace(", q AS", ", q2 AS").replace("FROM q WINDOW", "FROM q2 WINDOW").replace(", a AS", ", a2 AS").replace("FROM a GROUP", "FROM a2 GROUP").replace(", u AS", ", u2 AS")
+    "g01_roc": f"WITH {_AUC.format(x=_CELLS.format(100), k='cell, config', c='cell', src='(SELECT cell, config, response AS s, base AS b FROM c)')} SELECT cell, round(max(auc), 6) AS auc FROM u GROUP BY cell",
+    "g02_roc_null": f"WITH {_AUC.format(x=_CELLS.format(3), k='cell, config', c='cell', src='(SELECT cell, config, response AS s, base AS b FROM c)')}, tr0 AS (SELECT cell, max(auc) AS auc FROM u GROUP BY cell), pool AS (SELECT cell, config, trial, 0 AS side, response AS v FROM c UNION ALL SELECT cell, config, trial, 1, base FROM c), sh AS (SELECT cell, config, it, v, row_number() OVER (PARTITION BY cell, config, it ORDER BY md5('11|' || it || '|' || trial || '|' || side), trial, side, v) * 2 <= count(*) OVER (PARTITION BY cell, config, it) AS s FROM pool, range(8) t(it)), "
+    + _AUC.format(x="s2 AS (SELECT cell, config, it, CASE WHEN s THEN v END AS s, CASE WHEN NOT s THEN v END AS b FROM sh)", k="cell, config, it", c="cell, it", src="s2").replace(", r AS", ", r2 AS").replace("FROM r,", "FROM r2,").replace(", q AS", ", q2 AS").replace("FROM q WINDOW", "FROM q2 WINDOW").replace(", a AS", ", a2 AS").replace("FROM a GROUP", "FROM a2 GROUP").replace(", u AS", ", u2 AS")
     + ", n AS (SELECT cell, it, max(auc) AS shuffled FROM u2 GROUP BY ALL) SELECT cell, round(auc, 6) AS auc, round(avg(CAST(shuffled >= auc AS INT)), 6) AS p FROM n JOIN tr0 USING (cell) GROUP BY cell, auc",
     "g03_frames_beyond": f"WITH {V.TRACE}, p AS (SELECT cell, config, frame_ix, avg(value) AS mean FROM tr GROUP BY ALL), b AS (SELECT *, avg(mean) FILTER (frame_ix < 8) OVER (PARTITION BY cell, config) AS m, stddev_pop(mean) FILTER (frame_ix < 8) OVER (PARTITION BY cell, config) AS s FROM p) SELECT cell, config, count(*) FILTER (frame_ix >= 8 AND frame_ix < 14 AND (abs(mean) > abs(m) + 1.5 * s OR abs(mean) < abs(m) - 1.5 * s)) AS n_frames FROM b GROUP BY cell, config",
     "g04_kruskal_wallis": f"WITH {V.RESP}, k AS (SELECT datakey, cell, config, response, {_RK} AS rank FROM resp), t AS (SELECT cell, sum(CAST(t AS DOUBLE) * t * t - t) AS ties FROM (SELECT cell, response, count(*) AS t FROM k GROUP BY ALL) GROUP BY cell), g AS (SELECT datakey, cell, config, sum(rank) AS r, count(*) AS n FROM k GROUP BY ALL), s AS (SELECT datakey, cell, sum(r * r / n) AS s, CAST(sum(n) AS DOUBLE) AS n, count(*) - 1 AS dof FROM g GROUP BY ALL) SELECT datakey, cell, round((12 / (n * (n + 1)) * s - 3 * (n + 1)) / (1 - ties / (n * n * n - n)), 6) AS h, dof FROM s JOIN t USING (cell)",
