@@ -42,7 +42,7 @@ def source_targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WE
 
 
 def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each length to take so that their words come as near below the budget as can be."""
+    """How many documents of each length to take so that their words come as near the budget as can be."""
     total = int((lengths * counts).sum())
     if budget >= total:
         return counts.copy()
@@ -59,21 +59,26 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
 
 
 def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """The bounded knapsack: counts whose words sum to the largest reachable number up to the budget. Each count is
-    split into powers of two; for each sum, the first item that reached it is kept, so going back uses an item once."""
+    """The bounded knapsack: counts whose words sum to the reachable number nearest the budget (the lower on ties).
+    Each count is split into powers of two; for each sum, the first item that reached it is kept, so going back uses an
+    item once."""
     chosen = np.zeros_like(counts)
-    reached, first = np.zeros(budget + 1, dtype=bool), np.full(budget + 1, -1, dtype=np.int32)
+    if budget <= 0 or not len(lengths):
+        return chosen
+    limit = budget + int(lengths.max())
+    reached, first = np.zeros(limit + 1, dtype=bool), np.full(limit + 1, -1, dtype=np.int32)
     reached[0], items = True, []
     for i in np.argsort(-lengths, kind="stable"):
         size, left, part = int(lengths[i]), int(counts[i]), 1
-        while left > 0 and 0 < size * min(part, left) <= budget and not reached[budget]:
+        while left > 0 and 0 < size * min(part, left) <= limit and not reached[budget]:
             n = min(part, left)
-            new = reached[: budget + 1 - size * n] & ~reached[size * n :]
+            new = reached[: limit + 1 - size * n] & ~reached[size * n :]
             first[size * n :][new] = len(items)
             reached[size * n :] |= new
             items.append((int(i), n))
             left, part = left - n, part * 2
-    at = int(np.flatnonzero(reached)[-1])
+    sums = np.flatnonzero(reached)
+    at = int(sums[np.abs(sums - budget).argmin()])
     while at:
         i, n = items[first[at]]
         chosen[i] += n
