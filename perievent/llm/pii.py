@@ -147,7 +147,10 @@ def personal_data(docs: DataFrame, text: str = "text", how: Bootstrap = Bootstra
     told = found.filter("like is not null").select("like", F.explode("others").alias("s")).select("like", "s.start", "s.end", F.explode(contexts(F.col("s.before"))).alias("pattern")).distinct()
     told = told.join(patterns, "pattern").groupBy("like", "start", "end").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"))
     added = told.groupBy("like").agg(F.collect_list(F.struct("kind", "start", "end")).alias("added"))
-    return found.drop("others").join(added, "like", "left").drop("like").withColumn("added", F.coalesce("added", F.expr("array()").cast("array<struct<kind:string,start:bigint,end:bigint>>")))
+    none = F.expr("array()").cast("array<struct<kind:string,start:bigint,end:bigint>>")
+    # Most texts have nothing to look up: they stay out of the join, whose key they would all share.
+    asked = found.filter("like is not null").drop("others").join(added, "like", "left").drop("like").withColumn("added", F.coalesce("added", none))
+    return asked.unionByName(found.filter("like is null").drop("others", "like").withColumn("added", none))
 
 
 def _written(kind: str):
