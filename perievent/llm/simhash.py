@@ -10,6 +10,7 @@ Links leave a task as trees, never as all pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -223,10 +224,121 @@ def shingle_sets(rows: DataFrame) -> DataFrame:
     return rows.select("node", "text").mapInArrow(run, "node long, shingles array<int>")
 
 
+#: The exact pass: texts under a key that are paired at once, hubs of a round for more, one text of so many whose shingles
+#: are counted, and how many of the most common shingles go last in the order.
+AT_ONCE, HUBS, COUNTED, COMMON = 16, 32, 8, 1 << 17
+
+
+def _distinct_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+    """node and sorted hashes of each text's distinct shingles; most of a task's equal texts once."""
+    seen: set[int] = set()
+    for b in batches:
+        for node, t in zip(b.column("node").to_pylist(), b.column("text").cast(pa.binary()).to_pylist()):
+            if node not in seen:
+                if len(seen) >= 1 << 16:
+                    seen.clear()
+                seen.add(node)
+                yield node, np.unique(np.array(shingle_hashes(t, SHINGLE), dtype=np.uint64))
+
+
+def common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the most common shingles of rows (node, text), and their counts in one text of COUNTED. They only
+    put shingles in an order, which decides what the exact pass costs, never what it finds."""
+    base.small_batches(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted() -> pa.RecordBatch:
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["h", "n"])
+
+        held, size = [], 0
+        for _, h in _distinct_shingles(batches):
+            held.append(h)
+            size += len(h)
+            if size >= 1 << 21:
+                yield counted()
+                held, size = [], 0
+        if held:
+            yield counted()
+
+    counts = rows.filter(F.pmod("node", F.lit(COUNTED)) == 0).select("node", "text").mapInArrow(run, "h long, n long")
+    found = counts.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 3").orderBy(F.desc("n"), "h").limit(COMMON).toPandas()
+    h, n = found["h"].to_numpy(dtype=np.int64).view(np.uint64), found["n"].to_numpy(dtype=np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def shingle_prefixes(rows: DataFrame) -> DataFrame:
+    """key, node, n, pos of rows (node, text): the first shingles (key, at place pos of n) of each text in one order of all
+    shingles, common ones last. Of two texts with SIMILAR of their shingles in common, at least one is in both prefixes."""
+    common, often = common_shingles(rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed() -> pa.RecordBatch:
+            ks = np.array([len(k) for _, _, k in held])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([k for _, _, k in held]).view(np.int64)), pa.array(np.repeat(np.array([x for x, _, _ in held], dtype=np.int64), ks)), pa.array(np.repeat(np.array([n for _, n, _ in held], dtype=np.int32), ks)), pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in ks]))],
+                names=["key", "node", "n", "pos"],
+            )
+
+        held = []
+        for node, h in _distinct_shingles(batches):
+            n = len(h)
+            if len(common) and n:
+                place = np.minimum(np.searchsorted(common, h), len(common) - 1)
+                h = h[np.lexsort((h, np.where(common[place] == h, often[place], 0)))]
+            held.append((node, n, h[: n - math.ceil(SIMILAR * n - 1e-9) + 1] if n else np.zeros(1, dtype=np.uint64)))
+            if len(held) == 1000:
+                yield packed()
+                held = []
+        if held:
+            yield packed()
+
+    return rows.select("node", "text").mapInArrow(run, "key long, node long, n int, pos int")
+
+
+def prefix_pairs(prefixes: DataFrame) -> DataFrame:
+    """Rows of two kinds: pairs (a, b; no key) that meet under a key of few texts, and (key, a, n, pos) of other keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "a", "b", "n", "pos"]
+        for batch in batches:
+            lists = batch.column(1)
+            key, starts, sizes = batch.column(0).to_numpy(), lists.offsets.to_numpy()[:-1].astype(np.int64), np.diff(lists.offsets.to_numpy())
+            node, n, pos = (lists.values.field(k).to_numpy() for k in range(3))
+            pairs = [np.zeros((0, 2), dtype=np.int64)]
+            for size in np.unique(sizes[sizes <= AT_ONCE]):
+                first = starts[sizes == size]
+                for i, j in combinations(range(size), 2):
+                    x, y = first + i, first + j
+                    ok = (node[x] != node[y]) & may_meet(n[x], pos[x], n[y], pos[y])
+                    x, y = x[ok], y[ok]
+                    pairs.append(np.stack([np.maximum(node[x], node[y]), np.minimum(node[x], node[y])], axis=1))
+            ends = np.unique(np.concatenate(pairs), axis=0)
+            none = pa.nulls(len(ends), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(ends), pa.int64()), pa.array(np.ascontiguousarray(ends[:, 0])), pa.array(np.ascontiguousarray(ends[:, 1])), none, none], names=names)
+            for k in np.flatnonzero(sizes > AT_ONCE):
+                _, one = np.unique(node[starts[k] : starts[k] + sizes[k]], return_index=True)
+                one = one + starts[k]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(one), key[k])), pa.array(node[one]), pa.nulls(len(one), pa.int64()), pa.array(n[one]), pa.array(pos[one])], names=names)
+
+    grouped = prefixes.groupBy("key").agg(F.collect_list(F.struct("node", "n", "pos")).alias("g")).filter(F.size("g") > 1)
+    return grouped.mapInArrow(run, "key long, a long, b long, n int, pos int")
+
+
+def may_meet(n, pos, m, at):
+    """Whether two texts of n and m shingles can be similar if the first shingle they share has places pos and at. Similar
+    texts pass under that shingle, whatever comes out under others. Of arrays or columns."""
+    least = F.least if isinstance(n, Column) else np.minimum
+    return (least(n - pos, m - at) * (1 + SIMILAR) >= SIMILAR * (n + m) - 1e-6) & (least(n, m) >= SIMILAR * (n + m - least(n, m)) - 1e-6)
+
+
 def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, groups) of docs (doc_id, text): nodes (node, doc_id: the least) are distinct texts, by their 64-bit hash;
     groups (node, root) hold those that share SIMILAR of their five-word shingles or more with another, directly or by
-    others. Candidates are met by fingerprints of words, in which an edit of one word counts once, not five times."""
+    others. First, candidates are met by fingerprints of words, in which an edit of one word counts once, not five times;
+    this links most copies by few comparisons. Then all pairs that may be similar and aren't linked yet meet by the
+    prefixes of their shingles, so that none is missed. Every link has passed the exact check."""
     keyed = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "doc_id", "text")
     nodes = base.stash(word_fingerprints(keyed).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("fps").alias("fps")))
     each = nodes.select("node", F.posexplode("fps").alias("t", "fp"))
@@ -239,13 +351,40 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     apart = F.aggregate(F.zip_with("fa", "fb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda p, q: p + q)
     pairs = pairs.join(prints.select(F.col("node").alias("a"), F.col("fps").alias("fa")), "a").join(prints.select(F.col("node").alias("b"), F.col("fps").alias("fb")), "b")
     pairs = base.stash(pairs.filter(apart <= APART).select("a", "b"))
-    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    found = base.stash(prefix_pairs(shingle_prefixes(keyed)))
+    asked = pairs.unionByName(found.select("a", "b")).select(F.explode(F.array("a", "b")).alias("node")).filter("node is not null").distinct()
     chosen = nodes.join(asked, "node", "left_semi").select("node", "doc_id")
     sets = base.stash(shingle_sets(keyed.join(chosen.withColumnRenamed("doc_id", "kept"), "node").filter(F.col("doc_id").eqNullSafe(F.col("kept")))).dropDuplicates(["node"]))
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    sure = both.withColumn("common", common).filter(F.col("common") >= SIMILAR * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
-    return nodes.select("node", "doc_id"), base.components(sure)
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+        common = F.size(F.array_intersect("sa", "sb"))
+        return base.stash(both.withColumn("common", common).filter(F.col("common") >= SIMILAR * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b"))
+
+    groups = base.components(similar(pairs))
+
+    def linked(more: DataFrame) -> DataFrame:
+        """groups, with the similar ones of more pairs linked."""
+        sure = similar(more)
+        return groups if sure.isEmpty() else base.components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(sure))
+
+    root = lambda end, name: groups.select(F.col("node").alias(end), F.col("root").alias(name))
+    unlinked = found.filter("key is null").select("a", "b").distinct().join(root("a", "ra"), "a", "left").join(root("b", "rb"), "b", "left")
+    groups = linked(unlinked.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"))
+    # Keys of many texts: all are compared with some hubs, which then leave, until what is left under each key is linked.
+    left, turn = found.filter("key is not null").select("key", F.col("a").alias("node"), "n", "pos"), 0
+    while True:
+        rooted = left.join(groups, "node", "left").select("key", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
+        rooted = base.stash(rooted)
+        open_keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
+        rest = base.stash(rooted.join(open_keys, "key", "left_semi"))
+        if rest.isEmpty():
+            return nodes.select("node", "doc_id"), groups
+        hubs = base.stash(rest.groupBy("key", F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(HUBS)).alias("part")).agg(F.min(F.struct("node", "n", "pos", "root")).alias("hub")).select("key", "hub"))
+        h = {c: F.col(f"hub.{c}") for c in ("node", "n", "pos", "root")}
+        met = rest.join(hubs, "key").filter((F.col("root") != h["root"]) & may_meet(F.col("n"), F.col("pos"), h["n"], h["pos"]))
+        groups = linked(met.select(F.greatest("node", h["node"]).alias("a"), F.least("node", h["node"]).alias("b")).distinct())
+        left, turn = rest.join(hubs.select("key", h["node"].alias("node")), ["key", "node"], "left_anti").select("key", "node", "n", "pos"), turn + 1
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:

@@ -123,6 +123,24 @@ def test_near_duplicates_and_only_those_go(spark):
     assert got == set(range(30))
 
 
+def test_copies_that_only_meet_by_a_text_unlike_both(spark, monkeypatch):
+    """A has the words of B and C in another order: every fingerprint agrees, and the least node may be A."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(0, 60, 3):
+        w = ["".join(rng.choices("abcdefghij", k=7)) for _ in range(60)]
+        for _ in range(8):
+            rows.append((1000 + len(rows), " ".join(rng.sample(w, 60))))
+        rows += [(i, " ".join(w)), (i + 1, " ".join(w).upper()), (i + 2, "  ".join(w))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {i for i, _ in rows} - {k for i in range(0, 60, 3) for k in (i + 1, i + 2)}
+    assert {r["doc_id"] for r in simhash.deduplicate(df).collect()} == want
+    monkeypatch.setattr(simhash, "TOGETHER", 1)
+    monkeypatch.setattr(simhash, "AT_ONCE", 1)
+    monkeypatch.setattr(simhash, "HUBS", 2)
+    assert {r["doc_id"] for r in simhash.deduplicate(df).collect()} == want
+
+
 def test_quality_longer_than_packed(spark):
     rng = random.Random(6)
     texts = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(n)) for n in (0, 1, 2, 3, 4, 5, 50, 400)] + [" ".join(str(rng.randint(0, 60)) for _ in range(140_000))]
