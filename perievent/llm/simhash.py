@@ -183,7 +183,8 @@ def _edges(t: int, edges: list[tuple[int, int]]) -> pa.RecordBatch:
 
 #: Near-duplicate texts: fingerprints of each text, words of a shingle and similarity of the exact check.
 TABLES, SHINGLE, SIMILAR = 12, 5, 0.8
-#: Bits of all fingerprints together by which texts of that similarity differ, at most.
+#: Bits of all fingerprints together by which candidates of the first pass differ, at most. Similar texts may differ by
+#: more (a block added or cut off): these are left to the exact pass.
 APART = 108
 
 

@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -141,6 +142,27 @@ def test_copies_that_only_meet_by_a_text_unlike_both(spark, monkeypatch):
     assert {r["doc_id"] for r in simhash.deduplicate(df).collect()} == want
 
 
+def edited(rng, w, kind):
+    """A copy of the words w with five-word shingles 0.8 or more alike."""
+    new = lambda n: ["".join(rng.choices("klmnopqrst", k=8)) for _ in range(n)]
+    cut = rng.randrange(10, 150)
+    return {"added": w + new(48), "put in": w[:cut] + new(40) + w[cut:], "cut off": w[:164], "cut out": w[:cut] + w[cut + 30 :], "words": [x if i not in (50, 110) else new(1)[0] for i, x in enumerate(w)]}[kind]
+
+
+def test_every_kind_of_edit_is_found(spark):
+    rng, rows, kinds = random.Random(12), [], {}
+    for kind in ("added", "put in", "cut off", "cut out", "words"):
+        for _ in range(20):
+            w, i = ["".join(rng.choices("abcdefghij", k=7)) for _ in range(200)], 2 * len(kinds)
+            e = edited(rng, w, kind)
+            a, b = brute.shingles(" ".join(w)), brute.shingles(" ".join(e))
+            assert len(a & b) >= 0.8 * len(a | b)
+            rows += [(i, " ".join(w)), (i + 1, " ".join(e))]
+            kinds[i + 1] = kind
+    got = [r["doc_id"] for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert Counter(kinds[i] for i in got if i % 2) == {} and len(got) == 100
+
+
 def test_quality_longer_than_packed(spark):
     rng = random.Random(6)
     texts = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(n)) for n in (0, 1, 2, 3, 4, 5, 50, 400)] + [" ".join(str(rng.randint(0, 60)) for _ in range(140_000))]
