@@ -217,6 +217,21 @@ def test_page_text(spark):
     assert got[1] == (text, len(text)) and got[2] == got[3] == ("", 0) and got[4] == ("plain", 5) and got[5][0] == "a < b c"
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<div style="overflow:hidden"><article><p>One</p><p>Two</p></article></div>',
+        '<article title="Hidden gems" data-id="comments" data-hidden="x"><p>One</p><p>Two</p></article>',
+        "<article><p>One</p><svg viewBox='0 0 1 1'/><iframe src=a />  <p>Two</p></article>",
+        "<article><p>One</p><div><select><option>no</div><p>Two</p></article>",
+        "<article><p>One</p><iframe src=http://x/>no</iframe><p>Two</p></article>",
+        "<article><p>One</p><div class='x' hidden>no</div><div hidden=''>no</div><div id=comments>no</div><p>Two</p></article>",
+    ],
+)
+def test_attributes_and_raw_elements(page):
+    assert [t for t, main, dropped in html.blocks(page) if main and not dropped] == ["One", "Two"]
+
+
 def test_repeated_runs_of_a_host_go(spark):
     shared = "this line stands on every page of the host and says nothing at all"
     pages = [(i, f"http://a.example/{i}", f"<div>{shared}</div><div>own words of page number {i} that no other page has {'x' * i}</div>") for i in range(6)]
