@@ -1,14 +1,17 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-A mask covers SPAN token positions and heeds seven of them; so a seed hash survives substitutions at the others. Seed
-hashes of the test items and of the training texts are joined, and around each hit the aligned tokens are compared: a
-leak is a window of WINDOW aligned tokens of which NEEDED agree. Items that look alike around a seed are one row of the
-join, so that a passage shared by many items doesn't multiply the hits. A bit table of the items' seeds, of at most
-32 MiB, spares the join what can't hit; it never decides one.
+A leak is a window of WINDOW aligned tokens of which NEEDED agree; an item of fewer tokens leaks whole, with the same
+share of its tokens agreeing. A mask heeds some token positions and ignores others, so a seed hash survives
+substitutions at the others. The masks are chosen so that, however the substitutions that a leak allows lie, one mask at
+one place heeds none of them: every leak shares a seed with its item. Seed hashes of the test items and of the training
+texts are joined, and around each hit the aligned tokens are compared. Items that look alike around a seed are one row of
+that join, so that a passage shared by many items doesn't multiply the hits; which items they are is joined back after
+the comparison. A bit table of the items' seeds, of at most 32 MiB, spares the join what can't hit; it never decides one.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -20,14 +23,20 @@ from pyspark.sql import types as T
 
 from perievent.llm import base
 
-MASKS = ("11101001011", "11001010111", "11011000111")
-SPAN = 11
-#: Items of fewer tokens than SPAN are looked for whole; those of fewer than SHORTEST say too little to match anything.
+#: For windows of 13 tokens with two substitutions, and items of 11 or 12 with one.
+MASKS = ("11011000111", "11100011011", "11111011")
+#: For items of 7 to 10 tokens with one substitution, and of 5 or 6 without any.
+SHORT_MASKS = ("11111", "1100011")
+LONG = 11
+#: Fewest tokens of an item that can leak: fewer are words of any text. A parameter of `leaks`.
 SHORTEST = 5
 WINDOW, NEEDED = 13, 11
+SPAN = max(map(len, MASKS))
 AROUND = WINDOW - 1
 FRAME = SPAN + 2 * AROUND
 MAX_BITS = 1 << 28
+#: Bits of the table that travel in one row.
+BLOCK = 1 << 16
 
 #: Tokens: runs of ASCII letters and digits and of other letters' bytes, in lower case.
 _TOKEN_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -45,9 +54,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def patterns(lengths: list[int]) -> list[str]:
-    """The masks, then one of full weight for each length of short items."""
-    return [*MASKS, *("1" * n for n in sorted(lengths))]
+def patterns(size: int) -> tuple[str, ...]:
+    """The masks for an item of so many tokens."""
+    return MASKS if size >= LONG else SHORT_MASKS if size >= 7 else SHORT_MASKS[:1] if size >= 5 else ("1" * size,)
 
 
 def seed_hashes(codes: np.ndarray, mask: str) -> np.ndarray:
@@ -74,46 +83,59 @@ def _frame_bytes(f: np.ndarray) -> list[bytes]:
     return [r.tobytes() for r in f.astype("<i8")]
 
 
-def item_seeds(items: DataFrame, lengths: list[int]) -> DataFrame:
-    """(h, frame, size, item_id): the seeds of items (item_id, text), one row for each surrounding."""
-    masks = patterns(lengths)
+def item_classes(items: DataFrame) -> DataFrame:
+    """(item_id, class_id, n_tokens, n_items) of items (item_id, text): class_id is the least id of the items with the
+    same tokens, n_items their number."""
+    tokens = _tokens(items.select("item_id", "text")).select("item_id", "tokens", "n_tokens")
+    least = tokens.groupBy("tokens").agg(F.min("item_id").alias("class_id"), F.count(F.lit(1)).alias("n_items"))
+    return tokens.join(least, "tokens").select("item_id", "class_id", "n_tokens", "n_items")
+
+
+def _tokens(items: DataFrame) -> DataFrame:
+    """items with tokens (a digest of the token codes) and n_tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            codes = [token_codes(t) for t in b.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([hashlib.md5(c.tobytes()).digest() for c in codes], pa.binary()), pa.array([len(c) for c in codes], pa.int32())], names=[*b.schema.names, "tokens", "n_tokens"])
+
+    base.small_batches(items.sparkSession)
+    return items.mapInArrow(run, T.StructType([*items.schema.fields, T.StructField("tokens", T.BinaryType()), T.StructField("n_tokens", T.IntegerType())]))
+
+
+def item_seeds(items: DataFrame) -> DataFrame:
+    """(h, frame, size, item_id): the seeds of items (item_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: tuple[list, list, list, list] = ([], [], [], [])
-            for item, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
+            for i, text in enumerate(b.column("text").cast(pa.binary()).to_pylist()):
                 codes = token_codes(text)
-                for mask in masks:
-                    if (len(mask) == len(codes)) if len(codes) < SPAN else mask in MASKS:
-                        h = seed_hashes(codes, mask)
-                        out[0].extend(h.view(np.int64).tolist())
-                        out[1].extend(_frame_bytes(frames(codes, np.arange(len(h)))))
-                        out[2].extend([len(codes)] * len(h))
-                        out[3].extend([item] * len(h))
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int64())], names=["h", "frame", "size", "item_id"])
+                for mask in patterns(len(codes)) if len(codes) else ():
+                    h = seed_hashes(codes, mask)
+                    around = _frame_bytes(frames(codes, np.arange(len(h))))
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(around, pa.binary()), pa.array(np.full(len(h), min(len(codes), WINDOW), dtype=np.int32)), b.column("item_id").take(pa.array(np.full(len(h), i)))], names=["h", "frame", "size", "item_id"])
 
     base.small_batches(items.sparkSession)
-    seeds = items.select(F.col("item_id").cast("long"), "text").mapInArrow(run, "h long, frame binary, size int, item_id long")
-    return seeds.groupBy("h", "frame", F.least("size", F.lit(WINDOW)).alias("size")).agg(F.min("item_id").alias("item_id"))
+    return items.select("item_id", "text").mapInArrow(run, T.StructType([T.StructField("h", T.LongType()), T.StructField("frame", T.BinaryType()), T.StructField("size", T.IntegerType()), items.schema["item_id"]]))
 
 
 def bit_table(seeds: DataFrame) -> np.ndarray:
-    """Two bits set for each seed, in a table of 32 bits a seed, 32 MiB at most."""
+    """Two bits set for each seed, in a table of 32 bits a seed, 32 MiB at most. It comes to the driver in rows of one
+    block each."""
     n = seeds.count()
     bits = min(MAX_BITS, 1 << max(16, (32 * n).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(bits // 8, dtype=np.uint8)
         for b in batches:
-            for p in places(np.asarray(b.column(0)).view(np.uint64), bits):
-                np.bitwise_or.at(table, p >> 3, (1 << (p & 7)).astype(np.uint8))
-        at = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(table[at].astype(np.int32))], names=["at", "bits"])
+            at = np.unique(np.concatenate(places(np.asarray(b.column(0)).view(np.uint64), bits)))
+            yield pa.RecordBatch.from_arrays([pa.array((at // BLOCK).astype(np.int32)), pa.array((at % BLOCK).astype(np.int32))], names=["block", "bit"])
 
-    found = seeds.select("h").mapInArrow(run, "at int, bits int").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()  # at most MAX_BITS / 8 rows
-    table = np.zeros(bits // 8, dtype=np.uint8)
-    table[found["at"].to_numpy(np.int64)] = found["bits"].to_numpy(np.uint8)
-    return table
+    packed = np.zeros(bits // 8, dtype=np.uint8)
+    for r in seeds.select("h").mapInArrow(run, "block int, bit int").groupBy("block").agg(F.collect_set("bit").alias("bits")).toLocalIterator():
+        table = np.zeros(BLOCK, dtype=np.bool_)
+        table[r["bits"]] = True
+        packed[r["block"] * BLOCK // 8 : (r["block"] + 1) * BLOCK // 8] = np.packbits(table, bitorder="little")
+    return packed
 
 
 def places(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -121,27 +143,22 @@ def places(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (h & low).astype(np.int64), ((h >> np.uint64(32)) & low).astype(np.int64)
 
 
-def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """One row for each of the texts' windows that agrees with an item: docs' columns but text, item_id (the least of
-    those that look alike there), start, matched.
+def leaks(docs: DataFrame, items: DataFrame, shortest: int = SHORTEST) -> DataFrame:
+    """(row, item_id, n_items, start, end, matched): for each of the texts' windows that agrees with an item, docs' row
+    without its text (a struct), the item, how many items have its tokens, the window's tokens (end exclusive, within the
+    text) and how many of them agree.
 
-    docs and items need a column text, items an item_id; docs keep their other columns (a frame, h, start, matched,
-    size or item_id among them gives way). Null and empty texts and items have no tokens and no leak; repeated rows
-    repeat their leaks; either side empty gives no rows.
+    docs and items need a column text, items an item_id of any type. Items of equal tokens are one, under their least id
+    (item_classes has who they are). An item of fewer than `shortest` tokens is no leak anywhere. Null and empty texts
+    and items have no tokens and no leak; repeated rows repeat their leaks; either side empty gives no rows.
     """
     spark = docs.sparkSession
-    own = [c for c in docs.columns if c not in ("text", "h", "frame", "size", "item_id", "start", "matched")]
-    words = items.select(F.size(base.words(F.col("text"))).alias("n"), "item_id", "text")
-    base.small_batches(spark)
-
-    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([len(token_codes(t)) for t in b.column(0).cast(pa.binary()).to_pylist()], pa.int32())], names=["n"])
-
-    lengths = [r["n"] for r in words.select("text").mapInArrow(measured, "n int").filter(f"n >= {SHORTEST} and n < {SPAN}").distinct().collect()]  # six values at most
-    seeds = base.stash(item_seeds(items, lengths))
-    table = bit_table(seeds)
-    shared, masks = spark.sparkContext.broadcast(table), patterns(lengths)
+    told = _tokens(items.select("item_id", "text")).filter(F.col("n_tokens") >= max(shortest, 1))
+    classes = base.stash(told.groupBy("tokens").agg(F.min(F.struct("item_id", "text")).alias("i"), F.count(F.lit(1)).alias("n_items"), F.first("n_tokens").alias("n_tokens")).select("i.item_id", "i.text", "n_items", "n_tokens"))
+    masks = sorted({m for r in classes.select(F.least("n_tokens", F.lit(LONG)).alias("n")).distinct().collect() for m in patterns(r["n"])})  # LONG values at most
+    members = base.stash(item_seeds(classes))
+    seeds = base.stash(members.groupBy("h", "frame", "size").agg(F.min("item_id").alias("item_id"), F.count(F.lit(1)).alias("alike")))
+    shared = spark.sparkContext.broadcast(bit_table(seeds))
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
@@ -159,49 +176,57 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
                         starts.append(at)
                         around += _frame_bytes(frames(codes, at))
             pick = pa.array(np.concatenate(rows) if rows else np.zeros(0, dtype=np.int64))
-            found = [b.column(c).take(pick) for c in own]
-            yield pa.RecordBatch.from_arrays([*found, pa.array(np.concatenate(hs).view(np.int64) if hs else [], pa.int64()), pa.array(np.concatenate(starts) if starts else [], pa.int64()), pa.array(around, pa.binary())], names=[*own, "h", "at", "seen"])
+            yield pa.RecordBatch.from_arrays([b.column("row").take(pick), pa.array(np.concatenate(hs).view(np.int64) if hs else [], pa.int64()), pa.array(np.concatenate(starts) if starts else [], pa.int64()), pa.array(around, pa.binary())], names=["row", "h", "at", "seen"])
 
-    kinds = docs.select(*own).schema.fields
-    field = T.StructField
-    hit = docs.select(*own, "text").mapInArrow(hits, T.StructType([*kinds, field("h", T.LongType()), field("at", T.LongType()), field("seen", T.BinaryType())]))
+    own = docs.select(F.struct(*([F.col(f"`{c}`") for c in docs.columns if c != "text"] or [F.lit(1).alias("none")])).alias("row"), "text")
+    field, row = T.StructField, own.schema["row"]
+    hit = own.mapInArrow(hits, T.StructType([row, field("h", T.LongType()), field("at", T.LongType()), field("seen", T.BinaryType())]))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n = b.num_rows
             seen = np.frombuffer(b"".join(b.column("seen").to_pylist()), dtype="<i8").reshape(n, FRAME)
             item = np.frombuffer(b"".join(b.column("frame").to_pylist()), dtype="<i8").reshape(n, FRAME)
-            size = b.column("size").to_numpy()
-            best, start = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+            size = b.column("size").to_numpy().astype(np.int64)
+            best, start, end = (np.zeros(n, dtype=np.int64) for _ in range(3))
             for w in np.unique(size):  # the tokens that must be aligned: a window's, or a short item's all
                 some = np.flatnonzero(size == w)
                 there = np.cumsum(np.pad(item[some] >= 0, ((0, 0), (1, 0))), axis=1)
                 alike = np.cumsum(np.pad((item[some] >= 0) & (item[some] == seen[some]), ((0, 0), (1, 0))), axis=1)
-                whole = there[:, w:] - there[:, :-w] == w
-                equal = np.where(whole, alike[:, w:] - alike[:, :-w], 0)
-                best[some], start[some] = equal.max(axis=1), equal.argmax(axis=1)
-            ok = pa.array(best * WINDOW >= NEEDED * size)
-            out = pa.RecordBatch.from_arrays([*(b.column(c) for c in own), b.column("item_id"), pa.array(b.column("at").to_numpy() - AROUND + start), pa.array(best)], names=[*own, "item_id", "start", "matched"])
-            yield out.filter(ok)
-
-    met = hit.join(seeds, "h").select(*own, "item_id", "size", "frame", "at", "seen")
-    return met.mapInArrow(verify, T.StructType([*kinds, field("item_id", T.LongType()), field("start", T.LongType()), field("matched", T.LongType())]))
-
-
-def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
+                equal = np.where(there[:, w:] - there[:, :-w] == w, alike[:, w:] - alike[:, :-w], 0)
+                best[some], first = equal.max(axis=1), equal.argmax(axis=1)
+                # A window may reach beyond the text by the tokens that needn't agree.
+                text = seen[some] >= 0
+                before, within = np.argmax(text, axis=1), text.sum(axis=1)
+                start[some], end[some] = np.maximum(first, before), np.minimum(first + w, before + within)
+            at = b.column("at").to_numpy() - AROUND
+            out = pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(at + start), pa.array(at + end), pa.array(best)], names=[*kept, "start", "end", "matched"])
+            yield out.filter(pa.array(best * WINDOW >= NEEDED * size))
+
+    kept = ["row", "h", "frame", "item_id", "alike"]
+    met = hit.join(seeds, "h").select(*kept, "size", "at", "seen")
+    found = met.mapInArrow(verify, T.StructType([row, field("h", T.LongType()), field("frame", T.BinaryType()), items.schema["item_id"], field("alike", T.LongType()), *(field(c, T.LongType()) for c in ("start", "end", "matched"))]))
+    found = base.stash(found.withColumn("frame", F.when(F.col("alike") > 1, F.col("frame"))))
+    one = found.filter("alike = 1").select("row", "item_id", "start", "end", "matched")
+    many = found.filter("alike > 1").drop("item_id").join(members.select("h", "frame", "item_id"), ["h", "frame"]).select("row", "item_id", "start", "end", "matched")
+    return one.unionByName(many).join(classes.select("item_id", "n_items"), "item_id").select("row", "item_id", "n_items", "start", "end", "matched")
+
+
+def clean(docs: DataFrame, items: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     """docs without the rows whose text holds a leak (rows of equal texts go together); their columns stay as they
-    are."""
-    marked = docs.withColumn("_like", F.md5("text"))
-    bad = leaks(marked.select("_like", "text"), items).select("_like").distinct()
-    return marked.join(bad, "_like", "left_anti").select(*docs.columns)
+    are, whatever their names."""
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "text", F.md5("text").alias("like"))
+    bad = leaks(marked.select("like", "text"), items, shortest).select("row.like").distinct()
+    return marked.join(bad, "like", "left_anti").select("doc.*")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, item_id, start, end, matched, windows: the leaks of benchmark items in documents. start and end are the
-    first and last of the leak's tokens (end exclusive), matched the tokens that agree in its best window, windows the
-    hits that were verified. A document without a leak has no row."""
+    """doc_id, item_id, n_items, start, end, matched, windows: the leaks of benchmark items in documents. start and end
+    are the first and last of the leak's tokens (end exclusive), matched the tokens that agree in its best window, windows
+    the hits that were verified. Items of equal tokens are one row under their least item_id, n_items their number. A
+    document without a leak has no row."""
     found = leaks(base.table(spark, sf_dir, "documents").select("doc_id", "text"), base.table(spark, sf_dir, "benchmark"))
-    return found.groupBy("doc_id", "item_id").agg(F.min("start").alias("start"), (F.max("start") + WINDOW).alias("end"), F.max("matched").alias("matched"), F.count(F.lit(1)).alias("windows"))
+    return found.groupBy("row.doc_id", "item_id").agg(F.first("n_items").alias("n_items"), F.min("start").alias("start"), F.max("end").alias("end"), F.max("matched").alias("matched"), F.count(F.lit(1)).alias("windows"))
 
 
 QUERIES, SQL = {"op8_decontaminate": op8_decontaminate}, {}

@@ -247,10 +247,38 @@ def test_leaks_tolerate_substitutions(spark):
     swapped = list(item)
     for at in range(3, 40, 8):
         swapped[at] = "other"
-    docs = [(1, w(50) + item + w(50)), (2, w(9) + swapped), (3, w(200)), (4, w(5) + short + w(5)), (5, w(5) + tiny + w(5)), (6, item[:14]), (7, item[:9] + w(9) + item[9:18])]
-    items = [(10, " ".join(item).upper()), (11, " ".join(short)), (12, " ".join(tiny)), (13, " ".join(item))]
-    got = decontaminate.leaks(spark.createDataFrame([(i, " ".join(d)) for i, d in docs], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
-    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == {(1, 10), (2, 10), (4, 11), (6, 10)}
+    docs = [(1, w(50) + item + w(50)), (2, w(9) + swapped), (3, w(200)), (4, w(5) + short + w(5)), (5, w(5) + tiny + w(5)), (6, item[:14]), (7, item[:9] + w(9) + item[9:18]), (8, item[-11:])]
+    items = [(10, " ".join(item).upper()), (11, " ".join(short)), (12, " ".join(tiny)), (13, " ".join(item)), (14, " ".join(w(20) + item[10:] + w(3)))]
+    docs = spark.createDataFrame([(i, " ".join(d), "mine") for i, d in docs], "doc_id long, text string, start string")
+    items = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.leaks(docs, items).collect()
+    assert {(r["row"]["doc_id"], r["item_id"]) for r in got} == {(1, 10), (2, 10), (4, 11), (6, 10), (8, 10), (1, 14), (2, 14), (8, 14)}
+    assert all(r["row"]["start"] == "mine" for r in got) and {r["item_id"]: r["n_items"] for r in got} == {10: 2, 11: 1, 14: 1}
+    assert {(r["start"], r["end"]) for r in got if r["row"]["doc_id"] == 4} == {(5, 12)}
+    assert {(r["start"], r["end"]) for r in got if r["row"]["doc_id"] == 8} == {(0, 11)}
+    assert {(r["item_id"], r["class_id"]) for r in decontaminate.item_classes(items).collect()} == {(10, 10), (11, 11), (12, 12), (13, 10), (14, 14)}
+    assert {r["doc_id"] for r in decontaminate.clean(docs.withColumn("like", F.lit(1)), items).collect()} == {3, 5, 7}
+    named = items.withColumn("item_id", F.concat(F.lit("item "), "item_id"))
+    assert {r["item_id"] for r in decontaminate.leaks(docs, named, shortest=3).collect()} == {"item 10", "item 11", "item 12", "item 14"}
+
+
+def test_every_substitution_that_a_leak_allows_is_seen(spark):
+    """All pairs of substitutions in 13 tokens, all single ones in 7 to 12, none in 5 and 6; more are no leak."""
+    rng = random.Random(9)
+    w = lambda n: ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(n)]
+    items, docs, want = [], [], set()
+    for n in range(5, 14):
+        item, allowed = w(n), n - math.ceil(n * decontaminate.NEEDED / decontaminate.WINDOW)
+        assert allowed == (2 if n == 13 else 1 if n >= 7 else 0)
+        items.append((n, " ".join(item)))
+        for k in (allowed, allowed + 1):
+            for places in itertools.combinations(range(n), k):
+                doc_id = len(docs)
+                docs.append((doc_id, " ".join(w(14) + ["zzz" if i in places else x for i, x in enumerate(item)] + w(14))))
+                if k == allowed:
+                    want.add((doc_id, n))
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["row"]["doc_id"], r["item_id"]) for r in got.collect()} == want
 
 
 def test_code_lengths_are_probabilities():

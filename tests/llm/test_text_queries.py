@@ -6,9 +6,10 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
-from perievent.llm import base, quality, queries
+from perievent.llm import base, decontaminate, quality, queries
 from tests.llm import brute
 from tests.same import assert_same
 
@@ -108,17 +109,25 @@ def test_op7(spark, sf, docs):
 
 
 def test_op8(spark, sf, docs, duck):
-    """Documents that hold a whole item, word for word, are found; each reported window agrees with its item."""
-    from perievent.llm.decontaminate import NEEDED, WINDOW, token_codes
-
+    """Exactly the pairs of documents and items with a window of 13 aligned tokens of which 11 agree."""
     items = dict(duck.sql("select item_id, text from benchmark").fetchall())
+    pad = np.arange(-2, 0)  # a window may reach beyond a text's edges
+    codes = {i: np.concatenate([pad, decontaminate.token_codes(t.encode()).astype(np.int64), pad]) for i, (t, *_) in docs.items()}
+    want = {}
+    for k, x in items.items():
+        x = decontaminate.token_codes(x.encode()).astype(np.int64)
+        assert len(x) >= 13
+        for i, d in codes.items():
+            some = np.flatnonzero(np.isin(d, x))
+            for shift in {int(a - b) for a in some for b in np.flatnonzero(x == d[a])} if len(some) >= 11 else ():
+                lo, hi = max(0, -shift), min(len(x), len(d) - shift)
+                same = np.cumsum(np.pad(x[lo:hi] == d[lo + shift : hi + shift], (1, 0)))
+                best = int((same[13:] - same[:-13]).max(initial=0))
+                if best >= 11:
+                    want[i, k] = max(want.get((i, k), 0), best)
     got = run(spark, sf, "op8_decontaminate")
-    found = {r["doc_id"] for r in got}
-    assert {i for i, (t, *_) in docs.items() if any(x in t for x in items.values())} <= found
-    for r in got:
-        d, x = token_codes(docs[r["doc_id"]][0].encode()), token_codes(items[r["item_id"]].encode())
-        best = max(sum(int(p == q) for p, q in zip(d[r["start"] + s :][:WINDOW], x[k : k + WINDOW])) for k in range(len(x)) for s in range(r["end"] - r["start"] - WINDOW + 1))
-        assert best >= NEEDED
+    assert {(r["doc_id"], r["item_id"]): r["matched"] for r in got} == want and want
+    assert all(0 <= r["start"] < r["end"] <= len(codes[r["doc_id"]]) - 4 and r["n_items"] == 1 for r in got)
 
 
 def test_op9(spark, sf, docs):
@@ -145,7 +154,6 @@ def test_op10(spark, sf, docs):
 
 def test_pipeline(spark, sf, docs, duck):
     import corpus_pipeline
-    from perievent.llm import decontaminate, mixing, sharding, simhash
 
     df = base.table(spark, sf, "documents")
     kept = []
@@ -163,7 +171,7 @@ def test_pipeline(spark, sf, docs, duck):
             if common >= 0.8 * (len(sets[i]) + len(sets[j]) - common):
                 groups.join(i, j)
     assert {r["doc_id"] for r in kept[1].collect()} == {i for i in ids if groups.root(i) == i}
-    leaks = {r["doc_id"] for r in decontaminate.leaks(kept[1].select("doc_id", "text"), base.table(spark, sf, "benchmark")).collect()}
+    leaks = {r["row"]["doc_id"] for r in decontaminate.leaks(kept[1].select("doc_id", "text"), base.table(spark, sf, "benchmark")).collect()}
     assert {r["doc_id"] for r in kept[2].collect()} == {r["doc_id"] for r in kept[1].collect()} - leaks
     assert set(kept[3].columns) == set(base.table(spark, sf, "documents").columns)
     times = Counter(r["doc_id"] for r in kept[3].collect())
