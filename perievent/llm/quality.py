@@ -1,12 +1,14 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions alone.
 
-A rule has the measures that it needs and a condition on which it rejects. On a bounded sample each rule's cost (time
-of working out its measures) and selectivity (share rejected) are estimated; rules then run in the order of rejection
-per cost, and a text that one rule rejects isn't measured for the next. The order never changes the verdict.
+A rule has measures that it needs as columns, and a condition on which it rejects, into which its own measures are
+written. On a bounded sample each rule's cost (time that it adds to reading the sample) and selectivity (share rejected)
+are estimated; rules then run in the order of rejection per cost, and what one rule rejects isn't measured for the next.
+The order never changes the verdict.
 """
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -17,55 +19,64 @@ from pyspark.sql import functions as F
 from perievent.llm import base
 
 SYMBOLS = "#*$%&|<>"
-#: Documents on which the rules' costs are estimated.
-SAMPLE = 500
+#: Documents on which the rules' costs are estimated, and how often each is timed (the least time counts).
+SAMPLE, TIMES = 1000, 3
+#: Places that fit beside a hash in one long.
+PACKED = 1 << 17
 
 
 def found(c: str) -> Column:
     return F.coalesce(F.col(c), F.lit(""))
 
 
-def m_words(df: DataFrame, text: str) -> DataFrame:
-    return _held(df.withColumn("_words", base.words(F.col(text))).withColumn("n_words", F.size("_words").cast("long")))
+def n_of(text: str, chars: str) -> Column:
+    """How many of these characters the text has."""
+    return (F.length(found(text)) - F.length(F.translate(found(text), chars, ""))).cast("long")
 
 
-def m_word_chars(df: DataFrame, text: str) -> DataFrame:
-    return df.withColumn("word_chars", F.length(F.translate(found(text), " \t\n\x0b\x0c\r", "")).cast("long"))
+def n_word_chars(text: str) -> Column:
+    return F.length(F.translate(found(text), " \t\n\x0b\x0c\r", "")).cast("long")
 
 
-def m_symbols(df: DataFrame, text: str) -> DataFrame:
-    return df.withColumn("n_symbols", (F.length(found(text)) - F.length(F.translate(found(text), SYMBOLS, ""))).cast("long"))
+def lines(text: str) -> Column:
+    """The lines with a word."""
+    return F.filter(F.split(found(text), "\n", -1), lambda line: F.length(F.translate(line, " \t\n\x0b\x0c\r", "")) > 0)
 
 
-def m_shouts(df: DataFrame, text: str) -> DataFrame:
-    return df.withColumn("n_shouts", (F.length(found(text)) - F.length(F.translate(found(text), "!", ""))).cast("long"))
+def n_dup(some: Column) -> Column:
+    return (F.size(some) - F.size(F.array_distinct(some))).cast("long")
 
 
-def m_dup_lines(df: DataFrame, text: str) -> DataFrame:
-    lines = F.filter(F.split(found(text), "\n", -1), lambda line: F.length(F.translate(line, " \t\n\x0b\x0c\r", "")) > 0)
-    df = _held(df.withColumn("_lines", lines))
-    return df.withColumns({"n_lines": F.size("_lines").cast("long"), "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")}).drop("_lines")
+def m_words(df: DataFrame, text: str) -> DataFrame:
+    return _held(df.withColumn("_words", base.words(F.col(text))).withColumn("n_words", F.size("_words").cast("long")))
 
 
 def m_repeats(df: DataFrame, text: str) -> DataFrame:
     """n_repeat_words: the words in three-word windows that occur twice or more. A window's hash and its place share a
-    long, sorted as such; up to 2^17 words that leaves 47 bits of hash or more. Longer texts sort (hash, place)."""
+    long, sorted as such; up to PACKED words that leaves 47 bits of hash or more. Longer texts sort (hash, place).
+    Windows of equal hash are compared by their words; a text in which they differ is sorted by the words themselves."""
     w = F.col("_words")
     n = F.size(w)
     window = lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
+    alike = lambda i, j: (F.get(w, i) == F.get(w, j)) & (F.get(w, i + 1) == F.get(w, j + 1)) & (F.get(w, i + 2) == F.get(w, j + 2))
     places = F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0)))
     bits = F.ceil(F.log2(n + 1.0)).cast("int")
     low = F.expr("shiftleft(1L, _bits) - 1L")
     df = _held(df.withColumn("_bits", bits))
     packed = F.sort_array(F.transform(places, lambda i: window(i).bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long"))))
     empty = F.expr("array()").cast("array<bigint>")
-    df = _held(df.withColumn("_packed", F.when((n >= 4) & (n <= 1 << 17), packed).otherwise(empty)))
-    same = lambda a, b: F.coalesce(a.bitwiseXOR(b) <= low, F.lit(False)) & F.coalesce(a.bitwiseXOR(b) >= 0, F.lit(False))
-    p = F.col("_packed")
-    twice = F.transform(F.filter(p, lambda x, i: same(x, F.get(p, i - 1)) | same(x, F.get(p, i + 1))), lambda x: x.bitwiseAND(low))
-    wide = lambda s: F.transform(F.filter(s, lambda x, i: F.coalesce(x.h == F.get(s, i - 1).h, F.lit(False)) | F.coalesce(x.h == F.get(s, i + 1).h, F.lit(False))), lambda x: x.i)
-    long_ = base.let(F.array_sort(F.transform(places, lambda i: F.struct(window(i).alias("h"), i.cast("long").alias("i")))), wide)
-    df = _held(df.withColumn("_starts", F.sort_array(F.when(n > 1 << 17, long_).otherwise(twice))))
+    df = _held(df.withColumn("_packed", F.when((n >= 4) & (n <= PACKED), packed).otherwise(empty)))
+    p, at = F.col("_packed"), lambda x: x.bitwiseAND(low).cast("int")
+    same = lambda a, b: F.coalesce((a.bitwiseXOR(b) <= low) & (a.bitwiseXOR(b) >= 0), F.lit(False))
+    equal = lambda a, b: same(a, b) & alike(at(a), at(b))
+    twice = F.transform(F.filter(p, lambda x, i: equal(x, F.get(p, i - 1)) | equal(x, F.get(p, i + 1))), lambda x: x.bitwiseAND(low))
+    clash = F.exists(F.filter(p, lambda x, i: same(x, F.get(p, i + 1)) & ~alike(at(x), at(F.get(p, i + 1)))), lambda x: F.lit(True))
+    beside = lambda s: F.transform(F.filter(s, lambda x, i: F.coalesce(x.h == F.get(s, i - 1).h, F.lit(False)) | F.coalesce(x.h == F.get(s, i + 1).h, F.lit(False))), lambda x: x.i)
+    by_words = base.let(F.array_sort(F.transform(places, lambda i: F.struct(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.cast("long").alias("i")))), beside)
+    sorted_ = F.array_sort(F.transform(places, lambda i: F.struct(window(i).alias("h"), i.cast("long").alias("i"))))
+    differ = lambda s: F.exists(F.filter(s, lambda x, i: F.coalesce(x.h == F.get(s, i + 1).h, F.lit(False)) & ~alike(x.i.cast("int"), F.get(s, i + 1).i.cast("int"))), lambda x: F.lit(True))
+    wide = base.let(sorted_, lambda s: F.when(differ(s), by_words).otherwise(beside(s)))
+    df = _held(df.withColumn("_starts", F.sort_array(F.when(n > PACKED, wide).when(clash, by_words).otherwise(twice))))
     s = F.col("_starts")
     covered = F.aggregate(F.transform(s, lambda x, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get(s, i + 1) - x, F.lit(3).cast("long")))), F.lit(0).cast("long"), lambda a, b: a + b)
     return df.withColumn("n_repeat_words", F.when(F.size(s) > 0, covered).otherwise(F.lit(0).cast("long"))).drop("_bits", "_packed", "_starts")
@@ -78,69 +89,87 @@ def _held(df: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Rule:
+    """needs: add columns that a rule shares with others; rejects(text column): the condition, with what else the rule
+    measures written into it, so that it is worked out only where the rule is asked."""
+
     name: str
-    measures: tuple[Callable[[DataFrame, str], DataFrame], ...]
-    rejects: Callable[[], Column]
+    needs: tuple[Callable[[DataFrame, str], DataFrame], ...]
+    rejects: Callable[[str], Column]
+
 
+def few_words(least: int) -> Rule:
+    return Rule(f"few_words_{least}", (m_words,), lambda text: F.col("n_words") < least)
 
+
+REPEATS = Rule("repeats", (m_words, m_repeats), lambda text: 100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 #: The base rules, then those of the method.
-BASE = (
-    Rule("few_words", (m_words,), lambda: F.col("n_words") < 50),
-    Rule("repeats", (m_words, m_repeats), lambda: 100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
-)
-RULES = (
-    *BASE,
-    Rule("symbols", (m_words, m_symbols), lambda: 10 * F.col("n_symbols") > F.col("n_words")),
-    Rule("shouts", (m_words, m_shouts), lambda: 4 * F.col("n_shouts") > F.col("n_words")),
-    Rule("dup_lines", (m_dup_lines,), lambda: (F.col("n_dup_lines") >= 3) & (100 * F.col("n_dup_lines") > 30 * F.col("n_lines"))),
-    Rule("word_length", (m_words, m_word_chars), lambda: (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 15 * F.col("n_words"))),
+BASE = (few_words(50), REPEATS)
+OWN = (
+    Rule("symbols", (m_words,), lambda text: 10 * n_of(text, SYMBOLS) > F.col("n_words")),
+    Rule("shouts", (m_words,), lambda text: 4 * n_of(text, "!") > F.col("n_words")),
+    Rule("dup_lines", (), lambda text: base.let(lines(text), lambda x: (n_dup(x) >= 3) & (100 * n_dup(x) > 30 * F.size(x)))),
+    Rule("word_length", (m_words,), lambda text: base.let(n_word_chars(text), lambda x: (x < 2 * F.col("n_words")) | (x > 15 * F.col("n_words")))),
 )
+RULES = (*BASE, *OWN)
+#: What a corpus loses: a short text that is clean otherwise stays, one without a word goes.
+FILTER = (few_words(1), REPEATS, *OWN)
 
 
 def order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", sample: int = SAMPLE) -> list[Rule]:
-    """The rules by rejection per cost on the first `sample` documents that Spark returns, best first."""
-    some = base.stash(docs.select(text).limit(sample))
+    """The rules by rejection per cost on the first `sample` documents that Spark returns, best first. A rule's cost is
+    the least time of TIMES jobs over the sample less that of jobs that only split words, which all share; the first job
+    of each, which compiles it, doesn't count. Costs within a factor of two count as equal."""
+    some = base.stash(docs.select(F.col(f"`{text}`").alias("text")).limit(sample).coalesce(1))
+
+    def timed(needs: tuple, rejects: Column) -> tuple[float, int, int]:
+        df, took = some, []
+        for m in needs:
+            df = m(df, "text")
+        job = df.agg(F.count(F.lit(1)), F.sum(rejects.cast("int")))
+        for _ in range(TIMES + 1):
+            began = time.perf_counter()
+            n, out = job.first()
+            took.append(time.perf_counter() - began)
+        return min(took[1:]), n, out or 0
+
+    least = timed((m_words,), F.col("n_words") < 0)[0]
     scored = []
-    for rule in rules:
-        df = some
-        for m in rule.measures:
-            df = m(df, text)
-        began = time.perf_counter()
-        n, out = df.agg(F.count(F.lit(1)), F.sum(rule.rejects().cast("int"))).first()
-        scored.append((-((out or 0) + 1) / (n + 1) / (time.perf_counter() - began), rule))
-    return [r for _, r in sorted(scored, key=lambda x: x[0])]
+    for k, rule in enumerate(rules):
+        took, n, out = timed(rule.needs, rule.rejects("text"))
+        cost = round(math.log2(max(took - least, 0.1 * least)))
+        scored.append((-math.log2((out + 1) / (n + 1)) + cost, k, rule))
+    return [r for *_, r in sorted(scored, key=lambda x: x[:2])]
 
 
-def measure(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """docs with every measure of the rules."""
-    for m in dict.fromkeys(m for r in rules for m in r.measures):
-        docs = m(docs, text)
-    return docs
+def measured(df: DataFrame, needs, text: str) -> DataFrame:
+    for m in dict.fromkeys(needs):
+        df = m(df, text)
+    return df
 
 
 def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """The rows of docs that no rule rejects, with docs' columns as they were. Rules run in the order estimated on docs;
-    each one's measures are worked out on what the rules before it left. A null text counts as an empty one (no words:
-    rejected by few_words). Repeated rows get the same verdict each; no rows give no rows."""
+    """The rows of docs that no rule rejects, with docs' columns as they were, whatever their names. Rules run in the order
+    estimated on docs; each one's measures are worked out on what the rules before it left. A null text counts as an empty
+    one (no words). Repeated rows get the same verdict each; no rows give no rows."""
     df, had = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("text")), set()
     for rule in order(docs, rules, text):
-        for m in rule.measures:
-            if m not in had:
-                had.add(m)
-                df = m(df, "text")
-        df = _held(df).filter(~rule.rejects() & (F.col("_row") >= 0))
+        df = measured(df, [m for m in rule.needs if m not in had], "text")
+        had.update(rule.needs)
+        df = _held(df).filter(~rule.rejects("text") & (F.col("_row") >= 0))
     return df.select("row.*")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, the measures, base_failed and kept of every document."""
+    """doc_id, the measures, base_failed and kept of every document. The base columns are asked of every text; the
+    method's own rules run as a cascade on those that the base and the rules before them leave."""
     docs = base.table(spark, sf_dir, "documents").select("doc_id", "text")
-    df = measure(docs)
+    df = measured(docs, [m for r in RULES for m in r.needs], "text")
+    failed = F.coalesce(BASE[0].rejects("text") | BASE[1].rejects("text"), F.lit(False))
+    df = df.withColumn("_failed", failed)
     verdict = F.lit(True)
-    for rule in reversed(order(docs)):  # the first rule of the cascade is asked first
-        verdict = F.when(rule.rejects(), F.lit(False)).otherwise(verdict)
-    failed = BASE[0].rejects() | BASE[1].rejects()
-    return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), verdict.alias("kept"))
+    for rule in reversed(order(docs, OWN)):  # the first rule of the cascade is asked first
+        verdict = F.when(rule.rejects("text"), F.lit(False)).otherwise(verdict)
+    return df.select("doc_id", "n_words", n_word_chars("text").alias("word_chars"), n_of("text", SYMBOLS).alias("n_symbols"), n_dup(lines("text")).alias("n_dup_lines"), "n_repeat_words", F.col("_failed").alias("base_failed"), F.when(F.col("_failed"), F.lit(False)).otherwise(verdict).alias("kept"))
 
 
 SQL_OP4 = r"""

@@ -60,3 +60,12 @@ def repeat_words(text):
     w = words(text)
     c = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
     return len({i + k for i in range(len(w) - 2) if c[tuple(w[i : i + 3])] > 1 for k in range(3)})
+
+
+def clean(text):
+    """What the pipeline's quality rules keep."""
+    text, w = text or "", words(text)
+    lines = [x for x in text.split("\n") if words(x)]
+    dup, chars, count = len(lines) - len(set(lines)), sum(map(len, w)), lambda chars: sum(c in chars for c in text)
+    bad = not w or 2 * repeat_words(text) > len(w) or 10 * count("#*$%&|<>") > len(w) or 4 * count("!") > len(w) or dup >= 3 and 100 * dup > 30 * len(lines)
+    return not bad and 2 * len(w) <= chars <= 15 * len(w)

@@ -167,10 +167,45 @@ def test_quality_longer_than_packed(spark):
     rng = random.Random(6)
     texts = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(n)) for n in (0, 1, 2, 3, 4, 5, 50, 400)] + [" ".join(str(rng.randint(0, 60)) for _ in range(140_000))]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    for r in quality.measure(df).select("doc_id", "n_words", "n_repeat_words").collect():
+    for r in quality.measured(df, quality.REPEATS.needs, "text").select("doc_id", "n_words", "n_repeat_words").collect():
         assert r["n_words"] == len(brute.words(texts[r["doc_id"]])) and r["n_repeat_words"] == brute.repeat_words(texts[r["doc_id"]])
 
 
+def test_equal_hashes_of_other_words_are_told_apart(spark, monkeypatch):
+    """With four bits of hash most windows of a text clash."""
+    rng = random.Random(14)
+    texts = [" ".join(rng.choice("abcdefghijklmnop") for _ in range(n)) for n in (3, 4, 10, 60, 500) for _ in range(5)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    xx = F.xxhash64
+    for packed in (1 << 17, 1):
+        with monkeypatch.context() as m:
+            m.setattr(quality, "PACKED", packed)
+            m.setattr(quality.F, "xxhash64", lambda *c: F.shiftleft(xx(*c) % 8, 58))
+            rows = quality.measured(df, quality.REPEATS.needs, "text").select("doc_id", "n_repeat_words")
+        assert {r["doc_id"]: r["n_repeat_words"] for r in rows.collect()} == {i: brute.repeat_words(t) for i, t in enumerate(texts)}
+
+
+def test_rejected_texts_are_not_measured_again(spark, monkeypatch):
+    """A rule that can't be asked of some texts runs after one that rejects them."""
+    bad = "junk " * 5
+    df = spark.createDataFrame([(i, bad if i % 2 else f"fine text {i}", "mine") for i in range(50)], "doc_id long, text string, _words string")
+    first = quality.Rule("first", (), lambda text: F.col(text) == bad)
+    second = quality.Rule("second", (), lambda text: F.when(F.col(text) == bad, F.raise_error(F.lit("asked again")).cast("boolean")).otherwise(F.lit(False)))
+    monkeypatch.setattr(quality, "order", lambda docs, rules, *a: list(rules))
+    got = quality.keep(df, (first, second)).collect()
+    assert {r["doc_id"] for r in got} == set(range(0, 50, 2)) and all(r["_words"] == "mine" for r in got)
+    with pytest.raises(Exception, match="asked again"):
+        quality.keep(df, (second, first)).collect()
+
+
+def test_order_is_by_rejection_per_cost(spark):
+    df = spark.createDataFrame([(i, f"word{i} " * 300 if i % 2 else "x! " * 200) for i in range(200)], "doc_id long, text string")
+    never = quality.Rule("never", (), lambda text: F.lit(False))
+    half = quality.Rule("half", (), lambda text: F.contains(F.col(text), F.lit("!")))
+    assert [r.name for r in quality.order(df, (never, quality.REPEATS, half))][0] != "never"
+    assert [r.name for r in quality.order(df, (never, half))] == ["half", "never"]
+
+
 def test_tokens_equal_the_library():
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -229,7 +264,7 @@ def test_page_text(spark):
     ],
 )
 def test_attributes_and_raw_elements(page):
-    assert [t for t, main, dropped in html.blocks(page) if main and not dropped] == ["One", "Two"]
+    assert [t for t, main, dropped, _ in html.blocks(page) if main and not dropped] == ["One", "Two"]
 
 
 def test_repeated_runs_of_a_host_go(spark):
@@ -240,6 +275,42 @@ def test_repeated_runs_of_a_host_go(spark):
     assert all(shared not in got[i] and "own words" in got[i] for i in range(6)) and got[10] == shared and got[11] == got[0]
 
 
+def test_hints_inside_an_article_are_settled_by_repetition(spark):
+    own = lambda i: " ".join(f"w{i}w{k}" for k in range(12))
+    same = "follow us on every network and tell all your friends"
+    page = lambda i: f"<article><p>Text {i}</p><section id='related-work'><p>{own(i)}</p></section><div class='share'>{same}</div><p>{same}</p><p class='share'>{own(i)[::-1]}</p></article>"
+    pages = [(i, f"http://a.example/{i}", page(i)) for i in range(4)] + [(9, "http://b.example/", page(9)), (9, "http://b.example/", page(9))]
+    got = html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    text = lambda i, shared: "\n".join([f"Text {i}", own(i), *[same] * shared, own(i)[::-1]])
+    assert sorted((r["page_id"], r["text"]) for r in got) == sorted([(i, text(i, 1)) for i in range(4)] + [(9, text(9, 2))] * 2)
+
+
+def test_runs_equal_brute_force(spark):
+    """Pages without an article: what is left is what no other page of the host has in a run of eight tokens."""
+    rng = random.Random(13)
+    runs = [[rng.choice("abcdefghij") * rng.randint(1, 9) for _ in range(rng.randint(6, 30))] for _ in range(12)]
+    pages = {}
+    for i in range(40):
+        lines = [rng.choice(runs) if rng.random() < 0.5 else ["".join(rng.choices("klmnop", k=7)) for _ in range(rng.randint(1, 20))] for _ in range(8)]
+        pages[i] = (f"http://{'ab'[i % 2]}.example/{i}", lines)
+    pages[90] = pages[0]
+    rows = [(i, u, "".join(f"<p>{' '.join(x)}</p>" for x in p), "x") for i, (u, p) in pages.items()] + [(99, "http://a.example/long", "<p>" + "word " * 200_000 + "</p>", "x")]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, host string")).collect()}
+    assert got[99] == " ".join(["word"] * 200_000)
+    stream = {i: [w for x in p for w in x] for i, (_, p) in pages.items()}
+    grams = {i: {tuple(s[k : k + 8]) for k in range(len(s) - 7)} for i, s in stream.items()}
+    for i, (u, p) in pages.items():
+        others = set().union(*(grams[j] for j, (v, _) in pages.items() if v[:8] == u[:8] and stream[j] != stream[i]))
+        s = stream[i]
+        hidden = {k + n for k in range(len(s) - 7) if tuple(s[k : k + 8]) in others for n in range(8)}
+        want, at = [], 0
+        for x in p:
+            own = [w for k, w in enumerate(x) if at + k not in hidden]
+            want.append(" ".join(own if 2 * len(own) <= len(x) else x))
+            at += len(x)
+        assert got[i] == "\n".join(filter(None, want))
+
+
 def test_leaks_tolerate_substitutions(spark):
     rng = random.Random(8)
     w = lambda n: ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(n)]
