@@ -12,8 +12,8 @@ from perievent.llm import base, decontaminate, mixing, quality, sharding, simhas
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a quality rule rejects go."""
-    return quality.keep(docs)
+    """Documents that a quality rule rejects go; short ones that are clean otherwise stay."""
+    return quality.keep(docs, quality.FILTER)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
