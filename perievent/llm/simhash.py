@@ -182,10 +182,10 @@ def _edges(t: int, edges: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 #: Near-duplicate texts: fingerprints of each text, words of a shingle and similarity of the exact check.
-TABLES, SHINGLE, SIMILAR = 12, 5, 0.8
+TABLES, SHINGLE, SIMILAR = 6, 5, 0.8
 #: Bits of all fingerprints together by which candidates of the first pass differ, at most. Similar texts may differ by
 #: more (a block added or cut off): these are left to the exact pass.
-APART = 108
+APART = 54
 
 
 def remixed(h: np.ndarray, t: int) -> np.ndarray:
@@ -226,8 +226,8 @@ def shingle_sets(rows: DataFrame) -> DataFrame:
 
 
 #: The exact pass: texts under a key that are paired at once, hubs of a round for more, one text of so many whose shingles
-#: are counted, and how many of the most common shingles go last in the order.
-AT_ONCE, HUBS, COUNTED, COMMON = 16, 32, 8, 1 << 17
+#: are counted, how many of the most common shingles go last in the order, and the count at which one is often.
+AT_ONCE, HUBS, COUNTED, COMMON, OFTEN = 16, 32, 8, 1 << 17, 16
 
 
 def _distinct_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
@@ -270,61 +270,90 @@ def common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shingle_prefixes(rows: DataFrame) -> DataFrame:
-    """key, node, n, pos of rows (node, text): the first shingles (key, at place pos of n) of each text in one order of all
-    shingles, common ones last. Of two texts with SIMILAR of their shingles in common, at least one is in both prefixes."""
+    """key, node, n, pos, often of rows (node, text): the first shingles (key, at place pos of n) of each text in one order
+    of all shingles, common ones last. Of two texts with SIMILAR of their shingles in common, at least one is in both
+    prefixes. often: whether a shingle is known to be in many texts."""
     common, often = common_shingles(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def packed() -> pa.RecordBatch:
-            ks = np.array([len(k) for _, _, k in held])
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([k for _, _, k in held]).view(np.int64)), pa.array(np.repeat(np.array([x for x, _, _ in held], dtype=np.int64), ks)), pa.array(np.repeat(np.array([n for _, n, _ in held], dtype=np.int32), ks)), pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in ks]))],
-                names=["key", "node", "n", "pos"],
-            )
+            sizes = np.array([len(k) for _, _, k, _ in held])
+            columns = [np.concatenate([k for _, _, k, _ in held]).view(np.int64), np.repeat(np.array([x for x, *_ in held], dtype=np.int64), sizes), np.repeat(np.array([n for _, n, *_ in held], dtype=np.int32), sizes), np.concatenate([np.arange(k, dtype=np.int32) for k in sizes]), np.concatenate([o for *_, o in held])]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "node", "n", "pos", "often"])
 
         held = []
         for node, h in _distinct_shingles(batches):
-            n = len(h)
+            n, times = len(h), np.zeros(len(h), dtype=np.int64)
             if len(common) and n:
                 place = np.minimum(np.searchsorted(common, h), len(common) - 1)
-                h = h[np.lexsort((h, np.where(common[place] == h, often[place], 0)))]
-            held.append((node, n, h[: n - math.ceil(SIMILAR * n - 1e-9) + 1] if n else np.zeros(1, dtype=np.uint64)))
+                times = np.where(common[place] == h, often[place], 0)
+                order = np.lexsort((h, times))
+                h, times = h[order], times[order]
+            size = n - math.ceil(SIMILAR * n - 1e-9) + 1
+            held.append((node, n, h[:size], times[:size] >= OFTEN) if n else (node, n, np.zeros(1, dtype=np.uint64), np.zeros(1, dtype=bool)))
             if len(held) == 1000:
                 yield packed()
                 held = []
         if held:
             yield packed()
 
-    return rows.select("node", "text").mapInArrow(run, "key long, node long, n int, pos int")
+    return rows.select("node", "text").mapInArrow(run, "key long, node long, n int, pos int, often boolean")
 
 
 def prefix_pairs(prefixes: DataFrame) -> DataFrame:
-    """Rows of two kinds: pairs (a, b; no key) that meet under a key of few texts, and (key, a, n, pos) of other keys."""
+    """Rows of two kinds: pairs (a, b; no key) that meet under a key of few texts, and (key, a, n, pos) of other keys. Keys
+    come sorted, so no task holds more of one than it takes to see that it has many texts."""
+    names, shape = ["key", "a", "b", "n", "pos"], "key long, a long, b long, n int, pos int"
+
+    def many(key: int, node: np.ndarray, n: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
+        _, one = np.unique(node, return_index=True)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(one), key)), pa.array(node[one]), pa.nulls(len(one), pa.int64()), pa.array(n[one]), pa.array(pos[one])], names=names)
+
+    def runs(key: np.ndarray, node: np.ndarray, n: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
+        starts = np.flatnonzero(np.diff(key, prepend=~key[:1]) != 0)
+        sizes = np.diff(np.append(starts, len(key)))
+        pairs = [np.zeros((0, 2), dtype=np.int64)]
+        for size in np.unique(sizes[(sizes > 1) & (sizes <= AT_ONCE)]):
+            first = starts[sizes == size]
+            for i, j in combinations(range(size), 2):
+                x, y = first + i, first + j
+                ok = (node[x] != node[y]) & may_meet(n[x], pos[x], n[y], pos[y])
+                x, y = x[ok], y[ok]
+                pairs.append(np.stack([np.maximum(node[x], node[y]), np.minimum(node[x], node[y])], axis=1))
+        ends = np.unique(np.concatenate(pairs), axis=0)
+        none = pa.nulls(len(ends), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(ends), pa.int64()), pa.array(np.ascontiguousarray(ends[:, 0])), pa.array(np.ascontiguousarray(ends[:, 1])), none, none], names=names)
+        for k in np.flatnonzero(sizes > AT_ONCE):
+            own = slice(starts[k], starts[k] + sizes[k])
+            yield many(key[starts[k]], node[own], n[own], pos[own])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "a", "b", "n", "pos"]
-        for batch in batches:
-            lists = batch.column(1)
-            key, starts, sizes = batch.column(0).to_numpy(), lists.offsets.to_numpy()[:-1].astype(np.int64), np.diff(lists.offsets.to_numpy())
-            node, n, pos = (lists.values.field(k).to_numpy() for k in range(3))
-            pairs = [np.zeros((0, 2), dtype=np.int64)]
-            for size in np.unique(sizes[sizes <= AT_ONCE]):
-                first = starts[sizes == size]
-                for i, j in combinations(range(size), 2):
-                    x, y = first + i, first + j
-                    ok = (node[x] != node[y]) & may_meet(n[x], pos[x], n[y], pos[y])
-                    x, y = x[ok], y[ok]
-                    pairs.append(np.stack([np.maximum(node[x], node[y]), np.minimum(node[x], node[y])], axis=1))
-            ends = np.unique(np.concatenate(pairs), axis=0)
-            none = pa.nulls(len(ends), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(ends), pa.int64()), pa.array(np.ascontiguousarray(ends[:, 0])), pa.array(np.ascontiguousarray(ends[:, 1])), none, none], names=names)
-            for k in np.flatnonzero(sizes > AT_ONCE):
-                _, one = np.unique(node[starts[k] : starts[k] + sizes[k]], return_index=True)
-                one = one + starts[k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(one), key[k])), pa.array(node[one]), pa.nulls(len(one), pa.int64()), pa.array(n[one]), pa.array(pos[one])], names=names)
-
-    grouped = prefixes.groupBy("key").agg(F.collect_list(F.struct("node", "n", "pos")).alias("g")).filter(F.size("g") > 1)
-    return grouped.mapInArrow(run, "key long, a long, b long, n int, pos int")
+        none = [np.zeros(0, dtype=t) for t in ("i8", "i8", "i4", "i4")]
+        left, told = none, None  # the last key's rows so far; a key that is known to have many
+        for b in batches:
+            rows = [b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node", "n", "pos")]
+            if told is not None:
+                own = np.searchsorted(rows[0], told, side="right")
+                if own:
+                    yield many(told, *(x[:own] for x in rows[1:]))
+                if own == len(rows[0]):
+                    continue
+                rows, told = [x[own:] for x in rows], None
+            rows = [np.concatenate(x) for x in zip(left, rows)]
+            last = np.searchsorted(rows[0], rows[0][-1]) if len(rows[0]) else 0
+            if last:
+                yield from runs(*(x[:last] for x in rows))
+            left = [x[last:] for x in rows]
+            if len(left[0]) > AT_ONCE:
+                told = left[0][0]
+                yield many(told, *left[1:])
+                left = none
+        if len(left[0]):
+            yield from runs(*left)
+
+    known = prefixes.filter("often").select("key", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "n", "pos")
+    few = prefixes.filter("not often").select("key", "node", "n", "pos").repartition("key").sortWithinPartitions("key")
+    return few.mapInArrow(run, shape).unionByName(known)
 
 
 def may_meet(n, pos, m, at):
@@ -334,14 +363,36 @@ def may_meet(n, pos, m, at):
     return (least(n - pos, m - at) * (1 + SIMILAR) >= SIMILAR * (n + m) - 1e-6) & (least(n, m) >= SIMILAR * (n + m - least(n, m)) - 1e-6)
 
 
-def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, groups) of docs (doc_id, text): nodes (node, doc_id: the least) are distinct texts, by their 64-bit hash;
-    groups (node, root) hold those that share SIMILAR of their five-word shingles or more with another, directly or by
-    others. First, candidates are met by fingerprints of words, in which an edit of one word counts once, not five times;
-    this links most copies by few comparisons. Then all pairs that may be similar and aren't linked yet meet by the
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs (with a text) and node: one number for each distinct text, its 64-bit hash. Should two texts share
+    a hash, which is looked for, both get another one."""
+    digest = F.md5(F.coalesce("text", F.lit("")))
+    node = F.xxhash64(F.coalesce("text", F.lit("")))
+    for turn in range(1, 9):
+        shared = docs.select(node.alias("node"), digest.alias("digest")).groupBy("node").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low < high")
+        again = [r["node"] for r in shared.select("node").take(1 << 16)]  # 64-bit hashes: a few among 10^10 texts
+        if not again:
+            return docs.withColumn("node", node)
+        node = F.when(node.isin(again), F.xxhash64(F.lit(turn), digest, F.coalesce("text", F.lit("")))).otherwise(node)
+    raise RuntimeError("texts still share hashes")
+
+
+def one_row_each(keyed: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The row of keyed (node, doc_id, ...) for each (node, doc_id, times) of chosen; any one where it is repeated."""
+    chosen = chosen.select(F.col("node").alias("_node"), F.col("doc_id").alias("_doc_id"), "times")
+    met = keyed.join(chosen, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_doc_id")))
+    return met.filter("times = 1").drop("_node", "_doc_id", "times").unionByName(met.filter("times > 1").drop("_node", "_doc_id", "times").dropDuplicates(["node"]))
+
+
+def near_duplicates(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, groups) of keyed (numbered's): nodes (node, doc_id: the least, times: the rows that have both) are distinct
+    texts; groups (node, root) hold those that share SIMILAR of their five-word shingles or more with another, directly or
+    by others. First, candidates are met by fingerprints of words, in which an edit of one word counts once, not five
+    times; this links most copies by few comparisons. Then all pairs that may be similar and aren't linked yet meet by the
     prefixes of their shingles, so that none is missed. Every link has passed the exact check."""
-    keyed = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "doc_id", "text")
-    nodes = base.stash(word_fingerprints(keyed).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("fps").alias("fps")))
+    counted = word_fingerprints(keyed).groupBy("node", "doc_id").agg(F.first("fps").alias("fps"), F.count(F.lit(1)).alias("times"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "times")).alias("k")
+    nodes = base.stash(counted.groupBy("node").agg(least, F.first("fps").alias("fps")).select("node", "k.doc_id", "k.times", "fps"))
     each = nodes.select("node", F.posexplode("fps").alias("t", "fp"))
     first = base.stash(each.groupBy("t", "fp").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")))
     same = each.join(first.filter("n > 1"), ["t", "fp"]).filter("node != first").select(F.col("node").alias("a"), F.col("first").alias("b"))
@@ -354,11 +405,15 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = base.stash(pairs.filter(apart <= APART).select("a", "b"))
     found = base.stash(prefix_pairs(shingle_prefixes(keyed)))
     asked = pairs.unionByName(found.select("a", "b")).select(F.explode(F.array("a", "b")).alias("node")).filter("node is not null").distinct()
-    chosen = nodes.join(asked, "node", "left_semi").select("node", "doc_id")
-    sets = base.stash(shingle_sets(keyed.join(chosen.withColumnRenamed("doc_id", "kept"), "node").filter(F.col("doc_id").eqNullSafe(F.col("kept")))).dropDuplicates(["node"]))
+    chosen = nodes.join(asked, "node", "left_semi").select("node", "doc_id", "times")
+    theirs = one_row_each(keyed, chosen)
+    sets = base.stash(shingle_sets(theirs))
 
     def similar(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+        # Only the sets that the pairs ask for go through the joins.
+        pairs = base.stash(pairs)
+        some = base.stash(sets.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi"))
+        both = pairs.join(some.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(some.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
         common = F.size(F.array_intersect("sa", "sb"))
         return base.stash(both.withColumn("common", common).filter(F.col("common") >= SIMILAR * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b"))
 
@@ -372,16 +427,18 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     root = lambda end, name: groups.select(F.col("node").alias(end), F.col("root").alias(name))
     unlinked = found.filter("key is null").select("a", "b").distinct().join(root("a", "ra"), "a", "left").join(root("b", "rb"), "b", "left")
     groups = linked(unlinked.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"))
-    # Keys of many texts: all are compared with some hubs, which then leave, until what is left under each key is linked.
+    # Keys of many texts: under each, some texts of all groups but the largest are hubs. All others are compared with them;
+    # then they leave, until what is left under each key is one group.
     left, turn = found.filter("key is not null").select("key", F.col("a").alias("node"), "n", "pos"), 0
     while True:
-        rooted = left.join(groups, "node", "left").select("key", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
-        rooted = base.stash(rooted)
-        open_keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
-        rest = base.stash(rooted.join(open_keys, "key", "left_semi"))
+        rooted = base.stash(left.join(groups, "node", "left").select("key", "node", "n", "pos", F.coalesce("root", "node").alias("root")))
+        sizes = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("texts"))
+        open_keys = sizes.groupBy("key").agg(F.max_by("root", F.struct("texts", "root")).alias("largest"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("key", "largest")
+        rest = base.stash(rooted.join(open_keys, "key"))
         if rest.isEmpty():
-            return nodes.select("node", "doc_id"), groups
-        hubs = base.stash(rest.groupBy("key", F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(HUBS)).alias("part")).agg(F.min(F.struct("node", "n", "pos", "root")).alias("hub")).select("key", "hub"))
+            return nodes.select("node", "doc_id", "times"), groups
+        hubs = rest.filter("root != largest").groupBy("key", F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(HUBS)).alias("part")).agg(F.min(F.struct("node", "n", "pos", "root")).alias("hub"))
+        hubs = base.stash(hubs.select("key", "hub"))
         h = {c: F.col(f"hub.{c}") for c in ("node", "n", "pos", "root")}
         met = rest.join(hubs, "key").filter((F.col("root") != h["root"]) & may_meet(F.col("n"), F.col("pos"), h["n"], h["pos"]))
         groups = linked(met.select(F.greatest("node", h["node"]).alias("a"), F.least("node", h["node"]).alias("b")).distinct())
@@ -391,13 +448,13 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, ...) with one row of each group of near-duplicate or equal texts: that of the least doc_id
     (one without an id only if none has one). All texts without a word are one group, null ones among them. Repeated rows
-    are one group; no rows give no rows."""
-    nodes, groups = near_duplicates(docs)
-    rooted = nodes.join(groups, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
-    kept = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("k")).select(F.col("k.node").alias("_kept_node"), F.col("k.doc_id").alias("_kept_id"))
-    marked = docs.withColumn("_node", F.xxhash64(F.coalesce("text", F.lit(""))))
-    met = marked.join(kept, (F.col("_node") == F.col("_kept_node")) & F.col("doc_id").eqNullSafe(F.col("_kept_id")))
-    return met.dropDuplicates(["_node", "doc_id"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    are one group; other columns stay as they are, whatever their names; no rows give no rows."""
+    keyed = numbered(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text"))
+    nodes, groups = near_duplicates(keyed.select("node", "doc_id", "text"))
+    rooted = nodes.join(groups, "node", "left").select("node", "doc_id", "times", F.coalesce("root", "node").alias("root"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node", "times")).alias("k")
+    kept = base.stash(rooted.groupBy("root").agg(least).select("k.node", "k.doc_id", "k.times"))
+    return one_row_each(keyed, kept).select("row.*")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
