@@ -1,24 +1,24 @@
 """Language-model scoring by context-tree weighting over bytes.
 
-A byte is eight binary decisions, each with its own tree of contexts: no byte, the last byte, the last two, the last
-three. A node holds Krichevsky-Trofimov counts of its decision; its weighted probability is half its own estimate and
+A byte is eight binary decisions, each with its own tree of contexts: no byte, the last byte, and so on to the last
+DEPTH. A node holds Krichevsky-Trofimov counts of its decision; its weighted probability is half its own estimate and
 half the product of its children's. A text's code length mixes the estimates of all depths with the weights that
-training gave them. Contexts of three bytes that make up 2^-16 of all bytes or more are nodes of their own (there can't
-be more than 2^16 of those); the others under two last bytes share one node. So the tree's size is bounded, whatever the
-corpus's, while its counts cover all of it. Spark counts runs of four bytes; the tree is worked out in one task for each
-last byte.
+training gave them; where training hasn't seen a context, the deepest one that it has seen takes all the weight that is
+left. The tree is a table of Spark's, one row a node, worked out bottom-up by one aggregate a depth and top-down by one
+join a depth; it grows with the corpus and nothing is pruned.
 
-The word score is that of a unigram model with add-one smoothing. Words that make up at least 2^-18 of all tokens
-(there can't be more than 2^18 of those) are looked up in the task that reads the text, all others by a join.
+Runs of DEPTH + 1 bytes that make up at least 2^-22 of all (there can't be more than 2^22 of those) are looked up in the
+task that reads the text, all others by a join; the score is the same. So are words, under 2^-18, of the word score: that
+of a unigram model with add-one smoothing.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -27,10 +27,11 @@ from pyspark.sql import functions as F
 from perievent.llm import base
 
 FOLDS, HELD = 7, 2
-FREQUENT = 1 << 18
-#: A context of three bytes is a node if it makes up one part in so many of all bytes.
-NODES = 1 << 16
-#: Runs of four bytes that a task holds before it hands its counts on.
+#: Bytes of context.
+DEPTH = 4
+#: Words and runs of bytes of which one makes up so many parts of all, or more, are looked up in tasks.
+FREQUENT, COMMON = 1 << 18, 1 << 22
+#: Runs of bytes that a task holds before it hands its counts on.
 HELD_RUNS = 1 << 20
 #: Distinct words that a task counts before it hands its counts on.
 COUNTED = 400_000
@@ -55,84 +56,14 @@ def kt_block(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return lgamma(zeros + 0.5) + lgamma(ones + 0.5) - np.log(np.pi) - lgamma(zeros + ones + 1.0)
 
 
-def decisions(counts: np.ndarray) -> np.ndarray:
-    """(..., 256) counts of bytes -> (..., 512) heap of counts: node p has children 2p and 2p + 1, bytes are leaves."""
-    heap = np.zeros((*counts.shape[:-1], 512))
-    heap[..., 256:] = counts
-    for p in (128, 64, 32, 16, 8, 4, 2, 1):
-        heap[..., p : 2 * p] = heap[..., 2 * p : 4 * p : 2] + heap[..., 2 * p + 1 : 4 * p : 2]
-    return heap
-
-
-def split(heap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Zeros and ones of the nodes 0..255 (node 0 is unused)."""
-    return heap[..., 0:512:2], heap[..., 1:512:2]
-
-
-def weigh(heap: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(log weighted probability, weight of the node's own estimate) of nodes whose children's log probabilities sum
-    to below."""
-    own = kt_block(*split(heap))
-    both = np.logaddexp(own, below) - np.log(2)
-    return both, np.exp(own - np.log(2) - both)
-
-
-def predict(heap: np.ndarray) -> np.ndarray:
-    zeros, ones = split(heap)
-    return (ones + 0.5) / (zeros + ones + 1.0)
-
-
-def code_lengths(ones: np.ndarray) -> np.ndarray:
-    """(..., 256) probability of a one at each node -> (..., 256) log10 probability of each byte."""
-    heap = np.zeros((*ones.shape[:-1], 512))
-    with np.errstate(divide="ignore"):
-        zero, one = np.log10(1 - ones), np.log10(ones)
-    for p in (1, 2, 4, 8, 16, 32, 64, 128):
-        heap[..., 2 * p : 4 * p : 2] = heap[..., p : 2 * p] + zero[..., p : 2 * p]
-        heap[..., 2 * p + 1 : 4 * p : 2] = heap[..., p : 2 * p] + one[..., p : 2 * p]
-    return heap[..., 256:]
-
-
-def subtree(group: pd.DataFrame) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """Of the counts (before, third, byte, n) under one last byte, for each byte before: the third bytes that are
-    nodes (-1, all others, comes first) and their heaps."""
-    out = []
-    for before, g in group.groupby("before", sort=True):
-        third, row = np.unique(np.append(g["third"].to_numpy(np.int64), -1), return_inverse=True)
-        counts = np.zeros((len(third), 256))
-        np.add.at(counts, (row[:-1], g["byte"].to_numpy(np.int64)), g["n"].to_numpy(np.float64))
-        out.append((int(before), third, decisions(counts)))
-    return out
-
-
-class ByteModel:
-    """Scores bytes: a log10 probability is table[base[last two bytes] + place of the third byte, next byte]."""
-
-    def __init__(self, base_: np.ndarray, kept: np.ndarray, places: np.ndarray, table: np.ndarray):
-        self.parts = base_, kept, places, table
-        self.base, self.table = base_, table
-        self.place = np.zeros(1 << 24, dtype=np.uint16)
-        self.place[kept] = places
-
-    def scores(self, texts: list[bytes]) -> np.ndarray:
-        sizes = np.array([len(t) for t in texts], dtype=np.int64)
-        data, context = contexts(texts, sizes)
-        row = self.base[context & 0xFFFF] + self.place[context]
-        value = self.table.ravel()[(row.astype(np.int64) << 8) + data]
-        out, full = np.zeros(len(texts)), np.flatnonzero(sizes)
-        if len(full):
-            out[full] = np.add.reduceat(value, (np.cumsum(sizes) - sizes)[full], dtype=np.float64)
-        return out
-
-
 def contexts(texts: list[bytes], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Every byte of the texts, and the three before it in one number (the last in the lowest bits); before a text
-    there are zero bytes."""
-    data = np.frombuffer(b"".join(texts), dtype=np.uint8).astype(np.int32)
+    """Every byte of the texts, and the DEPTH before it in one number (the last in the lowest bits); before a text there
+    are zero bytes."""
+    data = np.frombuffer(b"".join(texts), dtype=np.uint8).astype(np.int64)
     context = np.zeros_like(data)
     starts = (np.cumsum(sizes) - sizes)[sizes > 0]
     ends = starts + sizes[sizes > 0]
-    for k in (1, 2, 3):
+    for k in range(1, DEPTH + 1):
         before = np.zeros_like(data)
         before[k:] = data[:-k]
         for i in range(k):  # the first bytes of a text see none of the text before
@@ -155,7 +86,7 @@ def pieces(texts: list[bytes | None], size: int = 1 << 21) -> Iterator[list[byte
 
 
 def count(docs: DataFrame) -> DataFrame:
-    """(word, gram, n): of docs.text, how often each word and each run of four bytes occur; the row of neither counts
+    """(word, gram, n): of docs.text, how often each word and each run of DEPTH + 1 bytes occur; the row of neither counts
     docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +110,7 @@ def count(docs: DataFrame) -> DataFrame:
                     if len(counts) > COUNTED:
                         yield handed()
                 data, context = contexts(part, np.array([len(t) for t in part], dtype=np.int64))
-                found, n = np.unique((context.astype(np.int64) << 8) | data, return_counts=True)
+                found, n = np.unique((context << 8) | data, return_counts=True)
                 both, row = np.unique(np.concatenate([runs, found]), return_inverse=True)
                 times = np.bincount(row, weights=np.concatenate([times, n]), minlength=len(both)).astype(np.int64)
                 runs = both
@@ -195,65 +126,109 @@ def count(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, gram long, n long").groupBy("word", "gram").agg(F.sum("n").alias("n"))
 
 
-def train_bytes(runs: DataFrame) -> ByteModel:
-    """The context tree of counted runs of four bytes (gram, n)."""
-    context = F.shiftright("gram", 8)
-    total = runs.agg(F.sum("n")).first()[0] or 0
-    kept = runs.groupBy(context.alias("context")).agg(F.sum("n").alias("m")).filter(F.col("m") >= max(1.0, total / NODES)).select("context", F.lit(True).alias("kept"))  # NODES rows at most
-    told = runs.withColumn("context", context).join(F.broadcast(kept), "context", "left")
-    byte = lambda k: F.shiftright("gram", 8 * k).bitwiseAND(F.lit(255)).cast("int")
-    told = told.groupBy(byte(1).alias("last"), byte(2).alias("before"), F.when(F.col("kept"), byte(3)).otherwise(-1).alias("third"), byte(0).alias("byte")).agg(F.sum("n").alias("n"))
-    by_last = base.stash(told).groupBy("last")
-
-    def own_heap(trees: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of a last byte's trees: its heap, log weighted probability and own weight."""
-        heap, below = np.zeros(512), np.zeros(256)
-        for _, _, deep in trees:
-            both, _ = weigh(deep.sum(axis=0), kt_block(*split(deep)).sum(axis=0))
-            heap, below = heap + deep.sum(axis=0), below + both
-        return heap, *weigh(heap, below)
-
-    def up(group: pd.DataFrame) -> pd.DataFrame:
-        heap, both, _ = own_heap(subtree(group))
-        return pd.DataFrame({"last": [int(group["last"].iloc[0])], "heap": [heap.tobytes()], "both": [both.tobytes()]})
-
-    tops = by_last.applyInPandas(up, "last int, heap binary, both binary").collect()  # one row for each last byte
-    root = sum((np.frombuffer(r["heap"]) for r in tops), np.zeros(512))
-    _, root_own = weigh(root, sum((np.frombuffer(r["both"]) for r in tops), np.zeros(256)))
-    root_one = predict(root)
-
-    def down(group: pd.DataFrame) -> pd.DataFrame:
-        trees, last = subtree(group), int(group["last"].iloc[0])
-        heap, _, own = own_heap(trees)
-        mix = lambda deeper: root_own * root_one + (1 - root_own) * (own * predict(heap) + (1 - own) * deeper)
-        rows = [(last, -1, -1, code_lengths(mix(0.5)).astype("<f4").tobytes())]  # another byte before
-        for before, third, deep in trees:
-            _, w = weigh(deep.sum(axis=0), kt_block(*split(deep)).sum(axis=0))
-            table = code_lengths(mix(w * predict(deep.sum(axis=0)) + (1 - w) * predict(deep))).astype("<f4")
-            rows += [(last, before, int(t), r.tobytes()) for t, r in zip(third, table)]
-        return pd.DataFrame(rows, columns=["last", "before", "third", "row"])
-
-    # At most 2 * NODES + 256 rows of 1 KiB, in practice one for each pair and node that occurs.
-    found = by_last.applyInPandas(down, "last int, before int, third int, row binary").toLocalIterator()
-    table = [code_lengths(root_own * root_one + (1 - root_own) * 0.5).astype("<f4")]
-    first, kept_at, places = np.zeros(1 << 16, dtype=np.int32), [], []
-    for r in sorted(found, key=lambda r: (r["last"], r["before"], r["third"])):  # -1 comes first
-        if r["before"] < 0:
-            first[r["last"] + 256 * np.arange(256)] = len(table)
-        elif r["third"] < 0:
-            first[r["before"] << 8 | r["last"]] = len(table)
+def with_decisions(grams: DataFrame) -> DataFrame:
+    """grams (gram, ...) with a row for each of the last byte's eight decisions: node (the context, then the decision: 1,
+    then the bits before) and bit."""
+    byte = F.col("gram").bitwiseAND(F.lit(255))
+    levels = F.array(*[F.struct((F.shiftright(byte, 8 - k) + F.lit(1 << k)).alias("p"), F.shiftright(byte, 7 - k).bitwiseAND(F.lit(1)).alias("bit")) for k in range(8)])
+    rows = grams.withColumn("level", F.explode(levels))
+    return rows.withColumns({"node": F.col("gram") - byte + F.col("level.p"), "bit": F.col("level.bit")}).drop("level")
+
+
+def at_depth(node, depth: int):
+    """The node with only the last `depth` bytes of context."""
+    return node.bitwiseAND(F.lit((1 << 8 * (depth + 1)) - 1))
+
+
+def weighed(nodes: DataFrame) -> DataFrame:
+    """node, zeros, ones, both, own, one of nodes (node, zeros, ones, below): the log weighted probability, the weight of
+    the node's own estimate and that estimate of a one. below is null at the deepest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            zeros, ones, below = (b.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("zeros", "ones", "below"))
+            kt = kt_block(zeros, ones)
+            both = np.where(np.isnan(below), kt, np.logaddexp(kt, below) - np.log(2))
+            own = np.where(np.isnan(below), 1.0, np.exp(kt - np.log(2) - both))
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("zeros"), b.column("ones"), pa.array(both), pa.array(own), pa.array((ones + 0.5) / (zeros + ones + 1.0))], names=["node", "zeros", "ones", "both", "own", "one"])
+
+    return nodes.select("node", "zeros", "ones", F.col("below").cast("double").alias("below")).mapInArrow(run, "node long, zeros long, ones long, both double, own double, one double")
+
+
+def tree(grams: DataFrame) -> list[DataFrame]:
+    """By depth, (node, guess) of counted runs of DEPTH + 1 bytes (gram, n): the probability of a one where this is the
+    deepest node that training has seen."""
+    zero = F.col("bit") == 0
+    counted = with_decisions(grams).groupBy("node").agg(F.sum(F.when(zero, F.col("n")).otherwise(0)).alias("zeros"), F.sum(F.when(zero, 0).otherwise(F.col("n"))).alias("ones"))
+    levels = [base.stash(weighed(counted.withColumn("below", F.lit(None).cast("double"))))]
+    for depth in range(DEPTH - 1, -1, -1):
+        up = levels[0].groupBy(at_depth(F.col("node"), depth).alias("node")).agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("both").alias("below"))
+        levels.insert(0, base.stash(weighed(up)))
+    # before: what shorter contexts have said; left: the weight that they leave to this one and deeper ones.
+    out, above = [], None
+    for depth, level in enumerate(levels):
+        if above is None:
+            met = level.withColumns({"before": F.lit(0.0), "left": F.lit(1.0)})
         else:
-            kept_at.append(r["third"] << 16 | r["before"] << 8 | r["last"])
-            places.append(len(table) - first[r["before"] << 8 | r["last"]])
-        table.append(np.frombuffer(r["row"], dtype="<f4"))
-    return ByteModel(first, np.array(kept_at, dtype=np.int64), np.array(places, dtype=np.uint16), np.stack(table))
+            met = level.withColumn("up", at_depth(F.col("node"), depth - 1)).join(above, "up")
+        said = met.select("node", (F.col("before") + F.col("left") * F.col("one")).alias("guess"), (F.col("before") + F.col("left") * F.col("own") * F.col("one")).alias("before"), (F.col("left") * (1 - F.col("own"))).alias("left"))
+        said = base.stash(said)
+        out.append(said.select("node", "guess"))
+        above = said.select(F.col("node").alias("up"), "before", "left")
+    return out
+
+
+def chance(guess, bit):
+    return F.log10(F.when(bit == 1, guess).otherwise(1 - guess))
+
+
+def seen_values(grams: DataFrame, nodes: list[DataFrame]) -> DataFrame:
+    """(gram, value): log10 probability of the last byte of runs that training has seen."""
+    return with_decisions(grams.select("gram")).join(nodes[DEPTH], "node").groupBy("gram").agg(F.sum(chance(F.col("guess"), F.col("bit"))).alias("value"))
+
+
+def unseen_values(grams: DataFrame, nodes: list[DataFrame]) -> DataFrame:
+    """(gram, value) of any distinct runs: each decision is guessed by the deepest of its nodes that training has seen, by
+    one half if it has seen none."""
+    rows = with_decisions(grams.select("gram"))
+    found = base.union_all([rows.select("gram", "bit", F.col("node").alias("whole"), at_depth(F.col("node"), d).alias("node"), F.lit(d).alias("depth")).join(nodes[d], "node") for d in range(DEPTH + 1)])
+    # Decisions differ in the node's last byte, so the whole node tells them apart.
+    best = found.groupBy("gram", "whole", "bit").agg(F.max_by("guess", "depth").alias("guess"))
+    told = best.groupBy("gram").agg(F.sum(chance(F.col("guess"), F.col("bit"))).alias("value"), F.count(F.lit(1)).alias("n"))
+    return grams.select("gram").join(told, "gram", "left").select("gram", (F.coalesce("value", F.lit(0.0)) + (8 - F.coalesce("n", F.lit(0))) * F.lit(math.log10(0.5))).alias("value"))
+
+
+class CommonRuns:
+    """Scores what it knows of texts, and lists the runs that it doesn't."""
+
+    def __init__(self, grams: np.ndarray, values: np.ndarray):
+        self.grams, self.values = grams, values
+
+    def scores(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Sums by text; then text, run and number of the runs that aren't known."""
+        sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        data, context = contexts(texts, sizes)
+        found, where = np.unique((context << 8) | data, return_inverse=True)
+        value, known = np.zeros(len(found)), np.zeros(len(found), dtype=bool)
+        if len(self.grams):
+            at = np.minimum(np.searchsorted(self.grams, found), len(self.grams) - 1)
+            known = self.grams[at] == found
+            value[known] = self.values[at[known]]
+        out, full = np.zeros(len(texts)), np.flatnonzero(sizes)
+        if len(full):
+            out[full] = np.add.reduceat(value[where], (np.cumsum(sizes) - sizes)[full])
+        rare = np.flatnonzero(~known[where])
+        text = np.searchsorted(np.cumsum(sizes), rare, side="right")
+        pair, n = np.unique(np.stack([text, where[rare]], axis=1), axis=0, return_counts=True) if len(rare) else (np.zeros((0, 2), dtype=np.int64), np.zeros(0, dtype=np.int64))
+        return out, pair[:, 0], found[pair[:, 1]], n
 
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of docs (doc_id, text).
 
     A null text is an empty one: one token (the end), no byte, score 0. Repeated rows are scored each and, unless held
-    out, counted each. With nothing to learn from, every word is unknown and N = V = 0. No rows give no rows.
+    out, counted each. With nothing to learn from, every word is unknown, N = V = 0, and a byte's probability is 1/256.
+    Other columns are left out. No rows give no rows.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", held_out().alias("held_out"))
@@ -263,14 +238,20 @@ def score(docs: DataFrame) -> DataFrame:
     tokens, distinct = known.agg(F.sum("n"), F.count(F.lit(1))).first()
     total, vocabulary = (tokens or 0) + n_docs, distinct + (n_docs > 0)
     frequent = {bytes(r["word"]): r["n"] for r in known.filter(F.col("n") >= max(1.0, total / FREQUENT)).toLocalIterator()}
-    model = train_bytes(counts.filter("gram is not null").select("gram", "n"))
+    grams = counts.filter("gram is not null").select("gram", "n")
+    nodes = tree(grams)
+    values = base.stash(seen_values(grams, nodes).join(grams, "gram"))
+    n_bytes = grams.agg(F.sum("n")).first()[0] or 0
+    common = values.filter(F.col("n") >= max(1.0, n_bytes / COMMON)).select("gram", "value").toArrow()  # COMMON rows at most
+    places = np.argsort(common.column("gram").to_numpy())
     floor = float(np.log10(total + vocabulary + 1))
-    shared = spark.sparkContext.broadcast(({w: (n, float(np.log10(n + 1)) - floor) for w, n in frequent.items()}, model.parts))
+    shared = spark.sparkContext.broadcast(({w: (n, float(np.log10(n + 1)) - floor) for w, n in frequent.items()}, common.column("gram").to_numpy()[places], common.column("value").to_numpy()[places]))
     end = float(np.log10(n_docs + 1)) - floor
+    lists = pa.list_(pa.struct([("word", pa.binary()), ("gram", pa.int64()), ("n", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup, parts = shared.value
-        bytes_, at = ByteModel(*parts), TaskContext.get().partitionId() << 40
+        lookup, known_grams, known_values = shared.value
+        runs, at = CommonRuns(known_grams, known_values), TaskContext.get().partitionId() << 40
         for b in batches:
             texts = [t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()]
             n_tokens, n_known, base_score, rare = [], [], [], []
@@ -280,26 +261,38 @@ def score(docs: DataFrame) -> DataFrame:
                 for w, n in Counter(found).items():
                     hit = lookup.get(w)
                     if hit is None:
-                        others.append((w, n))
+                        others.append({"word": w, "n": n})
                     else:
                         sure += n
                         logs += n * hit[1]
                 n_tokens.append(len(found) + 1)
                 n_known.append(sure)
                 base_score.append(logs)
-                rare.append([{"word": w, "n": n} for w, n in others])
-            scores = np.concatenate([bytes_.scores(p) for p in pieces(texts)]) if texts else np.zeros(0)
+                rare.append(others)
+            scores, done = [], 0
+            for part in pieces(texts):
+                sums, text, gram, n = runs.scores(part)
+                scores.append(sums)
+                for i, g, k in zip((text + done).tolist(), gram.tolist(), n.tolist()):
+                    rare[i].append({"gram": g, "n": k})
+                done += len(part)
             key = pa.array(range(at, at + len(texts)), pa.int64())
             at += len(texts)
-            yield pa.RecordBatch.from_arrays([key, b.column("doc_id"), b.column("held_out"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base_score, pa.float64()), pa.array(scores, pa.float64()), pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))], names=["key", "doc_id", "held_out", "n_tokens", "known", "logs", "score", "rare"])
+            yield pa.RecordBatch.from_arrays([key, b.column("doc_id"), b.column("held_out"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base_score, pa.float64()), pa.array(np.concatenate(scores) if scores else np.zeros(0)), pa.array(rare, lists)], names=["key", "doc_id", "held_out", "n_tokens", "known", "logs", "sums", "rare"])
 
     base.small_batches(spark)
     kind = dict(docs.dtypes)["doc_id"]
-    read = base.stash(docs.mapInArrow(run, f"key long, doc_id {kind}, held_out boolean, n_tokens long, known long, logs double, score double, rare array<struct<word:binary,n:long>>"))
-    rest = read.select("key", F.explode("rare").alias("r")).select("key", "r.word", F.col("r.n").alias("times"))
-    looked = rest.join(known.select("word", "n"), "word", "left")
-    more = looked.groupBy("key").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more"), F.sum(F.col("times") * (F.log10(F.coalesce("n", F.lit(0)) + 1.0) - floor)).alias("more_logs"))
-    return read.drop("rare").join(more, "key", "left").select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("logs") + F.coalesce("more_logs", F.lit(0.0))).alias("base_score"), "score")
+    read = base.stash(docs.mapInArrow(run, f"key long, doc_id {kind}, held_out boolean, n_tokens long, known long, logs double, sums double, rare array<struct<word:binary,gram:long,n:long>>"))
+    rest = read.select("key", F.explode("rare").alias("r")).select("key", "r.word", "r.gram", F.col("r.n").alias("times"))
+    looked = rest.filter("word is not null").join(known.select("word", "n"), "word", "left")
+    words = looked.select("key", F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0).alias("more"), (F.col("times") * (F.log10(F.coalesce("n", F.lit(0)) + 1.0) - floor)).alias("more_logs"), F.lit(0.0).alias("more_sums"))
+    asked = rest.filter("gram is not null")
+    unseen = base.stash(unseen_values(base.stash(asked.select("gram").distinct().join(values, "gram", "left_anti")), nodes))
+    told = asked.join(values.select("gram", "value").unionByName(unseen), "gram")
+    runs = told.select("key", F.lit(0).cast("long").alias("more"), F.lit(0.0).alias("more_logs"), (F.col("times") * F.col("value")).alias("more_sums"))
+    more = words.unionByName(runs).groupBy("key").agg(*[F.sum(c).alias(c) for c in ("more", "more_logs", "more_sums")])
+    whole = read.drop("rare").join(more, "key", "left")
+    return whole.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("logs") + F.coalesce("more_logs", F.lit(0.0))).alias("base_score"), (F.col("sums") + F.coalesce("more_sums", F.lit(0.0))).alias("score"))
 
 
 def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

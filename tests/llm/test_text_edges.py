@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -352,9 +353,7 @@ def test_every_substitution_that_a_leak_allows_is_seen(spark):
     assert {(r["row"]["doc_id"], r["item_id"]) for r in got.collect()} == want
 
 
-def test_code_lengths_are_probabilities():
-    rng = np.random.default_rng(0)
-    assert np.allclose((10.0 ** lm.code_lengths(rng.uniform(0.05, 0.95, (3, 256)))).sum(axis=1), 1)
+def test_block_estimate():
     for a, b in ((0, 0), (3, 5), (40, 0)):
         exact, n0, n1 = 0.0, 0, 0
         for bit in [0] * a + [1] * b:
@@ -363,44 +362,65 @@ def test_code_lengths_are_probabilities():
         assert lm.kt_block(np.array([float(a)]), np.array([float(b)]))[0] == pytest.approx(exact, abs=1e-9)
 
 
-def test_tree_equals_a_plain_one(spark):
-    """Scores against context-tree weighting written out node by node."""
-    train = ["abracadabra", "abba", "cab"]
-    count = {}
-    for t in train:
+def test_tree_equals_a_plain_one(spark, monkeypatch):
+    """Scores against context-tree weighting written out node by node, with all runs looked up in tasks and with none."""
+    train = {i: t for i, t in enumerate(["abracadabra", "abba", "cab", "abé", "", "zz top abracadabra"]) if zlib.crc32(str(i).encode()) % 7 != 2}
+    count, depth = {}, lm.DEPTH
+    for t in train.values():
         d = t.encode()
         for i, y in enumerate(d):
-            for depth in range(4):
-                c = tuple(d[i - k] if i >= k else 0 for k in range(1, depth + 1))
+            for k in range(depth + 1):
+                c = tuple(d[i - j] if i >= j else 0 for j in range(1, k + 1))
                 for level in range(8):
                     node = count.setdefault((c, (1 << level) | (y >> (8 - level))), [0, 0])
                     node[y >> (7 - level) & 1] += 1
 
     def block(c, p):
-        own = float(lm.kt_block(np.array([float(count[c, p][0])]), np.array([float(count[c, p][1])]))[0]) if (c, p) in count else 0.0
-        if len(c) == 3:
+        own = float(lm.kt_block(np.array([float(count[c, p][0])]), np.array([float(count[c, p][1])]))[0])
+        if len(c) == depth:
             return own, 1.0
         below = sum(block(k, p)[0] for k, q in list(count) if q == p and len(k) == len(c) + 1 and k[: len(c)] == c)
         both = np.logaddexp(own, below) - math.log(2)
         return both, math.exp(own - math.log(2) - both)
 
-    def one(c, p, depth=0):
-        a, b = count.get((c[:depth], p), (0, 0))
+    def one(c, p, k=0):
+        if (c[:k], p) not in count:
+            return 0.5
+        a, b = count[c[:k], p]
         kt = (b + 0.5) / (a + b + 1)
-        if depth == 3:
+        if k == depth or (c[: k + 1], p) not in count:
             return kt
-        w = block(c[:depth], p)[1]
-        return w * kt + (1 - w) * one(c, p, depth + 1)
+        w = block(c[:k], p)[1]
+        return w * kt + (1 - w) * one(c, p, k + 1)
 
     def plain(t):
         d, total = t.encode(), 0.0
         for i, y in enumerate(d):
-            c = tuple(d[i - k] if i >= k else 0 for k in (1, 2, 3))
-            for level in range(8):
-                q = one(c, (1 << level) | (y >> (8 - level)))
-                total += math.log10(q if y >> (7 - level) & 1 else 1 - q)
+            c = tuple(d[i - k] if i >= k else 0 for k in range(1, depth + 1))
+            chances = [one(c, (1 << level) | (y >> (8 - level))) for level in range(8)]
+            total += sum(math.log10(q if y >> (7 - level) & 1 else 1 - q) for level, q in enumerate(chances))
         return total
 
-    model = lm.train_bytes(lm.count(spark.createDataFrame([(t,) for t in train], "text string")).filter("gram is not null"))
-    tests = ["abra", "zab", "", "cabcab", "abracadabra"]
-    assert model.scores([t.encode() for t in tests]) == pytest.approx([plain(t) for t in tests], abs=1e-4)
+    tests = {100 + i: t for i, t in enumerate(["abra", "zab", "", "cabcab", "abracadabra", "étude abra"])}
+    tests = {i: t for i, t in tests.items() if zlib.crc32(str(i).encode()) % 7 == 2} or dict([next((i, "zab étude abracadabra cab") for i in range(200, 300) if zlib.crc32(str(i).encode()) % 7 == 2)])
+    rows = [*train.items(), *tests.items()]
+    for common in (1 << 22, 1e-9):
+        monkeypatch.setattr(lm, "COMMON", common)
+        got = {r["doc_id"]: r["score"] for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == {i: pytest.approx(plain(t), abs=1e-9) for i, t in rows}
+
+
+def test_byte_chances_sum_to_one(spark):
+    """Over all 256 next bytes, after seen and unseen contexts."""
+    grams = lm.count(spark.createDataFrame([("the cat sat on the mat",), ("a hat",)], "text string")).filter("gram is not null").select("gram", "n")
+    nodes = lm.tree(base.stash(grams))
+    rows = [(int.from_bytes(c, "little") << 8 | y,) for c in (b"e ht", b"zzzz", b"t ah", b"\0\0\0\0") for y in range(256)]
+    values = lm.unseen_values(spark.createDataFrame(rows, "gram long"), nodes)
+    sums = values.groupBy(F.shiftright("gram", 8).alias("c")).agg(F.sum(F.pow(F.lit(10.0), "value")).alias("s")).collect()
+    assert [r["s"] for r in sums] == [pytest.approx(1)] * 4
+
+
+def test_nothing_to_learn_from(spark):
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
+    (r,) = lm.score(spark.createDataFrame([(held, "abc")], "doc_id long, text string")).collect()
+    assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (True, 2, 0, 0) and r["score"] == pytest.approx(3 * math.log10(1 / 256))

@@ -191,6 +191,9 @@ def test_op10(spark, sf, docs):
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[r["doc_id"]], len(t), sum(x in c for x in t), n)
         assert r["base_score"] == pytest.approx(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in t), rel=1e-9)
         assert r["score"] < 0
+    # What the model spends on held-out texts, spelling included, against a word model that is told all unseen words' spelling.
+    out = [r for r in got if r["held_out"]]
+    assert sum(r["score"] for r in out) > 1.2 * sum(r["base_score"] for r in out)
 
 
 def test_pipeline(spark, sf, docs, duck):
