@@ -222,24 +222,44 @@ def test_tokens_equal_the_library():
 
 def test_personal_data_edges(spark):
     texts = ["a@b.c@d.e", "a@b.com_x@y.z", "1.2.3.4.5.6.7.8", "999.1.1.1 000255.1.2.3", "+1 (743) 555-3824.", "4111 1111-1111 1111", "é🙂 +12 345 678 901)", "a" * 20000, "1-" * 9000 + "1", "x@y.z " * 400, "@", ""]
-    got = {r["doc_id"]: r for r in pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    got = {r["row"]["doc_id"]: r for r in pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     from tests.llm.test_text_queries import base_spans
 
     for i, t in enumerate(texts):
         assert [(k, s["start"], s["end"]) for k in pii.KINDS for s in got[i][k]] == base_spans(t), t[:40]
 
 
+def added(spark, rows):
+    df = spark.createDataFrame([(i, t, "mine") for i, t in rows], "doc_id long, text string, email string")
+    got = pii.personal_data(df).collect()
+    assert all(r["row"]["email"] == "mine" for r in got)
+    text = dict(rows)
+    return {r["row"]["doc_id"]: [(a["kind"], text[r["row"]["doc_id"]][a["start"] : a["end"]]) for a in r["added"]] for r in got}
+
+
 def test_contexts_discover_unseen_identifiers(spark):
     rows = [(i, f"please mail reach me {i}user@mail.example.com now number {i} of them") for i in range(20)]
     rows += [(100 + i, f"please mail reach me user{i}x(at)mail today") for i in range(3)] + [(200 + i, f"nothing here code{i}77 at all") for i in range(9)]
-    got = {r["doc_id"]: r["added"] for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    for i in range(3):
-        text = rows[20 + i][1]
-        at = text.index("user")
-        assert [(a["kind"], a["start"], a["end"]) for a in got[100 + i]] == [("email", at, text.index(" today"))]
+    got = added(spark, rows)
+    assert all(got[100 + i] == [("email", f"user{i}x(at)mail")] for i in range(3))
     assert all(not got[200 + i] for i in range(9)) and all(not got[i] for i in range(20))
 
 
+def test_found_identifiers_induce_patterns(spark):
+    """Recall and precision on planted identifiers: of several tokens, in words that only found ones share, secrets."""
+    hexa = lambda i: f"{i * 7919:08x}a0" * 4
+    rows = [(i, f"you can call +1 (743) 555-{3000 + i} or write") for i in range(30)]
+    rows += [(100 + i, f"you can call 743 555 {4000 + i} or write") for i in range(6)]  # the same words, another form
+    rows += [(200 + i, f"my line is 743 555 {4000 + i}, thanks") for i in range(6)] + [(300, "my line is 020 7946 0958, thanks")]  # words of the found ones
+    rows += [(400 + i, f'set token = "{hexa(i)}"; done') for i in range(8)] + [(450, 'set token = "short1pass"; done')]
+    rows += [(500 + i, f"mail {i}box@mail.example.com today") for i in range(25)] + [(550, "mail ann at example dot com today")]
+    rows += [(600 + i, f"version {i}.{i}.1 of item{i}x costs {i}000 units in 2020 or 20{i:02d}") for i in range(40)] + [(700, "the line is 12 units long and 1234 wide")]
+    got = added(spark, rows)
+    want = {100 + i: [("phone", f"743 555 {4000 + i}")] for i in range(6)} | {200 + i: [("phone", f"743 555 {4000 + i}")] for i in range(6)} | {300: [("phone", "020 7946 0958")]}
+    want |= {400 + i: [("secret", hexa(i))] for i in range(8)} | {450: [("secret", "short1pass")], 550: [("email", "ann at example dot com")]}
+    assert {i: x for i, x in got.items() if x} == want
+
+
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var a="</p><article>";</script></head><body class="nav-open">
 <header><h1>Site</h1></header><nav><ul><li>Menu</li></ul></nav><div id="cookie-notice">We use cookies</div>
 <main><article><h1>Head &amp; line</h1><p>First  <b>bold</b> &eacute;<br>same block<p>Second<aside>Side</aside> para<form>Mail <input><textarea>x</textarea></form>
