@@ -60,14 +60,14 @@ def g06(spark, sf):
 
 def g17(spark, sf):
     """Share of shuffled scores that reach the mean score, over iterations."""
-    s = decode(vectors(_two(spark, sf).filter("cell < 16")), 8, 21)
+    s = decode(vectors(_two(spark, sf)), 8, 21)
     m = s.agg(F.avg(F.when(F.col("condition") == "data", F.col("score"))).alias("score"))
     return _r(s.filter("condition = 'shuffled'").crossJoin(F.broadcast(m.withColumnRenamed("score", "true"))).groupBy("true").agg(F.avg((F.col("score") >= F.col("true")).cast("double")).alias("p"), F.count(F.lit(1)).alias("n")))
 
 
 def i03(spark, sf):
     """Fits averaged over iterations: modal preference, mean indices, how many were good."""
-    fits = fit_orientation(bootstrap_means(V.responses(spark, sf).filter("cell < 16"), 20, 4, 8), 36.0)
+    fits = fit_orientation(bootstrap_means(V.responses(spark, sf), 20, 4, 8), 36.0)
     b = F.floor(F.col("pref") / (360 / 49)).cast("long")
     n = fits.groupBy("cell", b.alias("bin")).agg(F.count(F.lit(1)).alias("n")).groupBy("cell").agg((F.max_by("bin", F.struct("n", -F.col("bin"))) * (360 / 49)).alias("mode"))
     return _r(fits.groupBy("cell").agg(F.avg("asi").alias("asi"), F.avg("dsi").alias("dsi"), F.avg("r2").alias("r2"), F.sum(F.col("good").cast("long")).alias("n_good")).join(n, "cell"))

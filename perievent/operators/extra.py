@@ -13,6 +13,7 @@ from perievent.operators.joins import keep, seeded_order, top
 from perievent.operators.maps import image, masks
 from perievent.operators.metrics import _rounded as _r
 from perievent.plans import views as V
+from perievent.plans.order import numbered
 from perievent.sources.text import folder
 
 
@@ -106,16 +107,15 @@ def f21(spark, sf):
 
 def f26(spark, sf):
     """Model curves over directions: a double Gaussian and a von Mises."""
-    s = V.stimuli(spark, sf).filter("config <= 40").select("config", "size", F.explode(F.sequence(F.lit(0), F.lit(345), F.lit(15))).alias("theta")).withColumn("theta", F.col("theta").cast("double"))
+    s = V.stimuli(spark, sf).select("config", "size", F.explode(F.sequence(F.lit(0), F.lit(345), F.lit(15))).alias("theta")).withColumn("theta", F.col("theta").cast("double"))
     g = circular.double_gaussian(F.col("theta"), F.col("size") * 7 % 360, F.lit(25.0), F.lit(3.0), F.lit(1.0), F.lit(0.2))
     return _r(s.select("config", "theta", g.alias("gauss"), circular.von_mises(F.col("theta"), F.col("size") * 7 % 360, F.lit(2.0), F.lit(1.5)).alias("mises")))
 
 
 def f28(spark, sf):
-    """Trials on a fixed plane's normal."""
-    r = V.responses(spark, sf).filter("cell < 3").groupBy("trial").pivot("cell", [0, 1, 2]).agg(F.first("response"))
-    n = math.sqrt(1 + 4 + 4)
-    return _r(r.select("trial", ((F.col("0") + 2 * F.col("1") - 2 * F.col("2")) / n).alias("along")))
+    """Trials on a fixed plane's normal, whose parts are 1, 2 and -2 by turns over the cells."""
+    w = F.element_at(F.array(F.lit(1.0), F.lit(2.0), F.lit(-2.0)), (F.col("cell") % 3 + 1).cast("int"))
+    return _r(V.responses(spark, sf).groupBy("trial").agg((F.sum(F.col("response") * w) / F.sqrt(F.sum(w * w))).alias("along")))
 
 
 def f29(spark, sf):
@@ -130,7 +130,7 @@ def f29(spark, sf):
 
 def g14(spark, sf):
     """Pearson r of each dataset with the share of shuffles (values dealt anew in seeded order) that reach it."""
-    r = V.recordings(spark, sf).filter("cell <= 5").select("datakey", "trial", "cell", "quantity", "response")
+    r = V.recordings(spark, sf).select("datakey", "trial", "cell", "quantity", "response")
     w = W.partitionBy("datakey").orderBy("trial", "cell", "quantity", "response")
     a = r.withColumn("k", F.row_number().over(w))
     s = a.withColumn("it", F.explode(F.sequence(F.lit(0), F.lit(9)))).withColumn("j", F.row_number().over(W.partitionBy("datakey", "it").orderBy(seeded_order(2, "it", "k"), "k")))
@@ -157,7 +157,7 @@ def h37(spark, sf):
     from perievent.operators.maps import pair_corr
 
     p = V.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("cell"), (F.col("s_suppkey") * 7 % 50).alias("x"), (F.col("s_suppkey") * 3 % 50).alias("y"))
-    r = pair_corr(V.recordings(spark, sf).filter("cell <= 30").groupBy("datakey", "cell", "config").agg(F.avg("response").alias("response")), ("datakey",), "cell", "config", "response")
+    r = pair_corr(V.recordings(spark, sf).groupBy("datakey", "cell", "config").agg(F.avg("response").alias("response")), ("datakey",), "cell", "config", "response")
     j = r.join(p.select(F.col("cell").alias("a"), F.col("x").alias("xa"), F.col("y").alias("ya")), "a").join(p.select(F.col("cell").alias("b"), F.col("x").alias("xb"), F.col("y").alias("yb")), "b")
     d = circular.distance(F.col("xa"), F.col("ya"), F.col("xb"), F.col("yb"))
     return _r(j.filter("r is not null and not isnan(r)").groupBy(F.floor(d / 10).alias("bin")).agg(F.avg("r").alias("r"), F.count(F.lit(1)).alias("n")))
@@ -176,9 +176,11 @@ def j02(spark, sf):
 
 def k06(spark, sf):
     """Two runs put together, their configs and trials numbered through."""
-    r = V.recordings(spark, sf).filter("cell <= 10")
+    r = V.recordings(spark, sf)
     runs = r.filter("datakey = 'AF'").select("config", "trial").distinct().withColumn("run", F.lit(1).cast("long")).unionByName(r.filter("datakey = 'RF'").select("config", "trial").distinct().withColumn("run", F.lit(2).cast("long")))
-    return runs.select("run", "trial", V.long(F.dense_rank().over(W.orderBy("config"))).alias("config"), V.long(F.row_number().over(W.orderBy("run", "trial", F.col("config")))).alias("number"))
+    configs = numbered(runs.select("config").distinct(), [F.col("config")], "rank")
+    runs = numbered(runs, [F.col(c) for c in ("run", "trial", "config")], "number").join(configs, "config")
+    return runs.select("run", "trial", F.col("rank").alias("config"), "number")
 
 
 def n16(spark, sf):
@@ -194,7 +196,7 @@ def h11(spark, sf):
     return _r(r.select("y", "r", "n"))
 
 
-_MASK = "m AS (SELECT s_suppkey AS cell, s_suppkey * 3 % 50 + dy AS y, s_suppkey * 2 % 50 + dx AS x FROM supplier, range(5) a(dy), range(5) b(dx) WHERE s_suppkey <= 12)"
+_MASK = "m AS (SELECT s_suppkey AS cell, s_suppkey * 3 % 50 + dy AS y, s_suppkey * 2 % 50 + dx AS x FROM supplier, range(5) a(dy), range(5) b(dx))"
 _APART = "least(abs({d}), abs({d} - 360), abs({d} + 360))"
 _DG1, _DG2 = _APART.format(d="((theta - p) % 360 + 360) % 360"), _APART.format(d="((theta + 180 - p) % 360 + 360) % 360")
 QUERIES = {
@@ -216,16 +218,16 @@ SQL = {
     "e33_bar_position": "WITH e AS (SELECT event_id, epoch_us(ts) % 4000000 / 4e6 AS u FROM events) SELECT event_id, round(-30 + 60 * u, 6) AS \"left\", round(20 - 40 * u, 6) AS \"top\" FROM e",
     "f08_positions": f"WITH {_MASK}, c AS (SELECT cell, avg(x) AS x, avg(y) AS y FROM m GROUP BY cell) SELECT cell, round(1177 - x * 2.312, 6) AS ml, round(972 - y * 1.904, 6) AS ap, round(sqrt((x - 25) ** 2 + (y - 25) ** 2), 6) AS from_centre FROM c",
     "f21_id_parts": "SELECT c_custkey, CAST(regexp_extract(c_name, '(\\d+)$', 1) AS BIGINT) AS number, string_split(c_name, '#')[1] AS kind, try_cast(c_name AS DOUBLE) IS NOT NULL AS is_number FROM customer",
-    "f26_model_curves": f"WITH {V.STIM}, s AS (SELECT config, CAST(size * 7 % 360 AS DOUBLE) AS p, CAST(theta AS DOUBLE) AS theta FROM stim, range(0, 360, 15) t(theta) WHERE config <= 40) SELECT config, theta, round(0.2 + 3 * exp(-(({_DG1}) ** 2) / 1250) + exp(-(({_DG2}) ** 2) / 1250), 6) AS gauss, round(1.5 * exp(2 * (cos(radians(theta - p)) - 1)), 6) AS mises FROM s",
-    "f28_plane": f"WITH {V.RESP} SELECT trial, round((max(response) FILTER (cell = 0) + 2 * max(response) FILTER (cell = 1) - 2 * max(response) FILTER (cell = 2)) / 3, 6) AS along FROM resp WHERE cell < 3 GROUP BY trial",
+    "f26_model_curves": f"WITH {V.STIM}, s AS (SELECT config, CAST(size * 7 % 360 AS DOUBLE) AS p, CAST(theta AS DOUBLE) AS theta FROM stim, range(0, 360, 15) t(theta)) SELECT config, theta, round(0.2 + 3 * exp(-(({_DG1}) ** 2) / 1250) + exp(-(({_DG2}) ** 2) / 1250), 6) AS gauss, round(1.5 * exp(2 * (cos(radians(theta - p)) - 1)), 6) AS mises FROM s",
+    "f28_plane": f"WITH {V.RESP} SELECT trial, round(sum(response * [1, 2, -2][cell % 3 + 1]) / sqrt(sum(CAST([1, 2, -2][cell % 3 + 1] AS DOUBLE) ** 2)), 6) AS along FROM resp GROUP BY trial",
     "f29_half_width": f"WITH {V.REC}, m AS (SELECT cell, config, avg(response) AS r FROM rec GROUP BY ALL), h AS (SELECT *, (max(r) OVER (PARTITION BY cell) + min(r) OVER (PARTITION BY cell)) / 2 AS half, first_value(config) OVER (PARTITION BY cell ORDER BY r DESC, config) AS peak FROM m) SELECT cell, any_value(peak) AS peak, coalesce(min(config) FILTER (config > peak AND r < half), 8) - coalesce(max(config) FILTER (config < peak AND r < half), 0) AS width FROM h GROUP BY cell",
-    "g14_correlation_null": f"WITH {V.REC}, a AS (SELECT datakey, quantity, response, row_number() OVER (PARTITION BY datakey ORDER BY trial, cell, quantity, response) AS k FROM rec WHERE cell <= 5), s AS (SELECT datakey, it, response, row_number() OVER (PARTITION BY datakey, it ORDER BY md5('2|' || it || '|' || k), k) AS k FROM a, range(10) t(it)), n AS (SELECT s.datakey, it, corr(a.quantity, s.response) AS r0 FROM s JOIN a ON a.datakey = s.datakey AND a.k = s.k GROUP BY ALL), t AS (SELECT datakey, corr(quantity, response) AS r FROM a GROUP BY datakey) SELECT datakey, round(r, 6) AS r, round(avg(CAST(r0 >= r AS INT)), 6) AS p FROM n JOIN t USING (datakey) GROUP BY datakey, r",
+    "g14_correlation_null": f"WITH {V.REC}, a AS (SELECT datakey, quantity, response, row_number() OVER (PARTITION BY datakey ORDER BY trial, cell, quantity, response) AS k FROM rec), s AS (SELECT datakey, it, response, row_number() OVER (PARTITION BY datakey, it ORDER BY md5('2|' || it || '|' || k), k) AS k FROM a, range(10) t(it)), n AS (SELECT s.datakey, it, corr(a.quantity, s.response) AS r0 FROM s JOIN a ON a.datakey = s.datakey AND a.k = s.k GROUP BY ALL), t AS (SELECT datakey, corr(quantity, response) AS r FROM a GROUP BY datakey) SELECT datakey, round(r, 6) AS r, round(avg(CAST(r0 >= r AS INT)), 6) AS p FROM n JOIN t USING (datakey) GROUP BY datakey, r",
     "h11_row_quality": f"WITH {V.GRID}, img AS (SELECT y, x, avg(value) / 1000 AS v FROM grid GROUP BY y, x), f AS (SELECT x, avg(v) AS ref FROM img GROUP BY x) SELECT y, round(corr(v, ref), 6) AS r, count(*) AS n FROM img JOIN f USING (x) GROUP BY y",
     "h29_vector_response": f"WITH {V.RESP}, m AS (SELECT cell, config, avg(response) AS r FROM resp GROUP BY ALL), g AS (SELECT cell, sum(r * cos(radians(config * 36.0))) AS c, sum(r * sin(radians(config * 36.0))) AS s FROM m GROUP BY cell) SELECT cell, round(sqrt(c * c + s * s), 6) AS magnitude, round(cos(atan2(s, c)), 6) AS cos_theta FROM g",
     "h30_sparseness": f"WITH {V.REC}, m AS (SELECT cell, config, avg(response) AS r FROM rec GROUP BY ALL) SELECT cell, round((1 - (sum(r) / count(*)) ** 2 / (sum(r * r) / count(*))) / (1 - 1 / count(*)), 6) AS sparseness FROM m GROUP BY cell HAVING count(*) > 1",
-    "h37_correlation_distance": f"WITH {V.REC}, m AS (SELECT datakey, cell, config, avg(response) AS v FROM rec WHERE cell <= 30 GROUP BY ALL), r AS (SELECT a.datakey, a.cell AS a, b.cell AS b, corr(a.v, b.v) AS r FROM m a JOIN m b ON a.datakey = b.datakey AND a.config = b.config AND a.cell < b.cell GROUP BY ALL), d AS (SELECT CAST(floor(sqrt((a * 7 % 50 - b * 7 % 50) ** 2 + (a * 3 % 50 - b * 3 % 50) ** 2) / 10) AS BIGINT) AS bin, r FROM r WHERE r IS NOT NULL AND NOT isnan(r)) SELECT bin, round(avg(r), 6) AS r, count(*) AS n FROM d GROUP BY bin",
+    "h37_correlation_distance": f"WITH {V.REC}, m AS (SELECT datakey, cell, config, avg(response) AS v FROM rec GROUP BY ALL), r AS (SELECT a.datakey, a.cell AS a, b.cell AS b, corr(a.v, b.v) AS r FROM m a JOIN m b ON a.datakey = b.datakey AND a.config = b.config AND a.cell < b.cell GROUP BY ALL), d AS (SELECT CAST(floor(sqrt((a * 7 % 50 - b * 7 % 50) ** 2 + (a * 3 % 50 - b * 3 % 50) ** 2) / 10) AS BIGINT) AS bin, r FROM r WHERE r IS NOT NULL AND NOT isnan(r)) SELECT bin, round(avg(r), 6) AS r, count(*) AS n FROM d GROUP BY bin",
     "h38_label_image": f"WITH {_MASK} SELECT y, x, max(cell) AS label FROM m GROUP BY y, x",
     "j02_dataset_choice": f"WITH {V.REC}, n AS (SELECT cell, datakey, count(*) AS n FROM rec GROUP BY ALL), f AS (SELECT cell, min(datakey) AS first FROM n GROUP BY cell) SELECT cell, datakey AS most, n, first FROM n JOIN f USING (cell) QUALIFY row_number() OVER (PARTITION BY cell ORDER BY n DESC, datakey) = 1",
-    "k06_combined_runs": f"WITH {V.REC}, u AS (SELECT DISTINCT 1 AS run, config, trial FROM rec WHERE cell <= 10 AND datakey = 'AF' UNION ALL SELECT DISTINCT 2, config, trial FROM rec WHERE cell <= 10 AND datakey = 'RF') SELECT CAST(run AS BIGINT) AS run, trial, dense_rank() OVER (ORDER BY config) AS config, row_number() OVER (ORDER BY run, trial, config) AS number FROM u",
+    "k06_combined_runs": f"WITH {V.REC}, u AS (SELECT DISTINCT 1 AS run, config, trial FROM rec WHERE datakey = 'AF' UNION ALL SELECT DISTINCT 2, config, trial FROM rec WHERE datakey = 'RF') SELECT CAST(run AS BIGINT) AS run, trial, dense_rank() OVER (ORDER BY config) AS config, row_number() OVER (ORDER BY run, trial, config) AS number FROM u",
     "n16_training_rows": "SELECT lang, count(*) AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY lang",
 }

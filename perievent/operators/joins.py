@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from perievent.operators.metrics import _rounded as _r
 from perievent.operators.series import nearest_in_time
 from perievent.plans import views as V
+from perievent.plans.order import numbered, quantiles
 
 
 def in_trials(frames: DataFrame, trials: DataFrame, by: str, pre: int, post: int) -> DataFrame:
@@ -31,7 +32,7 @@ def renumbered(configs: DataFrame, params: list[str]) -> DataFrame:
     """configs with new_config: equal parameters get one number, in the parameters' order (nulls first). Parameters are
     ranked over their distinct combinations."""
     distinct = configs.select(*[F.col(p).alias(f"_{p}") for p in params]).distinct()
-    distinct = distinct.withColumn("new_config", V.long(F.dense_rank().over(W.orderBy(*[f"_{p}" for p in params]))))
+    distinct = numbered(distinct, [F.col(f"_{p}") for p in params], "new_config")
     on = [F.col(p).eqNullSafe(F.col(f"_{p}")) for p in params]
     return configs.join(distinct, on).select(*configs.columns, "new_config")
 
@@ -123,8 +124,8 @@ def c16(spark, sf):
 
 
 def c18(spark, sf):
-    """Pairs of cells of a dataset that share a config's best trial."""
-    r = top(V.recordings(spark, sf).filter("config = 1"), ("datakey", "cell"), [F.desc("response"), F.col("trial")]).select("datakey", "cell", F.floor(F.col("response") / 500).alias("level"))
+    """Pairs of cells of a dataset whose best trials share a level."""
+    r = top(V.recordings(spark, sf), ("datakey", "cell"), [F.desc("response"), F.col("trial")]).select("datakey", "cell", F.floor(F.col("response") / 500).alias("level"))
     a, b = r.select("datakey", "level", F.col("cell").alias("a")), r.select("datakey", "level", F.col("cell").alias("b"))
     return a.join(b, ["datakey", "level"]).filter("a < b").select("datakey", "level", "a", "b")
 
@@ -254,7 +255,7 @@ def a14(spark, sf):
     asked = s.filter("config % 3 != 0").select(h.alias("h")).distinct()
     n = known.agg(F.count(F.lit(1)).alias("n"))
     fresh = asked.join(known, "h", "left_anti")
-    return fresh.withColumn("k", F.row_number().over(W.orderBy("h"))).crossJoin(F.broadcast(n)).select("h", (F.col("n") + F.col("k")).alias("id"))
+    return numbered(fresh, [F.col("h")], "k").crossJoin(F.broadcast(n)).select("h", (F.col("n") + F.col("k")).alias("id"))
 
 
 def a15(spark, sf):
@@ -274,7 +275,7 @@ def j03(spark, sf):
 
 def j05(spark, sf):
     n = F.regexp_extract("s_name", "([0-9]+)$", 1).cast("long")
-    return V.table(spark, sf, "supplier").select("s_name", n.alias("number"), V.long(F.row_number().over(W.orderBy(n, "s_name"))).alias("place"))
+    return numbered(V.table(spark, sf, "supplier").select("s_name", n.alias("number")), [F.col("number"), F.col("s_name")], "place")
 
 
 def j06(spark, sf):
@@ -315,22 +316,22 @@ def k05(spark, sf):
 
 def i18(spark, sf):
     """Equal trials of each config of the population, picked by a seeded order."""
-    return equal_counts(V.responses(spark, sf).filter("cell = 0"), ("datakey", "config"), "trial", 7).select("config", "trial")
+    return equal_counts(V.responses(spark, sf), ("datakey", "config"), "trial", 7).select("config", "trial").distinct()
 
 
 def i17(spark, sf):
-    """Trials of low and high quantity within each config (outer thirds), in equal numbers."""
-    r = V.recordings(spark, sf).filter("datakey = 'AF' and cell <= 10").select("config", "trial", "cell", "quantity")
-    q = r.groupBy("config").agg(F.percentile("quantity", F.lit(0.33)).alias("lo"), F.percentile("quantity", F.lit(0.67)).alias("hi"))
-    s = r.join(q, "config").withColumn("side", F.when(F.col("quantity") <= F.col("lo"), "low").when(F.col("quantity") >= F.col("hi"), "high")).filter("side is not null")
-    k = s.withColumn("k", F.row_number().over(W.partitionBy("config", "side").orderBy(seeded_order(3, "trial", "cell"), "trial", "quantity")))
-    n = s.groupBy("config", "side").agg(F.count(F.lit(1)).alias("n")).groupBy("config").agg(F.min("n").alias("least"))
-    return k.join(n, "config").filter("k <= least").select("config", "side", "trial", "cell")
+    """Trials of low and high quantity within each dataset's config (outer thirds), in equal numbers."""
+    r = V.recordings(spark, sf).select("datakey", "config", "trial", "cell", "quantity")
+    by = ["datakey", "config"]
+    s = r.join(quantiles(r, tuple(by), "quantity", {"lo": 0.33, "hi": 0.67}), by).withColumn("side", F.when(F.col("quantity") <= F.col("lo"), "low").when(F.col("quantity") >= F.col("hi"), "high")).filter("side is not null")
+    k = s.withColumn("k", F.row_number().over(W.partitionBy(*by, "side").orderBy(seeded_order(3, "trial", "cell"), "trial", "cell", "quantity")))
+    n = s.groupBy(*by, "side").agg(F.count(F.lit(1)).alias("n")).groupBy(*by).agg(F.min("n").alias("least"))
+    return k.join(n, by).filter("k <= least").select(*by, "side", "trial", "cell")
 
 
 def i20(spark, sf):
     """Stratified folds: trials dealt in turn within their config, in seeded order."""
-    t = V.responses(spark, sf).filter("cell = 0")
+    t = V.responses(spark, sf).select("config", "trial").distinct()
     k = F.row_number().over(W.partitionBy("config").orderBy(seeded_order(5, "trial"), "trial"))
     return t.select("trial", "config", V.long((k - 1) % 5).alias("fold"))
 
@@ -370,14 +371,14 @@ SQL = {
     "c14_missing_trials": f"WITH {V.TRACE}, {_ON} SELECT cell, trial FROM onset o WHERE NOT EXISTS (SELECT 1 FROM trall t WHERE t.cell = o.cell AND t.value > 100 AND t.frame >= o.trial - 1 AND t.frame < o.trial + 2)",
     "c15_nearest_time": "WITH e AS (SELECT user_id, event_id, event_type, epoch_us(ts) AS t FROM events), r AS (SELECT user_id, t, min(event_id) AS v FROM e WHERE event_type = 'error' GROUP BY ALL) SELECT l.event_id, arg_min(r.v, abs(r.t - l.t) * 2 + CAST(r.t > l.t AS BIGINT)) AS nearest FROM e l LEFT JOIN r USING (user_id) WHERE l.event_type = 'purchase' GROUP BY l.event_id",
     "c16_nearest_value": f"WITH {V.REC}, s AS (SELECT quantity, (SELECT s FROM (VALUES (1.0), (7.0), (16.0), (30.0), (44.0)) v(s) ORDER BY abs(s - quantity), s LIMIT 1) AS s FROM (SELECT DISTINCT quantity FROM rec)) SELECT CAST(s AS DOUBLE) AS size, count(*) AS n FROM rec JOIN s USING (quantity) GROUP BY 1",
-    "c18_pairs": f"WITH {V.REC}, r AS (SELECT datakey, cell, CAST(floor(response / 500) AS BIGINT) AS level FROM rec WHERE config = 1 QUALIFY row_number() OVER (PARTITION BY datakey, cell ORDER BY response DESC, trial) = 1) SELECT x.datakey, x.level, x.cell AS a, y.cell AS b FROM r x JOIN r y ON x.datakey = y.datakey AND x.level = y.level AND x.cell < y.cell",
+    "c18_pairs": f"WITH {V.REC}, r AS (SELECT datakey, cell, CAST(floor(response / 500) AS BIGINT) AS level FROM rec QUALIFY row_number() OVER (PARTITION BY datakey, cell ORDER BY response DESC, trial) = 1) SELECT x.datakey, x.level, x.cell AS a, y.cell AS b FROM r x JOIN r y ON x.datakey = y.datakey AND x.level = y.level AND x.cell < y.cell",
     "c20_most_overlap": f"WITH {V.REC}, r AS (SELECT DISTINCT datakey, cell FROM rec WHERE response > 95000), n AS (SELECT x.datakey AS one, y.datakey AS other, count(*) AS shared FROM r x JOIN r y ON x.cell = y.cell AND x.datakey <> y.datakey GROUP BY ALL) SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY one ORDER BY shared DESC, other) = 1",
     "c21_mask_traces": f"WITH {V.GRID}, m AS (SELECT p_partkey % 20 AS cell, p_partkey % 64 AS x, (p_partkey // 8) % 64 AS y, max(p_size / 50) AS weight FROM part GROUP BY 1, 2, 3) SELECT cell, frame, round(sum(value * weight), 6) AS trace, round(avg(value), 6) AS mean FROM grid JOIN m USING (x, y) GROUP BY ALL",
     "c24_combined": "SELECT o_custkey, CASE WHEN count(DISTINCT o_orderpriority) = 1 THEN min(o_orderpriority) END AS priority, count(DISTINCT o_orderpriority) = 1 AS agree, round(sum(o_totalprice), 6) AS total FROM orders GROUP BY o_custkey",
     "c25_strongest": f"WITH {V.REC}, m AS (SELECT cell, datakey, avg(response) AS s FROM rec GROUP BY ALL) SELECT cell, datakey, round(s, 6) AS strength FROM m QUALIFY row_number() OVER (PARTITION BY cell ORDER BY s DESC, datakey) = 1",
-    "i17_split_tertiles": f"WITH {V.REC}, r AS (SELECT config, trial, cell, quantity FROM rec WHERE datakey = 'AF' AND cell <= 10), q AS (SELECT config, quantile_cont(quantity, 0.33) AS lo, quantile_cont(quantity, 0.67) AS hi FROM r GROUP BY config), s AS (SELECT r.*, CASE WHEN quantity <= lo THEN 'low' WHEN quantity >= hi THEN 'high' END AS side FROM r JOIN q USING (config)), k AS (SELECT *, row_number() OVER (PARTITION BY config, side ORDER BY md5('3|' || trial || '|' || cell), trial, quantity) AS k FROM s WHERE side IS NOT NULL), n AS (SELECT config, min(n) AS least FROM (SELECT config, side, count(*) AS n FROM k GROUP BY ALL) GROUP BY config) SELECT config, side, trial, cell FROM k JOIN n USING (config) WHERE k <= least",
-    "i18_equal_counts": f"WITH {V.RESP}, k AS (SELECT config, trial, row_number() OVER (PARTITION BY config ORDER BY md5('7|' || trial), trial) AS k FROM resp WHERE cell = 0) SELECT config, trial FROM k WHERE k <= (SELECT min(n) FROM (SELECT count(*) AS n FROM k GROUP BY config))",
-    "i20_folds": f"WITH {V.RESP} SELECT trial, config, (row_number() OVER (PARTITION BY config ORDER BY md5('5|' || trial), trial) - 1) % 5 AS fold FROM resp WHERE cell = 0",
+    "i17_split_tertiles": f"WITH {V.REC}, r AS (SELECT datakey, config, trial, cell, quantity FROM rec), q AS (SELECT datakey, config, quantile_cont(quantity, 0.33) AS lo, quantile_cont(quantity, 0.67) AS hi FROM r GROUP BY ALL), s AS (SELECT r.*, CASE WHEN quantity <= lo THEN 'low' WHEN quantity >= hi THEN 'high' END AS side FROM r JOIN q USING (datakey, config)), k AS (SELECT *, row_number() OVER (PARTITION BY datakey, config, side ORDER BY md5('3|' || trial || '|' || cell), trial, cell, quantity) AS k FROM s WHERE side IS NOT NULL), n AS (SELECT datakey, config, min(n) AS least FROM (SELECT datakey, config, side, count(*) AS n FROM k GROUP BY ALL) GROUP BY ALL) SELECT datakey, config, side, trial, cell FROM k JOIN n USING (datakey, config) WHERE k <= least",
+    "i18_equal_counts": f"WITH {V.RESP}, k AS (SELECT config, trial, row_number() OVER (PARTITION BY config ORDER BY md5('7|' || trial), trial) AS k FROM (SELECT DISTINCT config, trial FROM resp)) SELECT config, trial FROM k WHERE k <= (SELECT min(n) FROM (SELECT count(*) AS n FROM k GROUP BY config))",
+    "i20_folds": f"WITH {V.RESP} SELECT trial, config, (row_number() OVER (PARTITION BY config ORDER BY md5('5|' || trial), trial) - 1) % 5 AS fold FROM (SELECT DISTINCT config, trial FROM resp)",
     "j01_best_dataset": f"WITH {V.REC}, n AS (SELECT area, datakey, count(DISTINCT cell) AS n FROM rec GROUP BY ALL) SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY area ORDER BY n DESC, datakey) = 1",
     "j03_top_cells": f"WITH {V.REC}, m AS (SELECT area, cell, avg(response) AS m FROM rec GROUP BY ALL) SELECT area, cell, round(m, 6) AS m FROM m QUALIFY row_number() OVER (PARTITION BY area ORDER BY m DESC, cell) <= 5",
     "j05_natural_order": "WITH n AS (SELECT s_name, CAST(regexp_extract(s_name, '([0-9]+)$', 1) AS BIGINT) AS number FROM supplier) SELECT *, row_number() OVER (ORDER BY number, s_name) AS place FROM n",

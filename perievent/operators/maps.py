@@ -89,24 +89,38 @@ def image(spark, sf):
     return V.grid(spark, sf).groupBy("y", "x").agg((F.avg("value") / 1000).alias("v"))
 
 
+def filled(img: DataFrame) -> DataFrame:
+    """(y, x, v) of img with each missing pixel as its nearest valid one (by row, then column on ties), however far. First
+    the nearest of each column above and below, then, of a row, the best of its columns' offers: a pixel's offers are one
+    row's, so an image of n columns costs n offers a missing pixel. Nothing valid: stays null."""
+    down, up = W.partitionBy("x").orderBy("y"), W.partitionBy("x").orderBy(F.desc("y"))
+    own = F.when(F.col("v").isNotNull(), F.struct("y", "v"))
+    near = img.select("y", "x", "v", F.last(own, True).over(down).alias("above"), F.last(own, True).over(up).alias("below"))
+    offers = near.select("y", F.col("x").alias("ox"), F.explode(F.array("above", "below")).alias("o")).filter("o is not null")
+    holes = near.filter("v is null").select("y", "x")
+    d2 = F.pow(F.col("o.y") - F.col("y"), 2) + F.pow(F.col("ox") - F.col("x"), 2)
+    best = holes.join(offers, "y").groupBy("y", "x").agg(F.min_by("o.v", F.struct(d2, F.col("o.y"), F.col("ox"))).alias("near"))
+    return img.join(best, ["y", "x"], "left").select("y", "x", F.coalesce("v", "near").alias("v"))
+
+
 def masks(spark, sf):
     """Small masks: each cell covers a 5 x 5 square with weights."""
-    p = V.table(spark, sf, "supplier").filter("s_suppkey <= 12").select(F.col("s_suppkey").alias("cell"), (F.col("s_suppkey") * 3 % 50).alias("cy"), (F.col("s_suppkey") * 2 % 50).alias("cx"))
+    p = V.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("cell"), (F.col("s_suppkey") * 3 % 50).alias("cy"), (F.col("s_suppkey") * 2 % 50).alias("cx"))
     return p.select("cell", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("dy"), "cy", "cx").select("cell", "dy", "cy", "cx", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("dx")).select("cell", (F.col("cy") + F.col("dy")).alias("y"), (F.col("cx") + F.col("dx")).alias("x"), ((F.col("dy") + F.col("dx") + 1) / 9).alias("weight"))
 
 
 def h01(spark, sf):
-    return _r(pair_corr(by_config(V.responses(spark, sf).filter("cell < 12")), ("datakey",), "cell", "config", "response"))
+    return _r(pair_corr(by_config(V.responses(spark, sf)), ("datakey",), "cell", "config", "response"))
 
 
 def h02(spark, sf):
-    r = V.responses(spark, sf).filter("cell < 8")
+    r = V.responses(spark, sf)
     r = r.withColumn("res", F.col("response") - F.avg("response").over(W.partitionBy("cell", "config")))
     return _r(pair_corr(r, ("datakey",), "cell", "trial", "res", ("config",)).groupBy("datakey", "a", "b").agg(F.avg("r").alias("r")))
 
 
 def h03(spark, sf):
-    r = V.responses(spark, sf).filter("cell < 8").withColumn("rank", average_rank(W.partitionBy("cell").orderBy("response")))
+    r = V.responses(spark, sf).withColumn("rank", average_rank(W.partitionBy("cell").orderBy("response")))
     return _r(pair_corr(r, ("datakey",), "cell", "trial", "rank").withColumn("rdm", 1 - F.col("r")))
 
 
@@ -167,10 +181,8 @@ def h15(spark, sf):
 
 
 def h16(spark, sf):
-    """Missing pixels take their nearest valid one's value, within three pixels (by row, then column on ties)."""
-    i = image(spark, sf).withColumn("v", F.when(F.col("v") < 180, F.col("v")))
-    near = around(i, box(3)).filter("v is not null").groupBy("y", "x").agg(F.min_by("v", F.struct("d2", "from")).alias("near"))
-    return _r(i.join(near, ["y", "x"], "left").select("y", "x", F.coalesce("v", "near").alias("v")))
+    """Missing pixels take their nearest valid one's value (by row, then column on ties)."""
+    return _r(filled(image(spark, sf).withColumn("v", F.when(F.col("v") < 180, F.col("v")))))
 
 
 def h17(spark, sf):
@@ -182,8 +194,9 @@ def _signs(spark, sf):
     a = gradient(smoothed(image(spark, sf), 1.5, 3)).select("y", "x", F.atan2("gy", "gx").alias("ta"))
     b = gradient(smoothed(image(spark, sf).withColumn("v", F.col("v") * ((F.col("x") * 7 + F.col("y") * 3) % 11)), 1.5, 3)).select("y", "x", F.atan2("gy", "gx").alias("tb"))
     s = a.join(b, ["y", "x"]).withColumn("s", F.sin(circular.phase_apart(F.col("tb") - F.col("ta"))))
-    sd = F.stddev_pop("s").over(W.partitionBy(F.lit(1)))
-    return s.select("y", "x", "s", F.when(F.col("s") > 0.5 * sd, 1).when(F.col("s") < -0.5 * sd, -1).otherwise(0).cast("long").alias("sign"))
+    one = s.agg(F.stddev_pop("s").alias("sd"))  # one row
+    sd = F.col("sd")
+    return s.crossJoin(F.broadcast(one)).select("y", "x", "s", F.when(F.col("s") > 0.5 * sd, 1).when(F.col("s") < -0.5 * sd, -1).otherwise(0).cast("long").alias("sign"))
 
 
 def h18(spark, sf):
@@ -253,9 +266,8 @@ def h33(spark, sf):
 def h35(spark, sf):
     """AUC of config 2 over config 1 for each area and level, and the binomial counts it stands for."""
     r = V.recordings(spark, sf).withColumn("level", V.long(F.floor(F.col("quantity") / 10)))
-    pick = lambda k: F.collect_list(F.when(F.col("config") == k, F.col("response")))
-    g = r.filter("config <= 2 and cell <= 40").groupBy("area", "level").agg(pick(2).alias("b"), pick(1).alias("a"))
-    g = g.filter(F.size("a") > 0).filter(F.size("b") > 0).select("area", "level", auc(F.col("b"), F.col("a")).alias("auc"), F.size("b").cast("long").alias("n"))
+    points = r.filter("config <= 2").select("area", "level", (F.col("config") == 2).alias("side"), F.col("response").alias("v"))
+    g = auc(points, ("area", "level"), ()).filter("n > 0 and n_base > 0")
     return _r(g.select("area", "level", "auc", "n", V.long(F.floor(F.col("auc") * F.col("n") + 0.5)).alias("n_choose")))
 
 
@@ -282,7 +294,7 @@ def f12(spark, sf):
 
 def f02(spark, sf):
     c = V.table(spark, sf, "customer").select("c_custkey", (F.col("c_acctbal") / 30).alias("a"))
-    return _r(c.select("c_custkey", circular.angle_apart(F.col("a") % 360).alias("apart"), circular.phase_unwrapped(F.col("a") % 3).alias("unwrapped"), circular.rescaled(F.col("a"), (-50.0, 350.0), (0.0, 1.0)).alias("rescaled")))
+    return _r(c.select("c_custkey", circular.angle_apart(F.col("a") % 360).alias("apart"), circular.phase_unwrapped(F.col("a") % 3).alias("unwrapped"), circular.rescaled(F.col("a"), (-50.0, 350.0), (0.0, math.sqrt(2))).alias("rescaled")))
 
 
 def f01(spark, sf):
@@ -315,7 +327,7 @@ def f23(spark, sf):
 
 def f25(spark, sf):
     """A tuning curve interpolated between neighbours, around the circle."""
-    m = by_config(V.responses(spark, sf).filter("cell < 10"))
+    m = by_config(V.responses(spark, sf))
     w = W.partitionBy("cell").orderBy("config")
     m = m.withColumn("next", F.coalesce(F.lead("response").over(w), F.first("response").over(w)))
     m = m.select("cell", "config", "response", "next", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("i"))
@@ -329,7 +341,7 @@ def f27(spark, sf):
 
 
 _IMG = f"{V.GRID}, img AS (SELECT y, x, avg(value) / 1000 AS v FROM grid GROUP BY y, x)"
-_MASK = "m AS (SELECT s_suppkey AS cell, s_suppkey * 3 % 50 + dy AS y, s_suppkey * 2 % 50 + dx AS x, (dy + dx + 1) / 9 AS weight FROM supplier, range(5) a(dy), range(5) b(dx) WHERE s_suppkey <= 12)"
+_MASK = "m AS (SELECT s_suppkey AS cell, s_suppkey * 3 % 50 + dy AS y, s_suppkey * 2 % 50 + dx AS x, (dy + dx + 1) / 9 AS weight FROM supplier, range(5) a(dy), range(5) b(dx))"
 
 
 def _box(r: int) -> str:
@@ -358,22 +370,22 @@ QUERIES = {
     "h01_signal_corr": h01, "h02_noise_corr": h02, "h03_spearman": h03, "h06_spectrum": h06, "h07_phase_locked": h07, "h08_phase_maps": h08, "h09_absolute_maps": h09, "h10_frame_quality": h10, "h12_rings": h12, "h13_ring_corrected": h13, "h14_mask_values": h14, "h15_smoothed": h15, "h16_filled": h16, "h17_gradient": h17, "h18_sign_map": h18,
     "h19_patches": h19, "h20_opening": h20, "h21_median_filter": h21, "h22_mask_distance": h22, "h24_universal": h24, "h25_regression": h25, "h27_osi_dsi": h27, "h31_tuning_index": h31, "h33_rank_ordered": h33, "h35_neurometric_auc": h35,
 }
-_NEUAUC = "g AS (SELECT area, CAST(floor(quantity / 10) AS BIGINT) AS level, list(response) FILTER (config = 2) AS ss, list(response) FILTER (config = 1) AS bb FROM rec WHERE config <= 2 AND cell <= 40 GROUP BY ALL), r AS (SELECT *, list_min(ss) AS lo, (list_max(ss) - list_min(ss)) / 49 AS step FROM g WHERE len(ss) > 0 AND len(bb) > 0), q AS (SELECT area, level, i, len(ss) AS n, len(list_filter(ss, lambda z: z > lo + i * step)) / len(ss) AS h, len(list_filter(bb, lambda z: z > lo + i * step)) / len(bb) AS f FROM r, range(50) t(i)), a AS (SELECT *, lag(h) OVER w AS h0, lag(f) OVER w AS f0 FROM q WINDOW w AS (PARTITION BY area, level ORDER BY i)), u AS (SELECT area, level, any_value(n) AS n, sum((f0 - f) * (h + h0) / 2) AS auc FROM a GROUP BY ALL)"
+_NEUAUC = "g AS (SELECT area, CAST(floor(quantity / 10) AS BIGINT) AS level, list(response) FILTER (config = 2) AS ss, list(response) FILTER (config = 1) AS bb FROM rec WHERE config <= 2 GROUP BY ALL), r AS (SELECT *, list_min(ss) AS lo, (list_max(ss) - list_min(ss)) / 49 AS step FROM g WHERE len(ss) > 0 AND len(bb) > 0), q AS (SELECT area, level, i, len(ss) AS n, len(list_filter(ss, lambda z: z > lo + i * step)) / len(ss) AS h, len(list_filter(bb, lambda z: z > lo + i * step)) / len(bb) AS f FROM r, range(50) t(i)), a AS (SELECT *, lag(h) OVER w AS h0, lag(f) OVER w AS f0 FROM q WINDOW w AS (PARTITION BY area, level ORDER BY i)), u AS (SELECT area, level, any_value(n) AS n, sum((f0 - f) * (h + h0) / 2) AS auc FROM a GROUP BY ALL)"
 SQL = {
     "c23_area_labels": f"WITH {_MASK} SELECT DISTINCT cell, x // 16 * 4 + y // 16 AS area FROM m",
     "d34_luminance": f"WITH {_IMG}, {_MASK}, c AS (SELECT cell, avg(y) AS cy, avg(x) AS cx FROM m GROUP BY cell), w AS (SELECT cell, v, exp(-((y - cy) ** 2 + (x - cx) ** 2) / 18) AS w FROM img JOIN c ON abs(y - cy) <= 8 AND abs(x - cx) <= 8) SELECT cell, round(sum(v * w) / sum(255 * w), 6) AS luminance FROM w GROUP BY cell",
     "f01_circular_mean": f"WITH {V.REC}, t AS (SELECT cell, radians(quantity * 3 % 360) AS t FROM rec) SELECT cell, round(cos(atan2(avg(sin(t)), avg(cos(t)))), 6) AS cos_mean FROM t GROUP BY cell",
-    "f02_angles": "WITH c AS (SELECT c_custkey, c_acctbal / 30 AS a FROM customer) SELECT c_custkey, round(least(abs(a % 360), abs(a % 360 - 360), abs(a % 360 + 360)), 6) AS apart, round(CASE WHEN a % 3 < 0 THEN -(a % 3) WHEN a % 3 > 0 THEN 2 * pi() - a % 3 ELSE a % 3 END, 6) AS unwrapped, round((a + 50) / 400, 6) AS rescaled FROM c",
+    "f02_angles": "WITH c AS (SELECT c_custkey, c_acctbal / 30 AS a FROM customer) SELECT c_custkey, round(least(abs(a % 360), abs(a % 360 - 360), abs(a % 360 + 360)), 6) AS apart, round(CASE WHEN a % 3 < 0 THEN -(a % 3) WHEN a % 3 > 0 THEN 2 * pi() - a % 3 ELSE a % 3 END, 6) AS unwrapped, round((a + 50) * sqrt(2) / 400, 6) AS rescaled FROM c",
     "f12_rf_metrics": "WITH s AS (SELECT p_partkey, p_size / 10 + 1 AS sx, p_partkey % 7 + 1.0::DOUBLE AS sy, p_retailprice / 100 AS t FROM part) SELECT p_partkey, round(sx * 2.35, 6) AS fwhm_x, round(pi() * sx * sy, 6) AS area, round(greatest(sx, sy), 6) AS major, round(least(sx, sy), 6) AS minor, round((greatest(sx, sy) - least(sx, sy)) / (sx + sy), 6) AS anisotropy, round(abs(sin(t)), 6) AS aniso_index FROM s",
     "f19_morph_steps": f"WITH {V.STIM}, s AS (SELECT DISTINCT size FROM stim) SELECT size, CASE WHEN size > 25 THEN dense_rank() OVER (PARTITION BY size > 25 ORDER BY size) WHEN size < 25 THEN -dense_rank() OVER (PARTITION BY size < 25 ORDER BY size DESC) ELSE 0 END AS step FROM s",
     "f20_name_parts": f"WITH {V.STIM} SELECT config, regexp_extract(brand, 'Brand#(\\d)(\\d)', 1) AS maker, CAST(regexp_extract(brand, '(\\d+)$', 1) AS BIGINT) AS number, string_split(type, ' ')[1] AS kind, lower(name) AS name FROM stim",
     "f22_varying": f"WITH {V.STIM} SELECT brand, count(DISTINCT ori) > 1 AS ori_varies, count(DISTINCT size) > 1 AS size_varies, count(DISTINCT size) AS n_sizes FROM stim GROUP BY brand",
     "f23_unpivot": "SELECT o_orderkey, 'price' AS metric, o_totalprice AS value FROM orders UNION ALL SELECT o_orderkey, 'key', CAST(o_orderkey AS DOUBLE) FROM orders",
-    "f25_circular_interpolation": f"WITH {V.RESP}, m AS (SELECT cell, config, avg(response) AS r FROM resp WHERE cell < 10 GROUP BY ALL), n AS (SELECT *, coalesce(lead(r) OVER w, first_value(r) OVER w) AS nx FROM m WINDOW w AS (PARTITION BY cell ORDER BY config)) SELECT cell, CAST(config * 36 + i * 12.0 AS DOUBLE) AS theta, round(r + (nx - r) * i / 3, 6) AS response FROM n, range(3) t(i)",
+    "f25_circular_interpolation": f"WITH {V.RESP}, m AS (SELECT cell, config, avg(response) AS r FROM resp GROUP BY ALL), n AS (SELECT *, coalesce(lead(r) OVER w, first_value(r) OVER w) AS nx FROM m WINDOW w AS (PARTITION BY cell ORDER BY config)) SELECT cell, CAST(config * 36 + i * 12.0 AS DOUBLE) AS theta, round(r + (nx - r) * i / 3, 6) AS response FROM n, range(3) t(i)",
     "f27_determination": f"WITH {V.RESP}, f AS (SELECT cell, response, avg(response) OVER (PARTITION BY cell, config) AS f, avg(response) OVER (PARTITION BY cell) AS m FROM resp) SELECT cell, round(1 - sum((response - f) ** 2) / sum((response - m) ** 2), 6) AS r2 FROM f GROUP BY cell",
-    "h01_signal_corr": f"WITH {V.RESP}, m AS (SELECT cell, config, avg(response) AS v FROM resp WHERE cell < 12 GROUP BY ALL) SELECT 'pop' AS datakey, a, b, round(r, 6) AS r FROM {_pairs('m', 'config', 'v')}",
-    "h02_noise_corr": f"WITH {V.RESP}, m AS (SELECT cell, config, trial, response - avg(response) OVER (PARTITION BY cell, config) AS v FROM resp WHERE cell < 8) SELECT 'pop' AS datakey, a, b, round(avg(r), 6) AS r FROM {_pairs('m', 'trial', 'v', 'config')} GROUP BY a, b",
-    "h03_spearman": f"WITH {V.RESP}, m AS (SELECT cell, trial, rank() OVER (PARTITION BY cell ORDER BY response) + (count(*) OVER (PARTITION BY cell, response) - 1) / 2.0 AS v FROM resp WHERE cell < 8) SELECT 'pop' AS datakey, a, b, round(r, 6) AS r, round(1 - r, 6) AS rdm FROM {_pairs('m', 'trial', 'v')}",
+    "h01_signal_corr": f"WITH {V.RESP}, m AS (SELECT cell, config, avg(response) AS v FROM resp GROUP BY ALL) SELECT 'pop' AS datakey, a, b, round(r, 6) AS r FROM {_pairs('m', 'config', 'v')}",
+    "h02_noise_corr": f"WITH {V.RESP}, m AS (SELECT cell, config, trial, response - avg(response) OVER (PARTITION BY cell, config) AS v FROM resp) SELECT 'pop' AS datakey, a, b, round(avg(r), 6) AS r FROM {_pairs('m', 'trial', 'v', 'config')} GROUP BY a, b",
+    "h03_spearman": f"WITH {V.RESP}, m AS (SELECT cell, trial, rank() OVER (PARTITION BY cell ORDER BY response) + (count(*) OVER (PARTITION BY cell, response) - 1) / 2.0 AS v FROM resp) SELECT 'pop' AS datakey, a, b, round(r, 6) AS r, round(1 - r, 6) AS rdm FROM {_pairs('m', 'trial', 'v')}",
     "h06_spectrum": f"WITH {V.TRACE}, p AS (SELECT cell, config, frame_ix, avg(value) AS m FROM tr GROUP BY ALL), g AS (SELECT cell, config, k, sqrt(sum(m * cos(2 * pi() * k * frame_ix / 20)) ** 2 + sum(m * sin(2 * pi() * k * frame_ix / 20)) ** 2) AS mag FROM p, range(1, 11) t(k) GROUP BY ALL) SELECT cell, config, round(sum(mag) FILTER (k = 2), 6) AS mag, round(sum(mag) FILTER (k = 2) / sum(mag), 6) AS magratio FROM g GROUP BY ALL",
     "h07_phase_locked": f"WITH {V.TRACE}, t AS (SELECT cell, trial, cos(4 * pi() * frame_ix / 20) AS c, value - avg(value) OVER (PARTITION BY cell, trial) AS z FROM tr), g AS (SELECT cell, trial, sum(z * c) AS xy, sum(c * c) AS xx, sum(z * z) AS yy FROM t GROUP BY ALL) SELECT cell, trial, round(xy / xx, 6) AS amplitude, round(xy * xy / xx / nullif(yy, 0), 6) AS explained FROM g",
     "h08_phase_maps": f"WITH {V.GRID}, p AS (SELECT y, x, value / 50 % (2 * pi()) - pi() AS p FROM grid), g AS (SELECT y, x, avg(sin(p)) AS s, avg(cos(p)) AS c FROM p GROUP BY y, x) SELECT y, x, round(sqrt(s * s + c * c), 6) AS strength, round(CASE WHEN sqrt(s * s + c * c) > 0.3 THEN cos(atan2(s, c)) END, 6) AS cos_mean FROM g",
@@ -383,7 +395,7 @@ SQL = {
     "h13_ring_corrected": f"WITH {V.GRID}, {_MASK}, {_HALO}, a AS (SELECT cell, frame, sum(value * weight) / sum(weight) AS raw FROM grid JOIN m USING (y, x) GROUP BY ALL), b AS (SELECT cell, frame, avg(value) AS ring FROM grid JOIN ring USING (y, x) GROUP BY ALL) SELECT cell, frame, round(raw, 6) AS raw, round(b.ring, 6) AS ring, round(raw - 0.7 * b.ring, 6) AS corrected FROM a JOIN b USING (cell, frame)",
     "h14_mask_values": f"WITH {_MASK} SELECT y, x, round(avg(cell * weight), 6) AS value, max(cell) AS label, count(*) AS n FROM m GROUP BY y, x",
     "h15_smoothed": f"WITH {_IMG}, cut AS (SELECT y, x, CASE WHEN v < 180 THEN v END AS v FROM img), {_smooth('s', 'cut', 1.0, 2)} SELECT y, x, round(v, 6) AS v FROM s",
-    "h16_filled": f"WITH {_IMG}, cut AS (SELECT y, x, CASE WHEN v < 180 THEN v END AS v FROM img), n AS (SELECT t.y, t.x, arg_min(s.v, (dy * dy + dx * dx) * 1000000 + s.y * 1000 + s.x) AS near FROM cut t, {_box(3)} o JOIN cut s ON s.y = t.y - o.dy AND s.x = t.x - o.dx WHERE s.v IS NOT NULL GROUP BY t.y, t.x) SELECT y, x, round(coalesce(v, near), 6) AS v FROM cut LEFT JOIN n USING (y, x)",
+    "h16_filled": f"WITH {_IMG}, cut AS (SELECT y, x, CASE WHEN v < 180 THEN v END AS v FROM img), n AS (SELECT t.y, t.x, arg_min(s.v, ((s.y - t.y) ** 2 + (s.x - t.x) ** 2) * 1000000 + s.y * 1000 + s.x) AS near FROM cut t, cut s WHERE t.v IS NULL AND s.v IS NOT NULL GROUP BY t.y, t.x) SELECT y, x, round(coalesce(v, near), 6) AS v FROM cut LEFT JOIN n USING (y, x)",
     "h17_gradient": f"WITH {_IMG}, {_grad('g', 'img')} SELECT y, x, round(gy, 6) AS gy, round(gx, 6) AS gx, round(sqrt(gy * gy + gx * gx), 6) AS magnitude FROM g",
     "h18_sign_map": f"WITH {_SIGN} SELECT y, x, sign FROM signs",
     "h20_opening": f"WITH {_IMG}, b AS (SELECT y, x, CAST(v > 100 AS BIGINT) AS v FROM img), e AS (SELECT t.y, t.x, min(s.v) AS v FROM b t, {_box(1)} o JOIN b s ON s.y = t.y - o.dy AND s.x = t.x - o.dx GROUP BY t.y, t.x) SELECT t.y, t.x, max(s.v) AS v FROM e t, {_box(1)} o JOIN e s ON s.y = t.y - o.dy AND s.x = t.x - o.dx GROUP BY t.y, t.x",

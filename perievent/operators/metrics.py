@@ -7,10 +7,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from perievent.plans import views as V
+from perievent.plans.order import quantiles, running_counts
 
 r6 = V.r6
 
 
+#: Cells of the population in V.responses.
+CELLS = 64
+
+
 def epochs(on: int, n_on: int, post: int = 0) -> tuple[Column, Column]:
     """Whether a frame is in the baseline, in the stimulus window."""
     f = F.col("frame_ix")
@@ -79,8 +84,7 @@ def summarize_iterations(iters: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
 
 def empirical_ci(df: DataFrame, keys: tuple[str, ...], value: str, ci: float = 0.95) -> DataFrame:
-    p = F.percentile(value, F.array(F.lit((1 - ci) / 2), F.lit(0.5), F.lit(1 - (1 - ci) / 2)))
-    return df.groupBy(*keys).agg(p.alias("p")).select(*keys, F.col("p")[0].alias("low"), F.col("p")[1].alias("median"), F.col("p")[2].alias("high"))
+    return quantiles(df, keys, value, {"low": (1 - ci) / 2, "median": 0.5, "high": 1 - (1 - ci) / 2})
 
 
 def selectivity(means: DataFrame, degrees: float) -> DataFrame:
@@ -142,8 +146,8 @@ def d07(spark, sf):
 
 
 def d09(spark, sf):
-    df = V.responses(spark, sf).filter("cell < 4").groupBy("config", "cell").agg(F.avg("response").alias("r"))
-    return _rounded(df.groupBy("config").pivot("cell", [0, 1, 2, 3]).agg(F.first("r")).select("config", *[F.col(str(k)).alias(f"cell{k}") for k in range(4)]))
+    df = V.responses(spark, sf).groupBy("config", "cell").agg(F.avg("response").alias("r"))
+    return _rounded(df.groupBy("config").pivot("cell", list(range(CELLS))).agg(F.first("r")).select("config", *[F.col(str(k)).alias(f"cell{k}") for k in range(CELLS)]))
 
 
 def d10(spark, sf):
@@ -208,8 +212,9 @@ def d24(spark, sf):
 
 def d25(spark, sf):
     r = F.sqrt(F.pow(F.col("x") - 32, 2) + F.pow(F.col("y") - 32, 2))
-    g = V.grid(spark, sf).groupBy(long_floor(r / 4).alias("ring"))
-    return _rounded(g.agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.percentile("value", F.lit(0.5)).alias("median"), F.count(F.lit(1)).alias("n"), F.max("value").alias("max"), F.min("value").alias("min")))
+    g = V.grid(spark, sf).withColumn("ring", long_floor(r / 4))
+    median = quantiles(g, ("ring",), "value", {"median": 0.5})
+    return _rounded(g.groupBy("ring").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.count(F.lit(1)).alias("n"), F.max("value").alias("max"), F.min("value").alias("min")).join(median, "ring"))
 
 
 def long_floor(c: Column) -> Column:
@@ -241,9 +246,8 @@ def d35(spark, sf):
 
 
 def d36(spark, sf):
-    w = W.partitionBy("datakey").orderBy("response")
-    r = V.recordings(spark, sf).withColumn("rank", F.cume_dist().over(w))
-    return _rounded(r.groupBy("datakey").agg(F.avg((F.col("rank") >= 0.975).cast("double")).alias("above")))
+    r = running_counts(V.recordings(spark, sf), ("datakey",), "response")
+    return _rounded(r.groupBy("datakey").agg((F.sum(F.when(F.col("upto") / F.col("total") >= 0.975, F.col("n")).otherwise(0)) / F.sum("n")).alias("above")))
 
 
 def d37(spark, sf):
@@ -291,7 +295,7 @@ SQL = {
     "d05_epoch_means": f"WITH {V.TRACE} SELECT cell, trial, config, round(avg(value) FILTER ({_S.format(14)}), 6) AS stimulus, round(avg(value) FILTER ({_S.format(11)}), 6) AS firsthalf, round(avg(value) FILTER ({_S.format(17)}), 6) AS plushalf, round(avg(value) FILTER ({_B}), 6) AS baseline FROM tr GROUP BY cell, trial, config",
     "d06_mean_by_config": f"WITH {V.RESP} SELECT datakey, cell, config, round(avg(response), 6) AS response, count(*) AS n FROM resp GROUP BY ALL",
     "d07_psth": f"WITH {V.TRACE} SELECT cell, config, frame_ix, round(avg(value), 6) AS mean, round(stddev_samp(value) / sqrt(count(*)), 6) AS sem, count(DISTINCT trial) AS n_reps FROM tr GROUP BY cell, config, frame_ix",
-    "d09_pivot_cells": f"WITH {V.RESP} SELECT config, " + ", ".join(f"round(avg(response) FILTER (cell = {k}), 6) AS cell{k}" for k in range(4)) + " FROM resp GROUP BY config",
+    "d09_pivot_cells": f"WITH {V.RESP} SELECT config, " + ", ".join(f"round(avg(response) FILTER (cell = {k}), 6) AS cell{k}" for k in range(CELLS)) + " FROM resp GROUP BY config",
     "d10_count_cells": f"WITH {V.REC} SELECT area, datakey, count(DISTINCT cell) AS n_cells FROM rec GROUP BY ALL",
     "d11_best_response": f"WITH {_BEST} SELECT datakey, cell, config, round(response, 6) AS response FROM best",
     "d12_area_distribution": f"WITH {_BEST} SELECT area, round(avg(response), 6) AS mean, round(stddev_samp(response), 6) AS sd FROM best JOIN (SELECT DISTINCT cell, area FROM rec) USING (cell) GROUP BY area",

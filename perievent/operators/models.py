@@ -230,7 +230,7 @@ def i14(spark, sf):
 
 
 def i15(spark, sf):
-    return _r(decode(_two(spark, sf).filter("cell < 16").select("cell", "trial", "config", F.array("response").alias("x")), 3, 4, by=("cell",)))
+    return _r(decode(_two(spark, sf).select("cell", "trial", "config", F.array("response").alias("x")), 3, 4, by=("cell",)))
 
 
 def i16(spark, sf):
@@ -302,7 +302,7 @@ QUERIES = {
     "e06_lowess": e06, "e14_code_matching": e14, "h23_matching": h23, "h34_power": h34, "i01_bootstrap_means": i01_means, "i01_orientation_fits": i01, "i05_field_fits": i05, "i09_two_regressors": i09, "i12_psychometric": i12, "i13_decode": i13, "i14_decode_by_cells": i14, "i15_decode_single": i15, "i16_generalization": i16, "i19_matched": i19,
     "i23_ridge": i23, "i24_principal": i24, "i25_axis_projection": i25, "i26_correlated_groups": i26, "i28_matrix_product": i28,
 }
-_MASK = "m AS (SELECT s_suppkey AS cell, s_suppkey * 3 % 50 + dy AS y, s_suppkey * 2 % 50 + dx AS x, (dy + dx + 1) / 9 AS weight FROM supplier, range(5) a(dy), range(5) b(dx) WHERE s_suppkey <= 12)"
+_MASK = "m AS (SELECT s_suppkey AS cell, s_suppkey * 3 % 50 + dy AS y, s_suppkey * 2 % 50 + dx AS x, (dy + dx + 1) / 9 AS weight FROM supplier, range(5) a(dy), range(5) b(dx))"
 SQL = {
     "i01_bootstrap_means": f"WITH {V.RESP}, t AS (SELECT config, trial, row_number() OVER (PARTITION BY config ORDER BY trial) - 1 AS k, count(*) OVER (PARTITION BY config) AS n FROM (SELECT DISTINCT config, trial FROM resp)), p AS (SELECT config, it, {_H} % n AS k FROM (SELECT DISTINCT config, n FROM t), range(5) a(it), range(20) b(draw)), q AS (SELECT p.config, p.it, t.trial FROM p JOIN t USING (config, k)) SELECT cell, it, config, round(avg(response), 6) AS response FROM resp JOIN q USING (config, trial) GROUP BY cell, it, config",
     "i09_two_regressors": f"WITH {V.REC}, g AS (SELECT area, covar_pop(quantity, quantity) AS s11, covar_pop(config, config) AS s22, covar_pop(quantity, config) AS s12, covar_pop(quantity, response) AS s1y, covar_pop(config, response) AS s2y, covar_pop(response, response) AS syy FROM rec GROUP BY area), b AS (SELECT *, (s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12) AS b1, (s11 * s2y - s12 * s1y) / (s11 * s22 - s12 * s12) AS b2 FROM g) SELECT area, round(b1, 6) AS b_quantity, round(b2, 6) AS b_config, round((b1 * s1y + b2 * s2y) / syy, 6) AS r2 FROM b",

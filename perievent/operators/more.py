@@ -13,6 +13,7 @@ from perievent.operators.joins import keep, seeded_order, top
 from perievent.operators.metrics import _rounded as _r
 from perievent.operators.metrics import by_config
 from perievent.plans import views as V
+from perievent.plans.order import numbered
 
 
 def reliability(responses: DataFrame, sizes: list[int], seed: int) -> DataFrame:
@@ -217,7 +218,8 @@ def f10(spark, sf):
     from perievent.operators.maps import masks
 
     m = masks(spark, sf).groupBy("cell").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
-    return _r(m.select("cell", (500 - F.col("cx") * 2.3).alias("ml"), (300 - F.col("cy") * 1.9).alias("ap"), V.long(F.row_number().over(W.orderBy("cx", "cy", "cell"))).alias("place")))
+    m = numbered(m, [F.col(c) for c in ("cx", "cy", "cell")], "place")
+    return _r(m.select("cell", (500 - F.col("cx") * 2.3).alias("ml"), (300 - F.col("cy") * 1.9).alias("ap"), "place"))
 
 
 def f16(spark, sf):
@@ -276,7 +278,7 @@ def i07(spark, sf):
 
 def j04(spark, sf):
     m = by_config(V.responses(spark, sf)).groupBy("cell").agg(F.max("response").alias("m"))
-    return m.select("cell", V.long(F.row_number().over(W.orderBy(F.desc("m"), "cell"))).alias("place"))
+    return numbered(m, [F.desc("m"), F.col("cell")], "place").select("cell", "place")
 
 
 def n01(spark, sf):
@@ -294,9 +296,9 @@ def n07(spark, sf):
 
 def n10(spark, sf):
     """Trials by configs, wide, of each cell."""
-    t = V.responses(spark, sf).filter("cell < 3")
+    t = V.responses(spark, sf)
     t = t.withColumn("rep", V.long(F.row_number().over(W.partitionBy("cell", "config").orderBy("trial"))))
-    return _r(t.groupBy("cell", "rep").pivot("config", list(range(3))).agg(F.first("response")).select("cell", "rep", *[F.col(str(k)).alias(f"config{k}") for k in range(3)]))
+    return _r(t.groupBy("cell", "rep").pivot("config", list(range(10))).agg(F.first("response")).select("cell", "rep", *[F.col(str(k)).alias(f"config{k}") for k in range(10)]))
 
 
 def i04(spark, sf):
@@ -305,7 +307,7 @@ def i04(spark, sf):
 
 
 _KDE = "p AS (SELECT CAST(size AS DOUBLE) AS v, sum(w) AS w, sum(w * w) AS w2 FROM d GROUP BY 1), s0 AS (SELECT sum(w) AS sw, sum(w2) AS sw2, sum(w * v) / sum(w) AS m, sum(w * v * v) / sum(w) AS q FROM p), s AS (SELECT sw, sqrt((q - m * m) / (1 - sw2 / (sw * sw))) * (sw * sw / sw2) ** -0.2 AS h FROM s0), k AS (SELECT k, sum(w / sw * exp(-(((k * 50.0 / {n} - v) / h) ** 2) / 2) / (h * sqrt(2 * pi()))) AS density FROM p, s, range({m}) t(k) GROUP BY k)"
-_MASK = "m AS (SELECT s_suppkey AS cell, s_suppkey * 3 % 50 + dy AS y, s_suppkey * 2 % 50 + dx AS x FROM supplier, range(5) a(dy), range(5) b(dx) WHERE s_suppkey <= 12)"
+_MASK = "m AS (SELECT s_suppkey AS cell, s_suppkey * 3 % 50 + dy AS y, s_suppkey * 2 % 50 + dx AS x FROM supplier, range(5) a(dy), range(5) b(dx))"
 QUERIES = {
     "a10_stimulation_info": a10, "a17_json_records": a17, "b01_cell_list": b01, "b11_mean_band": b11, "b12_overlap": b12, "b13_responsive": b13, "b14_good_fits": b14, "b16_gradient_fits": b16, "b20_event_floor": b20, "c06_cells_in": c06, "c07_averaged_fits": c07, "c11_master_configs": c11, "c12_matched_trials": c12, "c13_valid_datasets": c13, "c17_bounded_events": c17, "c19_size_shares": c19,
     "d08_grand_mean": d08, "d17_mean_sem": d17, "d20_group_means": d20, "d26_circular_average": d26, "d28_density": d28, "d29_density_extrema": d29, "d32_choices": d32, "d38_split_half": d38, "d39_trial_windows": d39, "e09_equal_lengths": e09, "e29_epoch_average": e29, "e34_cycle_average": e34, "e35_reflected_mean": e35, "f06_spherical": f06, "f10_centroids": f10, "f16_polygon_area": f16, "f31_grid_cells": f31,
@@ -354,5 +356,5 @@ SQL = {
     "j04_sorted_cells": f"WITH {V.RESP}, m AS (SELECT cell, config, avg(response) AS r FROM resp GROUP BY ALL), b AS (SELECT cell, max(r) AS m FROM m GROUP BY cell) SELECT cell, row_number() OVER (ORDER BY m DESC, cell) AS place FROM b",
     "n01_frame_counts": f"WITH {V.STIM} SELECT config, CAST(floor(size / 10 * 44.65 + 0.5) AS BIGINT) AS n_on, CAST(floor(speed / 500 / 2 * 44.65 + 0.5) AS BIGINT) AS n_post, size / 10 + 1 + speed / 500 / 2 <= size / 10 + speed / 500 AS fits FROM stim",
     "n07_response_sets": f"WITH {V.REC}, s AS (SELECT cell, string_agg(datakey, '+' ORDER BY datakey) AS experiments FROM (SELECT DISTINCT cell, datakey FROM rec WHERE response > 98000) GROUP BY cell) SELECT experiments, count(*) AS n_cells FROM s GROUP BY experiments",
-    "n10_wide_trials": f"WITH {V.RESP}, t AS (SELECT cell, config, response, row_number() OVER (PARTITION BY cell, config ORDER BY trial) AS rep FROM resp WHERE cell < 3), a AS (SELECT cell, rep, round(max(response) FILTER (config = 0), 6) AS config0, round(max(response) FILTER (config = 1), 6) AS config1, round(max(response) FILTER (config = 2), 6) AS config2 FROM t GROUP BY cell, rep) SELECT * FROM a",
+    "n10_wide_trials": f"WITH {V.RESP}, t AS (SELECT cell, config, response, row_number() OVER (PARTITION BY cell, config ORDER BY trial) AS rep FROM resp) SELECT cell, rep, " + ", ".join(f"round(max(response) FILTER (config = {k}), 6) AS config{k}" for k in range(10)) + " FROM t GROUP BY cell, rep",
 }

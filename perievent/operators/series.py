@@ -123,7 +123,7 @@ def e10(spark, sf):
     t = V.traces(spark, sf, False).withColumn("t", V.micros("ts"))
     t = t.withColumns({"t2": F.lead("t").over(w), "v2": F.lead("value").over(w)})
     period = t.groupBy("cell").agg(F.percentile(F.col("t2") - F.col("t"), F.lit(0.5)).alias("period"))
-    t = t.join(period, "cell").withColumn("n", F.when(F.col("t2") - F.col("t") > 1.5 * F.col("period"), F.least(F.lit(50), F.floor((F.col("t2") - F.col("t")) / F.col("period") + 0.5) - 1)).otherwise(0))
+    t = t.join(period, "cell").withColumn("n", F.when(F.col("t2") - F.col("t") > 1.5 * F.col("period"), F.floor((F.col("t2") - F.col("t")) / F.col("period") + 0.5) - 1).otherwise(0))
     t = t.filter("n > 0").select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("i"))
     return _r(t.select("cell", "frame", "i", (F.col("value") + (F.col("v2") - F.col("value")) * F.col("i") / (F.col("n") + 1)).alias("value")))
 
@@ -177,7 +177,7 @@ def e17(spark, sf):
 
 def e19(spark, sf):
     """Trials of runs numbered through."""
-    t = V.recordings(spark, sf).filter("cell = 1").select("datakey", "config", "trial").distinct()
+    t = V.recordings(spark, sf).select("datakey", "config", "trial").distinct()
     n = t.groupBy("datakey", "config").agg(F.count(F.lit(1)).alias("n"))
     before = n.withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy("datakey").orderBy("config").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     ranked = t.withColumn("k", F.row_number().over(W.partitionBy("datakey", "config").orderBy("trial")))
@@ -205,7 +205,7 @@ def e23(spark, sf):
 
 
 def e24(spark, sf):
-    return _r(V.responses(spark, sf).filter("trial % 10 = 0").select("trial", "cell", (F.col("response") - F.min("response").over(W.partitionBy("cell"))).alias("response")))
+    return _r(V.responses(spark, sf).select("trial", "cell", (F.col("response") - F.min("response").over(W.partitionBy("cell"))).alias("response")))
 
 
 def e25(spark, sf):
@@ -213,9 +213,11 @@ def e25(spark, sf):
 
 
 def e26(spark, sf):
-    c, d = W.partitionBy("cell"), W.partitionBy("datakey")
-    z = lambda w: (F.col("response") - F.avg("response").over(w)) / F.stddev_pop("response").over(w)
-    return _r(V.responses(spark, sf).select("trial", "cell", z(c).alias("by_cell"), z(d).alias("overall")))
+    r = V.responses(spark, sf)
+    stats = lambda by, m, s: r.groupBy(by).agg(F.avg("response").alias(m), F.stddev_pop("response").alias(s))
+    j = r.join(stats("cell", "mc", "sc"), "cell").join(stats("datakey", "md", "sd"), "datakey")
+    z = lambda m, s: (F.col("response") - F.col(m)) / F.col(s)
+    return _r(j.select("trial", "cell", z("mc", "sc").alias("by_cell"), z("md", "sd").alias("overall")))
 
 
 def e30(spark, sf):
@@ -277,19 +279,19 @@ SQL = {
     "e05_smoothed": f"WITH {V.TRACE}, {_rolling(5)} SELECT cell, frame, round(m, 6) AS mean FROM ro",
     "e07_resampled": f"WITH {V.TRACE}, p AS (SELECT DISTINCT cell, trial, i, i * 19 / 12.0 AS at FROM tr, range(13) r(i)) SELECT p.cell, p.trial, p.i AS frame_ix, round(a.value + (p.at - floor(p.at)) * (b.value - a.value), 6) AS value FROM p JOIN tr a ON a.cell = p.cell AND a.trial = p.trial AND a.frame_ix = floor(p.at) JOIN tr b ON b.cell = p.cell AND b.trial = p.trial AND b.frame_ix = ceil(p.at)",
     "e08_scaled": f"WITH {V.TRACE} SELECT cell, frame, round(value / stddev_pop(value) OVER w, 6) AS scaled, round((value - avg(value) OVER w) / stddev_pop(value) OVER w, 6) AS zscore FROM tr WINDOW w AS (PARTITION BY cell)",
-    "e10_gap_repair": f"WITH {V.TRACE}, a AS (SELECT cell, frame, value, epoch_us(ts) AS t, lead(epoch_us(ts)) OVER w AS t2, lead(value) OVER w AS v2 FROM trall WINDOW w AS (PARTITION BY cell ORDER BY frame)), p AS (SELECT cell, quantile_cont(t2 - t, 0.5) AS period FROM a GROUP BY cell), g AS (SELECT a.*, CASE WHEN t2 - t > 1.5 * period THEN least(50, CAST(floor((t2 - t) / period + 0.5) AS BIGINT) - 1) ELSE 0 END AS n FROM a JOIN p USING (cell)), x AS (SELECT *, unnest(range(1, n + 1)) AS i FROM g WHERE n > 0) SELECT cell, frame, i, round(value + (v2 - value) * i / (n + 1), 6) AS value FROM x",
+    "e10_gap_repair": f"WITH {V.TRACE}, a AS (SELECT cell, frame, value, epoch_us(ts) AS t, lead(epoch_us(ts)) OVER w AS t2, lead(value) OVER w AS v2 FROM trall WINDOW w AS (PARTITION BY cell ORDER BY frame)), p AS (SELECT cell, quantile_cont(t2 - t, 0.5) AS period FROM a GROUP BY cell), g AS (SELECT a.*, CASE WHEN t2 - t > 1.5 * period THEN CAST(floor((t2 - t) / period + 0.5) AS BIGINT) - 1 ELSE 0 END AS n FROM a JOIN p USING (cell)), x AS (SELECT *, unnest(range(1, n + 1)) AS i FROM g WHERE n > 0) SELECT cell, frame, i, round(value + (v2 - value) * i / (n + 1), 6) AS value FROM x",
     "e11_flag_repair": f"WITH {V.TRACE}, g AS (SELECT cell, frame, value, event_type = 'click' AS bad FROM trall), a AS (SELECT *, max(CASE WHEN NOT bad THEN frame END) OVER (PARTITION BY cell ORDER BY frame) AS pf, min(CASE WHEN NOT bad THEN frame END) OVER (PARTITION BY cell ORDER BY frame ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS qf FROM g), f AS (SELECT a.cell, a.frame, CASE WHEN NOT a.bad THEN a.value WHEN pf IS NULL THEN q.value WHEN qf IS NULL THEN p.value ELSE p.value + (q.value - p.value) * (a.frame - pf) / (qf - pf) END AS fixed FROM a LEFT JOIN g p ON p.cell = a.cell AND p.frame = pf LEFT JOIN g q ON q.cell = a.cell AND q.frame = qf) SELECT cell, frame, round(fixed, 6) AS fixed, round(quantile_cont(fixed, 0.5) OVER (PARTITION BY cell ORDER BY frame ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING), 6) AS smooth FROM f",
     "e12_rising_edges": f"WITH {V.TRACE}, a AS (SELECT cell, frame, CAST(value > 50 AS INT) - lag(CAST(value > 50 AS INT)) OVER (PARTITION BY cell ORDER BY frame) AS d FROM trall) SELECT cell, frame FROM a WHERE d IS NULL OR d = 1",
     "e13_files_by_gap": "WITH a AS (SELECT user_id AS cell, epoch_us(ts) AS t, event_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events), m AS (SELECT cell, quantile_cont(gap, 0.5) AS m FROM a GROUP BY cell), s AS (SELECT cell, t, sum(CASE WHEN gap > 2 * m THEN 1 ELSE 0 END) OVER (PARTITION BY cell ORDER BY t, event_id) AS session FROM a JOIN m USING (cell)) SELECT cell, CAST(session AS BIGINT) AS session, min(t) AS start, max(t) AS stop, count(*) AS n FROM s GROUP BY cell, session",
     "e15_state_runs": f"WITH {_sql_runs('event_type')} SELECT cell, run, v AS event_type, start, stop, length FROM runs WHERE length > 1",
     "e16_on_off_pairs": f"WITH {_sql_runs('CAST(value > 50 AS BIGINT)')}, e AS (SELECT *, lead(start) OVER (PARTITION BY cell ORDER BY run) AS \"end\" FROM runs) SELECT cell, start, \"end\" FROM e WHERE v = 1",
     "e17_next_event": "WITH a AS (SELECT event_id, event_type, epoch_us(ts) AS t, min(CASE WHEN event_type = 'purchase' THEN epoch_us(ts) END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next FROM events) SELECT event_id, next, next - t AS took FROM a WHERE event_type = 'view'",
-    "e19_trial_numbers": f"WITH {V.REC}, t AS (SELECT DISTINCT datakey, config, trial FROM rec WHERE cell = 1) SELECT datakey, config, trial, row_number() OVER (PARTITION BY datakey ORDER BY config, trial) AS number FROM t",
+    "e19_trial_numbers": f"WITH {V.REC}, t AS (SELECT DISTINCT datakey, config, trial FROM rec) SELECT datakey, config, trial, row_number() OVER (PARTITION BY datakey ORDER BY config, trial) AS number FROM t",
     "e20_aligned_grid": f"WITH {V.TRACE}, g AS (SELECT DISTINCT cell, trial, k FROM tr, range(-8, 12) r(k)) SELECT g.cell, g.trial, g.k, t.value FROM g LEFT JOIN (SELECT * FROM tr WHERE frame_ix % 7 <> 3) t ON t.cell = g.cell AND t.trial = g.trial AND t.frame_ix - 8 = g.k",
     "e21_volumes": f"WITH {V.TRACE} SELECT cell, frame, frame // 4 AS volume, frame % 4 AS slice FROM trall",
     "e22_epoch_bins": f"WITH {V.TRACE} SELECT cell, trial, frame_ix // 5 AS bin, round(avg(value), 6) AS value FROM tr GROUP BY ALL",
     "e23_global_index": f"WITH {V.REC}, c AS (SELECT DISTINCT area, datakey, cell FROM rec) SELECT *, row_number() OVER (PARTITION BY area ORDER BY datakey, cell) - 1 AS global_ix FROM c",
-    "e24_min_offset": f"WITH {V.RESP} SELECT trial, cell, round(response - min(response) OVER (PARTITION BY cell), 6) AS response FROM resp WHERE trial % 10 = 0",
+    "e24_min_offset": f"WITH {V.RESP} SELECT trial, cell, round(response - min(response) OVER (PARTITION BY cell), 6) AS response FROM resp",
     "e25_residuals": f"WITH {V.RESP} SELECT trial, cell, round(response - avg(response) OVER (PARTITION BY cell, config), 6) AS residual FROM resp",
     "e26_standardized": f"WITH {V.RESP} SELECT trial, cell, round((response - avg(response) OVER c) / stddev_pop(response) OVER c, 6) AS by_cell, round((response - avg(response) OVER d) / stddev_pop(response) OVER d, 6) AS overall FROM resp WINDOW c AS (PARTITION BY cell), d AS (PARTITION BY datakey)",
     "e30_constant_baselines": f"WITH {V.TRACE}, a AS (SELECT cell, frame, value, min(value) OVER (PARTITION BY cell) AS m, quantile_cont(value, 0.08) OVER (PARTITION BY cell) AS b FROM tr) SELECT cell, frame, round(m, 6) AS f_min, round(b, 6) AS f0, round((value - b) / nullif(b, 0), 6) AS dff FROM a",

@@ -13,31 +13,36 @@ from perievent.operators.metrics import psth
 from perievent.plans import views as V
 
 
-def auc(stim: Column, base: Column, low: Column | None = None, high: Column | None = None, n: int = 50) -> Column:
-    """Area under the ROC curve of two arrays, at n criteria evenly spaced from low to high (stim's range by default):
-    hits and false alarms are the shares above a criterion, the area is taken by trapezoids over the criteria."""
-    low, high = F.array_min(stim) if low is None else low, F.array_max(stim) if high is None else high
-    step = (high - low) / (n - 1)
-    above = lambda a, c: F.size(F.filter(a, lambda x: x > c)) / F.size(a)
-    points = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.struct(above(stim, low + k * step).alias("h"), above(base, low + k * step).alias("f")))
-    area = lambda p: F.aggregate(F.sequence(F.lit(1), F.lit(n - 1)), F.lit(0.0), lambda a, k: a + (F.get(p, k - 1).f - F.get(p, k).f) * (F.get(p, k).h + F.get(p, k - 1).h) / 2)
-    return F.transform(F.array(points), area)[0]
-
-
-def _best_auc(lists: DataFrame, keys: tuple[str, ...], whole: bool) -> DataFrame:
-    """lists (keys, config, s, b) -> the largest AUC of each key, criteria over the range of its configs' s (whole: and
-    b, which also counts responses that no baseline reaches)."""
-    w = W.partitionBy(*keys)
-    low, high = F.min(F.array_min("s")).over(w), F.max(F.array_max("s")).over(w)
-    if whole:
-        low, high = F.least(low, F.min(F.array_min("b")).over(w)), F.greatest(high, F.max(F.array_max("b")).over(w))
-    g = lists.withColumns({"low": low, "high": high})
-    return g.select(*keys, auc(F.col("s"), F.col("b"), F.col("low"), F.col("high")).alias("auc")).groupBy(*keys).agg(F.max("auc").alias("auc"))
+def auc(points: DataFrame, keys: tuple[str, ...], within: tuple[str, ...], whole: bool = False, n: int = 50) -> DataFrame:
+    """keys, within, auc, n, n_base of points (keys, within, side: whether a value is a stimulus's or a baseline's, v): the
+    area under the ROC curve at n criteria evenly spaced over the range of a key's stimulus values (whole: of all). Hits
+    and false alarms are the shares above a criterion, the area is taken by trapezoids over the criteria. Values are
+    counted by how many criteria they exceed, so a group is n + 1 counts however many its values. Null where a side is
+    empty."""
+    points = points.filter("v is not null")
+    bounds = points.filter(F.col("side") | F.lit(whole)).groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    step = (F.col("hi") - F.col("lo")) / (n - 1)
+    p = points.join(bounds, list(keys)).withColumn("step", step)
+    beyond = lambda k: (F.col("v") > F.col("lo") + k * F.col("step")).cast("int")
+    guess = F.when(F.col("step") > 0, F.least(F.lit(n), F.greatest(F.lit(0), F.ceil((F.col("v") - F.col("lo")) / F.col("step"))))).otherwise(F.lit(n) * beyond(0)).cast("int")
+    # The guess may be off by one in either direction, as criteria are rounded.
+    p = p.withColumn("c", guess).withColumn("c", F.col("c") + F.when(F.col("c") < n, beyond(F.col("c"))).otherwise(0) - F.when(F.col("c") > 0, 1 - beyond(F.col("c") - 1)).otherwise(0))
+    bins = p.groupBy(*keys, *within, "c").agg(F.sum(F.col("side").cast("long")).alias("s"), F.sum((~F.col("side")).cast("long")).alias("b"))
+    g = bins.groupBy(*keys, *within).agg(F.collect_list(F.struct("c", "s", "b")).alias("x"), F.sum("s").alias("n"), F.sum("b").alias("n_base"))
+    above = lambda x, c: F.aggregate(x, F.lit(0).cast("long"), lambda a, y: a + F.when(y.c > c, y.s).otherwise(0))
+    area = F.aggregate("x", F.lit(0.0), lambda a, y: a + F.when((y.c >= 1) & (y.c < n), y.b * (above(F.col("x"), y.c) + above(F.col("x"), y.c - 1)) / 2.0).otherwise(0.0))
+    return g.select(*keys, *within, F.when((F.col("n") > 0) & (F.col("n_base") > 0), area / F.col("n") / F.col("n_base")).alias("auc"), "n", "n_base")
+
+
+def sides(df: DataFrame, keep: tuple[str, ...], stim: str, base: str) -> DataFrame:
+    """df's stimulus and baseline values as rows (keep, side, v)."""
+    both = F.explode(F.array(F.struct(F.lit(True).alias("side"), F.col(stim).alias("v")), F.struct(F.lit(False).alias("side"), F.col(base).alias("v"))))
+    return df.select(*keep, both.alias("p")).select(*keep, "p.side", "p.v")
 
 
 def roc(df: DataFrame, keys: tuple[str, ...], stim: str, base: str, whole: bool = False) -> DataFrame:
-    """Each cell's largest AUC over configs. df has one row a trial; a config's trials must fit a task."""
-    return _best_auc(df.groupBy(*keys, "config").agg(F.collect_list(stim).alias("s"), F.collect_list(base).alias("b")), keys, whole)
+    """Each cell's largest AUC over configs. df has one row a trial."""
+    return auc(sides(df, (*keys, "config"), stim, base), keys, ("config",), whole).groupBy(*keys).agg(F.max("auc").alias("auc"))
 
 
 def roc_null(df: DataFrame, keys: tuple[str, ...], stim: str, base: str, iterations: int, seed: int) -> DataFrame:
@@ -48,8 +53,8 @@ def roc_null(df: DataFrame, keys: tuple[str, ...], stim: str, base: str, iterati
     w = W.partitionBy(*keys, "config", "it")
     k = F.row_number().over(w.orderBy(seeded_order(seed, "it", "trial", "side"), "trial", "side", "v"))
     many = many.withColumns({"k": k, "n": F.count(F.lit(1)).over(w)}).withColumn("first", F.col("k") * 2 <= F.col("n"))
-    g = many.groupBy(*keys, "config", "it").agg(F.collect_list(F.when(F.col("first"), F.col("v"))).alias("s"), F.collect_list(F.when(~F.col("first"), F.col("v"))).alias("b"))
-    null = _best_auc(g, (*keys, "it"), False).withColumnRenamed("auc", "shuffled")
+    dealt = many.select(*keys, "it", "config", F.col("first").alias("side"), "v")
+    null = auc(dealt, (*keys, "it"), ("config",)).groupBy(*keys, "it").agg(F.max("auc").alias("shuffled"))
     return null.join(roc(df, keys, stim, base), list(keys)).groupBy(*keys, "auc").agg(F.avg((F.col("shuffled") >= F.col("auc")).cast("double")).alias("p"))
 
 
@@ -103,11 +108,11 @@ def repeated_anova(df: DataFrame, keys: tuple[str, ...], subject: str, levels: t
 
 
 def mann_whitney(df: DataFrame, group: str, value: str) -> DataFrame:
-    """U of each pair of groups (the first's), its z with tie-free deviation. Rows meet only within a pair."""
+    """U of each pair of groups (the first's), its z with tie-free deviation. A row meets the pairs of its group only."""
     groups = df.select(group).distinct()
     a, b = groups.select(F.col(group).alias("a")), groups.select(F.col(group).alias("b"))
-    pairs = a.join(b, F.col("a") < F.col("b"))
-    both = df.select(F.col(group).alias("g"), F.col(value).alias("v")).join(F.broadcast(pairs), (F.col("g") == F.col("a")) | (F.col("g") == F.col("b")))
+    pairs = a.join(b, F.col("a") < F.col("b")).withColumn("g", F.explode(F.array("a", "b")))
+    both = df.select(F.col(group).alias("g"), F.col(value).alias("v")).join(pairs, "g")
     ranked = both.withColumn("rank", average_rank(W.partitionBy("a", "b").orderBy("v")))
     s = ranked.groupBy("a", "b").agg(F.sum(F.when(F.col("g") == F.col("a"), F.col("rank"))).alias("r"), F.sum((F.col("g") == F.col("a")).cast("long")).alias("n1"), F.sum((F.col("g") == F.col("b")).cast("long")).alias("n2"))
     u = F.col("r") - F.col("n1") * (F.col("n1") + 1) / 2
@@ -129,22 +134,22 @@ def corrected(df: DataFrame, keys: tuple[str, ...], p: str) -> DataFrame:
     w, up = W.partitionBy(*keys), W.partitionBy(*keys).orderBy(p).rowsBetween(W.unboundedPreceding, 0)
     down = W.partitionBy(*keys).orderBy(F.desc(p)).rowsBetween(W.unboundedPreceding, 0)
     m, k = F.count(F.lit(1)).over(w), F.row_number().over(W.partitionBy(*keys).orderBy(p))
-    d = df.withColumns({"_m": m, "_k": k}).withColumn("_c", F.aggregate(F.sequence(F.lit(1), F.col("_m").cast("int")), F.lit(0.0), lambda a, i: a + 1 / i))
+    d = df.withColumns({"_m": m, "_k": k}).withColumn("_c", F.sum(1 / F.col("_k")).over(w))
     one = lambda c: F.least(F.lit(1.0), c)
     x = F.col(p)
     return d.withColumns({"bonferroni": one(x * F.col("_m")), "sidak": 1 - F.pow(1 - x, F.col("_m")), "holm": one(F.max(x * (F.col("_m") - F.col("_k") + 1)).over(up)), "fdr_bh": one(F.min(x * F.col("_m") / F.col("_k")).over(down)), "fdr_by": one(F.min(x * F.col("_m") / F.col("_k") * F.col("_c")).over(down))}).drop("_m", "_k", "_c")
 
 
-def _cells(spark, sf, n=20):
-    return V.recordings(spark, sf).filter(F.col("cell") <= n).withColumn("base", F.col("quantity") * 1000)
+def _cells(spark, sf):
+    return V.recordings(spark, sf).withColumn("base", F.col("quantity") * 1000)
 
 
 def g01(spark, sf):
-    return _r(roc(_cells(spark, sf, 100), ("cell",), "response", "base"))
+    return _r(roc(_cells(spark, sf), ("cell",), "response", "base"))
 
 
 def g02(spark, sf):
-    return _r(roc_null(_cells(spark, sf, 3), ("cell",), "response", "base", 8, 11))
+    return _r(roc_null(_cells(spark, sf), ("cell",), "response", "base", 8, 11))
 
 
 def g03(spark, sf):
@@ -166,7 +171,7 @@ def g04p(spark, sf):
 
 
 def g05(spark, sf):
-    return _r(dunn(V.responses(spark, sf).filter("cell < 8"), ("cell",), "config", "response"))
+    return _r(dunn(V.responses(spark, sf), ("cell",), "config", "response"))
 
 
 def g07(spark, sf):
@@ -212,7 +217,7 @@ def g20(spark, sf):
     return _r(g.select("datakey", "level", ((F.col("m1") - F.col("m2")) / F.when(F.col("s1") + F.col("s2") != 0, (F.col("s1") + F.col("s2")) / 2)).alias("dprime")))
 
 
-_CELLS = f"{V.REC}, c AS (SELECT *, quantity * 1000 AS base FROM rec WHERE cell <= {{}})"
+_CELLS = f"{V.REC}, c AS (SELECT *, quantity * 1000 AS base FROM rec)"
 _AUC = "{x}, r AS (SELECT {k}, min(min(s)) OVER (PARTITION BY {c}) AS lo, (max(max(s)) OVER (PARTITION BY {c}) - min(min(s)) OVER (PARTITION BY {c})) / 49 AS step, list(s) FILTER (s IS NOT NULL) AS ss, list(b) FILTER (b IS NOT NULL) AS bb FROM {src} GROUP BY {k}), q AS (SELECT {k}, i, len(list_filter(ss, lambda z: z > lo + i * step)) / len(ss) AS h, len(list_filter(bb, lambda z: z > lo + i * step)) / len(bb) AS f FROM r, range(50) t(i)), a AS (SELECT *, lag(h) OVER w AS h0, lag(f) OVER w AS f0 FROM q WINDOW w AS (PARTITION BY {k} ORDER BY i)), u AS (SELECT {k}, sum((f0 - f) * (h + h0) / 2) AS auc FROM a GROUP BY {k})"
 _RANK = "rank() OVER ({w}) + (count(*) OVER ({t}) - 1) / 2.0"
 _RK = _RANK.format(w="PARTITION BY cell ORDER BY response", t="PARTITION BY cell, response")
@@ -220,13 +225,13 @@ QUERIES = {
     "g01_roc": g01, "g02_roc_null": g02, "g03_frames_beyond": g03, "g04_kruskal_wallis": g04, "g04_kruskal_wallis_p": g04p, "g05_dunn": g05, "g07_repeated_anova": g07, "g08_anova_effects": g08, "g10_mann_whitney": g10, "g11_paired": g11, "g12_corrections": g12, "g13_pearson": g13, "g18_compare_tests": g18, "g20_dprime": g20,
 }
 SQL = {
-    "g01_roc": f"WITH {_AUC.format(x=_CELLS.format(100), k='cell, config', c='cell', src='(SELECT cell, config, response AS s, base AS b FROM c)')} SELECT cell, round(max(auc), 6) AS auc FROM u GROUP BY cell",
-    "g02_roc_null": f"WITH {_AUC.format(x=_CELLS.format(3), k='cell, config', c='cell', src='(SELECT cell, config, response AS s, base AS b FROM c)')}, tr0 AS (SELECT cell, max(auc) AS auc FROM u GROUP BY cell), pool AS (SELECT cell, config, trial, 0 AS side, response AS v FROM c UNION ALL SELECT cell, config, trial, 1, base FROM c), sh AS (SELECT cell, config, it, v, row_number() OVER (PARTITION BY cell, config, it ORDER BY md5('11|' || it || '|' || trial || '|' || side), trial, side, v) * 2 <= count(*) OVER (PARTITION BY cell, config, it) AS s FROM pool, range(8) t(it)), "
+    "g01_roc": f"WITH {_AUC.format(x=_CELLS, k='cell, config', c='cell', src='(SELECT cell, config, response AS s, base AS b FROM c)')} SELECT cell, round(max(auc), 6) AS auc FROM u GROUP BY cell",
+    "g02_roc_null": f"WITH {_AUC.format(x=_CELLS, k='cell, config', c='cell', src='(SELECT cell, config, response AS s, base AS b FROM c)')}, tr0 AS (SELECT cell, max(auc) AS auc FROM u GROUP BY cell), pool AS (SELECT cell, config, trial, 0 AS side, response AS v FROM c UNION ALL SELECT cell, config, trial, 1, base FROM c), sh AS (SELECT cell, config, it, v, row_number() OVER (PARTITION BY cell, config, it ORDER BY md5('11|' || it || '|' || trial || '|' || side), trial, side, v) * 2 <= count(*) OVER (PARTITION BY cell, config, it) AS s FROM pool, range(8) t(it)), "
     + _AUC.format(x="s2 AS (SELECT cell, config, it, CASE WHEN s THEN v END AS s, CASE WHEN NOT s THEN v END AS b FROM sh)", k="cell, config, it", c="cell, it", src="s2").replace(", r AS", ", r2 AS").replace("FROM r,", "FROM r2,").replace(", q AS", ", q2 AS").replace("FROM q WINDOW", "FROM q2 WINDOW").replace(", a AS", ", a2 AS").replace("FROM a GROUP", "FROM a2 GROUP").replace(", u AS", ", u2 AS")
     + ", n AS (SELECT cell, it, max(auc) AS shuffled FROM u2 GROUP BY ALL) SELECT cell, round(auc, 6) AS auc, round(avg(CAST(shuffled >= auc AS INT)), 6) AS p FROM n JOIN tr0 USING (cell) GROUP BY cell, auc",
     "g03_frames_beyond": f"WITH {V.TRACE}, p AS (SELECT cell, config, frame_ix, avg(value) AS mean FROM tr GROUP BY ALL), b AS (SELECT *, avg(mean) FILTER (frame_ix < 8) OVER (PARTITION BY cell, config) AS m, stddev_pop(mean) FILTER (frame_ix < 8) OVER (PARTITION BY cell, config) AS s FROM p) SELECT cell, config, count(*) FILTER (frame_ix >= 8 AND frame_ix < 14 AND (abs(mean) > abs(m) + 1.5 * s OR abs(mean) < abs(m) - 1.5 * s)) AS n_frames FROM b GROUP BY cell, config",
     "g04_kruskal_wallis": f"WITH {V.RESP}, k AS (SELECT datakey, cell, config, response, {_RK} AS rank FROM resp), t AS (SELECT cell, sum(CAST(t AS DOUBLE) * t * t - t) AS ties FROM (SELECT cell, response, count(*) AS t FROM k GROUP BY ALL) GROUP BY cell), g AS (SELECT datakey, cell, config, sum(rank) AS r, count(*) AS n FROM k GROUP BY ALL), s AS (SELECT datakey, cell, sum(r * r / n) AS s, CAST(sum(n) AS DOUBLE) AS n, count(*) - 1 AS dof FROM g GROUP BY ALL) SELECT datakey, cell, round((12 / (n * (n + 1)) * s - 3 * (n + 1)) / (1 - ties / (n * n * n - n)), 6) AS h, dof FROM s JOIN t USING (cell)",
-    "g05_dunn": f"WITH {V.RESP}, k AS (SELECT cell, config, {_RK} AS rank, count(*) OVER (PARTITION BY cell) AS total FROM resp WHERE cell < 8), g AS (SELECT cell, total, config, avg(rank) AS m, count(*) AS n FROM k GROUP BY ALL) SELECT x.cell, x.config AS a, y.config AS b, round((x.m - y.m) / sqrt(x.total * (x.total + 1) / 12 * (1 / x.n + 1 / y.n)), 6) AS z FROM g x JOIN g y ON x.cell = y.cell AND x.config < y.config",
+    "g05_dunn": f"WITH {V.RESP}, k AS (SELECT cell, config, {_RK} AS rank, count(*) OVER (PARTITION BY cell) AS total FROM resp), g AS (SELECT cell, total, config, avg(rank) AS m, count(*) AS n FROM k GROUP BY ALL) SELECT x.cell, x.config AS a, y.config AS b, round((x.m - y.m) / sqrt(x.total * (x.total + 1) / 12 * (1 / x.n + 1 / y.n)), 6) AS z FROM g x JOIN g y ON x.cell = y.cell AND x.config < y.config",
     "g07_repeated_anova": f"WITH {V.TRACE}, t AS (SELECT cell, trial, avg(value) FILTER (frame_ix < 8) AS a, avg(value) FILTER (frame_ix >= 8 AND frame_ix < 14) AS b, avg(value) FILTER (frame_ix >= 14) AS c FROM tr GROUP BY cell, trial), d AS (SELECT *, (a + b + c) / 3 AS m, avg((a + b + c) / 3) OVER (PARTITION BY cell) AS g FROM t), s AS (SELECT cell, sum((a - m) ** 2 + (b - m) ** 2 + (c - m) ** 2) AS w, count(*) AS n, any_value(g) AS g, avg(a) AS a, avg(b) AS b, avg(c) AS c FROM d GROUP BY cell), e AS (SELECT cell, n, w, n * ((a - g) ** 2 + (b - g) ** 2 + (c - g) ** 2) AS e FROM s WHERE n > 1) SELECT cell, round(e / 2 / ((w - e) / (2 * (n - 1))), 6) AS f, CAST(2 AS BIGINT) AS df1, 2 * (n - 1) AS df2 FROM e",
     "g08_anova_effects": f"WITH {V.RESP}, g AS (SELECT cell, config, sum(response) AS s, sum(response * response) AS q, count(*) AS n FROM resp GROUP BY ALL), t AS (SELECT cell, sum(s * s / n) - sum(s) ** 2 / sum(n) AS b, sum(q) - sum(s) ** 2 / sum(n) AS t, count(*) - 1 AS df1, CAST(sum(n) AS BIGINT) - count(*) AS df2 FROM g GROUP BY cell) SELECT cell, round(b / df1 / ((t - b) / df2), 6) AS f, df1, df2, round(b / t, 6) AS eta2, round((b - df1 * ((t - b) / df2)) / (t + (t - b) / df2), 6) AS omega2 FROM t",
     "g10_mann_whitney": f"WITH {V.REC}, m AS (SELECT area, cell, avg(response) AS m FROM rec GROUP BY ALL), p AS (SELECT x.area AS a, y.area AS b FROM (SELECT DISTINCT area FROM m) x JOIN (SELECT DISTINCT area FROM m) y ON x.area < y.area), k AS (SELECT a, b, area, rank() OVER (PARTITION BY a, b ORDER BY m) + (count(*) OVER (PARTITION BY a, b, m) - 1) / 2.0 AS rank FROM m JOIN p ON area = a OR area = b), s AS (SELECT a, b, sum(rank) FILTER (area = a) AS r, count(*) FILTER (area = a) AS n1, count(*) FILTER (area = b) AS n2 FROM k GROUP BY a, b) SELECT a, b, round(CAST(r - n1 * (n1 + 1) / 2 AS DOUBLE), 6) AS u, round((r - n1 * (n1 + 1) / 2 - n1 * n2 / 2) / sqrt(n1 * n2 * (n1 + n2 + 1) / 12), 6) AS z FROM s",
