@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from perievent.sources.text import place
+
 #: Words are maximal runs of anything but these six ASCII characters.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -35,29 +34,12 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors see; a temporary one where it is unset (local runs)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or getattr(shared_dir, "own", None)
-    if not found:
-        found = shared_dir.own = tempfile.mkdtemp(prefix="shared-")
-    return found.rstrip("/")
-
-
 def stash(df: DataFrame) -> DataFrame:
     """Writes df as a table in the shared folder and returns it read back: lineage ends there, and no executor's
     loss undoes it. The table goes when the driver's process ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
+    path = place(spark, "stash")
     df.write.parquet(path)
-
-    def drop() -> None:
-        try:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the JVM may be gone already
-            pass
-
-    atexit.register(drop)
     return spark.read.schema(df.schema).parquet(path)
 
 
