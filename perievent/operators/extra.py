@@ -14,15 +14,13 @@ from perievent.operators.maps import image, masks
 from perievent.operators.metrics import _rounded as _r
 from perievent.plans import views as V
 from perievent.plans.order import numbered
-from perievent.sources.text import folder
+from perievent.sources.text import place
 
 
 def by_partition(df: DataFrame, key: str) -> DataFrame:
     """df written to the shared folder with one directory for each value of key, and read back: a filter on key reads
     only its directories."""
-    import uuid
-
-    path = f"{folder(df.sparkSession)}/parts-{uuid.uuid4().hex}"
+    path = place(df.sparkSession, "parts")
     df.write.partitionBy(key).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 
-from perievent.sources.text import folder
+from perievent.sources.text import place
 
 
 def stash(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back: what is lost with an executor is read again, not made again."""
-    path = f"{folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = place(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
