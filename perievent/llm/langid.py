@@ -162,7 +162,7 @@ def identify(docs: DataFrame, model: ByteCNN | None) -> DataFrame:
     spark = docs.sparkSession
     base.small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-    rest = [c for c in docs.columns if c != "text"]
+    rest = F.struct(*([F.col(f"`{c}`") for c in docs.columns if c != "text"] or [F.lit(1).alias("none")])).alias("row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
@@ -182,12 +182,12 @@ def identify(docs: DataFrame, model: ByteCNN | None) -> DataFrame:
             score = total.max(axis=1) / np.maximum(1e-9, total.sum(axis=1))
             letters = b.column("has_letter").to_pylist()
             lang = [net.labels[k] if ok else UNKNOWN for k, ok in zip(best.tolist(), letters)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array(lang, pa.string()), pa.array([s if ok else 0.0 for s, ok in zip(score.tolist(), letters)], pa.float64())], names=[*rest, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(lang, pa.string()), pa.array([s if ok else 0.0 for s, ok in zip(score.tolist(), letters)], pa.float64())], names=["row", "lang_pred", "score"])
 
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-    asked = docs.withColumn("has_letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    return asked.mapInArrow(run, StructType([*docs.select(*rest).schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    asked = docs.select(rest, "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("has_letter"))
+    return asked.mapInArrow(run, StructType([asked.schema["row"], StructField("lang_pred", StringType()), StructField("score", DoubleType())])).select("row.*", "lang_pred", "score")
 
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,6 +23,8 @@ WEIGHTS, SHARE, EPOCHS = (5.0, 2.0, 1.0), 1.5, 2.0
 DP_BUDGET = 1 << 17
 #: About so many rows are ranked together.
 RANKED = 64
+#: Sources whose sizes are listed on the driver.
+MOST_SOURCES = 1 << 17
 
 
 def source_targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS) -> dict[str | None, float]:
@@ -91,11 +93,13 @@ def mix(rows: DataFrame, size: Column, source: Column, key: Column, seed: int =
 
     size is a row's length in words (null counts as 0), key what the seeded order hashes. Rows alike in key and size
     are interchangeable. A null source is a source of its own, last in order; empty tables give no rows. Sources are
-    few enough to list on the driver (one row each); lengths and documents are not listed there.
+    listed on the driver (one row each; over MOST_SOURCES raise an error); lengths and documents are not listed there.
     """
     spark = rows.sparkSession
     put = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), F.coalesce(size, F.lit(0)).cast("long").alias("size"), source.alias("src"), F.xxhash64(F.lit(seed), key).alias("h"))
-    totals = put.groupBy("src").agg(F.sum("size").alias("source_size")).collect()
+    totals = put.groupBy("src").agg(F.sum("size").alias("source_size")).limit(MOST_SOURCES + 1).collect()
+    if len(totals) > MOST_SOURCES:
+        raise ValueError(f"over {MOST_SOURCES} sources: their targets are worked out on the driver")
     sizes = {r["src"]: int(r["source_size"]) for r in totals}
     goal = source_targets(sizes, weights, share, epochs)
 

@@ -79,8 +79,10 @@ def _placed(put: DataFrame, shards: int, order: list[str]) -> DataFrame:
     atoms = groups.groupBy(atom.alias("atom")).agg(F.sum("bytes").alias("bytes")).collect()  # at most ATOMS + 1/LARGE rows
     placed = differencing(sorted((int(r["bytes"]), r["atom"]) for r in atoms), shards)
     where = spark.createDataFrame(list(placed.items()), "atom string, shard int")
-    homes = groups.select("like", atom.alias("atom")).join(F.broadcast(where), "atom").select("like", "shard")
-    sent = put.join(homes, "like")
+    # Two look-ups in that table, of a large group itself or else of its hash class: rows of equal texts never meet.
+    own, of_class = where.select(F.col("atom").alias("like"), F.col("shard").alias("own")), where.select(F.col("atom").alias("class"), F.col("shard").alias("of_class"))
+    sent = put.withColumn("class", F.pmod(F.xxhash64("like"), F.lit(ATOMS)).cast("string")).join(F.broadcast(own), "like", "left").join(F.broadcast(of_class), "class", "left")
+    sent = sent.withColumn("shard", F.coalesce("own", "of_class")).drop("class", "own", "of_class")
     # Slots: rows are ranked in hash classes of each shard, the classes' counts give each class its first slot.
     count = max(1, sum(1 for _ in atoms) // 64)
     sent = sent.withColumn("lane", F.pmod(F.xxhash64("like", *order), F.lit(count * 4)))

@@ -48,6 +48,26 @@ def test_odd_rows_have_results(spark, odd):
     assert "size" in got["shard"][0].asDict() and sorted(r["slot"] for r in got["shard"] if r["shard"] == 0) == list(range(sum(r["shard"] == 0 for r in got["shard"])))
 
 
+def test_odd_texts_and_clashing_names(spark):
+    """Counts and pages of odd rows; columns of a caller's that have the names that operators use inside."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [None, "", " \t\n", "x", "x", "word " * 60_000, "é ß 漢字 🙂 " * 30, "some fine words stand here"]
+    df = spark.createDataFrame([(i, t, "a", "b", "c", "d") for i, t in enumerate(texts)], "doc_id long, text string, has_letter string, like string, _node string, n_tokens string")
+    got = {r["doc_id"]: r for r in tokens.count_tokens(df, "text", path).collect()}
+    assert {i: r["n_tokens"] for i, r in got.items()} == {i: len(Tokenizer.from_file(path).encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    assert all(r["like"] == "b" for r in got.values())
+    docs = df.select("doc_id", "text", F.lit("en").alias("lang"), "has_letter", "like", "_node")
+    for out in (langid.identify(docs, langid.train(docs)), simhash.deduplicate(docs), quality.keep(docs, quality.FILTER), decontaminate.clean(docs, docs.select(F.col("doc_id").alias("item_id"), F.lit(None).cast("string").alias("text"))), sharding.sharded_documents(docs)):
+        rows = out.collect()
+        assert rows and all((r["has_letter"], r["like"], r["_node"]) == ("a", "b", "c") for r in rows)
+    pages = df.select(F.col("doc_id").alias("page_id"), F.lit(None).cast("string").alias("url"), F.col("text").alias("html"), "like")
+    got = {r["page_id"]: r["text"] for r in html.extract(pages).collect()}
+    assert got == {i: "" if i in (0, 1, 2) else t.strip() for i, t in enumerate(texts)} and len(got) == 8
+
+
 def test_empty_tables_give_no_rows(spark, none):
     for k, v in everything(spark, none).items():
         assert v.count() == 0, k
