@@ -21,18 +21,19 @@ def folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes what place gave a path."""
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # at the end, the JVM may be gone already
+        pass
+
+
 def place(spark: SparkSession, kind: str) -> str:
     """A new path in the shared folder; what is written there goes when the driver's process ends."""
     path = f"{folder(spark)}/{kind}-{uuid.uuid4().hex}"
-
-    def drop() -> None:
-        try:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the JVM may be gone already
-            pass
-
-    atexit.register(drop)
+    atexit.register(drop, spark, path)
     return path
 
 
