@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import gc
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perievent.sources.text import place
+from perievent.sources.text import drop, place
 
 #: Words are maximal runs of anything but these six ASCII characters.
 SPACE = r"[\x20\x09-\x0D]"
@@ -39,8 +44,73 @@ def stash(df: DataFrame) -> DataFrame:
     loss undoes it. The table goes when the driver's process ends."""
     spark = df.sparkSession
     path = place(spark, "stash")
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._stashed_at = path
+    return found
+
+
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Within it, stashed tables are temporary: at its end they are deleted, but for those handed to keep(), which pass to
+    the scope around it. Shuffle files of what ran within it are let go too: Spark deletes them once the driver has
+    collected its garbage, which a long job of small rounds does too seldom."""
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._stashed_at)
+        return df
+
+    own: list[str] = []
+    _scopes.append(own)
+    try:
+        yield keep
+    finally:
+        _scopes.pop()
+        if _scopes:
+            _scopes[-1].extend(p for p in own if p in kept)
+        for p in own:
+            if p not in kept:
+                drop(spark, p)
+        gc.collect()
+        spark._jvm.System.gc()
+
+
+MAX_BITS, BLOCK = 1 << 28, 1 << 16
+
+
+def bit_table(hashes: DataFrame) -> np.ndarray:
+    """Two bits set for each value of hashes.h, in a table of 32 bits a row, 32 MiB at most: what has a bit unset isn't
+    there. It comes to the driver in rows of one block each."""
+    bits = min(MAX_BITS, 1 << max(16, (32 * hashes.count()).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.unique(np.concatenate(places(np.asarray(b.column(0)).view(np.uint64), bits)))
+            yield pa.RecordBatch.from_arrays([pa.array((at // BLOCK).astype(np.int32)), pa.array((at % BLOCK).astype(np.int32))], names=["block", "bit"])
+
+    packed = np.zeros(bits // 8, dtype=np.uint8)
+    for r in hashes.select("h").mapInArrow(run, "block int, bit int").groupBy("block").agg(F.collect_set("bit").alias("bits")).toLocalIterator():
+        table = np.zeros(BLOCK, dtype=np.bool_)
+        table[r["bits"]] = True
+        packed[r["block"] * BLOCK // 8 : (r["block"] + 1) * BLOCK // 8] = np.packbits(table, bitorder="little")
+    return packed
+
+
+def places(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    low = np.uint64(bits - 1)
+    return (h & low).astype(np.int64), ((h >> np.uint64(32)) & low).astype(np.int64)
+
+
+def may_hold(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether each hash may be in a bit table (1 or 0)."""
+    p, q = places(h, 8 * len(table))
+    return table[p >> 3] >> (p & 7).astype(np.uint8) & table[q >> 3] >> (q & 7).astype(np.uint8) & 1
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

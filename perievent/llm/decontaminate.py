@@ -34,9 +34,6 @@ WINDOW, NEEDED = 13, 11
 SPAN = max(map(len, MASKS))
 AROUND = WINDOW - 1
 FRAME = SPAN + 2 * AROUND
-MAX_BITS = 1 << 28
-#: Bits of the table that travel in one row.
-BLOCK = 1 << 16
 
 #: Tokens: runs of ASCII letters and digits and of other letters' bytes, in lower case.
 _TOKEN_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -119,30 +116,6 @@ def item_seeds(items: DataFrame) -> DataFrame:
     return items.select("item_id", "text").mapInArrow(run, T.StructType([T.StructField("h", T.LongType()), T.StructField("frame", T.BinaryType()), T.StructField("size", T.IntegerType()), items.schema["item_id"]]))
 
 
-def bit_table(seeds: DataFrame) -> np.ndarray:
-    """Two bits set for each seed, in a table of 32 bits a seed, 32 MiB at most. It comes to the driver in rows of one
-    block each."""
-    n = seeds.count()
-    bits = min(MAX_BITS, 1 << max(16, (32 * n).bit_length()))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = np.unique(np.concatenate(places(np.asarray(b.column(0)).view(np.uint64), bits)))
-            yield pa.RecordBatch.from_arrays([pa.array((at // BLOCK).astype(np.int32)), pa.array((at % BLOCK).astype(np.int32))], names=["block", "bit"])
-
-    packed = np.zeros(bits // 8, dtype=np.uint8)
-    for r in seeds.select("h").mapInArrow(run, "block int, bit int").groupBy("block").agg(F.collect_set("bit").alias("bits")).toLocalIterator():
-        table = np.zeros(BLOCK, dtype=np.bool_)
-        table[r["bits"]] = True
-        packed[r["block"] * BLOCK // 8 : (r["block"] + 1) * BLOCK // 8] = np.packbits(table, bitorder="little")
-    return packed
-
-
-def places(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    low = np.uint64(bits - 1)
-    return (h & low).astype(np.int64), ((h >> np.uint64(32)) & low).astype(np.int64)
-
-
 def leaks(docs: DataFrame, items: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     """(row, item_id, n_items, start, end, matched): for each of the texts' windows that agrees with an item, docs' row
     without its text (a struct), the item, how many items have its tokens, the window's tokens (end exclusive, within the
@@ -158,7 +131,7 @@ def leaks(docs: DataFrame, items: DataFrame, shortest: int = SHORTEST) -> DataFr
     masks = sorted({m for r in classes.select(F.least("n_tokens", F.lit(LONG)).alias("n")).distinct().collect() for m in patterns(r["n"])})  # LONG values at most
     members = base.stash(item_seeds(classes))
     seeds = base.stash(members.groupBy("h", "frame", "size").agg(F.min("item_id").alias("item_id"), F.count(F.lit(1)).alias("alike")))
-    shared = spark.sparkContext.broadcast(bit_table(seeds))
+    shared = spark.sparkContext.broadcast(base.bit_table(seeds))
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
@@ -168,8 +141,7 @@ def leaks(docs: DataFrame, items: DataFrame, shortest: int = SHORTEST) -> DataFr
                 codes = token_codes(text)
                 for mask in masks:
                     h = seed_hashes(codes, mask)
-                    p, q = places(h, 8 * len(bits))
-                    at = np.flatnonzero(bits[p >> 3] >> (p & 7).astype(np.uint8) & bits[q >> 3] >> (q & 7).astype(np.uint8) & 1)
+                    at = np.flatnonzero(base.may_hold(bits, h))
                     if len(at):
                         rows.append(np.full(len(at), i))
                         hs.append(h[at])

@@ -20,7 +20,7 @@ from perievent.llm import base
 
 SYMBOLS = "#*$%&|<>"
 #: Documents on which the rules' costs are estimated, and how often each is timed (the least time counts).
-SAMPLE, TIMES = 1000, 3
+SAMPLE, TIMES = 500, 3
 #: Places that fit beside a hash in one long.
 PACKED = 1 << 17
 
@@ -68,18 +68,17 @@ def m_repeats(df: DataFrame, text: str) -> DataFrame:
     df = _held(df.withColumn("_packed", F.when((n >= 4) & (n <= PACKED), packed).otherwise(empty)))
     p, at = F.col("_packed"), lambda x: x.bitwiseAND(low).cast("int")
     same = lambda a, b: F.coalesce((a.bitwiseXOR(b) <= low) & (a.bitwiseXOR(b) >= 0), F.lit(False))
-    equal = lambda a, b: same(a, b) & alike(at(a), at(b))
-    twice = F.transform(F.filter(p, lambda x, i: equal(x, F.get(p, i - 1)) | equal(x, F.get(p, i + 1))), lambda x: x.bitwiseAND(low))
+    df = _held(df.withColumn("_twice", F.transform(F.filter(p, lambda x, i: same(x, F.get(p, i - 1)) | same(x, F.get(p, i + 1))), lambda x: x.bitwiseAND(low))))
     clash = F.exists(F.filter(p, lambda x, i: same(x, F.get(p, i + 1)) & ~alike(at(x), at(F.get(p, i + 1)))), lambda x: F.lit(True))
     beside = lambda s: F.transform(F.filter(s, lambda x, i: F.coalesce(x.h == F.get(s, i - 1).h, F.lit(False)) | F.coalesce(x.h == F.get(s, i + 1).h, F.lit(False))), lambda x: x.i)
     by_words = base.let(F.array_sort(F.transform(places, lambda i: F.struct(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.cast("long").alias("i")))), beside)
     sorted_ = F.array_sort(F.transform(places, lambda i: F.struct(window(i).alias("h"), i.cast("long").alias("i"))))
     differ = lambda s: F.exists(F.filter(s, lambda x, i: F.coalesce(x.h == F.get(s, i + 1).h, F.lit(False)) & ~alike(x.i.cast("int"), F.get(s, i + 1).i.cast("int"))), lambda x: F.lit(True))
     wide = base.let(sorted_, lambda s: F.when(differ(s), by_words).otherwise(beside(s)))
-    df = _held(df.withColumn("_starts", F.sort_array(F.when(n > PACKED, wide).when(clash, by_words).otherwise(twice))))
+    df = _held(df.withColumn("_starts", F.sort_array(F.when(n > PACKED, wide).when(F.size("_twice") == 0, F.col("_twice")).when(clash, by_words).otherwise(F.col("_twice")))))
     s = F.col("_starts")
     covered = F.aggregate(F.transform(s, lambda x, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get(s, i + 1) - x, F.lit(3).cast("long")))), F.lit(0).cast("long"), lambda a, b: a + b)
-    return df.withColumn("n_repeat_words", F.when(F.size(s) > 0, covered).otherwise(F.lit(0).cast("long"))).drop("_bits", "_packed", "_starts")
+    return df.withColumn("n_repeat_words", F.when(F.size(s) > 0, covered).otherwise(F.lit(0).cast("long"))).drop("_bits", "_packed", "_twice", "_starts")
 
 
 def _held(df: DataFrame) -> DataFrame:
@@ -107,7 +106,7 @@ BASE = (few_words(50), REPEATS)
 OWN = (
     Rule("symbols", (m_words,), lambda text: 10 * n_of(text, SYMBOLS) > F.col("n_words")),
     Rule("shouts", (m_words,), lambda text: 4 * n_of(text, "!") > F.col("n_words")),
-    Rule("dup_lines", (), lambda text: base.let(lines(text), lambda x: (n_dup(x) >= 3) & (100 * n_dup(x) > 30 * F.size(x)))),
+    Rule("dup_lines", (), lambda text: base.let(lines(text), lambda x: base.let(n_dup(x), lambda d: (d >= 3) & (100 * d > 30 * F.size(x))))),
     Rule("word_length", (m_words,), lambda text: base.let(n_word_chars(text), lambda x: (x < 2 * F.col("n_words")) | (x > 15 * F.col("n_words")))),
 )
 RULES = (*BASE, *OWN)

@@ -183,10 +183,6 @@ def _edges(t: int, edges: list[tuple[int, int]]) -> pa.RecordBatch:
 
 #: Near-duplicate texts: fingerprints of each text, words of a shingle and similarity of the exact check.
 TABLES, SHINGLE, SIMILAR = 6, 5, 0.8
-#: Bits of all fingerprints together by which candidates of the first pass differ, at most. Similar texts may differ by
-#: more (a block added or cut off): these are left to the exact pass.
-APART = 54
-
 
 def remixed(h: np.ndarray, t: int) -> np.ndarray:
     """Another hash for each table."""
@@ -195,34 +191,59 @@ def remixed(h: np.ndarray, t: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def parity(h: np.ndarray) -> bytes:
+    """A set's parity bits: each member turns one bit of a power of two, four to eight times as many as members. Two sets
+    differ in at least as many members as their bits differ; a larger table folds into a smaller one."""
+    width = 1 << max(6, (4 * len(h)).bit_length())
+    return np.packbits(np.bincount((h & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1, bitorder="little").tobytes()
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """Members by which two sets differ, at least."""
+    x, y = np.frombuffer(a, dtype="<u8"), np.frombuffer(b, dtype="<u8")
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def word_fingerprints(rows: DataFrame) -> DataFrame:
-    """node, doc_id, fps of rows (node, doc_id, text): TABLES fingerprints of a text's distinct words."""
+    """node, doc_id, fps, n, bits of rows (node, doc_id, text): TABLES fingerprints of a text's distinct words; how many
+    distinct five-word shingles it has, and their parity bits."""
     base.small_batches(rows.sparkSession)
     kind = dict(rows.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = xxhash.xxh3_64_intdigest
         for b in batches:
-            lists = [[h(w) for w in set((t or b"").lower().split())] for t in b.column("text").cast(pa.binary()).to_pylist()]
+            texts = b.column("text").cast(pa.binary()).to_pylist()
+            lists = [[h(w) for w in set((t or b"").lower().split())] for t in texts]
             sizes = np.array([len(x) for x in lists], dtype=np.int64)
             hashes = np.fromiter((x for y in lists for x in y), dtype="<u8", count=int(sizes.sum()))
             fps = np.stack([majority(remixed(hashes, t), sizes) for t in range(TABLES)], axis=1).view(np.int64)
             offsets = pa.array(np.arange(len(lists) + 1, dtype=np.int32) * TABLES)
-            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("doc_id"), pa.ListArray.from_arrays(offsets, pa.array(fps.ravel()))], names=["node", "doc_id", "fps"])
+            sets = [np.unique(np.array(shingle_hashes(t, SHINGLE), dtype=np.uint64)) for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("doc_id"), pa.ListArray.from_arrays(offsets, pa.array(fps.ravel())), pa.array([len(x) for x in sets], pa.int32()), pa.array([parity(x) for x in sets], pa.binary())], names=["node", "doc_id", "fps", "n", "bits"])
 
-    return rows.select("node", "doc_id", "text").mapInArrow(run, f"node long, doc_id {kind}, fps array<long>")
+    return rows.select("node", "doc_id", "text").mapInArrow(run, f"node long, doc_id {kind}, fps array<long>, n int, bits binary")
 
 
-def shingle_sets(rows: DataFrame) -> DataFrame:
-    """node, shingles (array<int>: hashes of the distinct five-word shingles) of rows (node, text)."""
+def shingle_sets(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """node, shingles (array<long>: hashes of the distinct five-word shingles) of the rows (node, text) that are asked for
+    (node), and of a few more. A bit table of the asked ones spares the shuffle most others."""
     base.small_batches(rows.sparkSession)
+    shared = rows.sparkSession.sparkContext.broadcast(base.bit_table(asked.select(F.col("node").alias("h"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
         for b in batches:
-            sets = [np.unique(np.array(shingle_hashes(t, SHINGLE), dtype=np.uint64).astype(np.uint32)).view(np.int32) for t in b.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.list_(pa.int32()))], names=["node", "shingles"])
+            b = b.filter(pa.array(base.may_hold(table, b.column("node").to_numpy().view(np.uint64)).astype(bool)))
+            for lo in range(0, b.num_rows, 200):
+                found = list(_distinct_shingles(iter([b.slice(lo, 200)])))
+                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([h.view(np.int64) for _, h in found], pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    return rows.select("node", "text").mapInArrow(run, "node long, shingles array<int>")
+    return rows.select("node", "text").mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])
 
 
 #: The exact pass: texts under a key that are paired at once, hubs of a round for more, one text of so many whose shingles
@@ -388,61 +409,82 @@ def near_duplicates(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, groups) of keyed (numbered's): nodes (node, doc_id: the least, times: the rows that have both) are distinct
     texts; groups (node, root) hold those that share SIMILAR of their five-word shingles or more with another, directly or
     by others. First, candidates are met by fingerprints of words, in which an edit of one word counts once, not five
-    times; this links most copies by few comparisons. Then all pairs that may be similar and aren't linked yet meet by the
-    prefixes of their shingles, so that none is missed. Every link has passed the exact check."""
-    counted = word_fingerprints(keyed).groupBy("node", "doc_id").agg(F.first("fps").alias("fps"), F.count(F.lit(1)).alias("times"))
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "times")).alias("k")
-    nodes = base.stash(counted.groupBy("node").agg(least, F.first("fps").alias("fps")).select("node", "k.doc_id", "k.times", "fps"))
+    times. Then all pairs that may be similar meet by the prefixes of their shingles, so that none is missed. Pairs whose
+    parity bits rule them out go; of the others every link has passed the exact check."""
+    spark = keyed.sparkSession
+    with base.scratch(spark) as keep:
+        counted = word_fingerprints(keyed).groupBy("node", "doc_id").agg(F.first("fps").alias("fps"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.count(F.lit(1)).alias("times"))
+        least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "times")).alias("k")
+        nodes = base.stash(counted.groupBy("node").agg(least, F.first("fps").alias("fps"), F.first("n").alias("n"), F.first("bits").alias("bits")).select("node", "k.doc_id", "k.times", "fps", "n", "bits"))
+        found = base.stash(prefix_pairs(shingle_prefixes(keyed)))
+        pairs = fingerprint_pairs(nodes).unionByName(found.filter("key is null").select("a", "b")).distinct()
+        groups = keep(link(keyed, nodes, pairs, None))
+        left, turn = found.filter("key is not null").select("key", F.col("a").alias("node"), "n", "pos"), 0
+        # Keys of many texts: under each, some texts of all groups but the largest are hubs. All others are compared with
+        # them; then they leave, until what is left under each key is one group.
+        while True:
+            with base.scratch(spark) as keep_left:
+                rooted = base.stash(left.join(groups, "node", "left").select("key", "node", "n", "pos", F.coalesce("root", "node").alias("root")))
+                sizes = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("texts"))
+                open_keys = sizes.groupBy("key").agg(F.max_by("root", F.struct("texts", "root")).alias("largest"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("key", "largest")
+                rest = base.stash(rooted.join(open_keys, "key"))
+                if rest.isEmpty():
+                    return keep(nodes), groups
+                hubs = rest.filter("root != largest").groupBy("key", F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(HUBS)).alias("part")).agg(F.min(F.struct("node", "n", "pos", "root")).alias("hub"))
+                hubs = base.stash(hubs.select("key", "hub"))
+                h = {c: F.col(f"hub.{c}") for c in ("node", "n", "pos", "root")}
+                met = rest.join(hubs, "key").filter((F.col("root") != h["root"]) & may_meet(F.col("n"), F.col("pos"), h["n"], h["pos"]))
+                groups = keep(keep_left(link(keyed, nodes, met.select(F.greatest("node", h["node"]).alias("a"), F.least("node", h["node"]).alias("b")).distinct(), groups)))
+                left = keep_left(base.stash(rest.join(hubs.select("key", h["node"].alias("node")), ["key", "node"], "left_anti").select("key", "node", "n", "pos")))
+                turn += 1
+
+
+def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes (node, fps) that the fingerprints of some table link and all tables together keep near."""
     each = nodes.select("node", F.posexplode("fps").alias("t", "fp"))
     first = base.stash(each.groupBy("t", "fp").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")))
     same = each.join(first.filter("n > 1"), ["t", "fp"]).filter("node != first").select(F.col("node").alias("a"), F.col("first").alias("b"))
     ends = first.select("t", "fp", "first")
     met = links(first.select("t", "fp")).join(ends.select("t", F.col("fp").alias("a"), F.col("first").alias("x")), ["t", "a"]).join(ends.select("t", F.col("fp").alias("b"), F.col("first").alias("y")), ["t", "b"])
-    pairs = same.unionByName(met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))).distinct()
-    prints = nodes.select("node", "fps")
-    apart = F.aggregate(F.zip_with("fa", "fb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda p, q: p + q)
-    pairs = pairs.join(prints.select(F.col("node").alias("a"), F.col("fps").alias("fa")), "a").join(prints.select(F.col("node").alias("b"), F.col("fps").alias("fb")), "b")
-    pairs = base.stash(pairs.filter(apart <= APART).select("a", "b"))
-    found = base.stash(prefix_pairs(shingle_prefixes(keyed)))
-    asked = pairs.unionByName(found.select("a", "b")).select(F.explode(F.array("a", "b")).alias("node")).filter("node is not null").distinct()
-    chosen = nodes.join(asked, "node", "left_semi").select("node", "doc_id", "times")
-    theirs = one_row_each(keyed, chosen)
-    sets = base.stash(shingle_sets(theirs))
-
-    def similar(pairs: DataFrame) -> DataFrame:
-        # Only the sets that the pairs ask for go through the joins.
-        pairs = base.stash(pairs)
-        some = base.stash(sets.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi"))
-        both = pairs.join(some.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(some.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-        common = F.size(F.array_intersect("sa", "sb"))
-        return base.stash(both.withColumn("common", common).filter(F.col("common") >= SIMILAR * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b"))
-
-    groups = base.components(similar(pairs))
-
-    def linked(more: DataFrame) -> DataFrame:
-        """groups, with the similar ones of more pairs linked."""
-        sure = similar(more)
-        return groups if sure.isEmpty() else base.components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(sure))
-
-    root = lambda end, name: groups.select(F.col("node").alias(end), F.col("root").alias(name))
-    unlinked = found.filter("key is null").select("a", "b").distinct().join(root("a", "ra"), "a", "left").join(root("b", "rb"), "b", "left")
-    groups = linked(unlinked.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"))
-    # Keys of many texts: under each, some texts of all groups but the largest are hubs. All others are compared with them;
-    # then they leave, until what is left under each key is one group.
-    left, turn = found.filter("key is not null").select("key", F.col("a").alias("node"), "n", "pos"), 0
-    while True:
-        rooted = base.stash(left.join(groups, "node", "left").select("key", "node", "n", "pos", F.coalesce("root", "node").alias("root")))
-        sizes = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("texts"))
-        open_keys = sizes.groupBy("key").agg(F.max_by("root", F.struct("texts", "root")).alias("largest"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("key", "largest")
-        rest = base.stash(rooted.join(open_keys, "key"))
-        if rest.isEmpty():
-            return nodes.select("node", "doc_id", "times"), groups
-        hubs = rest.filter("root != largest").groupBy("key", F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(HUBS)).alias("part")).agg(F.min(F.struct("node", "n", "pos", "root")).alias("hub"))
-        hubs = base.stash(hubs.select("key", "hub"))
-        h = {c: F.col(f"hub.{c}") for c in ("node", "n", "pos", "root")}
-        met = rest.join(hubs, "key").filter((F.col("root") != h["root"]) & may_meet(F.col("n"), F.col("pos"), h["n"], h["pos"]))
-        groups = linked(met.select(F.greatest("node", h["node"]).alias("a"), F.least("node", h["node"]).alias("b")).distinct())
-        left, turn = rest.join(hubs.select("key", h["node"].alias("node")), ["key", "node"], "left_anti").select("key", "node", "n", "pos"), turn + 1
+    return same.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).unionByName(met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))).distinct()
+
+
+def not_ruled_out(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose parity bits allow SIMILAR: sets of n and m members differ by (n + m) / 9 at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, m = b.column("na").to_numpy(), b.column("nb").to_numpy()
+            bits = zip(b.column("ba").to_pylist(), b.column("bb").to_pylist())
+            most = (n + m) * (1 - SIMILAR) / (1 + SIMILAR) + 1e-6
+            yield b.select(["a", "b"]).filter(pa.array([apart(x, y) <= k for (x, y), k in zip(bits, most.tolist())], pa.bool_()))
+
+    a, b = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba")), nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
+    return pairs.join(a, "a").join(b, "b").mapInArrow(run, "a long, b long")
+
+
+def link(keyed: DataFrame, nodes: DataFrame, pairs: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """groups (node, root), stashed, with the similar ones of pairs (a, b) linked. In each round every group checks some
+    pairs that lead out of it, four times as many as the round before; pairs within a group need no check."""
+    with base.scratch(keyed.sparkSession) as keep:
+        left, share = base.stash(not_ruled_out(nodes, pairs)), 1
+        asked = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        sets = None
+        while not left.isEmpty():
+            sets = base.stash(shingle_sets(keyed, base.stash(asked))) if sets is None else sets
+            end = lambda x: groups.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))  # noqa: E731, B023
+            rooted = left.select("a", "b", F.col("a").alias("ra"), F.col("b").alias("rb")) if groups is None else left.join(end("a"), "a", "left").join(end("b"), "b", "left").select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb"))
+            rooted = base.stash(rooted.filter("ra != rb"))
+            picks = rooted.groupBy(F.greatest("ra", "rb"), F.pmod(F.xxhash64("a", "b"), F.lit(share))).agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
+            picks = base.stash(picks)
+            some = sets.join(picks.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
+            both = picks.join(some.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(some.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+            common = F.size(F.array_intersect("sa", "sb"))
+            sure = base.stash(both.withColumn("common", common).filter(F.col("common") >= SIMILAR * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b"))
+            if not sure.isEmpty():
+                groups = base.stash(base.components(sure if groups is None else groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(sure)))
+            left, share = base.stash(rooted.join(picks, ["a", "b"], "left_anti").select("a", "b")), 4 * share
+        return keep(base.stash(nodes.select("node", F.col("node").alias("root")).limit(0)) if groups is None else base.stash(groups))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
@@ -450,10 +492,11 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     (one without an id only if none has one). All texts without a word are one group, null ones among them. Repeated rows
     are one group; other columns stay as they are, whatever their names; no rows give no rows."""
     keyed = numbered(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text"))
-    nodes, groups = near_duplicates(keyed.select("node", "doc_id", "text"))
-    rooted = nodes.join(groups, "node", "left").select("node", "doc_id", "times", F.coalesce("root", "node").alias("root"))
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node", "times")).alias("k")
-    kept = base.stash(rooted.groupBy("root").agg(least).select("k.node", "k.doc_id", "k.times"))
+    with base.scratch(docs.sparkSession) as keep:
+        nodes, groups = near_duplicates(keyed.select("node", "doc_id", "text"))
+        rooted = nodes.join(groups, "node", "left").select("node", "doc_id", "times", F.coalesce("root", "node").alias("root"))
+        least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node", "times")).alias("k")
+        kept = keep(base.stash(rooted.groupBy("root").agg(least).select("k.node", "k.doc_id", "k.times")))
     return one_row_each(keyed, kept).select("row.*")
 
 
