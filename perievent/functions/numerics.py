@@ -142,3 +142,39 @@ def lowess(y: np.ndarray, frac: float) -> np.ndarray:
         slope = (w * (x[lo : lo + k] - mx) * (y[lo : lo + k] - my)).sum() / sxx if sxx > 1e-12 else 0.0
         out[i] = my + slope * (i - mx)
     return out
+
+
+def ellipses(x0: np.ndarray, y0: np.ndarray, a: np.ndarray, b: np.ndarray, theta: np.ndarray, n: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Polygons of n corners, one a row, of ellipses with half axes a and b, the first at theta (radians)."""
+    t = np.arange(n) * (2 * np.pi / n)
+    u, v = a[:, None] * np.cos(t), b[:, None] * np.sin(t)
+    c, s = np.cos(theta)[:, None], np.sin(theta)[:, None]
+    return x0[:, None] + u * c - v * s, y0[:, None] + u * s + v * c
+
+
+def polygon_area(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.abs((x * np.roll(y, -1, axis=1) - np.roll(x, -1, axis=1) * y).sum(axis=1)) / 2
+
+
+def clipped(x: np.ndarray, y: np.ndarray, beyond: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Convex polygons cut to where `beyond` (a linear measure at each corner) isn't positive. Corners that are cut off
+    turn into copies of the corner before, so that all rows stay equally long; a polygon that is cut off whole is one
+    point."""
+    inside = beyond <= 0
+    after = np.roll(beyond, -1, axis=1)
+    crosses = inside != (after <= 0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = np.where(crosses, beyond / (beyond - after), 0.0)
+    both = lambda p, q: np.stack([p, q], axis=2).reshape(len(p), -1)
+    cx, cy = x + t * (np.roll(x, -1, axis=1) - x), y + t * (np.roll(y, -1, axis=1) - y)
+    valid = both(inside, crosses)
+    at = np.maximum.accumulate(np.where(valid, np.arange(valid.shape[1]), -1), axis=1)
+    at = np.where(at < 0, np.maximum(at[:, -1:], 0), at)
+    return np.take_along_axis(both(x, cx), at, axis=1), np.take_along_axis(both(y, cy), at, axis=1)
+
+
+def area_in_box(x: np.ndarray, y: np.ndarray, left: np.ndarray, right: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Area of each convex polygon within its box."""
+    for edge, axis, sign in ((left, 0, -1), (right, 0, 1), (low, 1, -1), (high, 1, 1)):
+        x, y = clipped(x, y, sign * ((x, y)[axis] - edge[:, None]))
+    return polygon_area(x, y)

@@ -46,16 +46,17 @@ def fit_orientation(means: DataFrame, degrees: float) -> DataFrame:
     return means.groupBy("cell", "it").applyInPandas(fit, "cell long, it int, pref double, sigma double, r2 double, asi double, dsi double, good boolean")
 
 
-def fit_fields(pixels: DataFrame) -> DataFrame:
-    """A rotated Gaussian fit of each cell's map (cell, y, x, v), starting at its largest pixel."""
+def fit_fields(pixels: DataFrame, keys: tuple[str, ...] = ("cell",)) -> DataFrame:
+    """A rotated Gaussian fit of each key's map (keys, y, x, v), starting at its largest pixel."""
+    kinds = dict(pixels.dtypes)
 
-    def fit(keys: tuple, g: pd.DataFrame) -> pd.DataFrame:
+    def fit(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         yx, v = g[["y", "x"]].to_numpy(float), g["v"].to_numpy(float)
         at = yx[v.argmax()]
         p, r2 = N.fit_curve(N.gaussian_2d, yx, v, np.array([np.ptp(v), at[1], at[0], 2.0, 2.0, 0.1, v.min()]), np.array([0, yx[:, 1].min(), yx[:, 0].min(), 0.5, 0.5, -np.pi, -1e9]), np.array([1e9, yx[:, 1].max(), yx[:, 0].max(), 20, 20, np.pi, 1e9]))
-        return pd.DataFrame([[keys[0], *p.tolist(), r2]], columns=["cell", "amp", "x0", "y0", "sigma_x", "sigma_y", "theta", "offset", "r2"])
+        return pd.DataFrame([[*key, *p.tolist(), r2]], columns=[*keys, "amp", "x0", "y0", "sigma_x", "sigma_y", "theta", "offset", "r2"])
 
-    return pixels.groupBy("cell").applyInPandas(fit, "cell long, amp double, x0 double, y0 double, sigma_x double, sigma_y double, theta double, offset double, r2 double")
+    return pixels.groupBy(*keys).applyInPandas(fit, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", amp double, x0 double, y0 double, sigma_x double, sigma_y double, theta double, offset double, r2 double")
 
 
 def vectors(responses: DataFrame) -> DataFrame:
