@@ -248,7 +248,7 @@ def shingle_sets(rows: DataFrame, asked: DataFrame) -> DataFrame:
 
 #: The exact pass: texts under a key that are paired at once, hubs of a round for more, one text of so many whose shingles
 #: are counted, how many of the most common shingles go last in the order, and the count at which one is often.
-AT_ONCE, HUBS, COUNTED, COMMON, OFTEN = 16, 32, 8, 1 << 17, 16
+AT_ONCE, HUBS, COUNTED, COMMON, OFTEN = 16, 128, 8, 1 << 17, 16
 
 
 def _distinct_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
@@ -465,9 +465,9 @@ def not_ruled_out(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def link(keyed: DataFrame, nodes: DataFrame, pairs: DataFrame, groups: DataFrame | None) -> DataFrame:
     """groups (node, root), stashed, with the similar ones of pairs (a, b) linked. In each round every group checks some
-    pairs that lead out of it, four times as many as the round before; pairs within a group need no check."""
+    pairs that lead out of it, eight times as many as the round before; pairs within a group need no check."""
     with base.scratch(keyed.sparkSession) as keep:
-        left, share = base.stash(not_ruled_out(nodes, pairs)), 1
+        left, share = base.stash(not_ruled_out(nodes, pairs)), 8
         asked = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         sets = None
         while not left.isEmpty():
@@ -483,8 +483,8 @@ def link(keyed: DataFrame, nodes: DataFrame, pairs: DataFrame, groups: DataFrame
             sure = base.stash(both.withColumn("common", common).filter(F.col("common") >= SIMILAR * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b"))
             if not sure.isEmpty():
                 groups = base.stash(base.components(sure if groups is None else groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(sure)))
-            left, share = base.stash(rooted.join(picks, ["a", "b"], "left_anti").select("a", "b")), 4 * share
-        return keep(base.stash(nodes.select("node", F.col("node").alias("root")).limit(0)) if groups is None else base.stash(groups))
+            left, share = base.stash(rooted.join(picks, ["a", "b"], "left_anti").select("a", "b")), 8 * share
+        return keep(base.stash(nodes.select("node", F.col("node").alias("root")).limit(0)) if groups is None else groups)
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
