@@ -20,7 +20,7 @@ from perievent.llm import base
 
 SYMBOLS = "#*$%&|<>"
 #: Documents on which the rules' costs are estimated, and how often each is timed (the least time counts).
-SAMPLE, TIMES = 500, 3
+SAMPLE, TIMES = 500, 2
 #: Places that fit beside a hash in one long.
 PACKED = 1 << 17
 

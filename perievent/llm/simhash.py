@@ -248,7 +248,7 @@ def shingle_sets(rows: DataFrame, asked: DataFrame) -> DataFrame:
 
 #: The exact pass: texts under a key that are paired at once, hubs of a round for more, one text of so many whose shingles
 #: are counted, how many of the most common shingles go last in the order, and the count at which one is often.
-AT_ONCE, HUBS, COUNTED, COMMON, OFTEN = 16, 128, 8, 1 << 17, 16
+AT_ONCE, HUBS, COUNTED, COMMON, OFTEN = 16, 1024, 8, 1 << 17, 16
 
 
 def _distinct_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
