@@ -145,5 +145,27 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     raise RuntimeError(f"no fixed point after {max_rounds} rounds")
 
 
+#: A key with more rows than this may be hot; so many keys at most are dealt to so many parts.
+HOT_ROWS, HOT_KEYS, PARTS = 1 << 12, 1 << 10, 32
+
+
+def hot_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys of over HOT_ROWS rows, the HOT_KEYS most frequent ones if there are more: small enough to broadcast, and any
+    other key holds at most one row in HOT_KEYS."""
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > HOT_ROWS).orderBy(F.desc("_n"), *keys).limit(HOT_KEYS).select(*keys, F.lit(True).alias("_hot"))
+
+
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, how: str = "inner") -> DataFrame:
+    """left joined (inner, left) with right on keys, where few rows of right share a key but very many of left may: the
+    rows of a hot key are dealt to PARTS parts by `spread`, and right's rows of that key go to each. left is read twice, so
+    it should be a written table or cheap. Null keys meet nothing."""
+    hot = hot_keys(left.filter(" and ".join(f"`{k}` is not null" for k in keys)), keys)
+    part = F.when(F.col("_hot"), F.pmod(F.xxhash64(F.lit("part"), spread), F.lit(PARTS)).cast("int")).otherwise(F.lit(0))
+    dealt = left.join(F.broadcast(hot), keys, "left").withColumn("_part", part).drop("_hot")
+    parts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))
+    copied = right.join(F.broadcast(hot), keys, "left").withColumn("_part", F.explode(parts)).drop("_hot")
+    return dealt.join(copied, [*keys, "_part"], how).drop("_part")
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
