@@ -1,7 +1,7 @@
 """The registered queries and their SQL."""
 
-from perievent.operators import coverage, decoders, drivers, extra, joins, maps, metrics, models, more, series, stats
+from perievent.operators import coverage, decoders, designs, drivers, extra, joins, maps, metrics, models, more, series, stats
 
-MODULES = (metrics, series, joins, stats, maps, models, more, extra, decoders, drivers, coverage)
+MODULES = (metrics, series, joins, stats, maps, models, more, extra, decoders, drivers, coverage, designs)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
