@@ -2,39 +2,15 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from perievent.functions import numerics as N
-from perievent.operators.joins import seeded_order
 from perievent.operators.metrics import _rounded as _r
-from perievent.operators.models import _two, bootstrap_means, decode, fit_orientation, vectors
+from perievent.operators.models import bootstrap_means, fit_orientation
 from perievent.plans import views as V
 
 
-def eliminate(trials: DataFrame, folds: int, seed: int) -> DataFrame:
-    """Recursive elimination: in each fold the quarter of cells with the smallest weights leaves, until one is left;
-    the held-out score at each number of cells. A fold is a group."""
-    k = F.row_number().over(W.partitionBy("config").orderBy(seeded_order(seed, "trial"), "trial"))
-    t = trials.withColumn("fold", k % folds).withColumn("out", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
-
-    def run(keys: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("trial")
-        x, test = np.stack(g["x"].to_numpy()).astype(float), (g["fold"] == keys[0]).to_numpy()
-        y, left, out = np.where(g["config"] == g["config"].min(), -1, 1), np.arange(x.shape[1]), []
-        while len(left):
-            a, b = N.standardized(x[~test][:, left], x[test][:, left])
-            w = N.linear_svm(a, y[~test], 0.1, rounds=20)
-            out.append((keys[0], len(left), float((np.where(b @ w[:-1] + w[-1] > 0, 1, -1) == y[test]).mean())))
-            left = np.sort(left[np.argsort(-np.abs(w[:-1]), kind="stable")[: len(left) * 3 // 4]])
-        return pd.DataFrame(out, columns=["fold", "n_cells", "score"])
-
-    return t.groupBy("out").applyInPandas(run, "fold int, n_cells int, score double")
-
-
 def split_plot(trials: DataFrame, keys: tuple[str, ...], between: str, subject: str, levels: tuple[str, ...]) -> DataFrame:
     """Split-plot F of the levels (within subjects), of the groups (between), and of both: a row a subject."""
     k = len(levels)
@@ -58,13 +34,6 @@ def g06(spark, sf):
     return _r(split_plot(t, ("block",), "config", "trial", ("pre", "on", "post")))
 
 
-def g17(spark, sf):
-    """Share of shuffled scores that reach the mean score, over iterations."""
-    s = decode(vectors(_two(spark, sf)), 8, 21)
-    m = s.agg(F.avg(F.when(F.col("condition") == "data", F.col("score"))).alias("score"))
-    return _r(s.filter("condition = 'shuffled'").crossJoin(F.broadcast(m.withColumnRenamed("score", "true"))).groupBy("true").agg(F.avg((F.col("score") >= F.col("true")).cast("double")).alias("p"), F.count(F.lit(1)).alias("n")))
-
-
 def i03(spark, sf):
     """Fits averaged over iterations: modal preference, mean indices, how many were good."""
     fits = fit_orientation(bootstrap_means(V.responses(spark, sf), 20, 4, 8), 36.0)
@@ -73,19 +42,8 @@ def i03(spark, sf):
     return _r(fits.groupBy("cell").agg(F.avg("asi").alias("asi"), F.avg("dsi").alias("dsi"), F.avg("r2").alias("r2"), F.sum(F.col("good").cast("long")).alias("n_good")).join(n, "cell"))
 
 
-def i21(spark, sf):
-    return _r(eliminate(vectors(_two(spark, sf)), 4, 6))
-
-
-def i22(spark, sf):
-    """Configs told apart from the trial's frames, bin by bin: scores of each bin of five frames."""
-    t = V.traces(spark, sf).withColumn("trial", F.col("cell") * 1000 + F.col("trial")).withColumn("bin", F.floor(F.col("frame_ix") / 5))
-    v = t.groupBy("bin", "trial", "config").agg(F.sort_array(F.collect_list(F.struct("frame_ix", "value"))).alias("v")).select("bin", "trial", "config", F.transform("v", lambda s: s.value).alias("x"))
-    return _r(decode(v, 2, 7, by=("bin",)))
-
-
 _SP = ("pre", "on", "post")
-QUERIES = {"g06_split_plot": g06, "g17_permutation": g17, "i03_fit_summary": i03, "i21_elimination": i21, "i22_epoch_decoding": i22}
+QUERIES = {"g06_split_plot": g06, "i03_fit_summary": i03}
 SQL = {
     "g06_split_plot": f"WITH {V.TRACE}, t AS (SELECT config, cell // 30 AS block, avg(value) FILTER (frame_ix < 8) AS p, avg(value) FILTER (frame_ix >= 8 AND frame_ix < 14) AS o, avg(value) FILTER (frame_ix >= 14) AS q FROM tr GROUP BY config, cell, trial), d AS (SELECT *, (p + o + q) / 3 AS m, avg((p + o + q) / 3) OVER b AS g, avg((p + o + q) / 3) OVER c AS gm, avg(p) OVER b AS lp, avg(o) OVER b AS lo, avg(q) OVER b AS lq, avg(p) OVER c AS cp, avg(o) OVER c AS co, avg(q) OVER c AS cq FROM t WINDOW b AS (PARTITION BY block), c AS (PARTITION BY block, config)), s AS (SELECT block, count(DISTINCT config) AS a, count(*) AS n, 3 * sum((gm - g) ** 2) AS sa, 3 * sum((m - gm) ** 2) AS ssa, sum((lp - g) ** 2 + (lo - g) ** 2 + (lq - g) ** 2) AS sb, sum((cp - gm - lp + g) ** 2 + (co - gm - lo + g) ** 2 + (cq - gm - lq + g) ** 2) AS sab, sum((p - m - cp + gm) ** 2 + (o - m - co + gm) ** 2 + (q - m - cq + gm) ** 2) AS se FROM d GROUP BY block) SELECT block, round(sa / (a - 1) / (ssa / (n - a)), 6) AS f_between, round(sb / 2 / (se / ((n - a) * 2)), 6) AS f_within, round(sab / ((a - 1) * 2) / (se / ((n - a) * 2)), 6) AS f_both FROM s WHERE a > 1 AND n > a",
 }

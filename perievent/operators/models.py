@@ -217,58 +217,15 @@ def i12(spark, sf):
     return _r(s.groupBy("datakey").applyInPandas(fit, "datakey string, scale double, shape double, guess double, lapse double, threshold double, r2 double"))
 
 
-def i13(spark, sf):
-    return _r(decode(vectors(_two(spark, sf)), 6, 2))
-
-
-def i14(spark, sf):
-    """Decoding with 4, 16 and 48 cells, picked by seeded order."""
-    r = _two(spark, sf)
-    order = r.select("cell").distinct().withColumn("k", F.row_number().over(W.orderBy(seeded_order(9, "cell"), "cell")))
-    r = r.join(F.broadcast(order), "cell").withColumn("n_cells", F.explode(F.array(*[F.lit(n) for n in (4, 16, 48)]))).filter("k <= n_cells")
-    v = r.groupBy("n_cells", "trial", "config").agg(F.sort_array(F.collect_list(F.struct("cell", "response"))).alias("v")).select("n_cells", "trial", "config", F.transform("v", lambda s: s.response).alias("x"))
-    return _r(decode(v, 4, 3, by=("n_cells",)))
-
-
 def i15(spark, sf):
     return _r(decode(_two(spark, sf).select("cell", "trial", "config", F.array("response").alias("x")), 3, 4, by=("cell",)))
 
 
-def i16(spark, sf):
-    """Train on one third of trials (a transform), test on each: scores by pair of transforms."""
-    v = vectors(_two(spark, sf)).withColumn("transform", F.col("trial") % 3)
-    pairs = v.withColumn("train", F.explode(F.array(*[F.lit(k).cast("long") for k in range(3)])))
-
-    def score(keys: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("trial")
-        y, x, own = np.where(g["config"] == 0, -1, 1), np.stack(g["x"].to_numpy()).astype(float), (g["transform"] == keys[0]).to_numpy()
-        a, b = N.standardized(x[own], x)
-        w = N.linear_svm(a, y[own], 0.1)
-        right = np.where(b @ w[:-1] + w[-1] > 0, 1, -1) == y
-        return pd.DataFrame([(keys[0], t, bool(t != keys[0]), float(right[(g["transform"] == t).to_numpy()].mean())) for t in sorted(set(g["transform"]))], columns=["train", "test", "novel", "score"])
-
-    return _r(pairs.groupBy("train").applyInPandas(score, "train long, test long, novel boolean, score double"))
-
-
 def i19(spark, sf):
     m = V.recordings(spark, sf).groupBy("area", "cell").agg(F.avg("response").alias("v"))
     return _r(match_distribution(m, 38000.0, 1500.0, 10))
 
 
-def i23(spark, sf):
-    """The config's number from vectors, by ridge regression: held-out r and R squared of each fold."""
-    v = vectors(V.responses(spark, sf)).withColumn("fold", F.pmod(F.xxhash64("trial"), F.lit(5))).withColumn("out", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))))
-
-    def score(keys: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("trial")
-        x, y, test = np.stack(g["x"].to_numpy()).astype(float), g["config"].to_numpy(float), (g["fold"] == keys[0]).to_numpy()
-        w = N.ridge(x[~test], y[~test], 10.0)
-        p = x[test] @ w[:-1] + w[-1]
-        return pd.DataFrame([[keys[0], float(np.corrcoef(p, y[test])[0, 1]), float(1 - ((y[test] - p) ** 2).sum() / ((y[test] - y[test].mean()) ** 2).sum())]], columns=["fold", "r", "r2"])
-
-    return _r(v.groupBy("out").applyInPandas(score, "fold long, r double, r2 double"))
-
-
 def i24(spark, sf):
     """Trials on the population's first three principal axes."""
     _, axes, cells = principal_axes(V.responses(spark, sf), 3)
@@ -300,8 +257,8 @@ def i28(spark, sf):
 
 _H = "CAST('0x' || substr(md5('1|' || config || '|' || it || '|' || draw), 1, 8) AS BIGINT)"
 QUERIES = {
-    "e06_lowess": e06, "e14_code_matching": e14, "h23_matching": h23, "h34_power": h34, "i01_bootstrap_means": i01_means, "i01_orientation_fits": i01, "i05_field_fits": i05, "i09_two_regressors": i09, "i12_psychometric": i12, "i13_decode": i13, "i14_decode_by_cells": i14, "i15_decode_single": i15, "i16_generalization": i16, "i19_matched": i19,
-    "i23_ridge": i23, "i24_principal": i24, "i25_axis_projection": i25, "i26_correlated_groups": i26, "i28_matrix_product": i28,
+    "e06_lowess": e06, "e14_code_matching": e14, "h23_matching": h23, "h34_power": h34, "i01_bootstrap_means": i01_means, "i01_orientation_fits": i01, "i05_field_fits": i05, "i09_two_regressors": i09, "i12_psychometric": i12, "i15_decode_single": i15, "i19_matched": i19,
+    "i24_principal": i24, "i25_axis_projection": i25, "i26_correlated_groups": i26, "i28_matrix_product": i28,
 }
 _MASK = "m AS (SELECT s_suppkey AS cell, s_suppkey * 3 % 50 + dy AS y, s_suppkey * 2 % 50 + dx AS x, (dy + dx + 1) / 9 AS weight FROM supplier, range(5) a(dy), range(5) b(dx))"
 SQL = {
