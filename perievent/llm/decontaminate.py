@@ -28,8 +28,8 @@ MASKS = ("11011000111", "11100011011", "11111011")
 #: For items of 7 to 10 tokens with one substitution, and of 5 or 6 without any.
 SHORT_MASKS = ("11111", "1100011")
 LONG = 11
-#: Fewest tokens of an item that can leak: fewer are words of any text. A parameter of `leaks`.
-SHORTEST = 5
+#: Fewest tokens of an item that can leak, a parameter of `leaks`: one that stands word for word in a text is a leak.
+SHORTEST = 1
 WINDOW, NEEDED = 13, 11
 SPAN = max(map(len, MASKS))
 AROUND = WINDOW - 1

@@ -246,9 +246,11 @@ def shingle_sets(rows: DataFrame, asked: DataFrame) -> DataFrame:
     return rows.select("node", "text").mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])
 
 
-#: The exact pass: texts under a key that are paired at once, hubs of a round for more, one text of so many whose shingles
-#: are counted, how many of the most common shingles go last in the order, and the count at which one is often.
-AT_ONCE, HUBS, COUNTED, COMMON, OFTEN = 16, 1024, 8, 1 << 17, 16
+#: The exact pass: texts under a key that are paired at once, one text of so many whose shingles are counted, how many of
+#: the most common shingles go last in the order, and the count at which one is often.
+AT_ONCE, COUNTED, COMMON, OFTEN = 16, 8, 1 << 17, 16
+#: Pairs of a text that are checked before the others; texts of the two sides of a block; words of parity bits in a block.
+SOME, FEW, MANY, WIDEST = 4, 1 << 10, 1 << 12, 1 << 9
 
 
 def _distinct_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
@@ -410,33 +412,99 @@ def near_duplicates(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts; groups (node, root) hold those that share SIMILAR of their five-word shingles or more with another, directly or
     by others. First, candidates are met by fingerprints of words, in which an edit of one word counts once, not five
     times. Then all pairs that may be similar meet by the prefixes of their shingles, so that none is missed. Pairs whose
-    parity bits rule them out go; of the others every link has passed the exact check."""
+    parity bits rule them out go; every link has passed the exact check. The steps are always the same three: pairs of keys of
+    few texts; of keys of many texts, some pairs of each text; and then all others that lead from group to group."""
     spark = keyed.sparkSession
     with base.scratch(spark) as keep:
         counted = word_fingerprints(keyed).groupBy("node", "doc_id").agg(F.first("fps").alias("fps"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.count(F.lit(1)).alias("times"))
         least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "times")).alias("k")
         nodes = base.stash(counted.groupBy("node").agg(least, F.first("fps").alias("fps"), F.first("n").alias("n"), F.first("bits").alias("bits")).select("node", "k.doc_id", "k.times", "fps", "n", "bits"))
         found = base.stash(prefix_pairs(shingle_prefixes(keyed)))
-        pairs = fingerprint_pairs(nodes).unionByName(found.filter("key is null").select("a", "b")).distinct()
-        groups = keep(link(keyed, nodes, pairs, None))
-        left, turn = found.filter("key is not null").select("key", F.col("a").alias("node"), "n", "pos"), 0
-        # Keys of many texts: under each, some texts of all groups but the largest are hubs. All others are compared with
-        # them; then they leave, until what is left under each key is one group.
-        while True:
-            with base.scratch(spark) as keep_left:
-                rooted = base.stash(left.join(groups, "node", "left").select("key", "node", "n", "pos", F.coalesce("root", "node").alias("root")))
-                sizes = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("texts"))
-                open_keys = sizes.groupBy("key").agg(F.max_by("root", F.struct("texts", "root")).alias("largest"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("key", "largest")
-                rest = base.stash(rooted.join(open_keys, "key"))
-                if rest.isEmpty():
-                    return keep(nodes), groups
-                hubs = rest.filter("root != largest").groupBy("key", F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(HUBS)).alias("part")).agg(F.min(F.struct("node", "n", "pos", "root")).alias("hub"))
-                hubs = base.stash(hubs.select("key", "hub"))
-                h = {c: F.col(f"hub.{c}") for c in ("node", "n", "pos", "root")}
-                met = rest.join(hubs, "key").filter((F.col("root") != h["root"]) & may_meet(F.col("n"), F.col("pos"), h["n"], h["pos"]))
-                groups = keep(keep_left(link(keyed, nodes, met.select(F.greatest("node", h["node"]).alias("a"), F.least("node", h["node"]).alias("b")).distinct(), groups)))
-                left = keep_left(base.stash(rest.join(hubs.select("key", h["node"].alias("node")), ["key", "node"], "left_anti").select("key", "node", "n", "pos")))
-                turn += 1
+        pairs = base.stash(not_ruled_out(nodes, fingerprint_pairs(nodes).unionByName(found.filter("key is null").select("a", "b")).distinct()))
+        groups = base.stash(nodes.select("node", F.col("node").alias("root")).limit(0))
+        groups = linked(keyed, groups, pairs)
+        many = found.filter("key is not null").select("key", F.col("a").alias("node"), "n", "pos")
+        for most in (SOME, None):
+            groups = linked(keyed, groups, many_pairs(many, nodes, groups, most))
+        return keep(nodes), keep(groups)
+
+
+def rooted(rows: DataFrame, groups: DataFrame, node: str, root: str) -> DataFrame:
+    """rows with the root of their node: itself, if no group has it."""
+    return rows.join(groups.select(F.col("node").alias(node), F.col("root").alias(root)), node, "left").withColumn(root, F.coalesce(root, node))
+
+
+def many_pairs(many: DataFrame, nodes: DataFrame, groups: DataFrame, most: int | None) -> DataFrame:
+    """Pairs (a, b) of different groups that meet under a key of many texts (key, node, n, pos), may be similar by their
+    sizes and places and aren't ruled out by their parity bits; `most` of each text and block, or all. A key's texts
+    outside its largest group are compared with all its texts, in blocks that go to tasks of their own."""
+    own = base.stash(rooted(many, groups, "node", "root"))
+    sizes = own.groupBy("key", "root").agg(F.count(F.lit(1)).alias("texts"))
+    keys = sizes.groupBy("key").agg(F.max_by("root", F.struct("texts", "root")).alias("largest"), F.sum("texts").alias("all"), F.max("texts").alias("of_largest"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+    blocks = lambda n, size: F.ceil(n / size).cast("int")
+    keys = keys.select("key", "largest", blocks(F.col("all") - F.col("of_largest"), FEW).alias("n_few"), blocks(F.col("all"), MANY).alias("n_all"))
+    bits = nodes.select("node", F.col("bits"))
+    rest = base.stash(base.join_hot(own, keys, ["key"], F.col("node")).join(bits, "node"))
+    spread = lambda n: F.sequence(F.lit(0), n - 1)
+    at = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "node"), n).cast("int")
+    few = rest.filter("root != largest").select("key", at(F.col("n_few"), 1).alias("f"), F.explode(spread(F.col("n_all"))).alias("m"), F.lit(0).alias("side"), "node", "n", "pos", "root", "bits")
+    everyone = rest.select("key", F.explode(spread(F.col("n_few"))).alias("f"), at(F.col("n_all"), 2).alias("m"), F.lit(1).alias("side"), "node", "n", "pos", "root", "bits")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        now = None
+        for b in batches:
+            ids = list(zip(*(b.column(c).to_numpy().tolist() for c in ("key", "f", "m"))))
+            cut = [0, *(i for i in range(1, len(ids)) if ids[i] != ids[i - 1]), len(ids)]
+            for lo, hi in zip(cut, cut[1:]):
+                if lo == hi:
+                    continue
+                if ids[lo] != now and held:
+                    yield compared(held, most)
+                    held = []
+                now = ids[lo]
+                held.append(b.slice(lo, hi - lo))
+        if held:
+            yield compared(held, most)
+
+    dealt = few.unionByName(everyone).repartition("key", "f", "m").sortWithinPartitions("key", "f", "m")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def compared(rows: list[pa.RecordBatch], most: int | None) -> pa.RecordBatch:
+    """The pairs of a block: those of side 0 with those of side 1."""
+    t = pa.Table.from_batches(rows)
+    side, node, n, pos, root = (t.column(c).to_numpy() for c in ("side", "node", "n", "pos", "root"))
+    tables: dict[int, list] = {}  # parity bits by their width in words: places, rows of words
+    for i, x in enumerate(t.column("bits").to_pylist()):
+        w = np.frombuffer(x, dtype="<u8")
+        while len(w) > WIDEST:
+            w = w[: len(w) // 2] ^ w[len(w) // 2 :]
+        tables.setdefault(len(w), []).append((i, w))
+    packed = {k: (np.array([i for i, _ in v]), np.stack([w for _, w in v])) for k, v in tables.items()}
+    a, b = [], []
+    for width, (places, words) in packed.items():
+        for other, (places1, words1) in packed.items():
+            right = side[places1] == 1
+            those, x = places1[right], words1[right]
+            narrow = min(width, other)
+            x = _folded(x, narrow)
+            for i, w in zip(places[side[places] == 0], _folded(words[side[places] == 0], narrow)):
+                ok = (root[those] != root[i]) & may_meet(n[i], pos[i], n[those], pos[those])
+                if ok.any():
+                    some = those[ok]
+                    near = np.bitwise_count(x[ok] ^ w).sum(axis=1) <= (n[some] + n[i]) * (1 - SIMILAR) / (1 + SIMILAR) + 1e-6
+                    some = some[near][:most]
+                    a.append(np.maximum(node[some], node[i]))
+                    b.append(np.minimum(node[some], node[i]))
+    ends = [np.concatenate(v) if v else np.zeros(0, dtype=np.int64) for v in (a, b)]
+    return pa.RecordBatch.from_arrays([pa.array(v) for v in ends], names=["a", "b"])
+
+
+def _folded(x: np.ndarray, width: int) -> np.ndarray:
+    while x.shape[1] > width:
+        x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+    return x
 
 
 def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
@@ -463,28 +531,20 @@ def not_ruled_out(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").mapInArrow(run, "a long, b long")
 
 
-def link(keyed: DataFrame, nodes: DataFrame, pairs: DataFrame, groups: DataFrame | None) -> DataFrame:
-    """groups (node, root), stashed, with the similar ones of pairs (a, b) linked. In each round every group checks some
-    pairs that lead out of it, eight times as many as the round before; pairs within a group need no check."""
+def linked(keyed: DataFrame, groups: DataFrame, pairs: DataFrame) -> DataFrame:
+    """groups (node, root), written, with those of pairs (a, b) linked that share SIMILAR of their shingles."""
     with base.scratch(keyed.sparkSession) as keep:
-        left, share = base.stash(not_ruled_out(nodes, pairs)), 8
-        asked = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        sets = None
-        while not left.isEmpty():
-            sets = base.stash(shingle_sets(keyed, base.stash(asked))) if sets is None else sets
-            end = lambda x: groups.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))  # noqa: E731, B023
-            rooted = left.select("a", "b", F.col("a").alias("ra"), F.col("b").alias("rb")) if groups is None else left.join(end("a"), "a", "left").join(end("b"), "b", "left").select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb"))
-            rooted = base.stash(rooted.filter("ra != rb"))
-            picks = rooted.groupBy(F.greatest("ra", "rb"), F.pmod(F.xxhash64("a", "b"), F.lit(share))).agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
-            picks = base.stash(picks)
-            some = sets.join(picks.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
-            both = picks.join(some.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(some.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-            common = F.size(F.array_intersect("sa", "sb"))
-            sure = base.stash(both.withColumn("common", common).filter(F.col("common") >= SIMILAR * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b"))
-            if not sure.isEmpty():
-                groups = base.stash(base.components(sure if groups is None else groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(sure)))
-            left, share = base.stash(rooted.join(picks, ["a", "b"], "left_anti").select("a", "b")), 8 * share
-        return keep(base.stash(nodes.select("node", F.col("node").alias("root")).limit(0)) if groups is None else groups)
+        pairs = base.stash(pairs)
+        asked = base.stash(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        if asked.isEmpty():
+            return keep(base.stash(groups))
+        sets = base.stash(shingle_sets(keyed, asked))
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+        common = F.size(F.array_intersect("sa", "sb"))
+        sure = base.stash(both.withColumn("common", common).filter(F.col("common") >= SIMILAR * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b"))
+        if sure.isEmpty():
+            return keep(base.stash(groups))
+        return keep(base.stash(base.components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(sure))))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:

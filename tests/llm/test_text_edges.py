@@ -159,7 +159,9 @@ def test_copies_that_only_meet_by_a_text_unlike_both(spark, monkeypatch):
     assert {r["doc_id"] for r in simhash.deduplicate(df).collect()} == want
     monkeypatch.setattr(simhash, "TOGETHER", 1)
     monkeypatch.setattr(simhash, "AT_ONCE", 1)
-    monkeypatch.setattr(simhash, "HUBS", 2)
+    monkeypatch.setattr(simhash, "FEW", 3)
+    monkeypatch.setattr(simhash, "MANY", 5)
+    monkeypatch.setattr(simhash, "SOME", 1)
     assert {r["doc_id"] for r in simhash.deduplicate(df).collect()} == want
 
 
@@ -464,3 +466,57 @@ def test_nothing_to_learn_from(spark):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     (r,) = lm.score(spark.createDataFrame([(held, "abc")], "doc_id long, text string")).collect()
     assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (True, 2, 0, 0) and r["score"] == pytest.approx(3 * math.log10(1 / 256))
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<div class="content-with-sidebar"><article><h1>T</h1><p>Hello world</p></article></div>', "T\nHello world"),
+        ('<div class="layout has-menu"><main><p>Hello world</p></main></div>', "Hello world"),
+        ('<article class="post sidebar"><p>Hello world</p></article>', "Hello world"),
+        ('<div id="page-header-wrap"><p>Hello world</p></div>', "Hello world"),
+        ('<article><p>Our dishes</p><section class="menu"><p>Soup 4</p></section></article>', "Our dishes\nSoup 4"),
+        ('<article><p id="notice">Be careful</p><p>Text</p></article>', "Be careful\nText"),
+        ('<article><p>Text</p><section class="user-comments"><p>First!</p></section></article>', "Text"),
+        ('<article><p>Text</p></article><article class="comment"><p>First!</p></article>', "Text"),
+        ('<div class="post-with-comments"><article><p>Text</p><div class="reader-comment">no</div></article></div>', "Text"),
+        ('<nav><article><p>Not this</p></article></nav><main><p>This</p></main>', "This"),
+    ],
+)
+def test_names_around_and_inside_an_article(spark, page, want):
+    df = spark.createDataFrame([(1, "http://a.b/c", page)], "page_id long, url string, html string")
+    assert html.extract(df).first()["text"] == want
+
+
+def test_hinted_text_of_pages_without_an_article_goes_where_it_repeats(spark):
+    rng = random.Random(8)
+    own = [" ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(20)) for _ in range(3)]
+    wrap = '<div class="share-widget">share this page with all of your good old friends today</div>'
+    rows = [(i, "http://h.x/1", f'<div>{wrap}<p>{t}</p><p class="promo">{t[::-1]}</p></div>') for i, t in enumerate(own)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"{t}\n{t[::-1]}" for i, t in enumerate(own)}
+
+
+def test_a_short_item_word_for_word_is_a_leak(spark):
+    docs = spark.createDataFrame([(1, "he said open sesame now please and went"), (2, "open the door"), (3, "Open Sesame, now please")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "open sesame now please")], "item_id long, text string")
+    assert sorted(r["row"]["doc_id"] for r in decontaminate.leaks(docs, items).collect()) == [1, 3]
+    assert [r["doc_id"] for r in decontaminate.clean(docs, items).collect()] == [2]
+
+
+def test_a_line_of_very_many_texts_costs_no_more_steps(spark):
+    """Near-dedup takes as many jobs for a common line in 60 texts as in 600."""
+    rng, jobs = random.Random(4), []
+    for n in (60, 600):
+        line = "this very line of eight words stands everywhere "
+        rows = [(i, line * 3 + " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(12))) for i in range(n)]
+        sc = spark.sparkContext
+        sc.setJobGroup(f"line{n}", "near-dedup")
+        got = {r["doc_id"] for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        jobs.append(len(sc.statusTracker().getJobIdsForGroup(f"line{n}")))
+        sh = [(i, brute.shingles(t)) for i, t in rows]
+        if n == 60:
+            same = {i: min([j for j, b in sh if len(a & b) >= 0.8 * len(a | b)]) for i, a in sh}
+            assert got == {i for i in same if same[i] == i}
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs[1] <= 1.5 * jobs[0] + 20
