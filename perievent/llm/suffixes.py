@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from perievent.llm import base
 from perievent.plans import order
@@ -201,7 +202,7 @@ def asked_texts(docs: DataFrame, asked: DataFrame) -> DataFrame:
         for b in batches:
             yield b.set_column(b.num_columns - 1, "may", pa.array(base.may_hold(shared.value, b.column(b.num_columns - 1).to_numpy().view(np.uint64)).astype(bool)))
 
-    shape = docs.schema.add("may", "boolean")
+    shape = T.StructType([*docs.schema.fields, T.StructField("may", T.BooleanType())])
     return docs.withColumn("may", F.xxhash64("doc")).mapInArrow(run, shape)
 
 
