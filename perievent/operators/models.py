@@ -88,32 +88,6 @@ def decode(trials: DataFrame, iterations: int, seed: int, held_out: float = 0.2,
     return t.groupBy(*by, "it", "condition").applyInPandas(score, shape)
 
 
-def principal_axes(responses: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """(shares of variance, axes as columns, cells) of the population's condition-mean-free vectors. Spark sums the
-    products of each pair of cells; the driver gets one row a pair."""
-    r = responses.withColumn("z", F.col("response") - F.avg("response").over(W.partitionBy("cell", "config"))).select("trial", "cell", "z")
-    g = r.select("trial", F.col("cell").alias("a"), F.col("z").alias("za")).join(r.select("trial", F.col("cell").alias("b"), F.col("z").alias("zb")), "trial").filter("a <= b").groupBy("a", "b").agg(F.sum(F.col("za") * F.col("zb")).alias("s")).collect()
-    cells = sorted({x["a"] for x in g})
-    at, m = {c: i for i, c in enumerate(cells)}, np.zeros((len(cells), len(cells)))
-    for x in g:
-        m[at[x["a"]], at[x["b"]]] = m[at[x["b"]], at[x["a"]]] = x["s"]
-    value, axes = np.linalg.eigh(m)
-    order = np.argsort(-value)[:n]
-    axes = axes[:, order] * np.sign(axes[np.abs(axes[:, order]).argmax(axis=0), order])
-    return value[order] / value.sum(), axes, cells
-
-
-def match_pairs(cost: DataFrame, by: str) -> DataFrame:
-    """cost (by, a, b, cost), every a with every b of a group -> the one-to-one matching of least cost of each group."""
-
-    def match(keys: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        m = g.pivot_table(index="a", columns="b", values="cost", aggfunc="min").fillna(1e12)
-        got = N.assignment(m.to_numpy())
-        return pd.DataFrame({by: keys[0], "a": [int(m.index[i]) for i, _ in got], "b": [int(m.columns[j]) for _, j in got], "cost": [float(m.to_numpy()[i, j]) for i, j in got]})
-
-    return cost.groupBy(by).applyInPandas(match, f"{by} long, a long, b long, cost double")
-
-
 def match_distribution(values: DataFrame, mean: float, sd: float, n: int) -> DataFrame:
     """For each area the cells nearest to n quantiles of a normal distribution, none twice: values (area, cell, v)."""
     from statistics import NormalDist
@@ -166,13 +140,6 @@ def e14(spark, sf):
     return match_codes(r.select("cell", "run", F.col("event_type").alias("code"), "start"), ["click", "error", "purchase", "signup", "view"])
 
 
-def h23(spark, sf):
-    e = V.table(spark, sf, "events").select("user_id", "event_id", "event_type", V.micros("ts").alias("t"))
-    a = e.filter("event_type = 'view'").select("user_id", F.col("event_id").alias("a"), F.col("t").alias("ta"))
-    b = e.filter("event_type = 'purchase'").select("user_id", F.col("event_id").alias("b"), F.col("t").alias("tb"))
-    return _r(match_pairs(a.join(b, "user_id").select("user_id", "a", "b", (F.abs(F.col("ta") - F.col("tb")) / 1e6).alias("cost")), "user_id"))
-
-
 def h34(spark, sf):
     """Radial mean of each row's power spectrum of the image."""
     def power(keys: tuple, g: pd.DataFrame) -> pd.DataFrame:
@@ -205,18 +172,6 @@ def i09(spark, sf):
     return _r(g.select("area", b1.alias("b_quantity"), b2.alias("b_config"), ((b1 * F.col("s1y") + b2 * F.col("s2y")) / F.col("syy")).alias("r2")))
 
 
-def i12(spark, sf):
-    """A Weibull curve of the share of large responses over quantity, for each dataset: threshold, slope, R squared."""
-    s = V.recordings(spark, sf).groupBy("datakey", F.floor(F.col("quantity") / 5).alias("level")).agg(F.avg((F.col("response") > 30000).cast("double")).alias("p"))
-
-    def fit(keys: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        p, r2 = N.fit_curve(N.weibull, g["level"].to_numpy(float), g["p"].to_numpy(float), np.array([5.0, 2.0, 0.05, 0.05]), np.array([0.1, 0.2, 0.0, 0.0]), np.array([30.0, 20.0, 0.5, 0.5]))
-        half = p[0] * np.log(2) ** (1 / p[1])
-        return pd.DataFrame([[keys[0], *p.tolist(), half, r2]], columns=["datakey", "scale", "shape", "guess", "lapse", "threshold", "r2"])
-
-    return _r(s.groupBy("datakey").applyInPandas(fit, "datakey string, scale double, shape double, guess double, lapse double, threshold double, r2 double"))
-
-
 def i15(spark, sf):
     return _r(decode(_two(spark, sf).select("cell", "trial", "config", F.array("response").alias("x")), 3, 4, by=("cell",)))
 
@@ -226,13 +181,6 @@ def i19(spark, sf):
     return _r(match_distribution(m, 38000.0, 1500.0, 10))
 
 
-def i24(spark, sf):
-    """Trials on the population's first three principal axes."""
-    _, axes, cells = principal_axes(V.responses(spark, sf), 3)
-    load = spark.createDataFrame([(int(c), *map(float, axes[i])) for i, c in enumerate(cells)], "cell long, a0 double, a1 double, a2 double")
-    return _r(V.responses(spark, sf).join(F.broadcast(load), "cell").groupBy("trial").agg(*[F.sum(F.col("response") * F.col(f"a{k}")).alias(f"pc{k}") for k in range(3)]))
-
-
 def i25(spark, sf):
     """Trials on the axis between two configs' means."""
     axis = V.responses(spark, sf).groupBy("cell").agg((F.avg(F.when(F.col("config") == 0, F.col("response"))) - F.avg(F.when(F.col("config") == 5, F.col("response")))).alias("w"))
@@ -257,8 +205,8 @@ def i28(spark, sf):
 
 _H = "CAST('0x' || substr(md5('1|' || config || '|' || it || '|' || draw), 1, 8) AS BIGINT)"
 QUERIES = {
-    "e06_lowess": e06, "e14_code_matching": e14, "h23_matching": h23, "h34_power": h34, "i01_bootstrap_means": i01_means, "i01_orientation_fits": i01, "i05_field_fits": i05, "i09_two_regressors": i09, "i12_psychometric": i12, "i15_decode_single": i15, "i19_matched": i19,
-    "i24_principal": i24, "i25_axis_projection": i25, "i26_correlated_groups": i26, "i28_matrix_product": i28,
+    "e06_lowess": e06, "e14_code_matching": e14, "h34_power": h34, "i01_bootstrap_means": i01_means, "i01_orientation_fits": i01, "i05_field_fits": i05, "i09_two_regressors": i09, "i15_decode_single": i15, "i19_matched": i19,
+    "i25_axis_projection": i25, "i26_correlated_groups": i26, "i28_matrix_product": i28,
 }
 _MASK = "m AS (SELECT s_suppkey AS cell, s_suppkey * 3 % 50 + dy AS y, s_suppkey * 2 % 50 + dx AS x, (dy + dx + 1) / 9 AS weight FROM supplier, range(5) a(dy), range(5) b(dx))"
 SQL = {
