@@ -33,6 +33,29 @@ def fit_curve(f: Callable, x: np.ndarray, y: np.ndarray, start: np.ndarray, low:
     return p, 1 - best / total if total > 0 else float("nan")
 
 
+def fit_curves(f: Callable, x: np.ndarray, y: np.ndarray, start: np.ndarray, low: np.ndarray, high: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
+    """fit_curve for each row of y at once: f(x, p) has a curve for each row of p. start, low and high have a row a curve."""
+    p, damp = np.clip(start, low, high), np.full(len(y), 1e-2)
+    v = f(x, p)
+    best = ((y - v) ** 2).sum(axis=1)
+    eye = np.eye(p.shape[1])
+    for _ in range(rounds):
+        h = 1e-6 * np.maximum(1.0, np.abs(p))
+        j = np.stack([(f(x, p + h * eye[k]) - v) / h[:, k : k + 1] for k in range(p.shape[1])], axis=2)
+        a, g = np.einsum("nti,ntj->nij", j, j), np.einsum("nti,nt->ni", j, y - v)
+        d = np.einsum("nii->ni", a)
+        q = np.clip(p + np.linalg.solve(a + (damp[:, None] * d + 1e-9 * (1 + d.max(axis=1, keepdims=True)))[:, :, None] * eye, g[:, :, None])[:, :, 0], low, high)
+        w = f(x, q)
+        s = ((y - w) ** 2).sum(axis=1)
+        ok = s < best
+        if not ok.any() and (damp > 1e7).all():
+            break
+        p, v, best = np.where(ok[:, None], q, p), np.where(ok[:, None], w, v), np.where(ok, s, best)
+        damp = np.where(ok, damp / 3, np.minimum(damp * 4, 1e9))
+    total = ((y - y.mean(axis=1, keepdims=True)) ** 2).sum(axis=1)
+    return p, np.where(total > 0, 1 - best / np.where(total > 0, total, 1), np.nan)
+
+
 def linear_svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, rounds: int = 60, seed: int = 0) -> np.ndarray:
     """Weights (the last one the shift) of a linear support vector machine, labels -1 and 1, by dual coordinate descent
     on the squared hinge."""

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from perievent.functions import circular
-from perievent.operators.joins import keep, seeded_order, top
-from perievent.operators.maps import image, masks
+from perievent.operators.joins import keep, top
+from perievent.operators.maps import masks
 from perievent.operators.metrics import _rounded as _r
 from perievent.plans import views as V
 from perievent.plans.order import numbered
@@ -31,10 +30,6 @@ def a01(spark, sf):
     return _r(V.traces(spark, sf).join(s, "cell").groupBy("ori", "frame_ix").agg(F.avg("value").alias("value"), F.max("size").alias("size")))
 
 
-def a03(spark, sf):
-    return V.recordings(spark, sf).select("datakey", F.col("config").alias("run")).distinct()
-
-
 def a07(spark, sf):
     """Trial metrics of all datasets in one table with a directory a dataset; one dataset read back."""
     m = V.recordings(spark, sf).groupBy("datakey", "cell", "config").agg(F.avg("response").alias("response"))
@@ -86,12 +81,6 @@ def d04(spark, sf):
     return _r(g.withColumn("zscore", F.col("mean_stim") / F.when(F.col("std_base") != 0, F.col("std_base"))))
 
 
-def e33(spark, sf):
-    """A bar's position at an event's place in its cycle."""
-    e = V.table(spark, sf, "events").select("event_id", (V.micros("ts") % 4_000_000 / 4e6).alias("at"))
-    return _r(e.select("event_id", (-30 + 60 * F.col("at")).alias("left"), (20 - 40 * F.col("at")).alias("top")))
-
-
 def f08(spark, sf):
     """Cells' positions turned and scaled from pixels to micrometres."""
     m = masks(spark, sf).groupBy("cell").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
@@ -126,17 +115,6 @@ def f29(spark, sf):
     return m.groupBy("cell").agg(F.first("peak").alias("peak"), (high - low).alias("width"))
 
 
-def g14(spark, sf):
-    """Pearson r of each dataset with the share of shuffles (values dealt anew in seeded order) that reach it."""
-    r = V.recordings(spark, sf).select("datakey", "trial", "cell", "quantity", "response")
-    w = W.partitionBy("datakey").orderBy("trial", "cell", "quantity", "response")
-    a = r.withColumn("k", F.row_number().over(w))
-    s = a.withColumn("it", F.explode(F.sequence(F.lit(0), F.lit(9)))).withColumn("j", F.row_number().over(W.partitionBy("datakey", "it").orderBy(seeded_order(2, "it", "k"), "k")))
-    null = s.select("datakey", "it", F.col("j").alias("k"), "response").join(a.select("datakey", "k", "quantity"), ["datakey", "k"]).groupBy("datakey", "it").agg(F.corr("quantity", "response").alias("r0"))
-    true = r.groupBy("datakey").agg(F.corr("quantity", "response").alias("r"))
-    return _r(null.join(true, "datakey").groupBy("datakey", "r").agg(F.avg((F.col("r0") >= F.col("r")).cast("double")).alias("p")))
-
-
 def h29(spark, sf):
     m = V.responses(spark, sf).groupBy("cell", "config").agg(F.avg("response").alias("r"))
     t = F.radians(F.col("config") * 36.0)
@@ -186,24 +164,15 @@ def n16(spark, sf):
     return keep(V.table(spark, sf, "documents").select("doc_id", "lang"), l, ["doc_id"]).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
 
 
-def h11(spark, sf):
-    """Rows of the image that correlate badly with the mean row."""
-    i = image(spark, sf)
-    m = i.groupBy("x").agg(F.avg("v").alias("ref"))
-    r = i.join(m, "x").groupBy("y").agg(F.corr("v", "ref").alias("r"), F.count(F.lit(1)).alias("n"))
-    return _r(r.select("y", "r", "n"))
-
-
 _MASK = "m AS (SELECT s_suppkey AS cell, s_suppkey * 3 % 50 + dy AS y, s_suppkey * 2 % 50 + dx AS x FROM supplier, range(5) a(dy), range(5) b(dx))"
 _APART = "least(abs({d}), abs({d} - 360), abs({d} + 360))"
 _DG1, _DG2 = _APART.format(d="((theta - p) % 360 + 360) % 360"), _APART.format(d="((theta + 180 - p) % 360 + 360) % 360")
 QUERIES = {
-    "a01_load_traces": a01, "a03_runs": a03, "a07_partitioned_metrics": a07, "b03_training_configs": b03, "b07_low_trials": b07, "b18_delay_filter": b18, "b22_baseline_floor": b22, "b23_trial_pass": b23, "b25_reliable_fits": b25, "c08_fits_positions": c08, "d04_df_metrics": d04, "e33_bar_position": e33, "f08_positions": f08, "f21_id_parts": f21,
-    "f26_model_curves": f26, "f28_plane": f28, "f29_half_width": f29, "g14_correlation_null": g14, "h11_row_quality": h11, "h29_vector_response": h29, "h30_sparseness": h30, "h37_correlation_distance": h37, "h38_label_image": h38, "j02_dataset_choice": j02, "k06_combined_runs": k06, "n16_training_rows": n16,
+    "a01_load_traces": a01, "a07_partitioned_metrics": a07, "b03_training_configs": b03, "b07_low_trials": b07, "b18_delay_filter": b18, "b22_baseline_floor": b22, "b23_trial_pass": b23, "b25_reliable_fits": b25, "c08_fits_positions": c08, "d04_df_metrics": d04, "f08_positions": f08, "f21_id_parts": f21,
+    "f26_model_curves": f26, "f28_plane": f28, "f29_half_width": f29, "h29_vector_response": h29, "h30_sparseness": h30, "h37_correlation_distance": h37, "h38_label_image": h38, "j02_dataset_choice": j02, "k06_combined_runs": k06, "n16_training_rows": n16,
 }
 SQL = {
     "a01_load_traces": f"WITH {V.TRACE}, {V.STIM} SELECT round(ori, 6) AS ori, frame_ix, round(avg(value), 6) AS value, max(size) AS size FROM tr JOIN stim ON stim.config = tr.cell GROUP BY ori, frame_ix",
-    "a03_runs": f"WITH {V.REC} SELECT DISTINCT datakey, config AS run FROM rec",
     "a07_partitioned_metrics": f"WITH {V.REC}, m AS (SELECT cell, config, avg(response) AS r FROM rec WHERE datakey = 'AF' GROUP BY ALL) SELECT config, count(*) AS n, round(avg(r), 6) AS response FROM m GROUP BY config",
     "b03_training_configs": f"WITH {V.STIM} SELECT config, ori FROM stim WHERE ori IN (0, 180) AND size = 10",
     "b07_low_trials": f"WITH {V.TRACE} SELECT cell, trial, round(avg(value) FILTER (frame_ix BETWEEN 8 AND 13), 6) AS m FROM tr GROUP BY cell, trial HAVING avg(value) FILTER (frame_ix BETWEEN 8 AND 13) < 20",
@@ -213,14 +182,11 @@ SQL = {
     "b25_reliable_fits": f"WITH {V.REC} SELECT datakey, cell FROM rec GROUP BY datakey, cell HAVING corr(quantity, response) > 0.6 AND avg(response) BETWEEN quantile_cont(response, 0.25) AND quantile_cont(response, 0.75)",
     "c08_fits_positions": f"WITH {V.REC}, {_MASK}, p AS (SELECT cell, avg(x) AS x, avg(y) AS y FROM m GROUP BY cell) SELECT cell, round(avg(response), 6) AS size, round(any_value(x), 6) AS x, round(any_value(y), 6) AS y FROM rec JOIN p USING (cell) GROUP BY cell",
     "d04_df_metrics": f"WITH {V.TRACE}, t AS (SELECT *, value - avg(value) FILTER (frame_ix < 8) OVER (PARTITION BY cell, trial) AS df FROM tr), g AS (SELECT cell, trial, avg(df) FILTER (frame_ix BETWEEN 8 AND 13) AS m, stddev_pop(df) FILTER (frame_ix < 8) AS s FROM t GROUP BY cell, trial) SELECT cell, trial, round(m, 6) AS mean_stim, round(s, 6) AS std_base, round(m / nullif(s, 0), 6) AS zscore FROM g",
-    "e33_bar_position": "WITH e AS (SELECT event_id, epoch_us(ts) % 4000000 / 4e6 AS u FROM events) SELECT event_id, round(-30 + 60 * u, 6) AS \"left\", round(20 - 40 * u, 6) AS \"top\" FROM e",
     "f08_positions": f"WITH {_MASK}, c AS (SELECT cell, avg(x) AS x, avg(y) AS y FROM m GROUP BY cell) SELECT cell, round(1177 - x * 2.312, 6) AS ml, round(972 - y * 1.904, 6) AS ap, round(sqrt((x - 25) ** 2 + (y - 25) ** 2), 6) AS from_centre FROM c",
     "f21_id_parts": "SELECT c_custkey, CAST(regexp_extract(c_name, '(\\d+)$', 1) AS BIGINT) AS number, string_split(c_name, '#')[1] AS kind, try_cast(c_name AS DOUBLE) IS NOT NULL AS is_number FROM customer",
     "f26_model_curves": f"WITH {V.STIM}, s AS (SELECT config, CAST(size * 7 % 360 AS DOUBLE) AS p, CAST(theta AS DOUBLE) AS theta FROM stim, range(0, 360, 15) t(theta)) SELECT config, theta, round(0.2 + 3 * exp(-(({_DG1}) ** 2) / 1250) + exp(-(({_DG2}) ** 2) / 1250), 6) AS gauss, round(1.5 * exp(2 * (cos(radians(theta - p)) - 1)), 6) AS mises FROM s",
     "f28_plane": f"WITH {V.RESP} SELECT trial, round(sum(response * [1, 2, -2][cell % 3 + 1]) / sqrt(sum(CAST([1, 2, -2][cell % 3 + 1] AS DOUBLE) ** 2)), 6) AS along FROM resp GROUP BY trial",
     "f29_half_width": f"WITH {V.REC}, m AS (SELECT cell, config, avg(response) AS r FROM rec GROUP BY ALL), h AS (SELECT *, (max(r) OVER (PARTITION BY cell) + min(r) OVER (PARTITION BY cell)) / 2 AS half, first_value(config) OVER (PARTITION BY cell ORDER BY r DESC, config) AS peak FROM m) SELECT cell, any_value(peak) AS peak, coalesce(min(config) FILTER (config > peak AND r < half), 8) - coalesce(max(config) FILTER (config < peak AND r < half), 0) AS width FROM h GROUP BY cell",
-    "g14_correlation_null": f"WITH {V.REC}, a AS (SELECT datakey, quantity, response, row_number() OVER (PARTITION BY datakey ORDER BY trial, cell, quantity, response) AS k FROM rec), s AS (SELECT datakey, it, response, row_number() OVER (PARTITION BY datakey, it ORDER BY md5('2|' || it || '|' || k), k) AS k FROM a, range(10) t(it)), n AS (SELECT s.datakey, it, corr(a.quantity, s.response) AS r0 FROM s JOIN a ON a.datakey = s.datakey AND a.k = s.k GROUP BY ALL), t AS (SELECT datakey, corr(quantity, response) AS r FROM a GROUP BY datakey) SELECT datakey, round(r, 6) AS r, round(avg(CAST(r0 >= r AS INT)), 6) AS p FROM n JOIN t USING (datakey) GROUP BY datakey, r",
-    "h11_row_quality": f"WITH {V.GRID}, img AS (SELECT y, x, avg(value) / 1000 AS v FROM grid GROUP BY y, x), f AS (SELECT x, avg(v) AS ref FROM img GROUP BY x) SELECT y, round(corr(v, ref), 6) AS r, count(*) AS n FROM img JOIN f USING (x) GROUP BY y",
     "h29_vector_response": f"WITH {V.RESP}, m AS (SELECT cell, config, avg(response) AS r FROM resp GROUP BY ALL), g AS (SELECT cell, sum(r * cos(radians(config * 36.0))) AS c, sum(r * sin(radians(config * 36.0))) AS s FROM m GROUP BY cell) SELECT cell, round(sqrt(c * c + s * s), 6) AS magnitude, round(cos(atan2(s, c)), 6) AS cos_theta FROM g",
     "h30_sparseness": f"WITH {V.REC}, m AS (SELECT cell, config, avg(response) AS r FROM rec GROUP BY ALL) SELECT cell, round((1 - (sum(r) / count(*)) ** 2 / (sum(r * r) / count(*))) / (1 - 1 / count(*)), 6) AS sparseness FROM m GROUP BY cell HAVING count(*) > 1",
     "h37_correlation_distance": f"WITH {V.REC}, m AS (SELECT datakey, cell, config, avg(response) AS v FROM rec GROUP BY ALL), r AS (SELECT a.datakey, a.cell AS a, b.cell AS b, corr(a.v, b.v) AS r FROM m a JOIN m b ON a.datakey = b.datakey AND a.config = b.config AND a.cell < b.cell GROUP BY ALL), d AS (SELECT CAST(floor(sqrt((a * 7 % 50 - b * 7 % 50) ** 2 + (a * 3 % 50 - b * 3 % 50) ** 2) / 10) AS BIGINT) AS bin, r FROM r WHERE r IS NOT NULL AND NOT isnan(r)) SELECT bin, round(avg(r), 6) AS r, count(*) AS n FROM d GROUP BY bin",

@@ -12,7 +12,8 @@ from perievent.functions import circular
 from perievent.operators.joins import top
 from perievent.operators.metrics import _rounded as _r
 from perievent.operators.metrics import by_config, psth
-from perievent.operators.stats import auc, average_rank
+from perievent.operators.stats import auc
+from perievent.plans import order
 from perievent.plans import views as V
 
 
@@ -120,7 +121,7 @@ def h02(spark, sf):
 
 
 def h03(spark, sf):
-    r = V.responses(spark, sf).withColumn("rank", average_rank(W.partitionBy("cell").orderBy("response")))
+    r = order.ranks(V.responses(spark, sf), ("cell",), "response", "rank")
     return _r(pair_corr(r, ("datakey",), "cell", "trial", "rank").withColumn("rdm", 1 - F.col("r")))
 
 
@@ -149,14 +150,6 @@ def h09(spark, sf):
     return _r(p.select("y", "x", az.alias("azimuth"), delay.alias("delay"), F.when(F.abs(delay - F.col("2")) <= 60000, az).alias("filtered")))
 
 
-def h10(spark, sf):
-    g = V.grid(spark, sf)
-    ref = g.groupBy("y", "x").agg(F.avg("value").alias("ref"))
-    r = g.withColumn("file", F.col("x") % 8).join(ref, ["y", "x"]).groupBy("file").agg(F.corr("value", "ref").alias("r"))
-    w = W.partitionBy(F.lit(1))
-    return _r(r.withColumn("bad", F.round(F.abs(F.col("r") - F.avg("r").over(w)), 9) >= F.round(1.5 * F.stddev_pop("r").over(w), 9)))
-
-
 def h12(spark, sf):
     """Rings of pixels two to three away from a mask, off every mask."""
     m = masks(spark, sf)
@@ -367,7 +360,7 @@ _SIGN = f"{_IMG}, img2 AS (SELECT y, x, v * ((x * 7 + y * 3) % 11) AS v FROM img
 _HALO = "ball3 AS (SELECT DISTINCT cell, y + dy AS y, x + dx AS x FROM m, range(-3, 4) p(dy), range(-3, 4) q(dx)), ball1 AS (SELECT DISTINCT cell, y + dy AS y, x + dx AS x FROM m, range(-1, 2) p(dy), range(-1, 2) q(dx)), halo AS (SELECT b.* FROM ball3 b ANTI JOIN ball1 USING (cell, y, x)), ring AS (SELECT h.* FROM halo h ANTI JOIN (SELECT DISTINCT y, x FROM m) n USING (y, x))"
 QUERIES = {
     "c23_area_labels": c23, "d34_luminance": d34, "f01_circular_mean": f01, "f02_angles": f02, "f12_rf_metrics": f12, "f19_morph_steps": f19, "f20_name_parts": f20, "f22_varying": f22, "f23_unpivot": f23, "f25_circular_interpolation": f25, "f27_determination": f27,
-    "h01_signal_corr": h01, "h02_noise_corr": h02, "h03_spearman": h03, "h06_spectrum": h06, "h07_phase_locked": h07, "h08_phase_maps": h08, "h09_absolute_maps": h09, "h10_frame_quality": h10, "h12_rings": h12, "h13_ring_corrected": h13, "h14_mask_values": h14, "h15_smoothed": h15, "h16_filled": h16, "h17_gradient": h17, "h18_sign_map": h18,
+    "h01_signal_corr": h01, "h02_noise_corr": h02, "h03_spearman": h03, "h06_spectrum": h06, "h07_phase_locked": h07, "h08_phase_maps": h08, "h09_absolute_maps": h09, "h12_rings": h12, "h13_ring_corrected": h13, "h14_mask_values": h14, "h15_smoothed": h15, "h16_filled": h16, "h17_gradient": h17, "h18_sign_map": h18,
     "h19_patches": h19, "h20_opening": h20, "h21_median_filter": h21, "h22_mask_distance": h22, "h24_universal": h24, "h25_regression": h25, "h27_osi_dsi": h27, "h31_tuning_index": h31, "h33_rank_ordered": h33, "h35_neurometric_auc": h35,
 }
 _NEUAUC = "g AS (SELECT area, CAST(floor(quantity / 10) AS BIGINT) AS level, list(response) FILTER (config = 2) AS ss, list(response) FILTER (config = 1) AS bb FROM rec WHERE config <= 2 GROUP BY ALL), r AS (SELECT *, list_min(ss) AS lo, (list_max(ss) - list_min(ss)) / 49 AS step FROM g WHERE len(ss) > 0 AND len(bb) > 0), q AS (SELECT area, level, i, len(ss) AS n, len(list_filter(ss, lambda z: z > lo + i * step)) / len(ss) AS h, len(list_filter(bb, lambda z: z > lo + i * step)) / len(bb) AS f FROM r, range(50) t(i)), a AS (SELECT *, lag(h) OVER w AS h0, lag(f) OVER w AS f0 FROM q WINDOW w AS (PARTITION BY area, level ORDER BY i)), u AS (SELECT area, level, any_value(n) AS n, sum((f0 - f) * (h + h0) / 2) AS auc FROM a GROUP BY ALL)"
@@ -390,7 +383,6 @@ SQL = {
     "h07_phase_locked": f"WITH {V.TRACE}, t AS (SELECT cell, trial, cos(4 * pi() * frame_ix / 20) AS c, value - avg(value) OVER (PARTITION BY cell, trial) AS z FROM tr), g AS (SELECT cell, trial, sum(z * c) AS xy, sum(c * c) AS xx, sum(z * z) AS yy FROM t GROUP BY ALL) SELECT cell, trial, round(xy / xx, 6) AS amplitude, round(xy * xy / xx / nullif(yy, 0), 6) AS explained FROM g",
     "h08_phase_maps": f"WITH {V.GRID}, p AS (SELECT y, x, value / 50 % (2 * pi()) - pi() AS p FROM grid), g AS (SELECT y, x, avg(sin(p)) AS s, avg(cos(p)) AS c FROM p GROUP BY y, x) SELECT y, x, round(sqrt(s * s + c * c), 6) AS strength, round(CASE WHEN sqrt(s * s + c * c) > 0.3 THEN cos(atan2(s, c)) END, 6) AS cos_mean FROM g",
     "h09_absolute_maps": f"WITH {V.GRID}, p AS (SELECT y, x, avg(value) FILTER (frame = 0) AS a, avg(value) FILTER (frame = 1) AS b, avg(value) FILTER (frame = 2) AS c FROM grid GROUP BY y, x) SELECT y, x, round((a - b) / 2, 6) AS azimuth, round((a + b) / 2, 6) AS delay, round(CASE WHEN abs((a + b) / 2 - c) <= 60000 THEN (a - b) / 2 END, 6) AS filtered FROM p",
-    "h10_frame_quality": f"WITH {V.GRID}, f AS (SELECT y, x, avg(value) AS ref FROM grid GROUP BY y, x), r AS (SELECT x % 8 AS file, corr(value, ref) AS r FROM grid JOIN f USING (y, x) GROUP BY 1) SELECT file, round(r, 6) AS r, round(abs(r - avg(r) OVER ()), 9) >= round(1.5 * stddev_pop(r) OVER (), 9) AS bad FROM r",
     "h12_rings": f"WITH {_MASK}, {_HALO} SELECT cell, y, x FROM ring",
     "h13_ring_corrected": f"WITH {V.GRID}, {_MASK}, {_HALO}, a AS (SELECT cell, frame, sum(value * weight) / sum(weight) AS raw FROM grid JOIN m USING (y, x) GROUP BY ALL), b AS (SELECT cell, frame, avg(value) AS ring FROM grid JOIN ring USING (y, x) GROUP BY ALL) SELECT cell, frame, round(raw, 6) AS raw, round(b.ring, 6) AS ring, round(raw - 0.7 * b.ring, 6) AS corrected FROM a JOIN b USING (cell, frame)",
     "h14_mask_values": f"WITH {_MASK} SELECT y, x, round(avg(cell * weight), 6) AS value, max(cell) AS label, count(*) AS n FROM m GROUP BY y, x",

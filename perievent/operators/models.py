@@ -150,10 +150,6 @@ def h34(spark, sf):
     return _r(image(spark, sf).groupBy("y").applyInPandas(power, "y long, k long, power double"))
 
 
-def i01(spark, sf):
-    return _r(fit_orientation(bootstrap_means(V.responses(spark, sf), 20, 5, 1), 36.0))
-
-
 def i01_means(spark, sf):
     return _r(bootstrap_means(V.responses(spark, sf), 20, 5, 1).select("cell", V.long("it").alias("it"), "config", "response"))
 
@@ -205,7 +201,7 @@ def i28(spark, sf):
 
 _H = "CAST('0x' || substr(md5('1|' || config || '|' || it || '|' || draw), 1, 8) AS BIGINT)"
 QUERIES = {
-    "e06_lowess": e06, "e14_code_matching": e14, "h34_power": h34, "i01_bootstrap_means": i01_means, "i01_orientation_fits": i01, "i05_field_fits": i05, "i09_two_regressors": i09, "i15_decode_single": i15, "i19_matched": i19,
+    "e06_lowess": e06, "e14_code_matching": e14, "h34_power": h34, "i01_bootstrap_means": i01_means, "i05_field_fits": i05, "i09_two_regressors": i09, "i15_decode_single": i15, "i19_matched": i19,
     "i25_axis_projection": i25, "i26_correlated_groups": i26, "i28_matrix_product": i28,
 }
 _MASK = "m AS (SELECT s_suppkey AS cell, s_suppkey * 3 % 50 + dy AS y, s_suppkey * 2 % 50 + dx AS x, (dy + dx + 1) / 9 AS weight FROM supplier, range(5) a(dy), range(5) b(dx))"

@@ -62,11 +62,6 @@ def b12(spark, sf):
     return V.recordings(spark, sf).filter("quantity >= 48").select("datakey", "cell").distinct()
 
 
-def b13(spark, sf):
-    n = V.recordings(spark, sf).groupBy("datakey", "cell", "config").agg(F.sum((F.col("response") > 60000).cast("long")).alias("n")).groupBy("datakey", "cell").agg(F.max("n").alias("n"))
-    return n.filter("n > 4")
-
-
 def b14(spark, sf):
     g = V.recordings(spark, sf).groupBy("cell", "config").agg(F.corr("quantity", "response").alias("fit"))
     return _r(g.filter("fit >= 0.7").groupBy("cell").agg(F.avg("fit").alias("fit"), F.count(F.lit(1)).alias("n")).filter("fit >= 0.8"))
@@ -107,13 +102,6 @@ def c12(spark, sf):
     return a.join(b, "trial")
 
 
-def c13(spark, sf):
-    n = V.table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("n_customers"))
-    s = V.table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("n_suppliers"))
-    d = V.table(spark, sf, "nation").select(F.col("n_nationkey").alias("nation"), F.col("n_name").alias("name"))
-    return n.join(s, "nation").join(d, "nation").select("name", "n_customers", "n_suppliers")
-
-
 def c17(spark, sf):
     """Events within each user's first and last signup."""
     e = V.table(spark, sf, "events")
@@ -309,7 +297,7 @@ def i04(spark, sf):
 _KDE = "p AS (SELECT CAST(size AS DOUBLE) AS v, sum(w) AS w, sum(w * w) AS w2 FROM d GROUP BY 1), s0 AS (SELECT sum(w) AS sw, sum(w2) AS sw2, sum(w * v) / sum(w) AS m, sum(w * v * v) / sum(w) AS q FROM p), s AS (SELECT sw, sqrt((q - m * m) / (1 - sw2 / (sw * sw))) * (sw * sw / sw2) ** -0.2 AS h FROM s0), k AS (SELECT k, sum(w / sw * exp(-(((k * 50.0 / {n} - v) / h) ** 2) / 2) / (h * sqrt(2 * pi()))) AS density FROM p, s, range({m}) t(k) GROUP BY k)"
 _MASK = "m AS (SELECT s_suppkey AS cell, s_suppkey * 3 % 50 + dy AS y, s_suppkey * 2 % 50 + dx AS x FROM supplier, range(5) a(dy), range(5) b(dx))"
 QUERIES = {
-    "a10_stimulation_info": a10, "a17_json_records": a17, "b01_cell_list": b01, "b11_mean_band": b11, "b12_overlap": b12, "b13_responsive": b13, "b14_good_fits": b14, "b16_gradient_fits": b16, "b20_event_floor": b20, "c06_cells_in": c06, "c07_averaged_fits": c07, "c11_master_configs": c11, "c12_matched_trials": c12, "c13_valid_datasets": c13, "c17_bounded_events": c17, "c19_size_shares": c19,
+    "a10_stimulation_info": a10, "a17_json_records": a17, "b01_cell_list": b01, "b11_mean_band": b11, "b12_overlap": b12, "b14_good_fits": b14, "b16_gradient_fits": b16, "b20_event_floor": b20, "c06_cells_in": c06, "c07_averaged_fits": c07, "c11_master_configs": c11, "c12_matched_trials": c12, "c17_bounded_events": c17, "c19_size_shares": c19,
     "d08_grand_mean": d08, "d17_mean_sem": d17, "d20_group_means": d20, "d26_circular_average": d26, "d28_density": d28, "d29_density_extrema": d29, "d32_choices": d32, "d38_split_half": d38, "d39_trial_windows": d39, "e09_equal_lengths": e09, "e29_epoch_average": e29, "e34_cycle_average": e34, "e35_reflected_mean": e35, "f06_spherical": f06, "f10_centroids": f10, "f16_polygon_area": f16, "f31_grid_cells": f31,
     "g15_baseline_null": g15, "h05_trial_correlation": h05, "h26_scatter": h26, "h32_curve_correlation": h32, "i04_best_set": i04, "i07_deviants": i07, "j04_sorted_cells": j04, "n01_frame_counts": n01, "n07_response_sets": n07, "n10_wide_trials": n10,
 }
@@ -319,7 +307,6 @@ SQL = {
     "b01_cell_list": f"WITH {V.REC} SELECT cell, datakey, round(avg(response), 6) AS mean, count(*) AS n FROM rec WHERE cell IN (1, 5, 9, 14) AND area = 2 GROUP BY ALL",
     "b11_mean_band": f"WITH {V.REC}, m AS (SELECT datakey, cell, config, avg(response) AS m FROM rec GROUP BY ALL) SELECT datakey, cell, round(avg(m), 6) AS m FROM m GROUP BY ALL HAVING avg(m.m) BETWEEN 37000 AND 39000",
     "b12_overlap": f"WITH {V.REC} SELECT DISTINCT datakey, cell FROM rec WHERE quantity >= 48",
-    "b13_responsive": f"WITH {V.REC}, n AS (SELECT datakey, cell, config, count(*) FILTER (response > 60000) AS n FROM rec GROUP BY ALL) SELECT datakey, cell, max(n) AS n FROM n GROUP BY datakey, cell HAVING max(n.n) > 4",
     "b14_good_fits": f"WITH {V.REC}, g AS (SELECT cell, config, corr(quantity, response) AS fit FROM rec GROUP BY ALL) SELECT cell, round(avg(fit), 6) AS fit, count(*) AS n FROM g WHERE fit >= 0.7 GROUP BY cell HAVING avg(g.fit) >= 0.8",
     "b16_gradient_fits": f"WITH {V.REC}, g AS (SELECT datakey, regr_r2(CASE WHEN config = 1 THEN response END, quantity) AS az, regr_r2(CASE WHEN config = 2 THEN response END, quantity) AS el FROM rec GROUP BY datakey) SELECT datakey, round(az, 6) AS az, round(el, 6) AS el, az > 0.5 AND el > 0.5 AS \"both\", az > 0.5 OR el > 0.5 AS either FROM g",
     "b20_event_floor": f"WITH {V.TRACE} SELECT cell, frame, CASE WHEN value >= 20 THEN value ELSE 0 END AS value FROM trall",
@@ -327,7 +314,6 @@ SQL = {
     "c07_averaged_fits": f"WITH {V.REC} SELECT area, cell, round(avg(response), 6) AS size, round(cos(atan2(avg(sin(quantity / 8)), avg(cos(quantity / 8)))), 6) AS cos_theta FROM rec GROUP BY area, cell",
     "c11_master_configs": f"WITH {V.STIM} SELECT config, min(config) OVER (PARTITION BY type, size) AS master FROM stim",
     "c12_matched_trials": "SELECT o_orderkey AS trial FROM orders WHERE o_totalprice > 250000 AND o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 49)",
-    "c13_valid_datasets": "SELECT n_name AS name, c.n AS n_customers, s.n AS n_suppliers FROM nation JOIN (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1) c ON c.k = n_nationkey JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1) s ON s.k = n_nationkey",
     "c17_bounded_events": "WITH b AS (SELECT user_id, min(ts) AS a, max(ts) AS z FROM events WHERE event_type = 'signup' GROUP BY user_id) SELECT user_id, count(*) AS n FROM events JOIN b USING (user_id) WHERE ts BETWEEN a AND z GROUP BY user_id",
     "c19_size_shares": f"WITH {V.REC}, m AS (SELECT datakey, cell, max(response) AS m FROM rec GROUP BY ALL) SELECT datakey, CAST(size AS DOUBLE) AS size, round(avg(CAST(m >= size AS INT)), 6) AS share FROM m, (VALUES (95000.0), (99000.0), (101000.0)) v(size) GROUP BY datakey, size",
     "d08_grand_mean": f"WITH {V.TRACE} SELECT frame_ix, round(avg(value), 6) AS grand, round(stddev_pop(value), 6) AS sd FROM tr GROUP BY frame_ix",

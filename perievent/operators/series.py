@@ -175,15 +175,6 @@ def e17(spark, sf):
     return t.filter("event_type = 'view'").select("event_id", "next", (F.col("next") - F.col("t")).alias("took"))
 
 
-def e19(spark, sf):
-    """Trials of runs numbered through."""
-    t = V.recordings(spark, sf).select("datakey", "config", "trial").distinct()
-    n = t.groupBy("datakey", "config").agg(F.count(F.lit(1)).alias("n"))
-    before = n.withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy("datakey").orderBy("config").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    ranked = t.withColumn("k", F.row_number().over(W.partitionBy("datakey", "config").orderBy("trial")))
-    return ranked.join(before, ["datakey", "config"]).select("datakey", "config", "trial", (F.col("before") + F.col("k")).alias("number"))
-
-
 def e20(spark, sf):
     """Trials aligned to onset on one grid, missing frames null."""
     t = V.traces(spark, sf).filter("frame_ix % 7 != 3").withColumn("k", F.col("frame_ix") - V.STIM_ON)
@@ -199,11 +190,6 @@ def e22(spark, sf):
     return _r(V.traces(spark, sf).groupBy("cell", "trial", F.floor(F.col("frame_ix") / 5).alias("bin")).agg(F.avg("value").alias("value")))
 
 
-def e23(spark, sf):
-    c = V.recordings(spark, sf).select("area", "datakey", "cell").distinct()
-    return c.select("area", "datakey", "cell", V.long(F.row_number().over(W.partitionBy("area").orderBy("datakey", "cell")) - 1).alias("global_ix"))
-
-
 def e24(spark, sf):
     return _r(V.responses(spark, sf).select("trial", "cell", (F.col("response") - F.min("response").over(W.partitionBy("cell"))).alias("response")))
 
@@ -269,7 +255,7 @@ def _sql_runs(v: str) -> str:
 
 QUERIES = {
     "e01_baseline_normalized": e01, "e02_rolling_quantile": e02, "e03_offset_restored": e03, "e04_rolling_mean": e04, "e05_smoothed": e05, "e07_resampled": e07, "e08_scaled": e08, "e10_gap_repair": e10, "e11_flag_repair": e11, "e12_rising_edges": e12, "e13_files_by_gap": e13, "e15_state_runs": e15,
-    "e16_on_off_pairs": e16, "e17_next_event": e17, "e19_trial_numbers": e19, "e20_aligned_grid": e20, "e21_volumes": e21, "e22_epoch_bins": e22, "e23_global_index": e23, "e24_min_offset": e24, "e25_residuals": e25, "e26_standardized": e26, "e30_constant_baselines": e30, "e31_mean_df": e31, "e32_interpolated": e32, "e36_chunks": e36, "e37_blinks": e37,
+    "e16_on_off_pairs": e16, "e17_next_event": e17, "e20_aligned_grid": e20, "e21_volumes": e21, "e22_epoch_bins": e22, "e24_min_offset": e24, "e25_residuals": e25, "e26_standardized": e26, "e30_constant_baselines": e30, "e31_mean_df": e31, "e32_interpolated": e32, "e36_chunks": e36, "e37_blinks": e37,
 }
 SQL = {
     "e01_baseline_normalized": f"WITH {V.TRACE}, b AS (SELECT *, avg(value) FILTER (frame_ix < 8) OVER (PARTITION BY cell, trial) AS b, stddev_pop(value) FILTER (frame_ix < 8) OVER (PARTITION BY cell, trial) AS d FROM tr) SELECT cell, frame, round((value - b) / nullif(b, 0), 6) AS dff, round((value - b) / nullif(d, 0), 6) AS zscore FROM b",
@@ -286,11 +272,9 @@ SQL = {
     "e15_state_runs": f"WITH {_sql_runs('event_type')} SELECT cell, run, v AS event_type, start, stop, length FROM runs WHERE length > 1",
     "e16_on_off_pairs": f"WITH {_sql_runs('CAST(value > 50 AS BIGINT)')}, e AS (SELECT *, lead(start) OVER (PARTITION BY cell ORDER BY run) AS \"end\" FROM runs) SELECT cell, start, \"end\" FROM e WHERE v = 1",
     "e17_next_event": "WITH a AS (SELECT event_id, event_type, epoch_us(ts) AS t, min(CASE WHEN event_type = 'purchase' THEN epoch_us(ts) END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next FROM events) SELECT event_id, next, next - t AS took FROM a WHERE event_type = 'view'",
-    "e19_trial_numbers": f"WITH {V.REC}, t AS (SELECT DISTINCT datakey, config, trial FROM rec) SELECT datakey, config, trial, row_number() OVER (PARTITION BY datakey ORDER BY config, trial) AS number FROM t",
     "e20_aligned_grid": f"WITH {V.TRACE}, g AS (SELECT DISTINCT cell, trial, k FROM tr, range(-8, 12) r(k)) SELECT g.cell, g.trial, g.k, t.value FROM g LEFT JOIN (SELECT * FROM tr WHERE frame_ix % 7 <> 3) t ON t.cell = g.cell AND t.trial = g.trial AND t.frame_ix - 8 = g.k",
     "e21_volumes": f"WITH {V.TRACE} SELECT cell, frame, frame // 4 AS volume, frame % 4 AS slice FROM trall",
     "e22_epoch_bins": f"WITH {V.TRACE} SELECT cell, trial, frame_ix // 5 AS bin, round(avg(value), 6) AS value FROM tr GROUP BY ALL",
-    "e23_global_index": f"WITH {V.REC}, c AS (SELECT DISTINCT area, datakey, cell FROM rec) SELECT *, row_number() OVER (PARTITION BY area ORDER BY datakey, cell) - 1 AS global_ix FROM c",
     "e24_min_offset": f"WITH {V.RESP} SELECT trial, cell, round(response - min(response) OVER (PARTITION BY cell), 6) AS response FROM resp",
     "e25_residuals": f"WITH {V.RESP} SELECT trial, cell, round(response - avg(response) OVER (PARTITION BY cell, config), 6) AS residual FROM resp",
     "e26_standardized": f"WITH {V.RESP} SELECT trial, cell, round((response - avg(response) OVER c) / stddev_pop(response) OVER c, 6) AS by_cell, round((response - avg(response) OVER d) / stddev_pop(response) OVER d, 6) AS overall FROM resp WINDOW c AS (PARTITION BY cell), d AS (PARTITION BY datakey)",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -10,7 +10,9 @@ from perievent.functions import tails
 from perievent.operators.joins import seeded_order
 from perievent.operators.metrics import _rounded as _r
 from perievent.operators.metrics import psth
+from perievent.plans import order
 from perievent.plans import views as V
+from perievent.plans.stash import stash
 
 
 def auc(points: DataFrame, keys: tuple[str, ...], within: tuple[str, ...], whole: bool = False, n: int = 50) -> DataFrame:
@@ -58,14 +60,10 @@ def roc_null(df: DataFrame, keys: tuple[str, ...], stim: str, base: str, iterati
     return null.join(roc(df, keys, stim, base), list(keys)).groupBy(*keys, "auc").agg(F.avg((F.col("shuffled") >= F.col("auc")).cast("double")).alias("p"))
 
 
-def average_rank(w) -> Column:
-    """The mean rank of ties in a window."""
-    return F.rank().over(w) + (F.count(F.lit(1)).over(w.rangeBetween(0, 0)) - 1) / 2
-
-
 def kruskal_wallis(df: DataFrame, keys: tuple[str, ...], group: str, value: str) -> DataFrame:
-    """H with tie correction, degrees of freedom and p of each key's groups."""
-    ranked = df.select(*keys, group, value).withColumn("rank", average_rank(W.partitionBy(*keys).orderBy(value)))
+    """H with tie correction and degrees of freedom of each key's groups; nulls have no rank. Ranks follow from running
+    counts, so no key has to fit a task."""
+    ranked = stash(order.ranks(df.select(*keys, group, value), keys, value, "rank"))
     ties = ranked.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("t")).groupBy(*keys).agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
     g = ranked.groupBy(*keys, group).agg(F.sum("rank").alias("r"), F.count(F.lit(1)).alias("n"))
     s = g.groupBy(*keys).agg(F.sum(F.col("r") * F.col("r") / F.col("n")).alias("s"), F.sum("n").alias("n"), (F.count(F.lit(1)) - 1).alias("dof")).join(ties, list(keys))
@@ -76,8 +74,9 @@ def kruskal_wallis(df: DataFrame, keys: tuple[str, ...], group: str, value: str)
 
 def dunn(df: DataFrame, keys: tuple[str, ...], group: str, value: str) -> DataFrame:
     """z of the mean-rank difference of each pair of groups (without tie correction)."""
-    ranked = df.select(*keys, group, value).withColumns({"rank": average_rank(W.partitionBy(*keys).orderBy(value)), "total": F.count(F.lit(1)).over(W.partitionBy(*keys))})
-    g = ranked.groupBy(*keys, "total", F.col(group).alias("g")).agg(F.avg("rank").alias("m"), F.count(F.lit(1)).alias("n"))
+    ranked = stash(order.ranks(df.select(*keys, group, value), keys, value, "rank"))
+    total = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
+    g = ranked.join(total, list(keys)).groupBy(*keys, "total", F.col(group).alias("g")).agg(F.avg("rank").alias("m"), F.count(F.lit(1)).alias("n"))
     a, b = g.select(*keys, "total", F.col("g").alias("a"), F.col("m").alias("ma"), F.col("n").alias("na")), g.select(*keys, F.col("g").alias("b"), F.col("m").alias("mb"), F.col("n").alias("nb"))
     se = F.sqrt(F.col("total") * (F.col("total") + 1) / 12 * (1 / F.col("na") + 1 / F.col("nb")))
     return a.join(b, list(keys)).filter("a < b").select(*keys, "a", "b", ((F.col("ma") - F.col("mb")) / se).alias("z"))
@@ -113,7 +112,7 @@ def mann_whitney(df: DataFrame, group: str, value: str) -> DataFrame:
     a, b = groups.select(F.col(group).alias("a")), groups.select(F.col(group).alias("b"))
     pairs = a.join(b, F.col("a") < F.col("b")).withColumn("g", F.explode(F.array("a", "b")))
     both = df.select(F.col(group).alias("g"), F.col(value).alias("v")).join(pairs, "g")
-    ranked = both.withColumn("rank", average_rank(W.partitionBy("a", "b").orderBy("v")))
+    ranked = order.ranks(both, ("a", "b"), "v", "rank")
     s = ranked.groupBy("a", "b").agg(F.sum(F.when(F.col("g") == F.col("a"), F.col("rank"))).alias("r"), F.sum((F.col("g") == F.col("a")).cast("long")).alias("n1"), F.sum((F.col("g") == F.col("b")).cast("long")).alias("n2"))
     u = F.col("r") - F.col("n1") * (F.col("n1") + 1) / 2
     mean, sd = F.col("n1") * F.col("n2") / 2, F.sqrt(F.col("n1") * F.col("n2") * (F.col("n1") + F.col("n2") + 1) / 12)
@@ -124,7 +123,7 @@ def paired(df: DataFrame, keys: tuple[str, ...], a: str, b: str) -> DataFrame:
     """Paired t and Wilcoxon's smaller rank sum (zero differences left out of the latter)."""
     d = df.select(*keys, (F.col(a) - F.col(b)).alias("d"))
     t = d.groupBy(*keys).agg((F.avg("d") / (F.stddev_samp("d") / F.sqrt(F.count("d")))).alias("t"), (F.count("d") - 1).alias("dof"))
-    nz = d.filter("d != 0").withColumn("rank", average_rank(W.partitionBy(*keys).orderBy(F.abs("d"))))
+    nz = order.ranks(d.filter("d != 0").withColumn("_size", F.abs("d")), keys, "_size", "rank")
     s = nz.groupBy(*keys).agg(F.least(F.sum(F.when(F.col("d") > 0, F.col("rank")).otherwise(0.0)), F.sum(F.when(F.col("d") < 0, F.col("rank")).otherwise(0.0))).alias("w"))
     return t.join(s, list(keys))
 

@@ -34,6 +34,13 @@ def running_counts(df: DataFrame, keys: tuple[str, ...], value: str) -> DataFram
     return s.withColumn("_run", run).join(before, [*keys, "_slice"]).select(*keys, value, "n", (F.col("_before") + F.col("_run")).alias("upto"), "total")
 
 
+def ranks(df: DataFrame, keys: tuple[str, ...], value: str, name: str) -> DataFrame:
+    """df's rows of a value with its rank among its key's, ties sharing their mean; whatever a key's size. Keys must not be
+    null."""
+    counts = running_counts(df, keys, value).select(*keys, value, (F.col("upto") - (F.col("n") - 1) / 2).alias(name))
+    return df.join(counts, [*keys, value])
+
+
 def quantiles(df: DataFrame, keys: tuple[str, ...], value: str, shares: dict[str, float]) -> DataFrame:
     """keys and, by name, the exact quantiles of value, interpolated linearly. Keys must not be null."""
     c = running_counts(df, keys, value)
