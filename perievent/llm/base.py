@@ -95,7 +95,7 @@ def bit_table(hashes: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array((at // BLOCK).astype(np.int32)), pa.array((at % BLOCK).astype(np.int32))], names=["block", "bit"])
 
     packed = np.zeros(bits // 8, dtype=np.uint8)
-    for r in hashes.select("h").mapInArrow(run, "block int, bit int").groupBy("block").agg(F.collect_set("bit").alias("bits")).toLocalIterator():
+    for r in hashes.select("h").mapInArrow(run, "block int, bit int").groupBy("block").agg(F.collect_set("bit").alias("bits")).coalesce(16).toLocalIterator():
         table = np.zeros(BLOCK, dtype=np.bool_)
         table[r["bits"]] = True
         packed[r["block"] * BLOCK // 8 : (r["block"] + 1) * BLOCK // 8] = np.packbits(table, bitorder="little")
