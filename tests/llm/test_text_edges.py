@@ -366,12 +366,14 @@ def test_leaks_tolerate_substitutions(spark):
     docs = spark.createDataFrame([(i, " ".join(d), "mine") for i, d in docs], "doc_id long, text string, start string")
     items = spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate.leaks(docs, items).collect()
-    assert {(r["row"]["doc_id"], r["item_id"]) for r in got} == {(1, 10), (2, 10), (4, 11), (6, 10), (8, 10), (1, 14), (2, 14), (8, 14)}
-    assert all(r["row"]["start"] == "mine" for r in got) and {r["item_id"]: r["n_items"] for r in got} == {10: 2, 11: 1, 14: 1}
+    assert {(r["row"]["doc_id"], r["item_id"]) for r in got} == {(1, 10), (2, 10), (4, 11), (5, 12), (6, 10), (8, 10), (1, 14), (2, 14), (8, 14)}
+    assert all(r["row"]["start"] == "mine" for r in got) and {r["item_id"]: r["n_items"] for r in got} == {10: 2, 11: 1, 12: 1, 14: 1}
+    assert 12 not in {r["item_id"] for r in decontaminate.leaks(docs, items, shortest=5).collect()}
     assert {(r["start"], r["end"]) for r in got if r["row"]["doc_id"] == 4} == {(5, 12)}
     assert {(r["start"], r["end"]) for r in got if r["row"]["doc_id"] == 8} == {(0, 11)}
     assert {(r["item_id"], r["class_id"]) for r in decontaminate.item_classes(items).collect()} == {(10, 10), (11, 11), (12, 12), (13, 10), (14, 14)}
-    assert {r["doc_id"] for r in decontaminate.clean(docs.withColumn("like", F.lit(1)), items).collect()} == {3, 5, 7}
+    assert {r["doc_id"] for r in decontaminate.clean(docs.withColumn("like", F.lit(1)), items).collect()} == {3, 7}
+    assert {r["doc_id"] for r in decontaminate.clean(docs.withColumn("like", F.lit(1)), items, shortest=5).collect()} == {3, 5, 7}
     named = items.withColumn("item_id", F.concat(F.lit("item "), "item_id"))
     assert {r["item_id"] for r in decontaminate.leaks(docs, named, shortest=3).collect()} == {"item 10", "item 11", "item 12", "item 14"}
 
