@@ -1,7 +1,8 @@
 """Language-model scoring by context-tree weighting over bytes.
 
-A byte is eight binary decisions, each with its own tree of contexts: no byte, the last byte, and so on to the last
-DEPTH. A node holds Krichevsky-Trofimov counts of its decision; its weighted probability is half its own estimate and
+A text is its bytes and then its end, which is coded as a byte that UTF-8 never uses, so that the probabilities of all
+texts sum to one. A byte is eight binary decisions, each with its own tree of contexts: no byte, the last byte, and so on
+to the last DEPTH. A node holds Krichevsky-Trofimov counts of its decision; its weighted probability is half its own estimate and
 half the product of its children's. A text's code length mixes the estimates of all depths with the weights that
 training gave them; where training hasn't seen a context, the deepest one that it has seen takes all the weight that is
 left. The tree is a table of Spark's, one row a node, worked out bottom-up by one aggregate a depth and top-down by one
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 from perievent.llm import base
 
 FOLDS, HELD = 7, 2
-#: Bytes of context.
-DEPTH = 4
+#: Bytes of context (six at most, as a run and a decision share 64 bits), and the byte that stands for a text's end.
+DEPTH, END = 6, b"\xff"
 #: Words and runs of bytes of which one makes up so many parts of all, or more, are looked up in tasks.
 FREQUENT, COMMON = 1 << 18, 1 << 22
 #: Runs of bytes that a task holds before it hands its counts on.
@@ -56,20 +57,21 @@ def kt_block(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return lgamma(zeros + 0.5) + lgamma(ones + 0.5) - np.log(np.pi) - lgamma(zeros + ones + 1.0)
 
 
-def contexts(texts: list[bytes], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Every byte of the texts, and the DEPTH before it in one number (the last in the lowest bits); before a text there
-    are zero bytes."""
-    data = np.frombuffer(b"".join(texts), dtype=np.uint8).astype(np.int64)
+def contexts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every byte of the texts, their ends included, the DEPTH bytes before it in one number (the last in the lowest
+    bits), and the bytes of each text; before a text there are zero bytes."""
+    sizes = np.array([len(t) + 1 for t in texts], dtype=np.int64)
+    data = np.frombuffer(b"".join([t + END for t in texts]), dtype=np.uint8).astype(np.int64)
     context = np.zeros_like(data)
-    starts = (np.cumsum(sizes) - sizes)[sizes > 0]
-    ends = starts + sizes[sizes > 0]
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
     for k in range(1, DEPTH + 1):
         before = np.zeros_like(data)
         before[k:] = data[:-k]
         for i in range(k):  # the first bytes of a text see none of the text before
             before[(starts + i)[starts + i < ends]] = 0
         context |= before << 8 * (k - 1)
-    return data, context
+    return data, context, sizes
 
 
 def pieces(texts: list[bytes | None], size: int = 1 << 21) -> Iterator[list[bytes]]:
@@ -109,7 +111,7 @@ def count(docs: DataFrame) -> DataFrame:
                     counts.update(t.lower().split())
                     if len(counts) > COUNTED:
                         yield handed()
-                data, context = contexts(part, np.array([len(t) for t in part], dtype=np.int64))
+                data, context, _ = contexts(part)
                 found, n = np.unique((context << 8) | data, return_counts=True)
                 both, row = np.unique(np.concatenate([runs, found]), return_inverse=True)
                 times = np.bincount(row, weights=np.concatenate([times, n]), minlength=len(both)).astype(np.int64)
@@ -148,8 +150,10 @@ def weighed(nodes: DataFrame) -> DataFrame:
         for b in batches:
             zeros, ones, below = (b.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("zeros", "ones", "below"))
             kt = kt_block(zeros, ones)
-            both = np.where(np.isnan(below), kt, np.logaddexp(kt, below) - np.log(2))
-            own = np.where(np.isnan(below), 1.0, np.exp(kt - np.log(2) - both))
+            inner = ~np.isnan(below)
+            both, own = kt.copy(), np.ones_like(kt)
+            both[inner] = np.logaddexp(kt[inner], below[inner]) - np.log(2)
+            own[inner] = np.exp(kt[inner] - np.log(2) - both[inner])
             yield pa.RecordBatch.from_arrays([b.column("node"), b.column("zeros"), b.column("ones"), pa.array(both), pa.array(own), pa.array((ones + 0.5) / (zeros + ones + 1.0))], names=["node", "zeros", "ones", "both", "own", "one"])
 
     return nodes.select("node", "zeros", "ones", F.col("below").cast("double").alias("below")).mapInArrow(run, "node long, zeros long, ones long, both double, own double, one double")
@@ -206,17 +210,14 @@ class CommonRuns:
 
     def scores(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Sums by text; then text, run and number of the runs that aren't known."""
-        sizes = np.array([len(t) for t in texts], dtype=np.int64)
-        data, context = contexts(texts, sizes)
+        data, context, sizes = contexts(texts)
         found, where = np.unique((context << 8) | data, return_inverse=True)
         value, known = np.zeros(len(found)), np.zeros(len(found), dtype=bool)
         if len(self.grams):
             at = np.minimum(np.searchsorted(self.grams, found), len(self.grams) - 1)
             known = self.grams[at] == found
             value[known] = self.values[at[known]]
-        out, full = np.zeros(len(texts)), np.flatnonzero(sizes)
-        if len(full):
-            out[full] = np.add.reduceat(value[where], (np.cumsum(sizes) - sizes)[full])
+        out = np.add.reduceat(value[where], np.cumsum(sizes) - sizes) if len(texts) else np.zeros(0)
         rare = np.flatnonzero(~known[where])
         text = np.searchsorted(np.cumsum(sizes), rare, side="right")
         pair, n = np.unique(np.stack([text, where[rare]], axis=1), axis=0, return_counts=True) if len(rare) else (np.zeros((0, 2), dtype=np.int64), np.zeros(0, dtype=np.int64))
@@ -226,8 +227,9 @@ class CommonRuns:
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of docs (doc_id, text).
 
-    A null text is an empty one: one token (the end), no byte, score 0. Repeated rows are scored each and, unless held
-    out, counted each. With nothing to learn from, every word is unknown, N = V = 0, and a byte's probability is 1/256.
+    A null text is an empty one: one token (the end), and the score is that of its end. Repeated rows are scored each and,
+    unless held out, counted each. With nothing to learn from, every word is unknown, N = V = 0, and the probability of
+    a byte, or of the end, is 1/256.
     Other columns are left out. No rows give no rows.
     """
     spark = docs.sparkSession
