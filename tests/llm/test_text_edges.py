@@ -411,7 +411,7 @@ def test_tree_equals_a_plain_one(spark, monkeypatch):
     train = {i: t for i, t in enumerate(["abracadabra", "abba", "cab", "abé", "", "zz top abracadabra"]) if zlib.crc32(str(i).encode()) % 7 != 2}
     count, depth = {}, lm.DEPTH
     for t in train.values():
-        d = t.encode()
+        d = t.encode() + lm.END
         for i, y in enumerate(d):
             for k in range(depth + 1):
                 c = tuple(d[i - j] if i >= j else 0 for j in range(1, k + 1))
@@ -438,7 +438,7 @@ def test_tree_equals_a_plain_one(spark, monkeypatch):
         return w * kt + (1 - w) * one(c, p, k + 1)
 
     def plain(t):
-        d, total = t.encode(), 0.0
+        d, total = t.encode() + lm.END, 0.0
         for i, y in enumerate(d):
             c = tuple(d[i - k] if i >= k else 0 for k in range(1, depth + 1))
             chances = [one(c, (1 << level) | (y >> (8 - level))) for level in range(8)]
@@ -458,7 +458,7 @@ def test_byte_chances_sum_to_one(spark):
     """Over all 256 next bytes, after seen and unseen contexts."""
     grams = lm.count(spark.createDataFrame([("the cat sat on the mat",), ("a hat",)], "text string")).filter("gram is not null").select("gram", "n")
     nodes = lm.tree(base.stash(grams))
-    rows = [(int.from_bytes(c, "little") << 8 | y,) for c in (b"e ht", b"zzzz", b"t ah", b"\0\0\0\0") for y in range(256)]
+    rows = [(int.from_bytes(c, "little") << 8 | y,) for c in (b"e ht e", b"zzzzzz", b"t ah\0\0", b"\0\0\0\0\0\0") for y in range(256)]
     values = lm.unseen_values(spark.createDataFrame(rows, "gram long"), nodes)
     sums = values.groupBy(F.shiftright("gram", 8).alias("c")).agg(F.sum(F.pow(F.lit(10.0), "value")).alias("s")).collect()
     assert [r["s"] for r in sums] == [pytest.approx(1)] * 4
@@ -467,7 +467,18 @@ def test_byte_chances_sum_to_one(spark):
 def test_nothing_to_learn_from(spark):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     (r,) = lm.score(spark.createDataFrame([(held, "abc")], "doc_id long, text string")).collect()
-    assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (True, 2, 0, 0) and r["score"] == pytest.approx(3 * math.log10(1 / 256))
+    assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (True, 2, 0, 0) and r["score"] == pytest.approx(4 * math.log10(1 / 256))
+
+
+def test_an_empty_text_costs_its_end(spark):
+    """Texts that end at once are likelier the more of them training has seen, and never certain."""
+    train = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 != 2]
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
+    ends = []
+    for empty in (1, 20):
+        rows = [(i, "" if k < empty else "abc") for k, i in enumerate(train[:40])] + [(held, None)]
+        ends.append(next(r["score"] for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["doc_id"] == held))
+    assert ends[0] < ends[1] < 0 and 10 ** ends[1] == pytest.approx(0.5, abs=0.1)
 
 
 @pytest.mark.parametrize(

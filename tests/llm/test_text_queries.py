@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from perievent.llm import base, decontaminate, quality, queries
+from perievent.llm import base, decontaminate, lm, quality, queries
 from tests.llm import brute
 from tests.same import assert_same
 
@@ -196,6 +196,12 @@ def test_op10(spark, sf, docs):
     assert sum(r["score"] for r in out) > 1.2 * sum(r["base_score"] for r in out)
 
 
+def test_op10_spends_less_than_words_that_are_known(spark, sf):
+    """On held-out texts whose words training has seen, where spelling is no excuse, bytes take fewer digits than words."""
+    got = lm.op10_lm(spark, sf.replace("sf0.001", "sf0.01")).filter("held_out and n_known = n_tokens").collect()
+    assert len(got) >= 20 and sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
+
+
 def test_pipeline(spark, sf, docs, duck):
     import corpus_pipeline
 
