@@ -2,13 +2,13 @@
 
 A text is its bytes and then its end, which is coded as a byte that UTF-8 never uses, so that the probabilities of all
 texts sum to one. A byte is eight binary decisions, each with its own tree of contexts: no byte, the last byte, and so on
-to the last DEPTH. A node holds Krichevsky-Trofimov counts of its decision; its weighted probability is half its own estimate and
+to the last `depth`. A node holds Krichevsky-Trofimov counts of its decision; its weighted probability is half its own estimate and
 half the product of its children's. A text's code length mixes the estimates of all depths with the weights that
 training gave them; where training hasn't seen a context, the deepest one that it has seen takes all the weight that is
 left. The tree is a table of Spark's, one row a node, worked out bottom-up by one aggregate a depth and top-down by one
 join a depth; it grows with the corpus and nothing is pruned.
 
-Runs of DEPTH + 1 bytes that make up at least 2^-22 of all (there can't be more than 2^22 of those) are looked up in the
+Runs of depth + 1 bytes that make up at least 2^-22 of all (there can't be more than 2^22 of those) are looked up in the
 task that reads the text, all others by a join; the score is the same. So are words, under 2^-18, of the word score: that
 of a unigram model with add-one smoothing.
 """
@@ -28,8 +28,11 @@ from pyspark.sql import functions as F
 from perievent.llm import base
 
 FOLDS, HELD = 7, 2
-#: Bytes of context (six at most, as a run and a decision share 64 bits), and the byte that stands for a text's end.
-DEPTH, END = 6, b"\xff"
+#: Bytes of context, a parameter of `score`: six at most, as a run and a decision share 64 bits. Six spend fewer digits
+#: than four, but the tree has about nine times the nodes.
+DEPTH, DEEPEST = 4, 6
+#: The byte that stands for a text's end.
+END = b"\xff"
 #: Words and runs of bytes of which one makes up so many parts of all, or more, are looked up in tasks.
 FREQUENT, COMMON = 1 << 18, 1 << 22
 #: Runs of bytes that a task holds before it hands its counts on.
@@ -57,15 +60,15 @@ def kt_block(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return lgamma(zeros + 0.5) + lgamma(ones + 0.5) - np.log(np.pi) - lgamma(zeros + ones + 1.0)
 
 
-def contexts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Every byte of the texts, their ends included, the DEPTH bytes before it in one number (the last in the lowest
+def contexts(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every byte of the texts, their ends included, the `depth` bytes before it in one number (the last in the lowest
     bits), and the bytes of each text; before a text there are zero bytes."""
     sizes = np.array([len(t) + 1 for t in texts], dtype=np.int64)
     data = np.frombuffer(b"".join([t + END for t in texts]), dtype=np.uint8).astype(np.int64)
     context = np.zeros_like(data)
     ends = np.cumsum(sizes)
     starts = ends - sizes
-    for k in range(1, DEPTH + 1):
+    for k in range(1, depth + 1):
         before = np.zeros_like(data)
         before[k:] = data[:-k]
         for i in range(k):  # the first bytes of a text see none of the text before
@@ -87,8 +90,8 @@ def pieces(texts: list[bytes | None], size: int = 1 << 21) -> Iterator[list[byte
         yield part
 
 
-def count(docs: DataFrame) -> DataFrame:
-    """(word, gram, n): of docs.text, how often each word and each run of DEPTH + 1 bytes occur; the row of neither counts
+def count(docs: DataFrame, depth: int) -> DataFrame:
+    """(word, gram, n): of docs.text, how often each word and each run of depth + 1 bytes occur; the row of neither counts
     docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +114,7 @@ def count(docs: DataFrame) -> DataFrame:
                     counts.update(t.lower().split())
                     if len(counts) > COUNTED:
                         yield handed()
-                data, context, _ = contexts(part)
+                data, context, _ = contexts(part, depth)
                 found, n = np.unique((context << 8) | data, return_counts=True)
                 both, row = np.unique(np.concatenate([runs, found]), return_inverse=True)
                 times = np.bincount(row, weights=np.concatenate([times, n]), minlength=len(both)).astype(np.int64)
@@ -159,13 +162,13 @@ def weighed(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "zeros", "ones", F.col("below").cast("double").alias("below")).mapInArrow(run, "node long, zeros long, ones long, both double, own double, one double")
 
 
-def tree(grams: DataFrame) -> list[DataFrame]:
-    """By depth, (node, guess) of counted runs of DEPTH + 1 bytes (gram, n): the probability of a one where this is the
+def tree(grams: DataFrame, deepest: int) -> list[DataFrame]:
+    """By depth, (node, guess) of counted runs of deepest + 1 bytes (gram, n): the probability of a one where this is the
     deepest node that training has seen."""
     zero = F.col("bit") == 0
     counted = with_decisions(grams).groupBy("node").agg(F.sum(F.when(zero, F.col("n")).otherwise(0)).alias("zeros"), F.sum(F.when(zero, 0).otherwise(F.col("n"))).alias("ones"))
     levels = [base.stash(weighed(counted.withColumn("below", F.lit(None).cast("double"))))]
-    for depth in range(DEPTH - 1, -1, -1):
+    for depth in range(deepest - 1, -1, -1):
         up = levels[0].groupBy(at_depth(F.col("node"), depth).alias("node")).agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("both").alias("below"))
         levels.insert(0, base.stash(weighed(up)))
     # before: what shorter contexts have said; left: the weight that they leave to this one and deeper ones.
@@ -188,14 +191,14 @@ def chance(guess, bit):
 
 def seen_values(grams: DataFrame, nodes: list[DataFrame]) -> DataFrame:
     """(gram, value): log10 probability of the last byte of runs that training has seen."""
-    return with_decisions(grams.select("gram")).join(nodes[DEPTH], "node").groupBy("gram").agg(F.sum(chance(F.col("guess"), F.col("bit"))).alias("value"))
+    return with_decisions(grams.select("gram")).join(nodes[-1], "node").groupBy("gram").agg(F.sum(chance(F.col("guess"), F.col("bit"))).alias("value"))
 
 
 def unseen_values(grams: DataFrame, nodes: list[DataFrame]) -> DataFrame:
     """(gram, value) of any distinct runs: each decision is guessed by the deepest of its nodes that training has seen, by
     one half if it has seen none."""
     rows = with_decisions(grams.select("gram"))
-    found = base.union_all([rows.select("gram", "bit", F.col("node").alias("whole"), at_depth(F.col("node"), d).alias("node"), F.lit(d).alias("depth")).join(nodes[d], "node") for d in range(DEPTH + 1)])
+    found = base.union_all([rows.select("gram", "bit", F.col("node").alias("whole"), at_depth(F.col("node"), d).alias("node"), F.lit(d).alias("depth")).join(nodes[d], "node") for d in range(len(nodes))])
     # Decisions differ in the node's last byte, so the whole node tells them apart.
     best = found.groupBy("gram", "whole", "bit").agg(F.max_by("guess", "depth").alias("guess"))
     told = best.groupBy("gram").agg(F.sum(chance(F.col("guess"), F.col("bit"))).alias("value"), F.count(F.lit(1)).alias("n"))
@@ -205,12 +208,12 @@ def unseen_values(grams: DataFrame, nodes: list[DataFrame]) -> DataFrame:
 class CommonRuns:
     """Scores what it knows of texts, and lists the runs that it doesn't."""
 
-    def __init__(self, grams: np.ndarray, values: np.ndarray):
-        self.grams, self.values = grams, values
+    def __init__(self, grams: np.ndarray, values: np.ndarray, depth: int):
+        self.grams, self.values, self.depth = grams, values, depth
 
     def scores(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Sums by text; then text, run and number of the runs that aren't known."""
-        data, context, sizes = contexts(texts)
+        data, context, sizes = contexts(texts, self.depth)
         found, where = np.unique((context << 8) | data, return_inverse=True)
         value, known = np.zeros(len(found)), np.zeros(len(found), dtype=bool)
         if len(self.grams):
@@ -224,24 +227,27 @@ class CommonRuns:
         return out, pair[:, 0], found[pair[:, 1]], n
 
 
-def score(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of docs (doc_id, text).
+def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of docs (doc_id, text), from contexts of up to
+    `depth` bytes (0 to DEEPEST).
 
     A null text is an empty one: one token (the end), and the score is that of its end. Repeated rows are scored each and,
     unless held out, counted each. With nothing to learn from, every word is unknown, N = V = 0, and the probability of
     a byte, or of the end, is 1/256.
     Other columns are left out. No rows give no rows.
     """
+    if not 0 <= depth <= DEEPEST:
+        raise ValueError(f"depth is 0 to {DEEPEST}, not {depth}")
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", held_out().alias("held_out"))
-    counts = base.stash(count(docs.filter(~F.col("held_out"))))
+    counts = base.stash(count(docs.filter(~F.col("held_out")), depth))
     known = counts.filter("word is not null")
     n_docs = counts.filter("word is null and gram is null").agg(F.sum("n")).first()[0] or 0
     tokens, distinct = known.agg(F.sum("n"), F.count(F.lit(1))).first()
     total, vocabulary = (tokens or 0) + n_docs, distinct + (n_docs > 0)
     frequent = {bytes(r["word"]): r["n"] for r in known.filter(F.col("n") >= max(1.0, total / FREQUENT)).toLocalIterator()}
     grams = counts.filter("gram is not null").select("gram", "n")
-    nodes = tree(grams)
+    nodes = tree(grams, depth)
     values = base.stash(seen_values(grams, nodes).join(grams, "gram"))
     n_bytes = grams.agg(F.sum("n")).first()[0] or 0
     common = values.filter(F.col("n") >= max(1.0, n_bytes / COMMON)).select("gram", "value").toArrow()  # COMMON rows at most
@@ -253,7 +259,7 @@ def score(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup, known_grams, known_values = shared.value
-        runs, at = CommonRuns(known_grams, known_values), TaskContext.get().partitionId() << 40
+        runs, at = CommonRuns(known_grams, known_values, depth), TaskContext.get().partitionId() << 40
         for b in batches:
             texts = [t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()]
             n_tokens, n_known, base_score, rare = [], [], [], []

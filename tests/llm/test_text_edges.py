@@ -406,10 +406,11 @@ def test_block_estimate():
         assert lm.kt_block(np.array([float(a)]), np.array([float(b)]))[0] == pytest.approx(exact, abs=1e-9)
 
 
-def test_tree_equals_a_plain_one(spark, monkeypatch):
+@pytest.mark.parametrize("depth", [lm.DEPTH, lm.DEEPEST])
+def test_tree_equals_a_plain_one(spark, monkeypatch, depth):
     """Scores against context-tree weighting written out node by node, with all runs looked up in tasks and with none."""
     train = {i: t for i, t in enumerate(["abracadabra", "abba", "cab", "abé", "", "zz top abracadabra"]) if zlib.crc32(str(i).encode()) % 7 != 2}
-    count, depth = {}, lm.DEPTH
+    count = {}
     for t in train.values():
         d = t.encode() + lm.END
         for i, y in enumerate(d):
@@ -450,14 +451,14 @@ def test_tree_equals_a_plain_one(spark, monkeypatch):
     rows = [*train.items(), *tests.items()]
     for common in (1 << 22, 1e-9):
         monkeypatch.setattr(lm, "COMMON", common)
-        got = {r["doc_id"]: r["score"] for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        got = {r["doc_id"]: r["score"] for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string"), depth).collect()}
         assert got == {i: pytest.approx(plain(t), abs=1e-9) for i, t in rows}
 
 
 def test_byte_chances_sum_to_one(spark):
     """Over all 256 next bytes, after seen and unseen contexts."""
-    grams = lm.count(spark.createDataFrame([("the cat sat on the mat",), ("a hat",)], "text string")).filter("gram is not null").select("gram", "n")
-    nodes = lm.tree(base.stash(grams))
+    grams = lm.count(spark.createDataFrame([("the cat sat on the mat",), ("a hat",)], "text string"), 6).filter("gram is not null").select("gram", "n")
+    nodes = lm.tree(base.stash(grams), 6)
     rows = [(int.from_bytes(c, "little") << 8 | y,) for c in (b"e ht e", b"zzzzzz", b"t ah\0\0", b"\0\0\0\0\0\0") for y in range(256)]
     values = lm.unseen_values(spark.createDataFrame(rows, "gram long"), nodes)
     sums = values.groupBy(F.shiftright("gram", 8).alias("c")).agg(F.sum(F.pow(F.lit(10.0), "value")).alias("s")).collect()
@@ -470,6 +471,11 @@ def test_nothing_to_learn_from(spark):
     assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (True, 2, 0, 0) and r["score"] == pytest.approx(4 * math.log10(1 / 256))
 
 
+def test_depth_has_bounds(spark):
+    with pytest.raises(ValueError):
+        lm.score(spark.createDataFrame([(1, "abc")], "doc_id long, text string"), 7)
+
+
 def test_an_empty_text_costs_its_end(spark):
     """Texts that end at once are likelier the more of them training has seen, and never certain."""
     train = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 != 2]
