@@ -41,7 +41,8 @@ def test_odd_rows_have_results(spark, odd):
     got = {k: v.collect() for k, v in everything(spark, odd).items()}
     assert len(got["shard"]) == len(got["lang"]) == len(got["lm"]) == len(got["pii"]) == len(got["fingerprints"]) == len(ODD)
     assert [r["lang_pred"] for r in got["lang"] if r["doc_id"] in (1, 2, 3)] == ["und"] * 3
-    assert [r["score"] for r in got["lm"] if r["doc_id"] in (1, 2)] == [0.0, 0.0]
+    ends = [r["score"] for r in got["lm"] if r["doc_id"] in (1, 2)]  # a null and an empty text are their ends
+    assert len(ends) == 2 and ends[0] == ends[1] < 0
     # texts without a word are one group, and the repeated row goes
     assert len(got["dedup"]) == len(ODD) - 3
     assert len(got["clean"]) == len(ODD) and got["leaks"] == []
