@@ -1,15 +1,19 @@
 """Main text of HTML pages, with repeated runs of a host's pages told by a suffix array.
 
-A page is read into blocks of text. What an article or main element holds is the page's text, but for what the elements
-themselves say isn't (menus, sidebars, forms, adverts, comments and the like). All text that this leaves open is a token
-stream: everything outside such elements, and blocks inside whose element's name only hints at boilerplate. Of a host's
-streams, runs of RUN or more tokens that occur on two different pages are boilerplate and go; runs that are unique to
-the page stay. The suffix array of a host's streams is never built in one place: only prefixes of RUN tokens matter, so
-suffixes are dealt over the cluster by host and the hash of that prefix, where equal prefixes meet; the repeated
-substrings of RUN or more tokens are the unions of such prefixes.
-
-Repetition doesn't decide about an article's plain text: articles of one host share passages and copies of each other,
-which are text, and adverts, which differ from page to page, are not. The README has the figures.
+A page is read into blocks of text, and all of its text, its article too, is a token stream. The suffix array of a host's
+streams is ordered to a depth of RUN tokens and never built in one place: suffixes are dealt over the cluster by host and
+the hash of that prefix, where equal prefixes meet; the repeated substrings of RUN or more tokens are the unions of such
+prefixes. Left out are only suffixes whose prefix can't be one that a page's text depends on. Pages are different if
+their streams are, so copies of a page don't empty each other.
+
+What a run decides depends on where it stands:
+* Blocks inside an article or main element whose own or whose containers' names hint at boilerplate go if another page
+  of the host has them anywhere.
+* On pages without such an element, blocks that elements and names don't drop go if another page has them outside of
+  articles, blocks with a hint if it has them anywhere.
+* An article's plain blocks go if they stand in the articles of over half of the host's pages, of LEAST different ones at
+  least, and aren't most of the article: articles of one host share passages and copies of each other, which are text.
+  The README has the figures.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ from collections.abc import Iterator
 from html import unescape
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +32,12 @@ from pyspark.sql import functions as F
 from perievent.llm import base
 
 RUN = 8
+#: Of so many different pages of a host at least, what stands in over half of their articles isn't theirs.
+LEAST = 8
+#: Article runs are compared within a task, so many at a time.
+CHUNK = 1 << 21
+#: Where a run of a host's is found: on two different pages, so outside of articles, in most articles.
+ANY, OPEN, MOST = 1, 2, 4
 #: Elements whose text is never shown or never belongs to an article.
 RAW = frozenset("script style template noscript iframe object svg math textarea title select option button canvas audio video".split())
 DROPPED = frozenset("nav aside footer form dialog menu head".split())
@@ -156,45 +167,93 @@ def host(url: str | None) -> str:
         return ""
 
 
+def prefixes(tokens: list[str], host: str) -> np.ndarray:
+    """The hash of the RUN tokens from each suffix's start on, and of the host."""
+    n = max(len(tokens) - RUN + 1, 0)
+    each = np.fromiter(map(xxhash.xxh64_intdigest, tokens), np.uint64, len(tokens))
+    h = np.full(n, xxhash.xxh64_intdigest(host), np.uint64)
+    for k in range(RUN if n else 0):
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h += each[k : k + n]
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (h ^ (h >> np.uint64(32))).view(np.int64)
+
+
 def stream(page: list[Block]) -> list[str]:
-    """The tokens about which repetition is asked."""
-    return [w for text, main, _, hint in page if not main or hint for w in text.split()]
+    """The tokens of a page, all of which the suffix array is about."""
+    return " ".join([text for text, *_ in page]).split()
 
 
-def settled(page: list[Block]) -> bool:
-    """Whether the page's text is known without asking."""
-    return any(main for _, main, *_ in page) and not any(main and hint for _, main, _, hint in page)
+def suffixes(page: list[Block], host: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The hash of each suffix's first RUN tokens; whether all of them are an article's plain text, whether none is, and
+    whether the page's text depends on any page that repeats them."""
+    sizes = [text.count(" ") + 1 for text, *_ in page]  # white space in blocks is one space
+    has_main = any(main for _, main, *_ in page)
 
+    def count(flags: list[bool]) -> np.ndarray:
+        c = np.cumsum(np.concatenate([[0], np.repeat(np.array(flags, dtype=np.int64), sizes)]))
+        return c[RUN:] - c[:-RUN]
 
-def prefixes(tokens: list[str]) -> list[int]:
-    """The hash of the RUN tokens from each suffix's start on."""
-    return [xxhash.xxh64_intdigest(" ".join(tokens[i : i + RUN])) - (1 << 63) for i in range(len(tokens) - RUN + 1)]
+    plain = count([main and not hint for _, main, _, hint in page])
+    asks = count([main and hint if has_main else not dropped for _, main, dropped, hint in page])
+    return prefixes(stream(page), host), plain == RUN, plain == 0, asks > 0
 
 
-def unique_text(page: list[Block], repeated: set[int]) -> str:
-    """The page's text: its article, or, where it has none, what isn't boilerplate by name; of its stream, what isn't
-    boilerplate by repetition."""
+def unique_text(page: list[Block], host: str, runs: dict[int, int]) -> str:
+    """The page's text: its article, or, where it has none, what isn't boilerplate by name, without what the runs (the hash
+    of a prefix, and where it is found) say is boilerplate."""
+    has_main = any(main for _, main, *_ in page)
+    if not runs:
+        return "\n".join([text for text, main, dropped, _ in page if main or not dropped and not has_main])
     tokens = stream(page)
-    covered = bytearray(len(tokens))
-    if repeated:
-        for i, h in enumerate(prefixes(tokens)):
-            if h in repeated:
-                covered[i : i + RUN] = b"\1" * RUN
-    has_main, kept, at = any(main for _, main, *_ in page), [], 0
-    for text, main, dropped, hint in page:
+    covered = np.zeros(len(tokens), np.uint8)
+    for i, h in enumerate(prefixes(tokens, host).tolist()):
+        if h in runs:
+            covered[i : i + RUN] |= runs[h]
+    blocks_of, at = [], 0
+    for block in page:
+        found = block[0].split()
+        blocks_of.append((*block, found, covered[at : at + len(found)]))
+        at += len(found)
+    shared = [(c & MOST) > 0 for _, main, _, hint, _, c in blocks_of if main and not hint]
+    most = 2 * sum(int(c.sum()) for c in shared) <= sum(map(len, shared))  # else the articles are copies
+    kept = []
+    for text, main, dropped, hint, found, c in blocks_of:
         if main and not hint:
-            kept.append(text)
+            if not (most and ((c & MOST) > 0).all()):
+                kept.append(text)
             continue
-        found = text.split()
-        hidden = covered[at : at + len(found)]
+        hidden = (c & (ANY if hint else OPEN)) > 0
         # A run may reach a few words into a block of its page's own; a block loses words if it is covered by half.
-        left = [w for w, c in zip(found, hidden) if not c] if 2 * sum(hidden) >= len(found) else found
-        at += len(found)
+        left = [w for w, x in zip(found, hidden) if not x] if 2 * int(hidden.sum()) >= len(found) else found
         if left and (main or not dropped and not has_main):
             kept.append(" ".join(left))
     return "\n".join(kept)
 
 
+def pack(pages: list[list[Block]]) -> pa.ListArray:
+    """Blocks as array<struct<text, kind>>, the kind's bits are main, dropped and hint."""
+    flat = [x for page in pages for x in page]
+    columns = [pa.array([x[0] for x in flat], pa.string()), pa.array([x[1] + 2 * x[2] + 4 * x[3] for x in flat], pa.int8())]
+    return pa.ListArray.from_arrays(np.cumsum([0, *map(len, pages)]).astype(np.int32), pa.StructArray.from_arrays(columns, ["text", "kind"]))
+
+
+def unpack(column: pa.ListArray) -> list[list[Block]]:
+    flat, sizes = column.flatten(), column.value_lengths().to_pylist()
+    found = iter([(x, bool(k & 1), bool(k & 2), bool(k & 4)) for x, k in zip(flat.field("text").to_pylist(), flat.field("kind").to_pylist())])
+    return [[next(found) for _ in range(n)] for n in sizes]
+
+
+def frequent(runs: dict[str, list[np.ndarray]]) -> tuple[list[str], list[list[int]]]:
+    """Hosts, and the runs that over half of their pages here have: a run of over half of all pages is such a one in at
+    least one of the parts that the pages are split into."""
+    out: dict[str, list[int]] = {}
+    for name, pages in runs.items():
+        h, n = np.unique(np.concatenate(pages), return_counts=True)
+        out[name] = h[2 * n > len(pages)].tolist()
+    return list(out), list(out.values())
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of pages (page_id, url, html); a null or empty html gives an empty text.
 
@@ -203,38 +262,98 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     spark = pages.sparkSession
     base.small_batches(spark, 500)
-    kind = pa.list_(pa.struct([("text", pa.string()), ("main", pa.bool_()), ("dropped", pa.bool_()), ("hint", pa.bool_())]))
-    names = ["page_id", "url", "host", "whole", "runs", "text", "asked"]
+    types = dict(pages.dtypes)
+    names = ["page_id", "url", "host", "whole", "blocks", "runs"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common: dict[str, list[np.ndarray]] = {}
+        size, kinds = 0, None
+
+        def candidates() -> pa.RecordBatch:
+            """Rows without a page: runs that may be those of most of a host's articles."""
+            hosts, runs = frequent(common)
+            none = [pa.nulls(len(hosts), k) for k in (*kinds, pa.int64(), pack([]).type)]
+            return pa.RecordBatch.from_arrays([*none[:2], pa.array(hosts, pa.string()), *none[2:], pa.array(runs, pa.list_(pa.int64()))], names=names)
+
         for b in batches:
-            out: list[list] = [[] for _ in names[2:]]
+            kinds = b.column("page_id").type, b.column("url").type
+            found, hosts, wholes, asked = [], [], [], []
             for url, html in zip(b.column("url").to_pylist(), b.column("html").to_pylist()):
-                page = blocks(html)
-                tokens, sure = stream(page), settled(page)
-                row = (host(url), xxhash.xxh64_intdigest(" ".join(tokens)) - (1 << 63), list(dict.fromkeys(prefixes(tokens))), unique_text(page, set()) if sure else None, None if sure else [dict(zip(("text", "main", "dropped", "hint"), x)) for x in page])
-                for column, x in zip(out, row):
-                    column.append(x)
-            types = (pa.string(), pa.int64(), pa.list_(pa.int64()), pa.string(), kind)
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), *map(pa.array, out, types)], names=names)
-
-    types = dict(pages.dtypes)
-    shape = f"page_id {types['page_id']}, url {types['url']}, host string, whole long, runs array<long>, text string, asked array<struct<text:string,main:boolean,dropped:boolean,hint:boolean>>"
+                page, name = blocks(html), host(url)
+                h, plain, _, asks = suffixes(page, name)
+                common.setdefault(name, []).append(np.unique(h[plain]))
+                size += len(h)
+                found.append(page)
+                hosts.append(name)
+                wholes.append(xxhash.xxh64_intdigest(" ".join([x for x, *_ in page])) - (1 << 63))
+                asked.append(np.unique(h[asks]).tolist())
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(hosts, pa.string()), pa.array(wholes, pa.int64()), pack(found), pa.array(asked, pa.list_(pa.int64()))], names=names)
+            if size >= CHUNK:
+                yield candidates()
+                common, size = {}, 0
+        if common:
+            yield candidates()
+
+    shape = f"page_id {types['page_id']}, url {types['url']}, host string, whole long, blocks array<struct<text:string,kind:tinyint>>, runs array<long>"
     # Parsed once; a page's number is given to it before it is written, so it stays with the row.
     parsed = base.stash(pages.select("page_id", "url", "html").mapInArrow(read, shape).withColumn("page", F.monotonically_increasing_id()))
-    suffixes = parsed.select("host", "whole", F.explode("runs").alias("h"))
-    repeated = suffixes.groupBy("host", "h").agg(F.min("whole").alias("low"), F.max("whole").alias("high")).filter("low < high").select("host", "h")
-    # Only pages whose text isn't settled ask, each under its own number.
-    asked = parsed.filter("text is null").select("page", "page_id", "url", "asked")
-    answers = parsed.filter("text is null").select("page", "host", F.explode("runs").alias("h")).join(repeated, ["host", "h"], "left_semi").groupBy("page").agg(F.collect_list("h").alias("repeated"))
+    texts = parsed.filter("blocks is not null")
+    hosts = texts.groupBy("host", "whole").agg(F.count(F.lit(1)).alias("n")).groupBy("host").agg(F.sum("n").alias("pages"), F.count(F.lit(1)).alias("different"))
+    common = base.join_hot(parsed.filter("blocks is null").select("host", F.explode("runs").alias("h")), hosts.filter(F.col("different") >= LEAST), ["host"], F.col("h"))
+    asked = base.stash(texts.select(F.explode("runs").alias("h")).unionByName(common.select("h")))
+    bits = spark.sparkContext.broadcast(base.bit_table(asked))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[list] = [[] for _ in range(7)]
+            for number, name, whole, page in zip(b.column("page").to_pylist(), b.column("host").to_pylist(), b.column("whole").to_pylist(), unpack(b.column("blocks"))):
+                h, *flags = suffixes(page, name)
+                at = np.flatnonzero(base.may_hold(bits.value, h.view(np.uint64)))
+                if len(at):
+                    one, place = np.unique(h[at], return_inverse=True)
+                    for column, x in zip(rows, ([number] * len(one), [name] * len(one), [whole] * len(one), one.tolist(), *((np.bincount(place, f[at]) > 0).tolist() for f in flags))):
+                        column.extend(x)
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds)], names=["page", "host", "whole", "h", "plain", "open", "asks"])
+
+    # The suffixes, a row a page and prefix; equal prefixes of a host meet.
+    array = base.stash(texts.select("page", "host", "whole", "blocks").mapInArrow(find, "page long, host string, whole long, h long, plain boolean, open boolean, asks boolean"))
+    each = array.groupBy("host", "h", "whole").agg(F.max("open").cast("long").alias("open"), F.max("plain").cast("long").alias("plain"), F.sum(F.col("plain").cast("long")).alias("n"))
+    runs = base.stash(each.groupBy("host", "h").agg(F.count(F.lit(1)).alias("any"), *[F.sum(c).alias(c) for c in ("open", "plain", "n")]).filter(F.col("any") > 1))
+    most = (F.col("different") >= LEAST) & (2 * F.col("plain") > F.col("different")) & (2 * F.col("n") > F.col("pages"))
+    how = F.lit(ANY) + F.when(F.col("open") > 1, OPEN).otherwise(0) + F.when(most, MOST).otherwise(0)
+    told = base.join_hot(runs, hosts, ["host"], F.col("h")).select("host", "h", how.alias("how"))
+    met = base.join_hot(array.filter("asks or plain"), told, ["host", "h"], F.col("page")).filter(F.col("asks") | (F.col("how") >= MOST))
+    answers = base.stash(met.groupBy("page").agg(F.collect_list(F.struct("h", "how")).alias("runs")))
+    # Only pages with an answer are joined, each under its own number.
+    mark = F.xxhash64("page").alias("mark")
+    marks = spark.sparkContext.broadcast(base.bit_table(answers.select(mark.alias("h"))))
+    final = f"page_id {types['page_id']}, url {types['url']}, text string"
+
+    def chosen(b: pa.RecordBatch, answered: bool) -> pa.RecordBatch:
+        may = base.may_hold(marks.value, np.asarray(b.column("mark")).view(np.uint64)).astype(bool)
+        return b.filter(pa.array(may == answered))
+
+    def finished(b: pa.RecordBatch, runs: list[dict[int, int]]) -> pa.RecordBatch:
+        out = [unique_text(*x) for x in zip(unpack(b.column("blocks")), b.column("host").to_pylist(), runs)]
+        return pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(out, pa.string())], names=["page_id", "url", "text"])
+
+    def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b = chosen(b, False)
+            yield finished(b, [{}] * b.num_rows)
+
+    def those(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield chosen(b, True)
 
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [unique_text([tuple(x.values()) for x in page], set(seen or ())) for page, seen in zip(b.column("asked").to_pylist(), b.column("repeated").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+            yield finished(b, [{x["h"]: x["how"] for x in r or ()} for r in b.column("runs").to_pylist()])
 
-    told = asked.join(answers, "page", "left").select("page_id", "url", "asked", "repeated").mapInArrow(finish, f"page_id {types['page_id']}, url {types['url']}, text string")
-    return parsed.filter("text is not null").select("page_id", "url", "text").unionByName(told).withColumn("n_chars", F.length("text").cast("long"))
+    left = texts.select("page", mark, "page_id", "url", "host", "blocks")
+    asking = left.mapInArrow(those, left.schema).join(answers, "page", "left").select("page_id", "url", "host", "blocks", "runs")
+    return left.mapInArrow(without, final).unionByName(asking.mapInArrow(answered, final)).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:

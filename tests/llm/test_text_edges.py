@@ -517,6 +517,47 @@ def test_hinted_text_of_pages_without_an_article_goes_where_it_repeats(spark):
     assert got == {i: f"{t}\n{t[::-1]}" for i, t in enumerate(own)}
 
 
+def page_texts(spark, rows):
+    return {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_an_article_is_part_of_its_page_stream(spark):
+    """Pages differ by their articles, and an article's text tells that another page's teaser repeats it."""
+    rng = random.Random(21)
+    own = [" ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(20)) for _ in range(4)]
+    share = '<div class="share">follow us on every network and tell all your friends</div>'
+    rows = [(i, "http://h.x/1", f"<article><p>{t}</p>{share}</article>") for i, t in enumerate(own)]
+    rows += [(8, "http://i.x/1", f"<article><p>{own[0]}</p></article>"), (9, "http://i.x/2", f'<article><p>{own[1]}</p><div class="related">{own[0][:83]}</div><p class="promo">{own[2]}</p></article>')]
+    # What an article holds is no boilerplate of a page without one.
+    rows += [(10, "http://j.x/1", rows[4][2]), (11, "http://j.x/2", f'<div><p>{own[0]}</p><p class="promo">{own[0][:83]}</p></div>')]
+    assert page_texts(spark, rows) == dict(enumerate(own)) | {8: own[0], 9: f"{own[1]}\n{own[2]}", 10: own[0], 11: own[0]}
+
+
+@pytest.mark.parametrize("chunk", [1, 1 << 21])
+def test_runs_of_most_articles_of_a_host_go(spark, monkeypatch, chunk):
+    """An unnamed block goes if over half of a host's articles have it; passages of half of them, copies, and what small
+    hosts repeat stay."""
+    monkeypatch.setattr(html, "CHUNK", chunk)
+    rng = random.Random(22)
+    text = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    notice, passage, own = text(9), text(12), [[text(15), text(15)] for _ in range(12)]
+    page = lambda *blocks: "<article>" + "".join(f"<p>{b}</p>" for b in blocks) + "</article>"
+    rows, want = [], {}
+    for i, (a, b) in enumerate(own):
+        has = [notice] * (i < 7)
+        rows += [(i, "http://a.x/", page(a, *has, b, *[passage] * (i % 2))), (100 + i, "http://b.x/", page(a, *[notice] * (i < 6), b))]
+        want |= {i: [a, b, *[passage] * (i % 2)], 100 + i: [a, *[notice] * (i < 6), b]}
+        rows.append((200 + i, "http://c.x/", page(own[0][0], own[0][1], f"version {i}")))
+        want[200 + i] = [*own[0], f"version {i}"]
+        if i < 7:
+            rows.append((300 + i, "http://d.x/", page(a, notice, b)))
+            want[300 + i] = [a, notice, b]
+    # Copies of a page are one page: six of twelve different ones aren't most.
+    rows += [(400 + i, "http://b.x/", page(own[0][0], notice, own[0][1])) for i in range(5)]
+    want |= {400 + i: [own[0][0], notice, own[0][1]] for i in range(5)}
+    assert page_texts(spark, rows) == {i: "\n".join(x) for i, x in want.items()}
+
+
 def test_a_short_item_word_for_word_is_a_leak(spark):
     docs = spark.createDataFrame([(1, "he said open sesame now please and went"), (2, "open the door"), (3, "Open Sesame, now please")], "doc_id long, text string")
     items = spark.createDataFrame([(7, "open sesame now please")], "item_id long, text string")
