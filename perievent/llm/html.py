@@ -11,8 +11,8 @@ What a run decides depends on where it stands:
   of the host has them anywhere.
 * On pages without such an element, blocks that elements and names don't drop go if another page has them outside of
   articles, blocks with a hint if it has them anywhere.
-* An article's plain blocks go if they stand in the articles of over half of the host's pages, of LEAST different ones at
-  least, and aren't most of the article: articles of one host share passages and copies of each other, which are text.
+* An article's plain blocks go if they stand in the articles of over three quarters of the host's pages, of LEAST different
+  ones at least, and aren't most of the article: articles of one host share passages and copies of each other, which are text.
   The README has the figures.
 """
 
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from perievent.llm import base
 
 RUN = 8
-#: Of so many different pages of a host at least, what stands in over half of their articles isn't theirs.
+#: Of so many different pages of a host at least, what stands in over three quarters of their articles isn't theirs.
 LEAST = 8
 #: Article runs are compared within a task, so many at a time.
 CHUNK = 1 << 21
@@ -216,11 +216,11 @@ def unique_text(page: list[Block], host: str, runs: dict[int, int]) -> str:
         blocks_of.append((*block, found, covered[at : at + len(found)]))
         at += len(found)
     shared = [(c & MOST) > 0 for _, main, _, hint, _, c in blocks_of if main and not hint]
-    most = 2 * sum(int(c.sum()) for c in shared) <= sum(map(len, shared))  # else the articles are copies
+    few = 2 * sum(int(c.sum()) for c in shared) <= sum(map(len, shared))  # else the articles are copies
     kept = []
     for text, main, dropped, hint, found, c in blocks_of:
         if main and not hint:
-            if not (most and ((c & MOST) > 0).all()):
+            if not (few and ((c & MOST) > 0).all()):
                 kept.append(text)
             continue
         hidden = (c & (ANY if hint else OPEN)) > 0
@@ -244,13 +244,17 @@ def unpack(column: pa.ListArray) -> list[list[Block]]:
     return [[next(found) for _ in range(n)] for n in sizes]
 
 
+def most(n, of):
+    return 4 * n > 3 * of
+
+
 def frequent(runs: dict[str, list[np.ndarray]]) -> tuple[list[str], list[list[int]]]:
-    """Hosts, and the runs that over half of their pages here have: a run of over half of all pages is such a one in at
-    least one of the parts that the pages are split into."""
+    """Hosts, and the runs that most of their pages here have: a run of most of all pages is such a one in at least one
+    of the parts that the pages are split into."""
     out: dict[str, list[int]] = {}
     for name, pages in runs.items():
         h, n = np.unique(np.concatenate(pages), return_counts=True)
-        out[name] = h[2 * n > len(pages)].tolist()
+        out[name] = h[most(n, len(pages))].tolist()
     return list(out), list(out.values())
 
 
@@ -320,8 +324,8 @@ def extract(pages: DataFrame) -> DataFrame:
     array = base.stash(texts.select("page", "host", "whole", "blocks").mapInArrow(find, "page long, host string, whole long, h long, plain boolean, open boolean, asks boolean"))
     each = array.groupBy("host", "h", "whole").agg(F.max("open").cast("long").alias("open"), F.max("plain").cast("long").alias("plain"), F.sum(F.col("plain").cast("long")).alias("n"))
     runs = base.stash(each.groupBy("host", "h").agg(F.count(F.lit(1)).alias("any"), *[F.sum(c).alias(c) for c in ("open", "plain", "n")]).filter(F.col("any") > 1))
-    most = (F.col("different") >= LEAST) & (2 * F.col("plain") > F.col("different")) & (2 * F.col("n") > F.col("pages"))
-    how = F.lit(ANY) + F.when(F.col("open") > 1, OPEN).otherwise(0) + F.when(most, MOST).otherwise(0)
+    template = (F.col("different") >= LEAST) & most(F.col("plain"), F.col("different")) & most(F.col("n"), F.col("pages"))
+    how = F.lit(ANY) + F.when(F.col("open") > 1, OPEN).otherwise(0) + F.when(template, MOST).otherwise(0)
     told = base.join_hot(runs, hosts, ["host"], F.col("h")).select("host", "h", how.alias("how"))
     met = base.join_hot(array.filter("asks or plain"), told, ["host", "h"], F.col("page")).filter(F.col("asks") | (F.col("how") >= MOST))
     answers = base.stash(met.groupBy("page").agg(F.collect_list(F.struct("h", "how")).alias("runs")))

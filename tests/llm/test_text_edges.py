@@ -535,8 +535,8 @@ def test_an_article_is_part_of_its_page_stream(spark):
 
 @pytest.mark.parametrize("chunk", [1, 1 << 21])
 def test_runs_of_most_articles_of_a_host_go(spark, monkeypatch, chunk):
-    """An unnamed block goes if over half of a host's articles have it; passages of half of them, copies, and what small
-    hosts repeat stay."""
+    """An unnamed block goes if over three quarters of a host's articles have it; what three quarters or half of them have,
+    copies, and what small hosts repeat stay."""
     monkeypatch.setattr(html, "CHUNK", chunk)
     rng = random.Random(22)
     text = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
@@ -544,15 +544,15 @@ def test_runs_of_most_articles_of_a_host_go(spark, monkeypatch, chunk):
     page = lambda *blocks: "<article>" + "".join(f"<p>{b}</p>" for b in blocks) + "</article>"
     rows, want = [], {}
     for i, (a, b) in enumerate(own):
-        has = [notice] * (i < 7)
-        rows += [(i, "http://a.x/", page(a, *has, b, *[passage] * (i % 2))), (100 + i, "http://b.x/", page(a, *[notice] * (i < 6), b))]
-        want |= {i: [a, b, *[passage] * (i % 2)], 100 + i: [a, *[notice] * (i < 6), b]}
+        has = [notice] * (i < 10)
+        rows += [(i, "http://a.x/", page(a, *has, b, *[passage] * (i % 2))), (100 + i, "http://b.x/", page(a, *[notice] * (i < 9), b))]
+        want |= {i: [a, b, *[passage] * (i % 2)], 100 + i: [a, *[notice] * (i < 9), b]}
         rows.append((200 + i, "http://c.x/", page(own[0][0], own[0][1], f"version {i}")))
         want[200 + i] = [*own[0], f"version {i}"]
         if i < 7:
             rows.append((300 + i, "http://d.x/", page(a, notice, b)))
             want[300 + i] = [a, notice, b]
-    # Copies of a page are one page: six of twelve different ones aren't most.
+    # Copies of a page are one page: nine of twelve different ones aren't over three quarters.
     rows += [(400 + i, "http://b.x/", page(own[0][0], notice, own[0][1])) for i in range(5)]
     want |= {400 + i: [own[0][0], notice, own[0][1]] for i in range(5)}
     assert page_texts(spark, rows) == {i: "\n".join(x) for i, x in want.items()}
