@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from perievent.functions import numerics as N
+from perievent.functions.digests import md5_words, ordered
 from perievent.operators import stats
 from perievent.operators.curves import psychometric
 from perievent.operators.drivers import split_auc
@@ -115,15 +116,133 @@ def numbered_within(df: DataFrame, keys: tuple[str, ...], by: tuple[str, ...], n
     return placed.join(first, list(keys)).withColumn(name, F.col("_at") - F.col("_first") + 1).drop("_at", "_first")
 
 
+#: Places of a shuffle that one task pairs at once, about, and rows that a task packs at once.
+SHARE, PACK = 1 << 20, 1 << 19
+
+
+def thin(v: np.ndarray) -> bytes:
+    """Doubles in few bytes, without loss: whole numbers or hundredths where they are, by byte planes."""
+    for scale in (1, 100):
+        t = np.rint(v * scale)
+        if len(v) and np.abs(t).max() < 2**31 and (t / scale == v).all():
+            kind = next(k for k in ("i1", "<i2", "<i4") if np.abs(t).max() <= np.iinfo(k).max)
+            t = t.astype(kind)
+            return bytes([scale, t.itemsize]) + t.view(np.uint8).reshape(-1, t.itemsize).T.tobytes()
+    return bytes([0, 8]) + np.ascontiguousarray(v, dtype="<f8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def thick(b: bytes) -> np.ndarray:
+    """What thin packed."""
+    planes = np.ascontiguousarray(np.frombuffer(b, dtype=np.uint8, offset=2).reshape(b[1], -1).T)
+    return planes.view("<f8")[:, 0] if b[0] == 0 else planes.view(f"<i{b[1]}")[:, 0].astype(float) / b[0]
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Key, places, x's and y's (nan for null) of batches of (_g, _k, _x, _y), some rows at once, each key's in the order of places."""
+
+    def out(rows: list[pa.RecordBatch]):
+        t = pa.Table.from_batches(rows)
+        g, k, x, y = (t.column(i).to_numpy() for i in range(4))
+        o = np.lexsort((k, g))
+        g, k, x, y = g[o], k[o], x[o].astype(float), y[o].astype(float)
+        ends = [0, *(np.flatnonzero(np.diff(g)) + 1).tolist(), len(g)]
+        for i, j in zip(ends, ends[1:]):
+            yield int(g[i]), k[i:j], x[i:j], y[i:j]
+
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+        if sum(x.num_rows for x in held) >= PACK:
+            yield from out(held)
+            held = []
+    if held:
+        yield from out(held)
+
+
 def correlation_null(df: DataFrame, keys: tuple[str, ...], x: str, y: str, unit: tuple[str, ...], iterations: int, seed: int) -> DataFrame:
     """keys, r, p: Pearson's r with the share of shuffles that reach it. In each the y's are dealt to the x's anew: both
-    meet by their places, x's in the order of their units, y's in seeded order."""
-    a = stash(numbered_within(df.select(*dict.fromkeys((*keys, *unit, x, y))), keys, unit, "_k"))
-    s = a.select(*keys, "_k", y).withColumn("_it", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1)))).withColumn("_o", seeded_order(seed, "_it", "_k"))
-    s = numbered_within(s, (*keys, "_it"), ("_o", "_k"), "_j")
-    null = s.select(*keys, "_it", F.col("_j").alias("_k"), y).join(a.select(*keys, "_k", x), [*keys, "_k"]).groupBy(*keys, "_it").agg(F.corr(x, y).alias("_r0"))
-    true = a.groupBy(*keys).agg(F.corr(x, y).alias("r"))
-    return null.join(true, list(keys)).groupBy(*keys, "r").agg(F.avg((F.col("_r0") >= F.col("r")).cast("double")).alias("p"))
+    meet by their places, x's in the order of their units, y's in seeded order. Ranges of the seeded order are counted first,
+    so that places of x's are known by range; then each range's x's and y's meet once, packed, whatever a key's size."""
+    a = stash(order.placed(df.select(*dict.fromkeys((*keys, *unit, x, y))), keys, unit, tuple(dict.fromkeys((x, y))), "_k"))
+    sizes = a.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.corr(x, y).alias("_r"))
+    sizes = stash(order.numbered(sizes, [F.col(c) for c in keys], "_g"))
+    rows = a.join(sizes.select(*keys, "_g"), list(keys)).select("_g", "_k", F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    large = {r["_g"]: -(-r["_n"] // SHARE) for r in sizes.filter(F.col("_n") > SHARE).select("_g", "_n").collect()}  # a row for so many rows of the table at most
+
+    def hashed(it: int, k: np.ndarray, parts: int) -> np.ndarray:
+        return ((md5_words(f"{seed}|{it}|", k)[0] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: dict[tuple[int, int], np.ndarray] = {}
+        for g, k, _, _ in _packed(batches):
+            for it in range(iterations if g in large else 0):
+                n[g, it] = n.get((g, it), 0) + np.bincount(hashed(it, k, large[g]), minlength=large[g])
+        found = [(g, it, part, int(c)) for (g, it), counts in n.items() for part, c in enumerate(counts)]
+        yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(4)], names=["g", "it", "part", "n"])
+
+    ends: dict[tuple[int, int], np.ndarray] = {}
+    if large:
+        of_large = rows.filter(F.col("_g").isin(list(large)))
+        for r in of_large.mapInArrow(count, "g long, it long, part long, n long").groupBy("g", "it", "part").agg(F.sum("n").alias("n")).collect():
+            ends.setdefault((r["g"], r["it"]), np.zeros(large[r["g"]] + 1, dtype=np.int64))[r["part"] + 1] = r["n"]
+        ends = {k: np.cumsum(v) for k, v in ends.items()}
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each range (g, it, part): the x's of its places (from `at` on), the y's that are dealt there and their places."""
+        for g, k, vx, vy in _packed(batches):
+            out: list[tuple] = []
+            steps = np.diff(k, prepend=k[:1])
+            runs = [0, *np.flatnonzero(steps > 1).tolist(), len(k)]  # stretches of places without a gap
+            for it in range(iterations):
+                part = hashed(it, k, large[g]) if g in large else np.zeros(len(k), dtype=np.int64)
+                o = np.argsort(part, kind="stable")
+                cuts = np.searchsorted(part[o], np.arange(large.get(g, 1) + 1))
+                for p in np.flatnonzero(np.diff(cuts)):
+                    of = o[cuts[p] : cuts[p + 1]]
+                    d = np.diff(k[of], prepend=k[of[:1]])
+                    kind = next(t for t in ("u1", "<u2", "<u4", "<u8") if d.max() <= np.iinfo(t).max)
+                    out.append((g, it, int(p), int(k[of[0]]), bytes([int(kind[-1])]) + d.astype(kind).tobytes(), thin(vy[of])))
+                for i, j in zip(runs, runs[1:]):
+                    bounds = ends[g, it] if g in large else np.array([0, 1 << 62])
+                    for p in range(int(np.searchsorted(bounds, k[i] - 1, "right")) - 1, len(bounds) - 1):
+                        lo, hi = max(i, i + int(bounds[p] + 1 - k[i])), min(j, i + int(bounds[p + 1] + 1 - k[i]))
+                        if lo >= j:
+                            break
+                        if lo < hi:
+                            out.append((g, it, p, int(k[lo] - bounds[p] - 1), None, thin(vx[lo:hi])))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["g", "it", "part", "at", "k", "v"])
+
+    def pair(key: tuple, t: pa.Table) -> pa.Table:
+        g, it, part = (v.as_py() for v in key)
+        ks, ys, xs = [], [], []
+        for r in t.select(["at", "k", "v"]).to_pylist():
+            if r["k"] is None:
+                xs.append((r["at"], thick(r["v"])))
+            else:
+                ks.append(r["at"] + np.cumsum(np.frombuffer(r["k"], dtype=f"<u{r['k'][0]}", offset=1).astype(np.int64)))
+                ys.append(thick(r["v"]))
+        k, vy = np.concatenate(ks), np.concatenate(ys)
+        vx = np.empty(len(k))
+        for at, v in xs:
+            vx[at : at + len(v)] = v
+        vy = vy[ordered(*md5_words(f"{seed}|{it}|", k), k)]
+        both = ~(np.isnan(vx) | np.isnan(vy))
+        vx, vy = vx[both], vy[both]
+        n = len(vx)
+        mx, my = (vx.mean(), vy.mean()) if n else (0.0, 0.0)
+        return pa.table({"g": [g], "it": [it], "n": [float(n)], "mx": [mx], "my": [my], "xy": [float((vx - mx) @ (vy - my))], "xx": [float((vx - mx) @ (vx - mx))], "yy": [float((vy - my) @ (vy - my))]})
+
+    dealt = rows.mapInArrow(deal, "g long, it long, part long, at long, k binary, v binary")
+    sums = stash(dealt.groupBy("g", "it", "part").applyInArrow(pair, "g long, it long, n double, mx double, my double, xy double, xx double, yy double"))
+    whole = sums.groupBy("g", "it").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("mx")) / F.nullif(F.sum("n"), F.lit(0.0))).alias("wx"), (F.sum(F.col("n") * F.col("my")) / F.nullif(F.sum("n"), F.lit(0.0))).alias("wy"))
+    d = sums.select("g", "it", "mx", "my", "xy", "xx", "yy", F.col("n").alias("m")).join(whole, ["g", "it"])
+    off = lambda a, b: F.sum(F.col(a + b) + F.col("m") * (F.col("m" + a) - F.col("w" + a)) * (F.col("m" + b) - F.col("w" + b)))
+    d = d.groupBy("g", "it", "n").agg(off("x", "y").alias("xy"), off("x", "x").alias("xx"), off("y", "y").alias("yy"))
+    spread = F.sqrt("xx") * F.sqrt("yy")
+    r0 = F.when(F.col("n") > 1, F.when(spread > 0, F.col("xy") / F.when(spread > 0, spread)).otherwise(float("nan")))
+    null = d.select(F.col("g").alias("_g"), r0.alias("_r0"))
+    return null.join(sizes.select(*keys, "_g", F.col("_r").alias("r")), "_g").groupBy(*keys, "r").agg(F.avg((F.col("_r0") >= F.col("r")).cast("double")).alias("p"))
 
 
 def double_gaussians(theta: np.ndarray, p: np.ndarray) -> np.ndarray:

@@ -24,6 +24,18 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return s.withColumn("_k", k).join(before, "_slice").withColumn(name, F.col("_before") + F.col("_k")).drop("_slice", "_k", "_before")
 
 
+def placed(df: DataFrame, keys: tuple[str, ...], by: tuple[str, ...], keep: tuple[str, ...], name: str) -> DataFrame:
+    """keys, keep and the number from 1 of each row within its keys in the order `by`, whatever a key's size. Rows move and
+    are written once: a slice of the order is a part of the table, and a row's number is its place there, less the place of
+    the first row of its keys, plus what slices before hold of these."""
+    order = [F.col(c) for c in (*keys, *by)]
+    s = stash(df.repartitionByRange(*order).sortWithinPartitions(*order).select(*keys, *keep, F.monotonically_increasing_id().alias("_id")))
+    slice_of = F.shiftright("_id", 33).alias("_slice")
+    parts = s.groupBy(*keys, slice_of).agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    parts = parts.select(*keys, "_slice", "_first", F.coalesce(F.sum("_n").over(W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return s.select("*", slice_of).join(stash(parts), [*keys, "_slice"]).select(*keys, *keep, (F.col("_id") - F.col("_first") + F.col("_before") + 1).alias(name))
+
+
 def running_counts(df: DataFrame, keys: tuple[str, ...], value: str) -> DataFrame:
     """keys, value, n, upto, total: for each distinct non-null value of a key its rows, those up to it and all."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))

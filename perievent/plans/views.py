@@ -37,7 +37,7 @@ def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stacked responses at volume: datasets (datakey) with cells, trials of one config each, and an area."""
     area = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("cell"), F.col("n_regionkey").cast("long").alias("area"))
     rows = table(spark, sf_dir, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("datakey"), F.col("l_suppkey").alias("cell"), long("l_linenumber").alias("config"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("trial"), F.col("l_extendedprice").alias("response"), F.col("l_quantity").alias("quantity"))
-    return rows.join(area, "cell")
+    return rows.join(F.broadcast(area), "cell")  # a supplier for hundreds of lines: two numbers each, instead of all lines dealt by supplier
 
 
 def traces(spark: SparkSession, sf_dir: str, whole: bool = True) -> DataFrame:

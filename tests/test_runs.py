@@ -101,3 +101,23 @@ def test_selections(spark):
     df = spark.createDataFrame([("told", i, float(v), float(v + rng.standard_normal() * 0.1)) for i, v in enumerate(x)] + [("not", i, float(v), float(rng.standard_normal())) for i, v in enumerate(x)], "k string, u int, x double, y double")
     p = {r["k"]: r["p"] for r in R.correlation_null(df, ("k",), "x", "y", ("u",), 20, 1).collect()}
     assert p["told"] == 0 and p["not"] > 0 and not math.isnan(p["not"])
+
+
+def test_shuffles_by_ranges_are_those_of_one_order(spark, monkeypatch):
+    import hashlib
+
+    from perievent.functions.digests import md5_words
+
+    hi, lo = md5_words("2|7|", np.array([0, 9, 10, 123456789012]), "|x")
+    assert [f"{int(a):016x}{int(b):016x}" for a, b in zip(hi, lo)] == [hashlib.md5(f"2|7|{k}|x".encode()).hexdigest() for k in (0, 9, 10, 123456789012)]
+    for v in ([1.0, -3.0, 50.0], [0.25, 12.01, 1e6 + 0.07], [math.pi, float("nan")], [-70000.0]):
+        assert np.array_equal(R.thick(R.thin(np.array(v))), np.array(v), equal_nan=True)
+    rng = np.random.default_rng(2)
+    rows = [(k, i, float(rng.integers(50)), None if i == 5 else float(rng.standard_normal())) for k, n in (("a", 60), ("b", 3)) for i in range(n)]
+    monkeypatch.setattr(R, "SHARE", 7)  # ranges of seven places
+    got = {r["k"]: r["p"] for r in R.correlation_null(spark.createDataFrame(rows, "k string, u int, x double, y double").repartition(3), ("k",), "x", "y", ("u",), 9, 2).collect()}
+    for key in ("a", "b"):
+        x, y = (np.array([np.nan if r[c] is None else r[c] for r in rows if r[0] == key]) for c in (2, 3))
+        r = lambda v: np.corrcoef(x[~np.isnan(v)], v[~np.isnan(v)])[0, 1]  # noqa: B023, E731
+        dealt = [y[sorted(range(len(y)), key=lambda i: hashlib.md5(f"2|{it}|{i + 1}".encode()).hexdigest())] for it in range(9)]  # noqa: B023
+        assert got[key] == pytest.approx(np.mean([r(v) >= r(y) - 1e-12 for v in dealt])), key
