@@ -14,7 +14,7 @@ from perievent.functions import tails
 from perievent.operators.drivers import hashed, inside_intervals
 from perievent.operators.maps import masks
 from perievent.operators.metrics import _rounded as _r
-from perievent.operators.models import fit_fields
+from perievent.operators.models import fit_fields, fit_masks
 from perievent.operators.stats import g10, g11, g13
 from perievent.plans import views as V
 
@@ -48,7 +48,7 @@ def boot_fields(frames: DataFrame, where: DataFrame, iterations: int, seed: int)
     picks = n.select("last", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("it")).select("last", "it", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("draw"))
     picks = picks.withColumn("frame", hashed(seed, "it", "draw") % (F.col("last") + 1)).groupBy("it", "frame").agg(F.count(F.lit(1)).alias("times"))
     maps = frames.join(picks, "frame").groupBy("it", "y", "x").agg((F.sum(F.col("value") * F.col("times")) / F.sum("times")).alias("v"))
-    return fit_fields(where.select("cell", "y", "x").join(maps, ["y", "x"]), ("cell", "it"))
+    return fit_masks(where.select("cell", "y", "x"), maps, ("it",)).select("cell", "it", "amp", "x0", "y0", "sigma_x", "sigma_y", "theta", "offset", "r2")
 
 
 def axis_weights(trials: DataFrame, first: Column) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from perievent.functions import numerics as N
 from perievent.operators.joins import seeded_order
-from perievent.operators.maps import image, masks, pair_corr
+from perievent.operators.maps import image, masks, pair_corr, same_masks
 from perievent.operators.metrics import _rounded as _r
 from perievent.plans import views as V
 
@@ -59,6 +59,14 @@ def fit_fields(pixels: DataFrame, keys: tuple[str, ...] = ("cell",)) -> DataFram
     return pixels.groupBy(*keys).applyInPandas(fit, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", amp double, x0 double, y0 double, sigma_x double, sigma_y double, theta double, offset double, r2 double")
 
 
+def fit_masks(where: DataFrame, maps: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """fit_fields of each cell's pixels (cell, y, x) of each key's map (keys, y, x, v). Cells of the same pixels have the same
+    fit, which is made once."""
+    of, shapes = same_masks(where)
+    fits = fit_fields(shapes.join(maps, ["y", "x"]), ("shape", *keys))
+    return of.join(fits, "shape").drop("shape")
+
+
 def vectors(responses: DataFrame) -> DataFrame:
     """One row a trial: config and the responses of all cells in the cells' order."""
     v = F.sort_array(F.collect_list(F.struct("cell", "response")))

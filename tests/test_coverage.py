@@ -110,3 +110,17 @@ def test_core_operators_take_empty_and_null_tables(spark):
     assert {(x["config"], x["response"]) for x in metrics.by_config(r).collect()} == {(1, 2.0), (2, None)}
     assert stats.kruskal_wallis(r.limit(0), ("cell",), "config", "response").count() == 0
     assert series.runs(traces.limit(0), ("cell",), ("frame_ix",), "value").count() == 0
+
+
+def test_cells_of_one_mask_share_one_fit(spark):
+    """Cells of the same pixels, in any order, are one shape; others keep their own, and every cell has its fits."""
+    from perievent.operators import maps, models
+
+    rows = [(c, y, x) for c, (cy, cx) in {7: (0, 0), 3: (0, 0), 5: (1, 0)}.items() for y in range(cy, cy + 5) for x in range(cx, cx + 5)]
+    where = spark.createDataFrame(rows[::-1], "cell long, y long, x long").repartition(3)
+    of, shapes = maps.same_masks(where)
+    assert sorted(map(tuple, of.collect())) == [(3, 3), (5, 5), (7, 3)] and shapes.count() == 50
+    img = spark.createDataFrame([(it, y, x, math.exp(-((y - 2) ** 2) / 3 - (x - it - 1) ** 2 / 2)) for it in (0, 1) for y in range(7) for x in range(7)], "it int, y long, x long, v double")
+    got = {(r["cell"], r["it"]): (r["x0"], r["y0"], r["r2"]) for r in models.fit_masks(where, img, ("it",)).collect()}
+    plain = {(r["cell"], r["it"]): (r["x0"], r["y0"], r["r2"]) for r in models.fit_fields(where.join(img, ["y", "x"]), ("cell", "it")).collect()}
+    assert len(got) == 6 and all(got[k] == pytest.approx(plain[k], abs=1e-4) for k in plain) and got[3, 1] == got[7, 1]
