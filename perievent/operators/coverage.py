@@ -14,7 +14,7 @@ from perievent.functions import tails
 from perievent.operators.drivers import hashed, inside_intervals
 from perievent.operators.maps import masks
 from perievent.operators.metrics import _rounded as _r
-from perievent.operators.models import fit_fields, fit_masks
+from perievent.operators.models import fit_masks
 from perievent.operators.stats import g10, g11, g13
 from perievent.plans import views as V
 
@@ -94,7 +94,7 @@ def i06(spark, sf):
 def b15(spark, sf):
     """Fields whose fit to the whole map lies inside the bootstrap's intervals, parameter by parameter."""
     whole = _frames(spark, sf).groupBy("y", "x").agg(F.avg("value").alias("v"))
-    fits = fit_fields(masks(spark, sf).select("cell", "y", "x").join(whole, ["y", "x"]))
+    fits = fit_masks(masks(spark, sf).select("cell", "y", "x"), whole)
     params = ("x0", "y0", "sigma_x", "sigma_y")
     return _r(inside_intervals(fits.select("cell", *params), i06(spark, sf).select("cell", *params), ("cell",), params))
 
