@@ -165,7 +165,7 @@ def i01_means(spark, sf):
 def i05(spark, sf):
     c = masks(spark, sf).groupBy("cell").agg(F.floor(F.avg("y")).alias("cy"), F.floor(F.avg("x")).alias("cx"))
     px = c.select("cell", F.explode(F.sequence(F.col("cy") - 6, F.col("cy") + 6)).alias("y"), "cx").select("cell", "y", F.explode(F.sequence(F.col("cx") - 6, F.col("cx") + 6)).alias("x"))
-    return _r(fit_fields(px.join(image(spark, sf), ["y", "x"])))
+    return _r(fit_masks(px, image(spark, sf)))
 
 
 def i09(spark, sf):
