@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from perievent.functions import numerics as N
 from perievent.operators.joins import seeded_order
-from perievent.operators.maps import image, masks, pair_corr, same_masks
+from perievent.operators.maps import image, masks, of_shapes, pair_corr, same_masks
 from perievent.operators.metrics import _rounded as _r
 from perievent.plans import views as V
 
@@ -200,11 +200,13 @@ def i26(spark, sf):
 
 
 def i28(spark, sf):
-    """A low-rank product of two sparse matrices, by joins and sums."""
-    m = masks(spark, sf).select("cell", "y", "x", "weight")
-    trace = V.grid(spark, sf).join(m, ["y", "x"]).groupBy("cell", "frame").agg(F.sum(F.col("value") / 1000 * F.col("weight")).alias("c"))
-    movie = m.join(trace, "cell").groupBy("y", "x", "frame").agg(F.sum(F.col("weight") * F.col("c")).alias("v"))
-    return _r(m.join(movie, ["y", "x"]).groupBy("cell", "frame").agg(F.sum(F.col("weight") * F.col("v")).alias("trace")))
+    """A low-rank product of two sparse matrices, by joins and sums. Cells of the same mask have the same trace: a shape's
+    counts in the movie as often as it has cells."""
+    of, m = same_masks(masks(spark, sf).select("cell", "y", "x", "weight"))
+    n = of.groupBy("shape").agg(F.count(F.lit(1)).alias("n"))
+    trace = V.grid(spark, sf).join(m, ["y", "x"]).groupBy("shape", "frame").agg(F.sum(F.col("value") / 1000 * F.col("weight")).alias("c"))
+    movie = m.join(trace.join(n, "shape"), "shape").groupBy("y", "x", "frame").agg(F.sum(F.col("weight") * F.col("c") * F.col("n")).alias("v"))
+    return of_shapes(of, _r(m.join(movie, ["y", "x"]).groupBy("shape", "frame").agg(F.sum(F.col("weight") * F.col("v")).alias("trace"))))
 
 
 _H = "CAST('0x' || substr(md5('1|' || config || '|' || it || '|' || draw), 1, 8) AS BIGINT)"
