@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from perievent.functions import circular
 from perievent.operators.joins import keep, top
-from perievent.operators.maps import masks
+from perievent.operators.maps import corr_by_distance, masks
 from perievent.operators.metrics import _rounded as _r
 from perievent.plans import views as V
 from perievent.plans.order import numbered
@@ -130,13 +130,9 @@ def h30(spark, sf):
 
 def h37(spark, sf):
     """Signal correlation of cell pairs, averaged over bins of their distance."""
-    from perievent.operators.maps import pair_corr
-
     p = V.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("cell"), (F.col("s_suppkey") * 7 % 50).alias("x"), (F.col("s_suppkey") * 3 % 50).alias("y"))
-    r = pair_corr(V.recordings(spark, sf).groupBy("datakey", "cell", "config").agg(F.avg("response").alias("response")), ("datakey",), "cell", "config", "response")
-    j = r.join(p.select(F.col("cell").alias("a"), F.col("x").alias("xa"), F.col("y").alias("ya")), "a").join(p.select(F.col("cell").alias("b"), F.col("x").alias("xb"), F.col("y").alias("yb")), "b")
-    d = circular.distance(F.col("xa"), F.col("ya"), F.col("xb"), F.col("yb"))
-    return _r(j.filter("r is not null and not isnan(r)").groupBy(F.floor(d / 10).alias("bin")).agg(F.avg("r").alias("r"), F.count(F.lit(1)).alias("n")))
+    m = V.recordings(spark, sf).groupBy("datakey", "cell", "config").agg(F.avg("response").alias("response"))
+    return _r(corr_by_distance(m, p, ("datakey",), "cell", "config", "response", 10))
 
 
 def h38(spark, sf):

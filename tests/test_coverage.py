@@ -134,3 +134,24 @@ def test_traces_of_shapes_are_dealt_to_cells(spark):
     found = spark.createDataFrame([(s, f, s + f / 10) for s in (3, 4) for f in range(3)], "shape long, frame long, v double")
     got = sorted(map(tuple, maps.of_shapes(of, found).collect()))
     assert got == sorted((c, f, (3 if c % 2 else 4) + f / 10) for c in range(200) for f in range(3))
+
+
+def test_correlations_by_distance_are_those_of_all_pairs(spark):
+    """Missing samples, constant units, units of one sample and shared places, against every pair."""
+    rng = random.Random(3)
+    rows = [(k, c, s, 2.0 if c == 4 else rng.random()) for k in ("a", "b") for c in range(14) for s in range(5) if rng.random() < 0.7 or c < 3] + [("a", 20, 1, 0.5), ("a", 21, 1, None)]
+    df = spark.createDataFrame(rows, "k string, cell long, s long, v double")
+    p = spark.createDataFrame([(c, c * 7 % 20, c % 3) for c in range(22)], "cell long, x long, y long")
+    found: dict = {}
+    for k in ("a", "b"):
+        of = {c: {r[2]: r[3] for r in rows if r[:2] == (k, c) and r[3] is not None} for c in range(22)}
+        for a in range(22):
+            for b in range(a + 1, 22):
+                both = [(of[a][s], of[b][s]) for s in of[a].keys() & of[b].keys()]
+                x, y = zip(*both) if both else ((), ())
+                if len(set(x)) > 1 and len(set(y)) > 1:
+                    d = math.hypot(a * 7 % 20 - b * 7 % 20, a % 3 - b % 3)
+                    found.setdefault(math.floor(d / 4), []).append(np.corrcoef(x, y)[0, 1])
+    got = maps.corr_by_distance(df, p, ("k",), "cell", "s", "v", 4)
+    rows = {r["bin"]: (r["r"], r["n"]) for r in got.collect()}
+    assert len(rows) > 3 and rows.keys() == found.keys() and all(rows[k] == pytest.approx((np.mean(v), len(v))) for k, v in found.items())
