@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from perievent.operators.maps import masks
+from perievent.operators.maps import masks, of_shapes, same_masks
 from perievent.operators.metrics import _rounded as _r
 from perievent.plans import views as V
 
@@ -218,8 +218,10 @@ def n20_blocks(spark, sf):
 
 
 def n20_masks(spark, sf):
-    """The same of masks' traces, on the larger image."""
-    return _r(periodic_response(mask_traces(V.grid(spark, sf), masks(spark, sf).select("cell", "y", "x", "weight")), ("cell",), 5.0, 5))
+    """The same of masks' traces, on the larger image; cells of the same mask share them."""
+    of, shapes = same_masks(masks(spark, sf).select("cell", "y", "x", "weight"))
+    found = periodic_response(mask_traces(V.grid(spark, sf), shapes.withColumnRenamed("shape", "cell")), ("cell",), 5.0, 5)
+    return _r(of_shapes(of, found.withColumnRenamed("cell", "shape")))
 
 
 def _phases(spark, sf) -> DataFrame:
