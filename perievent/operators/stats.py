@@ -183,7 +183,7 @@ def g08(spark, sf):
 
 
 def g10(spark, sf):
-    best = V.recordings(spark, sf).groupBy("area", "cell").agg(F.avg("response").alias("m"))
+    best = V.recordings(spark, sf).groupBy("area", "cell").agg(V.mean("response").alias("m"))
     return _r(mann_whitney(best, "area", "m"))
 
 

@@ -48,7 +48,8 @@ def running_counts(df: DataFrame, keys: tuple[str, ...], value: str) -> DataFram
 
 def ranks(df: DataFrame, keys: tuple[str, ...], value: str, name: str) -> DataFrame:
     """df's rows of a value with its rank among its key's, ties sharing their mean; whatever a key's size. Keys must not be
-    null."""
+    null. df is written first: a value that is made again, as a mean of rows in another order, may not meet its own count."""
+    df = stash(df)
     counts = running_counts(df, keys, value).select(*keys, value, (F.col("upto") - (F.col("n") - 1) / 2).alias(name))
     return df.join(counts, [*keys, value])
 

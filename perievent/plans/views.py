@@ -18,6 +18,19 @@ def r6(c: Column | str) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
 
+def exact(c: Column) -> Column:
+    """A number as a decimal of ten places, whose sums don't depend on their order; null where it has none (nan, infinite)."""
+    return c.try_cast("decimal(38,10)")
+
+
+def mean(c: Column | str) -> Column:
+    """The mean, the same whatever the order of rows is, so that equal values have equal means and both sides of a comparison
+    agree; as avg where a value has no decimal."""
+    c = F.col(c) if isinstance(c, str) else c
+    x = exact(c)
+    return F.when(F.count(x) == F.count(c), F.sum(x).cast("double") / F.nullif(F.count(x), F.lit(0))).otherwise(F.avg(c))
+
+
 def long(c: Column | str) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("long")
 

@@ -174,3 +174,28 @@ def test_queries_over_masks_fit_and_meet_shapes_only(spark, sf, monkeypatch):
     assert seen == [cells, cells] and len(pairs) == 4 * len(of_pairs) + cells
     assert all(r["distance"] == (of_pairs[min(a, b), max(a, b)] if (a := r["a"] % 1000) != (b := r["b"] % 1000) else 0.0) for r in pairs)
     assert len(again) == 2 * len(of_masks) and all(again[c] == pytest.approx(again[c + 1000], nan_ok=True) for c in of_masks)
+
+
+def test_means_and_ranks_do_not_hang_on_the_order_of_rows(spark, sf):
+    """Equal values in other orders have one mean; a value that each use makes a little different still gets its rank; a
+    frame that is dealt to one place in all trials is a tie, as frequencies drawn in another order are."""
+    from perievent.plans import views as V
+
+    v = [0.1, 0.2, 0.3, 1e6 + 0.7, 0.4, -0.7]
+    df = spark.createDataFrame([(c, x) for c, o in ((1, v), (2, v[::-1]), (3, v[2:] + v[:2])) for x in o] + [(4, float("nan")), (4, 1.0), (5, None)], "c int, v double").coalesce(1)
+    m = {r["c"]: r["m"] for r in df.groupBy("c").agg(V.mean("v").alias("m")).collect()}
+    assert m[1] == m[2] == m[3] == pytest.approx(sum(v) / 6) and math.isnan(m[4]) and m[5] is None
+    noisy = spark.range(40).select((F.col("id") % 2).alias("k"), (F.col("id") + F.rand() * 1e-3).alias("v"))
+    assert order.ranks(noisy.withColumn("v", F.udf(lambda x: x + random.random() * 1e-3, "double").asNondeterministic()("v")), ("k",), "v", "rank").count() == 40
+    hi = [3.1, 7.3, 0.7, 9.9]
+    frames = spark.createDataFrame([("a", t, f, x if f else x / 9) for t, x in enumerate(hi) for f in (0, 1)], "cell string, trial long, frame_ix long, value double")
+    p = {r["frame_ix"]: r["p"] for r in drivers.frame_null(frames, ("cell",), 400, 4).collect()}
+    assert p[1] == pytest.approx(1 / 8, abs=0.06) and p[0] == 1  # all four trials to one of two places: ties, and nothing else, reach the larger mean
+    rng = random.Random(1)
+    mags = spark.createDataFrame([(c, k, rng.random()) for c in range(40) for k in (1, 2, 3)], "cell long, k long, mag double")
+    h = lambda c, it, j: __import__("hashlib").md5(f"9|{c}|{it}|{j}".encode()).hexdigest()[:8]
+    of = {(r["cell"], r["k"]): r["mag"] for r in mags.collect()}
+    for r in drivers.spectral_null(mags, ("cell",), 2, 30, 9).collect():
+        c, drawn = r["cell"], [[int(h(r["cell"], it, j), 16) % 3 + 1 for j in (1, 2, 3)] for it in range(30)]
+        share = lambda ks: of[c, ks[1]] / math.fsum(of[c, k] for k in ks)  # noqa: B023, E731
+        assert r["p"] == pytest.approx(np.mean([share(ks) >= share([1, 2, 3]) - 1e-12 for ks in drawn]))
