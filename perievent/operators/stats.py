@@ -188,7 +188,7 @@ def g10(spark, sf):
 
 
 def g11(spark, sf):
-    m = V.recordings(spark, sf).groupBy("area", "cell").agg(F.avg(F.when(F.col("datakey") == "AF", F.col("response"))).alias("a"), F.avg(F.when(F.col("datakey") == "RF", F.col("response"))).alias("b"))
+    m = V.recordings(spark, sf).groupBy("area", "cell").agg(V.mean(F.when(F.col("datakey") == "AF", F.col("response"))).alias("a"), V.mean(F.when(F.col("datakey") == "RF", F.col("response"))).alias("b"))
     return _r(paired(m.filter("a is not null and b is not null"), ("area",), "a", "b"))
 
 
