@@ -18,6 +18,7 @@ from perievent.operators.models import bootstrap_means
 from perievent.operators.series import runs
 from perievent.operators.stats import auc, kruskal_wallis, paired
 from perievent.plans import views as V
+from perievent.plans.stash import stash
 from perievent.plans.order import numbered, quantiles, running_counts
 from perievent.sources.text import place
 
@@ -98,22 +99,26 @@ def scaled_sigmas(fits: DataFrame, distance: float) -> DataFrame:
 
 def spectral_null(mags: DataFrame, keys: tuple[str, ...], target: int, iterations: int, seed: int) -> DataFrame:
     """Of magnitudes by frequency (keys, k from 1, mag): the target's share and how often frequencies drawn with
-    replacement in its and all others' stead give as large a share."""
+    replacement in its and all others' stead give as large a share. Magnitudes are made once and summed as decimals, so that
+    draws of the same frequencies in another order are ties."""
+    mags = stash(mags)
+    share = lambda c: F.sum(F.when(F.col(c) == target, V.exact(F.col("mag")))).cast("double") / F.nullif(F.sum(V.exact(F.col("mag"))).cast("double"), F.lit(0.0))
     n = mags.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     draws = n.withColumn("it", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1)))).withColumn("j", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
     draws = draws.withColumn("k", hashed(seed, *keys, "it", "j") % F.col("n") + 1)
-    null = draws.join(mags, [*keys, "k"]).groupBy(*keys, "it").agg((F.sum(F.when(F.col("j") == target, F.col("mag"))) / F.sum("mag")).alias("r0"))
-    true = mags.groupBy(*keys).agg((F.sum(F.when(F.col("k") == target, F.col("mag"))) / F.sum("mag")).alias("ratio"))
+    null = draws.join(mags, [*keys, "k"]).groupBy(*keys, "it").agg(share("j").alias("r0"))
+    true = mags.groupBy(*keys).agg(share("k").alias("ratio"))
     return null.join(true, list(keys)).groupBy(*keys, "ratio").agg(F.avg((F.col("r0") >= F.col("ratio")).cast("double")).alias("p"))
 
 
 def frame_null(frames: DataFrame, keys: tuple[str, ...], iterations: int, seed: int) -> DataFrame:
     """frames (keys, trial, frame_ix, value) -> each frame's mean, and the share of shuffles (frames dealt anew within
-    their trial) whose largest mean reaches it."""
-    mean = frames.groupBy(*keys, "frame_ix").agg(F.avg("value").alias("mean"))
+    their trial) whose largest mean reaches it. Means don't depend on the order of trials: a frame that is dealt to one place
+    in all trials is a tie."""
+    mean = frames.groupBy(*keys, "frame_ix").agg(V.mean("value").alias("mean"))
     s = frames.withColumn("it", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
     s = s.withColumn("new_ix", F.row_number().over(W.partitionBy(*keys, "trial", "it").orderBy(seeded_order(seed, "it", "trial", "frame_ix"), "frame_ix")) - 1)
-    null = s.groupBy(*keys, "it", "new_ix").agg(F.avg("value").alias("m")).groupBy(*keys, "it").agg(F.max("m").alias("most"))
+    null = s.groupBy(*keys, "it", "new_ix").agg(V.mean("value").alias("m")).groupBy(*keys, "it").agg(F.max("m").alias("most"))
     return mean.join(null, list(keys)).groupBy(*keys, "frame_ix", "mean").agg(F.avg((F.col("most") >= F.col("mean")).cast("double")).alias("p"))
 
 
