@@ -290,7 +290,8 @@ def n06(spark, sf):
 
 def n08(spark, sf):
     """Means at two resolutions by cell: difference and its place in the empirical distribution."""
-    m = V.recordings(spark, sf).groupBy("area", "cell").agg(*[F.avg(F.when(F.col("config") == k, F.col("response"))).alias(f"m{k}") for k in (1, 2)]).filter("m1 is not null and m2 is not null")
+    m = V.recordings(spark, sf).groupBy("area", "cell").agg(*[V.mean(F.when(F.col("config") == k, F.col("response"))).alias(f"m{k}") for k in (1, 2)]).filter("m1 is not null and m2 is not null")
+    m = stash(m)
     d = m.withColumn("d", F.round(F.col("m1") - F.col("m2"), 6))
     c = running_counts(d, ("area",), "d").select("area", "d", (F.col("upto") / F.col("total")).alias("ecdf"))
     t = paired(m, ("area",), "m1", "m2").select("area", "t")
